@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
+from patchlens.operators.comments import salted_left_join
 from patchlens.operators.index import KEY_CHARS, KeywordIndex, token_key
 from patchlens.session import materialize
 
@@ -256,31 +257,35 @@ def search_elements(elements: DataFrame, index: KeywordIndex, queries: DataFrame
     return search(index, queries, limit).join(elements, ["framework", "element_id"])
 
 
-def attach_context(inputs: DataFrame, elements: DataFrame, index: KeywordIndex, limit: int = REVIEW_LIMIT,
-                   query: Column | None = None, body: Column | None = None) -> DataFrame:
+def attach_context(
+    inputs: DataFrame, elements: DataFrame, index: KeywordIndex, limit: int = REVIEW_LIMIT,
+    query: Column | None = None, body: Column | None = None,
+) -> DataFrame:
     """`inputs` with `context`, the best elements of its framework in rank order.
 
     The query is the diff unless another column is given. A row without framework,
     or whose framework has no index, gets an empty array. At most `limit` elements
-    are gathered per row.
+    are gathered per query, and a query text that many rows share is searched once.
     """
     c = F.col
-    queries = inputs.where(text("framework") != "").select(
-        F.struct("review_id", "file_no").alias("query_id"), "framework", (text("diff") if query is None else query).alias("query")
-    )
-    found = search_elements(elements, index, queries, limit).select(
-        c("query_id.review_id").alias("review_id"),
-        c("query_id.file_no").alias("file_no"),
+    asking = inputs.withColumn("_query", text("diff") if query is None else query)
+    asking = asking.withColumn("query_id", F.when(text("framework") != "", F.sha2("_query", 256)))
+    # One search per framework and text. query_id must be unique, so it names both.
+    asking = asking.withColumn("query_id", F.concat(c("framework"), F.lit("/"), c("query_id")))
+    queries = asking.where("query_id IS NOT NULL").select("query_id", "framework", c("_query").alias("query"))
+    found = search_elements(elements, index, queries.dropDuplicates(["query_id", "framework"]), limit).select(
+        "query_id",
         F.struct("rank", "type", "package", "name", "doc", (c("body") if body is None else body).alias("body")).alias("e"),
     )
-    context = found.groupBy("review_id", "file_no").agg(F.sort_array(F.collect_list("e")).alias("es")).select(
-        "review_id",
-        "file_no",
+    context = found.groupBy("query_id").agg(F.sort_array(F.collect_list("e")).alias("es")).select(
+        "query_id",
         F.transform(
             "es",
-            lambda e: F.struct(e["type"].alias("type"), e["package"].alias("package"), e["name"].alias("name"),
-                               e["doc"].alias("doc"), e["body"].alias("body")),
+            lambda e: F.struct(
+                e["type"].alias("type"), e["package"].alias("package"), e["name"].alias("name"), e["doc"].alias("doc"), e["body"].alias("body")
+            ),
         ).alias("context"),
     )
+    joined = salted_left_join(asking.drop("_query"), context, ["query_id"], ["review_id", "file_no"])
     empty = F.array().cast("array<struct<type:string,package:string,name:string,doc:string,body:string>>")
-    return inputs.join(context, ["review_id", "file_no"], "left").withColumn("context", F.coalesce("context", empty))
+    return joined.withColumn("context", F.coalesce("context", empty)).drop("query_id")

@@ -217,3 +217,90 @@ def issues_sql() -> str:
         f"v_issues AS (SELECT o_custkey AS review_id, o_orderkey AS file_no, {_PATH} AS file_path, issue_no, {fields} "
         f"FROM orders, (VALUES (0), (1), (2)) n(issue_no) WHERE issue_no < o_orderkey % 4 AND NOT {_FAILED})"
     )
+
+
+REVIEW_INPUTS = {
+    "review_id": "o_custkey",
+    "file_no": "o_orderkey",
+    "file_path": _PATH,
+    "diff": CHANGES["diff"],
+    "full_content": "(CASE WHEN o_orderkey % 4 = 1 THEN 'package p' || chr(10) || 'var x = ' || o_orderstatus ELSE '' END)",
+    "framework": case("o_orderkey % 6", ["en", "fr", "de", "es", "unknown"]),
+    "error": "''",
+}
+
+RAW_INPUTS = {
+    "review_id": "o_custkey",
+    "file_no": "o_orderkey",
+    "file_path": f"(CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE {_PATH} END)",
+    "diff": "(CASE o_orderkey % 5 WHEN 0 THEN '+given' WHEN 1 THEN '' END)",
+    "piped_diff": "(CASE o_orderkey % 4 WHEN 0 THEN '+piped' WHEN 1 THEN '' END)",
+    "content": "(CASE WHEN o_orderkey % 3 > 0 THEN 'line one' || chr(10) || o_orderstatus || (CASE WHEN o_orderkey % 2 = 0 THEN chr(10) ELSE '' END) END)",
+    "context": "(CASE WHEN o_orderkey % 7 = 0 THEN 'the context' END)",
+}
+
+COMMENTED = {
+    "file_no": "o_orderkey",
+    "commented": (
+        "'{\"a\": \"http://x/' || o_orderstatus || '\", // note ' || o_orderpriority || chr(10) || "
+        "'/* long' || chr(10) || ' note */\"b\": \"/* kept */ // kept ' || chr(92) || '\" ' || CAST(o_orderkey AS STRING) || '\"}"
+        " // end' || (CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '/* open' ELSE '' END)"
+    ),
+}
+
+RISK_TEXTS = {
+    "file_no": "o_orderkey",
+    "raw": (
+        "(CASE o_orderkey % 12 WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN '-' || CAST(o_orderkey AS STRING) "
+        "WHEN 2 THEN '\"' || CAST(o_orderkey AS STRING) || '\"' WHEN 3 THEN '\" ' || CAST(o_orderkey AS STRING) || ' \"' "
+        "WHEN 4 THEN '\"high: ' || CAST(o_orderkey AS STRING) || '/10\"' WHEN 5 THEN '\"\"' WHEN 6 THEN CAST(o_orderkey AS STRING) || '.5' "
+        "WHEN 7 THEN 'true' WHEN 8 THEN 'null' WHEN 9 THEN '{\"n\":1}' WHEN 10 THEN '\"+' || CAST(o_orderkey AS STRING) || '\"' "
+        "ELSE '\"0x' || CAST(o_orderkey AS STRING) || '\"' END)"
+    ),
+}
+
+LINE_ISSUES = {
+    "type": "(CASE l_returnflag WHEN 'A' THEN 'SECURITY' WHEN 'R' THEN 'PERFORMANCE' ELSE 'QUALITY' END)",
+    "severity": case("l_linenumber", ["", "CRITICAL", "high", "Medium", "LOW", "HIGH", "critical"], "NOTE"),
+}
+
+TOOL_ANSWERS = {
+    "review_id": "o_custkey",
+    "file_no": "o_orderkey",
+    "response": (
+        "(CASE o_orderkey % 9 "
+        "WHEN 0 THEN 'I will search. {\"tool\":\"search_framework\",\"args\":{\"query\":\"get ' || o_orderstatus || '\"}} then' "
+        "WHEN 1 THEN '{\"tool\":\"analyze_security\",\"args\":{\"code\":\"f(' || CAST(o_orderkey AS STRING) || ')\"}}' "
+        "WHEN 2 THEN '{\"tool\":\"analyze_performance\",\"args\":{\"code\":\"for {' || o_orderstatus || '}\"}}' "
+        "WHEN 3 THEN '{\"tool\":\"suggest_fix\",\"args\":{\"issue\":\"slow\",\"original_code\":\"' || o_orderpriority || '\"}}' "
+        "WHEN 4 THEN '{\"tool\":\"final_review\",\"args\":{\"summary\":\"s' || CAST(o_orderkey AS STRING) || '\"}}' "
+        "WHEN 5 THEN '{\"tool\":\"\",\"args\":{}}' WHEN 6 THEN 'no call at all' WHEN 7 THEN '{\"tool\":\"open' "
+        "ELSE '{\"tool\":\"unheard_of\"}' END)"
+    ),
+}
+
+VERSIONS = {
+    "project_id": "CAST(c_custkey % 100 AS BIGINT)",
+    "iid": "CAST(c_custkey AS BIGINT)",
+    "value": (
+        "(CASE WHEN c_custkey % 3 = 0 THEN '[]' ELSE '[{\"id\":2,\"head_commit_sha\":\"h' || CAST(c_custkey AS STRING) || "
+        "'\",\"base_commit_sha\":\"b' || CAST(c_custkey AS STRING) || '\",\"start_commit_sha\":\"s' || CAST(c_custkey AS STRING) || "
+        "'\"},{\"id\":1,\"head_commit_sha\":\"old\",\"base_commit_sha\":\"old\",\"start_commit_sha\":\"old\"}]' END)"
+    ),
+}
+
+# One Go file per part; every eleventh cannot be read.
+_N = "CAST(p_partkey AS STRING)"
+SOURCE_TEXT = {
+    "head": f"'// Package text.' || {NL} || 'package p' || CAST(p_partkey % 10 AS STRING) || {NL} || {NL} || 'import (' || {NL} || chr(9) || '\"fmt\"' || {NL} || chr(9) || 'x \"a/b' || {_N} || '\"' || {NL} || ')' || {NL} || {NL}",
+    "const": f"'// Limits.' || {NL} || 'const (' || {NL} || chr(9) || 'Min' || {_N} || ' = iota // least' || {NL} || chr(9) || 'Max' || {_N} || {NL} || ')' || {NL} || {NL}",
+    "type": f"'type Box' || {_N} || ' struct {{' || {NL} || chr(9) || 'text string // {{ open' || {NL} || '}}' || {NL} || {NL}",
+    "method": f"'// Get gives the text.' || {NL} || 'func (b *Box' || {_N} || ') Get' || {_N} || '(a, c int, f func(int) error) (string, error) {{' || {NL} || chr(9) || 'return `' || {NL} || 'func no() {{` + fmt.Sprint(a), nil' || {NL} || '}}' || {NL}",
+    "broken": f"'func broken( {{' || {NL}",
+}
+SOURCES = {
+    "framework": "'parts'",
+    "file_path": f"'pkg' || CAST(p_partkey % 7 AS STRING) || '/f' || {_N} || '.go'",
+    "content": " || ".join(SOURCE_TEXT[k] for k in ("head", "const", "type", "method"))
+    + f" || (CASE WHEN p_partkey % 11 = 0 THEN {SOURCE_TEXT['broken']} ELSE '' END)",
+}
