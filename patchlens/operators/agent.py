@@ -99,7 +99,8 @@ def agent_review(inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame
         finished.append(answered.where(text("error") != "").withColumn("result", no_result).withColumn(
             "error", F.concat(F.lit(f"step {step}: "), c("error"))).select(*columns))
 
-        calls = tool_calls(answered.where(text("error") == ""))
+        # Written as well, else every branch below would cut and parse the answers again.
+        calls = materialize(tool_calls(answered.where(text("error") == "")), f"agent-{step}-calls")
         final = decode_results(calls.where(c("tool") == "final_review"), "args", "result", "valid")
         finished.append(final.withColumn("result", F.coalesce(c("result"), _out_of_steps())).select(*columns))
 
@@ -141,20 +142,24 @@ def _run_tools(calls: DataFrame, complete_fn: CompleteFn, elements: DataFrame, i
         valid = F.when(c("tool") == tool, _arguments_are_texts(*names)).otherwise(valid)
     calls = calls.withColumn("args_ok", valid)
 
-    searched = calls.where(searching & c("args_ok"))
-    searched = searched.join(_search_results(searched, elements, index), ["review_id", "file_no"], "left")
-
-    asked = tool_prompts(calls.where(c("args_ok"))).withColumn("messages", prompts.messages("system", "user"))
-    replies = materialize(complete(asked, complete_fn, **options), "tool-answers")
-    replies = replies.withColumn(
-        "tool_result", F.when(text("error") != "", F.concat(F.lit("Error: "), c("error"))).otherwise(text("response"))
-    )
-
+    columns = [*(name for name in calls.columns if name not in {"response", "error", "args_ok"}), "tool_result"]
     known = c("tool").isin(list(needs))
     refused = calls.where(~known | ~c("args_ok")).withColumn(
         "tool_result", F.when(known, BAD_ARGS).otherwise(F.concat(F.lit("Error: unknown tool: "), c("tool")))
     )
-    columns = [*(name for name in calls.columns if name not in {"response", "error", "args_ok"}), "tool_result"]
-    done = searched.select(*columns).unionByName(replies.select(*columns)).unionByName(refused.select(*columns))
+    done = refused.select(*columns)
+
+    # A step in which no row searches, or none asks the model, leaves those jobs out.
+    searched = calls.where(searching & c("args_ok"))
+    if not searched.isEmpty():
+        found = searched.join(_search_results(searched, elements, index), ["review_id", "file_no"], "left")
+        done = done.unionByName(found.select(*columns))
+
+    asked = tool_prompts(calls.where(c("args_ok"))).withColumn("messages", prompts.messages("system", "user"))
+    if not asked.isEmpty():
+        replies = materialize(complete(asked, complete_fn, **options), "tool-answers")
+        failed = F.concat(F.lit("Error: "), c("error"))
+        replies = replies.withColumn("tool_result", F.when(text("error") != "", failed).otherwise(text("response")))
+        done = done.unionByName(replies.select(*columns))
     call = F.struct(c("tool").alias("name"), c("args").alias("args"), c("tool_result").alias("result"))
     return done.withColumn("tool_calls", F.concat("tool_calls", F.array(call)))

@@ -47,16 +47,29 @@ def _counted_words(queries: DataFrame) -> DataFrame:
     return exploded_counts(rows, "words", ["query_id", "framework", "n_empty"]).withColumnRenamed("n", "qtf")
 
 
-def _substrings(piece: Column, starts: int) -> Column:
-    """Distinct substrings of up to KEY_CHARS characters that start in the first `starts` positions."""
-    n = F.length(piece)
-    by_position = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(starts))),
-        lambda p: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(KEY_CHARS), n - p + 1)), lambda size: F.substr(piece, p, size)
-        ),
+def _substrings(pieces: DataFrame) -> DataFrame:
+    """(hay, part): the distinct substrings, '' included, of (hay, piece).
+
+    Substrings have up to KEY_CHARS characters and start in the first SEGMENT_CHARS
+    positions. Each is kept where it occurs first, so no distinct is needed.
+    """
+    c = F.col
+    n = F.length("piece")
+    starts = pieces.select("hay", "piece", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(SEGMENT_CHARS)))).alias("at"))
+    sizes = starts.select(
+        "hay", "piece", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY_CHARS), n - c("at") + 1))).alias("size")
+    )
+    parts = sizes.select("hay", "piece", "at", F.substr("piece", c("at"), c("size")).alias("part"))
+    first = parts.where(F.instr("piece", c("part")) == c("at")).select("hay", "part")
+    return first.unionByName(pieces.select("hay", F.lit("").alias("part")))
+
+
+def _segments(hays: DataFrame) -> DataFrame:
+    """(hay, piece): a long text in overlapping pieces that hold every substring of KEY_CHARS."""
+    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(SEGMENT_CHARS))).alias("at")
+    return hays.select(F.col("key").alias("hay"), "text", starts).select(
+        "hay", F.substr("text", "at", F.lit(SEGMENT_CHARS + KEY_CHARS - 1)).alias("piece")
     )
-    return F.array_distinct(F.flatten(by_position))
 
 
 def _spread(size: Column) -> Column:
@@ -76,19 +89,8 @@ def containing_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
     substrings is found by its first KEY_CHARS characters and then verified.
     """
     c = F.col
-    short_hays = hays.where(F.length("text") <= SEGMENT_CHARS).select(
-        c("key").alias("hay"),
-        F.explode(F.concat(F.array(F.lit("")), _substrings(c("text"), SEGMENT_CHARS))).alias("part"),
-    )
-    pieces = hays.where(F.length("text") > SEGMENT_CHARS).select(
-        c("key").alias("hay"),
-        "text",
-        F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(SEGMENT_CHARS))).alias("at"),
-    ).select("hay", F.substr("text", "at", F.lit(SEGMENT_CHARS + KEY_CHARS - 1)).alias("piece"))
-    long_hays = pieces.select(
-        "hay",
-        F.explode(F.concat(F.array(F.lit("")), _substrings(c("piece"), SEGMENT_CHARS))).alias("part"),
-    ).distinct()
+    short_hays = _substrings(hays.where(F.length("text") <= SEGMENT_CHARS).select(c("key").alias("hay"), c("text").alias("piece")))
+    long_hays = _substrings(_segments(hays.where(F.length("text") > SEGMENT_CHARS))).distinct()
     parts = short_hays.unionByName(long_hays).withColumn(
         "salt", F.pmod(F.xxhash64("hay"), _spread(F.length("part")))
     )
@@ -103,13 +105,7 @@ def containing_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
     anchors = long_needles.select(
         c("key").alias("needle"), c("text").alias("needle_text"), F.substr("text", F.lit(1), F.lit(KEY_CHARS)).alias("part")
     )
-    windows = hays.where(F.length("text") > KEY_CHARS).select(
-        c("key").alias("hay"),
-        "text",
-        F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(SEGMENT_CHARS))).alias("at"),
-    ).select("hay", F.substr("text", "at", F.lit(SEGMENT_CHARS + KEY_CHARS - 1)).alias("piece")).where(
-        F.length("piece") >= KEY_CHARS
-    )
+    windows = _segments(hays.where(F.length("text") > KEY_CHARS)).where(F.length("piece") >= KEY_CHARS)
     windows = windows.select(
         "hay",
         F.explode(

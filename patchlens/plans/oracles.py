@@ -104,7 +104,7 @@ def synthetic_diff_sql(path: str, content: str, full_path: bool) -> str:
     return joined(
         "'diff --git a/'", shown, "' b/'", shown, NL, "'new file mode 100644'", NL, "'--- /dev/null'", NL, "'+++ b/'", shown, NL,
         "'@@ -0,0 +1,'", num(f"len({lines})"), "' @@'", NL,
-        f"array_to_string(list_transform({printed}, x -> '+' || x || {NL}), '')",
+        f"array_to_string(['+' || x || {NL} for x in {printed}], '')",
     )
 
 
@@ -154,7 +154,7 @@ SELECT page_id,
   CASE WHEN page_id % 6 < 4 THEN owner || '-' || repo WHEN page_id % 6 = 4 THEN repo
        ELSE string_split(page_url, '/')[-2] || '-' || string_split(page_url, '/')[-1] END AS repo_key,
   CASE page_id % 6 WHEN 0 THEN repo || '.git' WHEN 1 THEN repo || '.git' WHEN 2 THEN repo || ' ' WHEN 3 THEN repo WHEN 4 THEN repo
-       ELSE string_split(page_url, '/')[-1] END AS name
+       ELSE string_split(rtrim(page_url, '/'), '/')[-1] END AS name
 FROM r"""
 
 # --- index and search ------------------------------------------------------------
