@@ -10,6 +10,8 @@ start in column 0. Files that do not fit go to quarantine, not into the index.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ GO_TOKENS = (
 )
 DECLARATION_START = r"(?md)^(?=(?:func|type|const|var)\b)"
 NAME = r"[\p{L}_][\p{L}\p{N}_]*"
+QUOTED_OR_COMMENT = (
+    r"`[^`]*`"
+    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r"|//[^\n]*"
+    r"|(?s:/\*.*?\*/)"
+)
+HEADER = r"(?s)\A.*?\{[^\S\n]*(?=\n|//|\z)"  # up to the first line that ends with a brace
+WHOLE_BODY = r"(?s)\A.*\n\}"
 STRAY_TEXT = r"(?md)^(?!(?:package|import|func|type|const|var)\b|[)}\]]|\w+:)\S"
 DOC_GROUP = r"(?s)(?:\A|\n)((?://[^\n]*\n|/\*(?:(?!\*/).)*\*/[ \t]*\n)+)\z"
 DIRECTIVE = r"^//(?:[a-z0-9]+:[a-z0-9]|line |extern |export )"
@@ -48,10 +59,6 @@ def _is_comment(token: Column) -> Column:
     return token.startswith("//") | token.startswith("/*")
 
 
-def _is_quoted(token: Column) -> Column:
-    return token.startswith('"') | token.startswith("'") | token.startswith("`")
-
-
 def _line_breaks(value: Column) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))
 
@@ -143,83 +150,110 @@ def _inside(group: Column) -> Column:
 
 def _entries(group: Column) -> Column:
     """The comma-separated entries between a group's brackets, trimmed, comments left out."""
-    inner = _inside(group)
-    units = top_level_units(inner, _tokens(inner))
-    zero = F.array(F.lit(""))
-    grown = F.aggregate(
-        F.filter(units, lambda u: ~_is_comment(u)),
-        zero,
-        lambda acc, u: F.when(u == ",", F.concat(acc, F.array(F.lit("")))).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), u)))
-        ),
-    )
-    trimmed = F.transform(grown, lambda e: F.btrim(e, F.lit(" \t\n\r")))
-    return F.filter(trimmed, lambda e: e != "")
 
+    def joined(units: Column) -> Column:
+        grown = F.aggregate(
+            F.filter(units, lambda u: ~_is_comment(u)),
+            F.array(F.lit("")),
+            lambda acc, u: F.when(u == ",", F.concat(acc, F.array(F.lit("")))).otherwise(
+                F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), u)))
+            ),
+        )
+        return F.filter(F.transform(grown, lambda e: F.btrim(e, F.lit(" \t\n\r"))), lambda e: e != "")
 
-NAMED_ENTRY = rf"^(?!(?:chan|func|map|struct|interface)\b){NAME}\s+\S"
+    return let(_inside(group), lambda inner: let(top_level_units(inner, _tokens(inner)), joined))
 
 
-def _parameters(entries: Column) -> Column:
-    """Entries with grouped names expanded: `a, b int` gives `a int` and `b int`."""
-    named = F.exists(entries, lambda e: e.rlike(NAMED_ENTRY))
+NAMED_ENTRY = rf"^(?!(?:chan|func|map|struct|interface)\b){NAME}\s+\S"
 
-    def expanded(e: Column, i: Column) -> Column:
-        later = F.filter(F.slice(entries, i + 1, F.size(entries)), lambda x: x.rlike(NAMED_ENTRY))
-        kind = F.regexp_extract(F.get(later, F.lit(0)), rf"(?s)^{NAME}\s+(.*)$", 1)
-        return F.when(named & ~e.rlike(NAMED_ENTRY), F.concat(e, F.lit(" "), kind)).otherwise(e)
 
-    return F.transform(entries, expanded)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a value inside an expression, so that it is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _result_types(entries: Column) -> Column:
-    """One type per result field; grouped names are one field and names are dropped."""
-    named = F.exists(entries, lambda e: e.rlike(NAMED_ENTRY))
-    fields = F.filter(entries, lambda e: ~named | e.rlike(NAMED_ENTRY))
-    return F.transform(fields, lambda e: F.when(named, F.regexp_extract(e, rf"(?s)^{NAME}\s+(.*)$", 1)).otherwise(e))
+def _occurrences(value: Column, ch: str) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit(ch), F.lit("")))
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """Add the package, imports, pieces and quarantine reason to (framework, file_path, content)."""
-    c = F.col
-    with_tokens = files.withColumn("tokens", _tokens(text("content")))
-    bare = F.array_join(F.filter("tokens", lambda t: ~_is_comment(t) & ~_is_quoted(t)), "")
+def _plain(piece: Column) -> Column:
+    return F.replace(piece, F.lit(GUARD), F.lit(""))
 
-    def n(ch: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == ch))
 
-    open_quote = F.exists(
-        "tokens",
-        lambda t: (_is_quoted(t) & ((F.length(t) < 2) | (F.right(t, F.lit(1)) != F.left(t, F.lit(1)))))
-        | (t.startswith("/*") & ~t.endswith("*/")),
-    )
-    guarded = F.array_join(
+def _guarded(source: Column) -> Column:
+    """Source with the line starts inside raw strings and block comments marked."""
+    marked = F.array_join(
         F.transform(
-            "tokens",
+            _tokens(source),
             lambda t: F.when(t.startswith("`") | t.startswith("/*"), F.replace(t, F.lit("\n"), F.lit("\n" + GUARD))).otherwise(t),
         ),
         "",
     )
-    checked = with_tokens.select(
-        *files.columns,
-        F.split(guarded, DECLARATION_START).alias("pieces"),
-        F.regexp_extract(bare, rf"(?m)^package\s+({NAME})", 1).alias("package"),
-        F.when((n("(") != n(")")) | (n("[") != n("]")) | (n("{") != n("}")), "unbalanced brackets")
-        .when(open_quote, "open string or comment")
+    return F.when(source.contains("`") | source.contains("/*"), marked).otherwise(source)
+
+
+def _problem(bare: Column) -> Column:
+    """Why a file, given without its strings and comments, cannot be read; else null."""
+    unlike = F.lit(False)
+    for left, right in ("()", "[]", "{}"):
+        unlike = unlike | (_occurrences(bare, left) != _occurrences(bare, right))
+    return (
+        F.when(~bare.rlike(rf"(?m)^package\s+{NAME}"), "no package clause")
+        .when(bare.rlike("[\"`']|/\\*"), "open string or comment")
+        .when(unlike, "unbalanced brackets")
         .when(bare.rlike(STRAY_TEXT), "text outside declarations")
-        .alias("problem"),
-    )
-    head_tokens = F.filter(_tokens(F.get("pieces", F.lit(0))), lambda t: ~_is_comment(t))
-    return checked.select(
-        *files.columns, "pieces", "package",
-        F.transform(F.filter(head_tokens, _is_quoted), lambda t: F.btrim(t, F.lit('"'))).alias("imports"),
-        F.coalesce(F.when(c("package") == "", "no package clause"), c("problem")).alias("problem"),
     )
 
 
+def read_pieces(files: DataFrame) -> DataFrame:
+    """(framework, file_path, problem, package, imports, text, before, line): one row per declaration.
+
+    A file with a problem gives one row with the reason and nothing else. All of a
+    file's work is one bound expression below the generator, which also keeps later
+    filters from being pushed into it and repeating it.
+    """
+    piece = "struct<problem:string,package:string,imports:array<string>,text:string,before:string,line:int>"
+
+    def cut(bare: Column, source: Column) -> Column:
+        failed = F.array(
+            F.struct(
+                _problem(bare).alias("problem"), F.lit("").alias("package"), F.array().cast("array<string>").alias("imports"),
+                F.lit("").alias("text"), F.lit("").alias("before"), F.lit(0).alias("line"),
+            )
+        ).cast(f"array<{piece}>")
+        package = F.regexp_extract(bare, rf"(?m)^package\s+({NAME})", 1)
+
+        def listed(pieces: Column) -> Column:
+            head = F.regexp_replace(F.get(pieces, F.lit(0)), r"(\"[^\"\n]*\"|`[^`\n]*`)|//[^\n]*|(?s:/\*.*?\*/)", "$1")
+            imports = F.transform(F.regexp_extract_all(head, F.lit("\"[^\"\\n]*\"|`[^`\\n]*`"), F.lit(0)), lambda t: F.btrim(t, F.lit('"')))
+            lines = F.aggregate(
+                pieces, F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + _line_breaks(p)))
+            )
+            indexes = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+            return let(
+                F.struct(imports.alias("imports"), lines.alias("lines"), package.alias("package")),
+                lambda file: F.transform(
+                    indexes,
+                    lambda i: F.struct(
+                        F.lit(None).cast("string").alias("problem"), file["package"].alias("package"), file["imports"].alias("imports"),
+                        F.get(pieces, i).alias("text"), F.get(pieces, i - 1).alias("before"), F.get(file["lines"], i).alias("line"),
+                    ),
+                ).cast(f"array<{piece}>"),
+            )
+
+        return F.when(_problem(bare).isNotNull(), failed).otherwise(let(F.split(_guarded(source), DECLARATION_START), listed))
+
+    source = text("content")
+    pieces = let(F.regexp_replace(source, QUOTED_OR_COMMENT, ""), lambda bare: cut(bare, source))
+    return files.select("framework", "file_path", F.explode(pieces).alias("p")).select("framework", "file_path", "p.*")
+
+
 def quarantine(files: DataFrame) -> DataFrame:
     """Files that are left out of the index, with the reason."""
-    return read_files(files).where("problem IS NOT NULL").select("framework", "file_path", F.col("problem").alias("reason"))
+    return read_pieces(files).where("problem IS NOT NULL").select("framework", "file_path", F.col("problem").alias("reason"))
+
+
+DECLARED = "struct<type:string,name:string,line:int,signature:string,body:string,receiver:string>"
 
 
 def extract_elements(files: DataFrame, prune: bool = True) -> DataFrame:
@@ -230,117 +264,156 @@ def extract_elements(files: DataFrame, prune: bool = True) -> DataFrame:
     c = F.col
     if prune:
         files = files.where(is_indexed_source("file_path"))
-    read = read_files(files).where("problem IS NULL")
-    starts = F.aggregate(
-        "pieces",
-        F.array(F.lit(1)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + _line_breaks(p))),
-    )
-    plain = lambda piece: F.replace(piece, F.lit(GUARD), F.lit(""))
-    numbered = read.withColumn("starts", starts)
-    indexes = F.when(F.size("pieces") > 1, F.sequence(F.lit(1), F.size("pieces") - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = numbered.select(
-        "framework", "file_path", "package", "imports",
-        F.explode(
-            F.transform(
-                indexes,
-                lambda i: F.struct(
-                    plain(F.get("pieces", i)).alias("text"), plain(F.get("pieces", i - 1)).alias("before"), F.get("starts", i).alias("line")
-                ),
-            )
-        ).alias("p"),
-    ).select("framework", "file_path", "package", "imports", "p.*")
-
-    keyword = F.regexp_extract("text", r"^(func|type|const|var)\b", 1)
-    prefix = F.when(keyword == "func", "").otherwise(F.regexp_extract("text", r"^(?:type|const|var)\b\s*\(?", 0))
-    grouped = (keyword != "func") & prefix.endswith("(")
-    declared = pieces.select(
-        "framework", "file_path", "package", "imports",
-        keyword.alias("keyword"), grouped.alias("grouped"), _doc_text(c("before")).alias("doc"),
-        (c("line") + _line_breaks(prefix)).alias("line"),
-        F.substr("text", F.length(prefix) + 1).alias("inner"),
+    pieces = read_pieces(files).where("problem IS NULL")
+    declared = F.when(c("text").startswith("func"), _function(c("text"), c("line"))).otherwise(_specs(c("text"), c("line")))
+    rows = pieces.select("framework", "file_path", "package", "imports", _doc_text(_plain(c("before"))).alias("doc"), F.explode(declared).alias("d"))
+    return rows.where("d.name <> ''").select(
+        "framework", "d.type", "d.name", "package", "file_path", "d.line", "d.signature", "doc", "d.body", "d.receiver", "imports",
+        F.array().cast("array<string>").alias("references"),
     )
-    units = declared.withColumn("tokens", _tokens(c("inner"))).withColumn("units", top_level_units(c("inner"), c("tokens")))
-    return _functions(units.where("keyword = 'func'")).unionByName(_specs(units.where("keyword <> 'func'")))
 
 
-def _functions(units: DataFrame) -> DataFrame:
-    c = F.col
-    # The body is the first brace group after white space; type literals have none before their brace.
-    indexes = F.sequence(F.lit(0), F.size("units") - 1)
-    body_at = F.get(
-        F.filter(indexes, lambda i: F.get("units", i).startswith("{") & F.get("units", i - 1).rlike(r"\s$")), F.lit(0)
-    )
-    line_end = F.array_position("units", "\n").cast("int") - 1
-    found = units.withColumn("body_at", body_at).withColumn(
-        "head_size", F.coalesce("body_at", F.when(line_end >= 0, line_end), F.size("units"))
-    )
-    head = F.filter(F.slice("units", F.lit(1), c("head_size")), lambda u: ~_is_comment(u))
-    found = found.select(
-        "framework", "file_path", "package", "imports", "doc", "line",
-        head.alias("head"),
-        F.btrim(F.array_join(F.slice("units", F.lit(1), c("head_size") + F.when(c("body_at").isNotNull(), 1).otherwise(0)), ""), F.lit(" \t\r\n")).alias("body"),
-    )
-    is_method = (F.trim(F.get("head", F.lit(0))) == "func") & F.get("head", F.lit(1)).startswith("(")
-    found = found.withColumn("is_method", F.coalesce(is_method, F.lit(False)))
-    name_at = F.when(c("is_method"), 2).otherwise(0)
-    name = F.regexp_extract(F.get("head", name_at), rf"({NAME})\s*$", 1)
-    receiver_entry = F.get(_entries(F.get("head", F.lit(1))), F.lit(0))
-    receiver = F.when(
-        c("is_method"), F.when(receiver_entry.rlike(NAMED_ENTRY), F.regexp_extract(receiver_entry, rf"(?s)^{NAME}\s+(.*)$", 1)).otherwise(receiver_entry)
-    ).otherwise("")
-    params_at = name_at + 1 + F.when(F.get("head", name_at + 1).startswith("["), 1).otherwise(0)
-    found = found.withColumn("name", name).withColumn("receiver", receiver).withColumn("params_at", params_at)
-    found = found.withColumn("results", F.btrim(F.array_join(F.slice("head", c("params_at") + 2, F.size("head")), ""), F.lit(" \t\r\n")))
-    parameters = F.array_join(_parameters(_entries(F.get("head", c("params_at")))), ", ")
-    types = F.when(F.col("results").startswith("("), _result_types(_entries(c("results")))).otherwise(F.array("results"))
-    found = found.withColumn("parameters", parameters).withColumn("types", F.when(c("results") == "", F.array().cast("array<string>")).otherwise(types))
-    results = F.array_join("types", ", ")
-    signature = F.concat(
-        F.lit("func "), F.when(c("is_method"), F.concat(F.lit("("), c("receiver"), F.lit(") "))).otherwise(""), c("name"),
-        F.lit("("), c("parameters"), F.lit(")"),
-        F.when(F.size("types") == 0, "").when(F.size("types") == 1, F.concat(F.lit(" "), results)).otherwise(F.concat(F.lit(" ("), results, F.lit(")"))),
-    )
-    return found.where("name <> ''").select(
-        "framework",
-        F.when(c("is_method"), "method").otherwise("function").alias("type"),
-        "name", "package", "file_path", "line", signature.alias("signature"), "doc", "body", "receiver", "imports",
-        F.array().cast("array<string>").alias("references"),
-    )
+def _named_type(entry: Column) -> Column:
+    return F.regexp_extract(entry, rf"(?s)^{NAME}\s+(.*)$", 1)
 
 
-def _specs(units: DataFrame) -> DataFrame:
-    c = F.col
-    specs = units.withColumn("specs", split_units(c("units")))
-    kept = F.when(c("grouped"), c("specs")).otherwise(F.slice("specs", F.lit(1), F.lit(1)))
-    rows = specs.select(
-        "framework", "file_path", "package", "imports", "keyword", "doc", c("line").alias("first_line"), F.explode(kept).alias("spec")
-    )
-    names = F.when(
-        c("keyword") == "type", F.array(F.regexp_extract("spec.text", rf"^({NAME})", 1))
-    ).otherwise(F.split(F.regexp_extract("spec.text", rf"^({NAME}(?:\s*,\s*{NAME})*)", 1), r"\s*,\s*"))
-    rows = rows.withColumn("name", F.explode(names)).where("name <> ''")
-    after_name = F.regexp_replace(c("spec.text"), rf"(?s)^{NAME}(?:\[[^\]]*\](?=\s))?\s*=?\s*", "")
-    kind = (
-        F.when(after_name.rlike(r"^struct\b"), "struct")
-        .when(after_name.rlike(r"^interface\b"), "interface")
-        .when(after_name.startswith("["), "array")
-        .when(after_name.startswith("map["), "map")
-        .when(after_name.rlike(r"^(?:<-\s*)?chan\b"), "chan")
-        .otherwise("alias")
-    )
-    is_type = c("keyword") == "type"
-    return rows.select(
-        "framework",
-        F.when(~is_type, c("keyword")).when(kind.isin("struct", "interface"), kind).otherwise("type").alias("type"),
-        "name", "package", "file_path",
-        (c("first_line") + c("spec.line")).alias("line"),
-        F.when(is_type, F.concat(F.lit("type "), c("name"), F.lit(" "), kind)).otherwise("").alias("signature"),
-        "doc", c("spec.text").alias("body"), F.lit("").alias("receiver"), "imports",
-        F.array().cast("array<string>").alias("references"),
+def _parameter_text(entries: Column) -> Column:
+    """Entries with grouped names expanded: `a, b int` gives `a int, b int`."""
+
+    def expanded(e: Column, i: Column) -> Column:
+        later = F.filter(F.slice(entries, i + 1, F.size(entries)), lambda x: x.rlike(NAMED_ENTRY))
+        kind = _named_type(F.get(later, F.lit(0)))
+        return F.when(e.rlike(NAMED_ENTRY), e).otherwise(F.concat(e, F.lit(" "), kind))
+
+    named = F.exists(entries, lambda e: e.rlike(NAMED_ENTRY))
+    return F.array_join(F.when(named, F.transform(entries, expanded)).otherwise(entries), ", ")
+
+
+def _result_text(results: Column) -> Column:
+    """One type per result field; grouped names are one field and names are dropped."""
+
+    def shown(types: Column) -> Column:
+        return F.when(F.size(types) > 1, F.concat(F.lit(" ("), F.array_join(types, ", "), F.lit(")"))).otherwise(
+            F.concat(F.lit(" "), F.array_join(types, ""))
+        )
+
+    def from_entries(entries: Column) -> Column:
+        fields = F.filter(entries, lambda e: e.rlike(NAMED_ENTRY))
+        return let(F.when(F.size(fields) > 0, F.transform(fields, _named_type)).otherwise(entries), shown)
+
+    return (
+        F.when(results == "", "")
+        .when(results.startswith("("), let(_entries(results), from_entries))
+        .otherwise(F.concat(F.lit(" "), results))
     )
 
 
+def _function(piece: Column, line: Column) -> Column:
+    """array<DECLARED> of one function or method.
+
+    Only the header is taken apart. It ends where a line ends with the body's brace,
+    or, for a body on the same line, before the first brace group after white space;
+    type literals have none before their brace.
+    """
+
+    def from_units(units: Column) -> Column:
+        at = F.get(
+            F.filter(
+                F.sequence(F.lit(0), F.size(units)),
+                lambda i: (F.get(units, i).startswith("{") & F.get(units, i - 1).rlike(r"\s$")) | (F.get(units, i) == "\n"),
+            ),
+            F.lit(0),
+        )
+        head = F.slice(units, F.lit(1), F.coalesce(at, F.size(units)))
+        return let(F.filter(head, lambda u: ~_is_comment(u)), from_head)
+
+    def from_head(head: Column) -> Column:
+        is_method = (F.trim(F.get(head, F.lit(0))) == "func") & F.coalesce(F.get(head, F.lit(1)).startswith("("), F.lit(False))
+        return let(
+            F.struct(
+                is_method.alias("is_method"),
+                F.when(is_method, 2).otherwise(0).alias("name_at"),
+                F.when(is_method, F.get(_entries(F.get(head, F.lit(1))), F.lit(0))).otherwise("").alias("receiver_entry"),
+            ),
+            lambda f: from_parts(head, f),
+        )
+
+    def from_parts(head: Column, f: Column) -> Column:
+        receiver = F.when(f["receiver_entry"].rlike(NAMED_ENTRY), _named_type(f["receiver_entry"])).otherwise(f["receiver_entry"])
+        name = F.regexp_extract(F.get(head, f["name_at"]), rf"({NAME})\s*$", 1)
+        params_at = f["name_at"] + 1 + F.when(F.get(head, f["name_at"] + 1).startswith("["), 1).otherwise(0)
+        results = F.btrim(F.array_join(F.slice(head, params_at + 2, F.size(head)), ""), F.lit(" \t\r\n"))
+        signature = F.concat(
+            F.lit("func "), F.when(f["is_method"], F.concat(F.lit("("), receiver, F.lit(") "))).otherwise(""), name,
+            F.lit("("), let(_entries(F.get(head, params_at)), _parameter_text), F.lit(")"), let(results, _result_text),
+        )
+        return F.array(
+            F.struct(
+                F.when(f["is_method"], "method").otherwise("function").alias("type"), name.alias("name"), line.alias("line"),
+                signature.alias("signature"), body.alias("body"), receiver.alias("receiver"),
+            )
+        ).cast(f"array<{DECLARED}>")
+
+    many_lines = F.regexp_extract(piece, WHOLE_BODY, 0)
+    # Strings are matched first, so that a // inside one is not taken for a comment.
+    one_line = F.regexp_replace(F.regexp_extract(piece, r"\A[^\n]*", 0), r"(\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|\s*//[^\n]*$", "$1")
+    body = _plain(F.when(many_lines != "", many_lines).otherwise(one_line))
+    header = F.regexp_extract(piece, HEADER, 0)
+    # A brace at a line's end inside the parameters leaves brackets open: take the whole piece then.
+    usable = (header != "") & (_occurrences(header, "(") == _occurrences(header, ")"))
+    source = let(header, lambda h: F.when(usable, h).otherwise(piece))
+    return let(_plain(source), lambda src: let(top_level_units(src, _tokens(src)), from_units))
+
+
+def _specs(piece: Column, line: Column) -> Column:
+    """array<DECLARED> of one type, const or var declaration, single or grouped."""
+    keyword = F.regexp_extract(piece, r"^(type|const|var)\b", 1)
+    prefix = F.regexp_extract(piece, r"^(?:type|const|var)\b\s*\(?", 0)
+
+    def from_prefix(start: Column) -> Column:
+        inner = _plain(F.substr(piece, F.length(start) + 1))
+        specs = let(inner, lambda src: let(top_level_units(src, _tokens(src)), split_units))
+        first_line = line + _line_breaks(start)
+        return let(specs, lambda found: let(
+            F.when(start.endswith("("), found).otherwise(F.slice(found, F.lit(1), F.lit(1))),
+            lambda kept: F.flatten(F.transform(kept, lambda spec: declared(spec, first_line))),
+        ))
+
+    def declared(spec: Column, first_line: Column) -> Column:
+        body = spec["text"]
+        after_name = F.regexp_replace(body, rf"(?s)^{NAME}(?:\[[^\]]*\](?=\s))?\s*=?\s*", "")
+        kind = let(
+            after_name,
+            lambda rest: F.when(rest.rlike(r"^struct\b"), "struct")
+            .when(rest.rlike(r"^interface\b"), "interface")
+            .when(rest.startswith("["), "array")
+            .when(rest.startswith("map["), "map")
+            .when(rest.rlike(r"^(?:<-\s*)?chan\b"), "chan")
+            .otherwise("alias"),
+        )
+        names = F.split(F.regexp_extract(body, rf"^({NAME}(?:\s*,\s*{NAME})*)", 1), r"\s*,\s*")
+        at = (first_line + spec["line"]).alias("line")
+        receiver = F.lit("").alias("receiver")
+        as_type = let(
+            F.struct(F.regexp_extract(body, rf"^({NAME})", 1).alias("name"), kind.alias("kind")),
+            lambda t: F.array(
+                F.struct(
+                    F.when(t["kind"].isin("struct", "interface"), t["kind"]).otherwise("type").alias("type"), t["name"].alias("name"), at,
+                    F.concat(F.lit("type "), t["name"], F.lit(" "), t["kind"]).alias("signature"), body.alias("body"), receiver,
+                )
+            ).cast(f"array<{DECLARED}>"),
+        )
+        as_values = F.transform(
+            names,
+            lambda name: F.struct(
+                keyword.alias("type"), name.alias("name"), at, F.lit("").alias("signature"), body.alias("body"), receiver
+            ),
+        ).cast(f"array<{DECLARED}>")
+        return F.when(keyword == "type", as_type).otherwise(as_values)
+
+    return let(prefix, from_prefix)
+
+
 def numbered_elements(elements: DataFrame) -> DataFrame:
     """Elements with element_id in the order (framework, file_path, line, name), written once.
 

@@ -138,8 +138,8 @@ SELECT project_id, 'main' AS ref, new_path AS file_path, file_no,
 
 ORACLES["webhook_route"] = """
 SELECT event_id,
-  CASE WHEN event_id % 50 <> 7 THEN user_id END AS project_id,
-  CASE WHEN event_id % 50 <> 7 THEN event_id END AS iid,
+  CASE WHEN event_id % 50 <> 7 THEN user_id ELSE -1 END AS project_id,
+  CASE WHEN event_id % 50 <> 7 THEN event_id ELSE -1 END AS iid,
   CASE WHEN event_id % 50 = 7 THEN '' WHEN event_type = 'view' THEN 'open' WHEN event_type = 'click' THEN 'update'
        WHEN event_type = 'signup' THEN 'reopen' ELSE 'close' END AS action,
   CASE WHEN event_id % 50 = 7 THEN 'malformed' WHEN event_type IN ('view', 'click', 'signup') THEN 'accepted' ELSE 'ignored' END AS status,
@@ -340,7 +340,7 @@ ORACLES["parse_responses"] = with_views(V_ALL_ISSUES, f"f AS (SELECT *, file_no
 SELECT f.file_no,
   CASE WHEN kind = 5 THEN 'no JSON found in response' WHEN kind = 4 OR (kind = 6 AND n_issues > 0) THEN 'invalid review JSON' ELSE '' END AS error,
   CASE WHEN kind IN (4, 5) OR (kind = 6 AND n_issues > 0) THEN NULL WHEN kind = 7 THEN '' ELSE summary END AS summary,
-  CASE WHEN kind IN (4, 5) OR (kind = 6 AND n_issues > 0) THEN NULL WHEN kind = 7 THEN 0 ELSE risk_score END AS risk_score,
+  CASE WHEN kind IN (4, 5) OR (kind = 6 AND n_issues > 0) THEN -1 WHEN kind = 7 THEN 0 ELSE risk_score END AS risk_score,
   CASE WHEN kind IN (4, 5) OR (kind = 6 AND n_issues > 0) THEN NULL WHEN kind = 7 THEN '' ELSE recommendation END AS recommendation,
   CASE WHEN kind IN (4, 5) OR (kind = 6 AND n_issues > 0) THEN NULL WHEN kind = 7 THEN ''
     ELSE coalesce((SELECT string_agg({_ISSUE_TEXT}, '; ' ORDER BY issue_no) FROM all_issues i WHERE i.file_no = f.file_no), '') END AS issues
@@ -462,18 +462,18 @@ SELECT review_id % 100 AS project_id, review_id AS iid, file_no, CAST(issue_no A
   CASE WHEN known THEN '' ELSE '**' || file_path || ':' || {num('line')} || '**' || {NL} || {NL} END || {_comment} AS body,
   CASE WHEN known THEN 'b' || {num('review_id')} END AS base_sha, CASE WHEN known THEN 's' || {num('review_id')} END AS start_sha,
   CASE WHEN known THEN 'h' || {num('review_id')} END AS head_sha, CASE WHEN known THEN 'text' END AS position_type,
-  CASE WHEN known THEN file_path END AS new_path, CASE WHEN known THEN line END AS new_line
+  CASE WHEN known THEN file_path END AS new_path, CASE WHEN known THEN line ELSE -1 END AS new_line
 FROM (SELECT i.*, c_custkey IS NOT NULL AND c_custkey % 3 <> 0 AS known FROM v_issues i LEFT JOIN customer ON review_id = c_custkey) WHERE line > 0""")
 
 _canned = """CASE WHEN file_no % 7 = 0 THEN 'service unavailable' WHEN file_no % 5 = 0 THEN 'no JSON found in response' ELSE '' END"""
 ORACLES["file_reviews"] = f"""
 SELECT review_id, file_no, error, CASE WHEN error = '' THEN 'file ' || CAST(file_no AS VARCHAR) END AS summary,
-  CASE WHEN error = '' THEN file_no % 10 END AS risk_score, CASE WHEN error = '' THEN file_no % 2 END AS n_issues
+  CASE WHEN error = '' THEN file_no % 10 ELSE -1 END AS risk_score, CASE WHEN error = '' THEN file_no % 2 ELSE -1 END AS n_issues
 FROM (SELECT o_custkey AS review_id, o_orderkey AS file_no, {_canned.replace('file_no', 'o_orderkey')} AS error FROM orders)"""
 ORACLES["routed_reviews"] = f"""
 SELECT review_id, file_no, error,
   CASE WHEN error <> '' THEN NULL WHEN stuck THEN 'Review completed after maximum steps.' ELSE 'file ' || CAST(file_no AS VARCHAR) END AS summary,
-  CASE WHEN error <> '' THEN NULL WHEN stuck THEN 0 ELSE file_no % 10 END AS risk_score,
+  CASE WHEN error <> '' THEN -1 WHEN stuck THEN 0 ELSE file_no % 10 END AS risk_score,
   CASE WHEN error <> '' THEN NULL WHEN stuck THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS recommendation
 FROM (SELECT review_id, file_no, agent AND file_no % 13 = 0 AS stuck,
     CASE WHEN agent THEN CASE WHEN file_no % 11 = 0 THEN 'step 1: service unavailable' ELSE '' END ELSE {_canned} END AS error

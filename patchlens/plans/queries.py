@@ -129,7 +129,8 @@ def file_contents(spark, sf):
 
 @query
 def webhook_route(spark, sf):
-    return webhooks.route_events(views.view(spark, sf, views.WEBHOOKS, "events")).drop("value")
+    routed = webhooks.route_events(views.view(spark, sf, views.WEBHOOKS, "events")).drop("value")
+    return routed.withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("project_id", "iid")})
 
 
 @query
@@ -324,7 +325,7 @@ def _issue_text(i):
 def parse_responses(spark, sf):
     rows = answers.parse_responses(views.view(spark, sf, views.RESPONSES, "orders"))
     return rows.select(
-        "file_no", "error", c("result.summary").alias("summary"), c("result.risk_score").alias("risk_score"),
+        "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score"),
         c("result.recommendation").alias("recommendation"),
         F.array_join(F.transform("result.issues", _issue_text), "; ").alias("issues"),
     )
@@ -420,7 +421,8 @@ def line_comments(spark, sf):
     rows = comments.line_comments(results, versions)
     return rows.select(
         "project_id", "iid", "file_no", c("issue_no").cast("bigint").alias("issue_no"), "kind", "body",
-        "position.base_sha", "position.start_sha", "position.head_sha", "position.position_type", "position.new_path", "position.new_line",
+        "position.base_sha", "position.start_sha", "position.head_sha", "position.position_type", "position.new_path",
+        F.coalesce("position.new_line", F.lit(-1)).alias("new_line"),
     )
 
 
@@ -429,8 +431,8 @@ def file_reviews(spark, sf):
     """Prompt, completion, decoding for every file, with canned answers."""
     rows = review.review_files(_inputs(spark, sf), canned.canned_reviews, attempts=1)
     return rows.select(
-        "review_id", "file_no", "error", c("result.summary").alias("summary"), c("result.risk_score").alias("risk_score"),
-        F.size("result.issues").cast("bigint").alias("n_issues"),
+        "review_id", "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score"),
+        F.coalesce(F.size("result.issues"), F.lit(-1)).cast("bigint").alias("n_issues"),
     )
 
 
@@ -442,6 +444,6 @@ def routed_reviews(spark, sf):
         _inputs(spark, sf).withColumn("use_agent", c("file_no") % 3 == 0), canned.canned_any, elements, index.build_index(elements), attempts=1
     )
     return rows.select(
-        "review_id", "file_no", "error", c("result.summary").alias("summary"), c("result.risk_score").alias("risk_score"),
+        "review_id", "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score"),
         c("result.recommendation").alias("recommendation"),
     )

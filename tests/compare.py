@@ -33,8 +33,20 @@ def rows_of_duck(con, sql: str) -> tuple[list[str], list[tuple]]:
     return [names[i] for i in order], [tuple(r[i] for i in order) for r in result.fetchall()]
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    spark_types = dict(df.dtypes)
+    duck_types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{n}: {t} <> {duck_types.get(n)}" for n, t in spark_types.items() if t != duck_types.get(n)]
+
+
 def difference(df, con, sql: str) -> str:
     """'' when equal, else a short account."""
+    unlike = type_differences(df, con, sql)
+    if unlike:
+        return f"types {unlike}"
     names, got = rows_of_spark(df)
     want_names, want = rows_of_duck(con, sql)
     if names != want_names:
