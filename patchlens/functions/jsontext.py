@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patchlens.functions.text import text, trim_space
+from patchlens.functions.text import col, let, text, trim_space
 
 # Token and comment patterns of the answer format.
 JSON_TOKENS = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"?|[{}]|[^"{}]+'
@@ -28,29 +28,26 @@ def extract_json(c: Column | str, string_aware: bool = True) -> Column:
     Braces inside strings do not count when string_aware, and then text that never
     closes is returned to its end; otherwise they count and it gives ''.
     """
-    value = text(c)
-    start = F.instr(value, "{")
-    tail = F.when(start > 0, F.substr(value, start)).otherwise(F.lit(""))
-    tokens = F.regexp_extract_all(tail, F.lit(JSON_TOKENS if string_aware else BRACE_TOKENS), F.lit(0))
+    pattern = F.lit(JSON_TOKENS if string_aware else BRACE_TOKENS)
 
     def step(acc: Column, token: Column) -> Column:
         depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
         at = acc["at"] + F.length(token)
-        return (
-            F.when(acc["end"] > 0, acc)
-            .otherwise(
-                F.struct(
-                    depth.alias("depth"),
-                    at.alias("at"),
-                    F.when((token == "}") & (depth == 0), at).otherwise(F.lit(0)).alias("end"),
-                )
-            )
-        )
+        end = F.when((token == "}") & (depth == 0), at).otherwise(F.lit(0))
+        moved = F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+        return F.when(acc["end"] > 0, acc).otherwise(moved)
 
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-    end = F.aggregate(tokens, zero, step, lambda acc: acc["end"])
-    open_text = tail if string_aware else F.lit("")
-    return F.when(start == 0, F.lit("")).otherwise(F.transform(F.array(end), lambda e: F.when(e > 0, F.substr(tail, F.lit(1), e)).otherwise(open_text))[0])
+
+    def to_end(tail: Column) -> Column:
+        end = F.aggregate(F.regexp_extract_all(tail, pattern, F.lit(0)), zero, step, lambda acc: acc["end"])
+        unclosed = tail if string_aware else F.lit("")
+        return let(end, lambda e: F.when(e > 0, F.substr(tail, F.lit(1), e)).otherwise(unclosed))
+
+    def from_start(value: Column) -> Column:
+        return F.when(value.contains("{"), let(F.substr(value, F.instr(value, "{")), to_end)).otherwise("")
+
+    return let(text(c), from_start)
 
 
 def strip_json_comments(c: Column | str) -> Column:
@@ -112,16 +109,7 @@ def _issue(value: Column) -> Column:
     )
 
 
-def variant_issues(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$.issues", "array<variant>"), F.array().cast("array<variant>"))
-
-
-def is_typed_result(value: Column, issues: Column) -> Column:
-    """Whether a VARIANT has the field types of a review result.
-
-    One field of another type, at any depth but risk_score, fails the whole value;
-    missing fields and nulls do not.
-    """
+def _is_typed_result(value: Column, issues: Column) -> Column:
     issues_kind = _kind(_field(value, "issues"))
     return (
         value.isNotNull()
@@ -132,11 +120,26 @@ def is_typed_result(value: Column, issues: Column) -> Column:
     )
 
 
-def result_of(value: Column, issues: Column) -> Column:
-    """A VARIANT as a review result; missing fields become '', 0 and no issues."""
+def _result_of(value: Column, issues: Column) -> Column:
     return F.struct(
         F.transform(issues, _issue).alias("issues"),
         _string_field(value, "summary").alias("summary"),
         flex_int(_field(value, "risk_score")).alias("risk_score"),
         _string_field(value, "recommendation").alias("recommendation"),
     ).cast(RESULT_TYPE)
+
+
+def decode_result(json: Column | str) -> Column:
+    """A JSON object text as a review result; null when it is not one.
+
+    One field of another type, at any depth but risk_score, makes the whole text
+    invalid; missing fields and nulls become '', 0 and no issues. The parsed value
+    and its issues are bound, so that each text is parsed once.
+    """
+
+    def from_value(value: Column) -> Column:
+        none = F.array().cast("array<variant>")
+        issues = F.coalesce(F.try_variant_get(value, "$.issues", "array<variant>"), none)
+        return let(issues, lambda i: F.when(_is_typed_result(value, i), _result_of(value, i)))
+
+    return let(F.try_parse_json(col(json)), from_value)

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import prompts
-from patchlens.functions.jsontext import RESULT_TYPE, extract_json
-from patchlens.functions.text import text, trim_space
-from patchlens.operators.answers import decode_results
+from patchlens.functions.jsontext import RESULT_TYPE, decode_result, extract_json
+from patchlens.functions.text import let, text, trim_space
 from patchlens.operators.complete import CompleteFn, complete
 from patchlens.operators.index import KeywordIndex
 from patchlens.operators.search import TOOL_LIMIT, attach_context
@@ -33,13 +32,14 @@ def tool_calls(answers: DataFrame, response: str = "response") -> DataFrame:
     The call is the first JSON object of the answer, braces in strings counted; it
     needs a non-empty `tool`. `args` is its arguments as JSON text.
     """
-    found = answers.withColumn("_call", F.try_parse_json(extract_json(trim_space(response), string_aware=False)))
-    tool = F.when(
-        F.schema_of_variant(F.try_variant_get("_call", "$.tool", "variant")) == "STRING", F.try_variant_get("_call", "$.tool", "string")
-    )
-    named = found.withColumn("tool", F.nullif(tool, F.lit("")))
-    args = F.to_json(F.try_variant_get("_call", "$.args", "variant"))
-    return named.withColumn("args", F.when(F.col("tool").isNotNull(), args)).drop("_call")
+    def call(value: Column) -> Column:
+        tool = F.try_variant_get(value, "$.tool", "variant")
+        name = F.when(F.schema_of_variant(tool) == "STRING", F.nullif(F.try_variant_get(tool, "$", "string"), F.lit("")))
+        args = F.to_json(F.try_variant_get(value, "$.args", "variant"))
+        return F.struct(name.alias("tool"), F.when(name.isNotNull(), args).alias("args"))
+
+    found = let(F.try_parse_json(extract_json(trim_space(response), string_aware=False)), call)
+    return answers.withColumn("_call", found).withColumns({"tool": F.col("_call.tool"), "args": F.col("_call.args")}).drop("_call")
 
 
 def _argument(name: str) -> Column:
@@ -101,12 +101,12 @@ def agent_review(inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame
 
         # Written as well, else every branch below would cut and parse the answers again.
         calls = materialize(tool_calls(answered.where(text("error") == "")), f"agent-{step}-calls")
-        final = decode_results(calls.where(c("tool") == "final_review"), "args", "result", "valid")
-        finished.append(final.withColumn("result", F.coalesce(c("result"), _out_of_steps())).select(*columns))
+        final = calls.where(c("tool") == "final_review")
+        finished.append(final.withColumn("result", F.coalesce(decode_result("args"), _out_of_steps())).select(*columns))
 
-        silent = calls.where(c("tool").isNull()).withColumn("_json", extract_json("response", string_aware=False))
-        spoken = decode_results(silent, "_json", "result", "valid")
-        is_review = F.coalesce(c("valid") & ((text("result.summary") != "") | (F.size("result.issues") > 0)), F.lit(False))
+        silent = calls.where(c("tool").isNull())
+        spoken = silent.withColumn("result", decode_result(extract_json("response", string_aware=False)))
+        is_review = (text("result.summary") != "") | F.coalesce(F.size("result.issues") > 0, F.lit(False))
         finished.append(spoken.where(is_review).select(*columns))
 
         keep = state.columns

@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions.jsontext import (
-    extract_json,
-    is_typed_result,
-    result_of,
-    strip_json_comments,
-    variant_issues,
-)
-from patchlens.functions.text import trim_space
+from patchlens.functions.jsontext import RESULT_TYPE, decode_result, extract_json, strip_json_comments
+from patchlens.functions.text import let, text, trim_space
 
 NO_JSON = "no JSON found in response"
 BAD_JSON = "invalid review JSON"
 
 
-def decode_results(df: DataFrame, json_column: str, result: str = "result", valid: str = "valid") -> DataFrame:
-    """Add `result` (null when invalid) and `valid` for a column of JSON object texts.
-
-    The parsed value and its issues are columns of their own so that each answer
-    is parsed once.
-    """
-    parsed = df.withColumn("_value", F.try_parse_json(json_column)).withColumn("_issues", variant_issues(F.col("_value")))
-    checked = parsed.withColumn(valid, F.coalesce(is_typed_result(F.col("_value"), F.col("_issues")), F.lit(False)))
-    decoded = F.when(F.col(valid), result_of(F.col("_value"), F.col("_issues")))
-    return checked.withColumn(result, decoded).drop("_value", "_issues")
-
-
 def parse_responses(responses: DataFrame, response: str = "response") -> DataFrame:
     """Add (result, error) to rows with an answer text; a row never fails the job.
 
     A row that brings an error of its own (a failed completion) keeps it.
     """
-    brought = F.coalesce(F.col("error"), F.lit("")) if "error" in responses.columns else F.lit("")
-    found = responses.withColumn("_json", extract_json(trim_space(response)))
-    decoded = decode_results(found.withColumn("_clean", strip_json_comments("_json")), "_clean", "_result", "_valid")
-    error = (
-        F.when(brought != "", brought)
-        .when(F.col("_json") == "", NO_JSON)
-        .when(~F.col("_valid"), BAD_JSON)
-        .otherwise("")
-    )
-    return (
-        decoded.withColumn("error", error)
-        .withColumn("result", F.when(F.col("error") == "", F.col("_result")))
-        .drop("_json", "_clean", "_result", "_valid")
-    )
+    none = F.lit(None).cast(RESULT_TYPE)
+
+    def outcome(result: Column, error: Column) -> Column:
+        return F.struct(result.alias("result"), error.alias("error"))
+
+    def from_json_text(found: Column) -> Column:
+        decoded = let(
+            decode_result(strip_json_comments(found)), lambda r: outcome(r, F.when(r.isNull(), BAD_JSON).otherwise(""))
+        )
+        return F.when(found == "", outcome(none, F.lit(NO_JSON))).otherwise(decoded)
+
+    answer = let(extract_json(trim_space(response)), from_json_text)
+    if "error" in responses.columns:
+        answer = F.when(text("error") != "", outcome(none, F.col("error"))).otherwise(answer)
+    parsed = responses.withColumn("_answer", answer)
+    return parsed.withColumns({"result": F.col("_answer.result"), "error": F.col("_answer.error")}).drop("_answer")

@@ -10,12 +10,10 @@ start in column 0. Files that do not fit go to quarantine, not into the index.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions.text import is_indexed_source, text
+from patchlens.functions.text import is_indexed_source, let, text
 from patchlens.session import materialize
 
 # Lexical forms of the language.
@@ -167,11 +165,6 @@ def _entries(group: Column) -> Column:
 NAMED_ENTRY = rf"^(?!(?:chan|func|map|struct|interface)\b){NAME}\s+\S"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a value inside an expression, so that it is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _occurrences(value: Column, ch: str) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit(ch), F.lit("")))
 
