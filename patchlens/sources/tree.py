@@ -16,11 +16,8 @@ def read_tree(spark: SparkSession, root: str, framework: str, glob: str = "*.go"
     The listing leaves out names that start with '_' or '.', as Spark always does.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", True)
-        .text(root)
+        spark.read.option("ignoreCorruptFiles", True)
+        .text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     )
     base = urlparse(root).path.rstrip("/") + "/"
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
