@@ -70,9 +70,13 @@ def load_index(spark: SparkSession, path: str, name: str | None = None) -> Keywo
     return KeywordIndex(stored, vocabulary(stored))
 
 
-def import_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Elements out of nested framework documents (JSON), without element_id."""
-    documents = spark.read.schema(DOCUMENT_TYPE).json(path, multiLine=True)
+def import_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Elements out of nested framework documents, without element_id.
+
+    By default each file is one (indented) document; with `lines` each line is one,
+    as export_documents writes them.
+    """
+    documents = spark.read.schema(DOCUMENT_TYPE).json(path, multiLine=not lines)
     return documents.select(F.col("name").alias("framework"), F.explode("elements").alias("e")).select("framework", "e.*")
 
 
