@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import render
+from patchlens.operators.joins import spread_join
 
 POSITION_TYPE = "text"  # fixed value
-SPREAD = 16
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -16,17 +16,6 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return versions.where(F.size("versions") > 0).select("project_id", "iid", F.get("versions", F.lit(0)).alias("version"))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
-    """Left join to a side with one row per key, with hot keys of the left side split.
-
-    The right side's single rows are repeated per salt, which is cheap; the left
-    side's rows of one key go to `SPREAD` tasks.
-    """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
-
-
 def line_comments(results: DataFrame, versions: DataFrame) -> DataFrame:
     """One comment per issue with a line number.
 
@@ -41,7 +30,7 @@ def line_comments(results: DataFrame, versions: DataFrame) -> DataFrame:
         .select("project_id", "iid", "file_no", "file_path", F.posexplode("result.issues").alias("issue_no", "issue"))
         .where("issue.line > 0")
     )
-    placed = salted_left_join(issues, latest_versions(versions), ["project_id", "iid"], ["file_no", "issue_no"])
+    placed = spread_join(issues, latest_versions(versions), ["project_id", "iid"], ["file_no", "issue_no"], "left")
     known = c("version").isNotNull()
     comment = render.inline_comment(c("issue"))
     position = F.struct(

@@ -42,7 +42,11 @@ def running_total(rows: DataFrame, by: list[str], position: str, size: Column, n
 
 
 def assemble_notes(heads: DataFrame, sections: DataFrame, foot: str, note_chars: int = NOTE_CHARS) -> DataFrame:
-    """(review_id, note_no, body) from heads(review_id, head) and sections(review_id, file_no, section)."""
+    """(review_id, note_no, body) from heads(review_id, head, shown) and sections(review_id, file_no, section).
+
+    `shown` tells whether a review's sections belong into its notes at all.
+    """
+    c = F.col
     placed = running_total(sections, ["review_id"], "file_no", F.length("section"), "before")
     placed = placed.withColumn("note_no", F.expr(f"before div {note_chars}"))
     texts = (
@@ -50,12 +54,12 @@ def assemble_notes(heads: DataFrame, sections: DataFrame, foot: str, note_chars:
         .agg(F.sort_array(F.collect_list(F.struct("file_no", "section"))).alias("parts"))
         .select("review_id", "note_no", F.array_join(F.transform("parts", lambda p: p["section"]), "").alias("text"))
     )
-    first = heads.select("review_id", F.lit(0).cast("bigint").alias("note_no"), "head")
-    joined = first.join(texts, ["review_id", "note_no"], "full")
-    empty = F.lit("")
-    return joined.select(
-        "review_id", "note_no",
-        F.concat(F.coalesce("head", empty), F.coalesce("text", empty), F.lit(foot)).alias("body"),
+    # The first section of a review is always in note 0, so every head meets a row or none.
+    joined = heads.join(texts, "review_id", "left").withColumn("note_no", F.coalesce("note_no", F.lit(0).cast("bigint")))
+    head = F.when(c("note_no") == 0, c("head")).otherwise("")
+    body = F.when(c("shown"), F.coalesce("text", F.lit(""))).otherwise("")
+    return joined.where(c("shown") | (c("note_no") == 0)).select(
+        "review_id", "note_no", F.concat(head, body, F.lit(foot)).alias("body")
     )
 
 
@@ -72,12 +76,10 @@ def summary_notes(results: DataFrame, summary_only: bool = False, note_chars: in
     """The merge-request note: counts, severity table, categories, findings per file."""
     stats = review_stats(results)
     shown = F.lit(not summary_only) & (F.col("total_issues") > 0)
-    heads = stats.select(
-        "review_id", F.concat(render.note_head(_columns()), F.when(shown, render.NOTE_FINDINGS_TITLE).otherwise("")).alias("head")
-    )
-    sections = _sections(results, render.note_section(F.col("file_path"), F.col("result.issues")))
+    head = F.concat(render.note_head(_columns()), F.when(shown, render.NOTE_FINDINGS_TITLE).otherwise(""))
+    heads = stats.select("review_id", head.alias("head"), shown.alias("shown"))
     # A file that has both an error and issues is not counted, and shows only if others are.
-    sections = sections.where(F.lit(not summary_only)).join(stats.where("total_issues > 0").select("review_id"), "review_id", "left_semi")
+    sections = _sections(results, render.note_section(F.col("file_path"), F.col("result.issues"))).where(F.lit(not summary_only))
     return assemble_notes(heads, sections, render.NOTE_FOOT, note_chars)
 
 
@@ -85,7 +87,7 @@ def flow_notes(results: DataFrame, note_chars: int = NOTE_CHARS) -> DataFrame:
     """The note of a review job: other layout, exact severity names, all files counted."""
     stats = review_stats(results, any_case=False, layout="flow")
     title = F.when(F.col("total_issues") > 0, render.FLOW_FINDINGS_TITLE).otherwise("")
-    heads = stats.select("review_id", F.concat(render.flow_note_head(_columns()), title).alias("head"))
+    heads = stats.select("review_id", F.concat(render.flow_note_head(_columns()), title).alias("head"), F.lit(True).alias("shown"))
     sections = _sections(results, render.flow_note_section(F.col("file_path"), F.col("result.issues")))
     return assemble_notes(heads, sections, render.FLOW_NOTE_FOOT, note_chars)
 
@@ -103,6 +105,6 @@ def review_reports(results: DataFrame, note_chars: int = NOTE_CHARS) -> DataFram
     merged = aggregate_results(results)
     title = F.when(c("total_issues") > 0, "\nIssues:\n").otherwise("")
     head = render.review_report_head(c("files_reviewed"), c("total_issues"), c("recommendation"), c("risk_score"))
-    heads = merged.select("review_id", F.concat(head, title).alias("head"))
+    heads = merged.select("review_id", F.concat(head, title).alias("head"), F.lit(True).alias("shown"))
     lines = F.array_join(F.transform("result.issues", render.review_issue_line), "")
     return assemble_notes(heads, _sections(results, lines), "", note_chars)

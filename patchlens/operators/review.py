@@ -11,6 +11,7 @@ from patchlens.operators.agent import agent_review
 from patchlens.operators.answers import parse_responses
 from patchlens.operators.complete import CompleteFn, complete
 from patchlens.operators.index import KeywordIndex
+from patchlens.operators.joins import spread_join
 from patchlens.operators.search import attach_context
 from patchlens.session import materialize
 
@@ -68,8 +69,8 @@ def review_files_with_framework(
 
 def known_framework(inputs: DataFrame, elements: DataFrame, on_missing: str = "skip") -> DataFrame:
     """Blank the framework of rows whose framework is not indexed, or fail on the first one."""
-    names = elements.select(F.col("framework").alias("_known")).distinct()
-    joined = inputs.join(names, F.col("framework") == F.col("_known"), "left")
+    names = elements.select("framework", F.col("framework").alias("_known")).distinct()
+    joined = spread_join(inputs, names, ["framework"], ["review_id", "file_no"], "left")
     if on_missing == "error":
         missing = joined.where((text("framework") != "") & F.col("_known").isNull()).select("framework").first()
         if missing:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import text
+from patchlens.operators.joins import spread_join
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]  # fixed values, gravest first
 SEVERITY_RANKS = {s: rank for rank, s in enumerate(reversed(SEVERITIES), start=1)}
@@ -120,7 +121,7 @@ def aggregate_results(results: DataFrame, by: list[str] | None = None, nest_up_t
     if nest_up_to is None:
         return merged
     small = merged.where(F.col("total_issues") <= nest_up_to).select(*by)
-    rows = merged_issues(results, by).join(small, by, "left_semi")
+    rows = spread_join(merged_issues(results, by), small, by, ["file_no", "issue_no"], "left_semi")
     item = F.struct("file_no", "issue_no", F.struct("type", "severity", "line", "title", "description", "suggestion").alias("issue"))
     nested = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["issue"]).alias("issues"))
     none = F.when(F.col("total_issues") == 0, F.array().cast(nested.schema["issues"].dataType))

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
-from patchlens.operators.comments import salted_left_join
 from patchlens.operators.index import KEY_CHARS, KeywordIndex, token_key
+from patchlens.operators.joins import salt_of, salts, spread_join
 from patchlens.session import materialize
 
 # Scores and default result sizes.
@@ -77,10 +77,6 @@ def _spread(size: Column) -> Column:
     return F.when(size <= 1, 64).when(size == 2, 16).when(size == 3, 4).otherwise(1)
 
 
-def _salts(n: Column) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
-
-
 def containing_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
     """(hay, needle): keys of all pairs whose hay text contains the needle text.
 
@@ -91,13 +87,11 @@ def containing_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
     c = F.col
     short_hays = _substrings(hays.where(F.length("text") <= SEGMENT_CHARS).select(c("key").alias("hay"), c("text").alias("piece")))
     long_hays = _substrings(_segments(hays.where(F.length("text") > SEGMENT_CHARS))).distinct()
-    parts = short_hays.unionByName(long_hays).withColumn(
-        "salt", F.pmod(F.xxhash64("hay"), _spread(F.length("part")))
-    )
+    parts = short_hays.unionByName(long_hays).withColumn("salt", salt_of(["hay"], _spread(F.length("part"))))
     short_needles = needles.where(F.length("text") <= KEY_CHARS).select(
         c("key").alias("needle"),
         c("text").alias("part"),
-        F.explode(_salts(_spread(F.length("text")))).alias("salt"),
+        F.explode(salts(_spread(F.length("text")))).alias("salt"),
     )
     found = parts.join(short_needles, ["part", "salt"]).select("hay", "needle")
 
@@ -149,7 +143,7 @@ def matching_pairs(terms: DataFrame, words: DataFrame) -> DataFrame:
 def scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """(query_id, framework, element_id, label, score) of every element with a matching word.
 
-    Each step reads its own columns of the stored index. The asked words and the pairs are written to the
+    Each step reads its own columns of the stored index. The asked words and their hits are written to the
     shared folder when this is called, because several steps read them. Elements
     matched by empty words only are not part of the result; `empty_word_leaders`
     gives those that can win.
@@ -163,34 +157,34 @@ def scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
         "words",
     )
     asked_words = asked.select(c("word_key").alias("key"), c("word").alias("text")).distinct()
-    pairs = materialize(matching_pairs(index.vocabulary, asked_words), "pairs")
+    pairs = matching_pairs(index.vocabulary, asked_words)
 
     # One word of one framework is a number from here on: the large steps below
     # sort and hash integers only.
     blocks = index.postings.select("framework", "term_key", "chunk").distinct()
-    hits = pairs.join(asked.select("framework", "word_key", "word_id"), "word_key").join(
-        blocks, ["framework", "term_key"]
+    spread = _spread(F.length("term_key"))
+    asked_pairs = spread_join(pairs, asked.select("framework", "word_key", "word_id", "slots"), ["word_key"], ["term_key"])
+    hits = materialize(
+        asked_pairs.withColumn("salt", salt_of(["word_id"], spread))
+        .join(blocks.withColumn("salt", F.explode(salts(spread))), ["framework", "term_key", "salt"])
+        .select("framework", "term_key", "salt", "chunk", "word_id", "slots", "weight"),
+        "hits",
     )
-    salted_hits = hits.withColumn("salt", F.pmod(F.xxhash64("word_id"), _spread(F.length("term_key"))))
     salted_postings = index.postings.select(
-        "framework", "term_key", "chunk", "element_id", "tf", F.explode(_salts(_spread(F.length("term_key")))).alias("salt")
+        "framework", "term_key", "chunk", "element_id", "tf", F.explode(salts(spread)).alias("salt")
     )
     word_scores = (
-        salted_hits.join(salted_postings, ["framework", "term_key", "chunk", "salt"])
-        .groupBy("word_id", "chunk", "element_id")
+        hits.join(salted_postings, ["framework", "term_key", "chunk", "salt"])
+        .groupBy("word_id", "slots", "chunk", "element_id")
         .agg(F.sum(c("weight") * c("tf")).alias("word_score"))
+        .withColumn("slot", F.explode(salts(c("slots"))))
     )
-    grid = (
-        words.join(asked.select("framework", "word_key", "word_id", "slots"), ["framework", "word_key"])
-        .join(hits.select("word_id", "chunk").distinct(), "word_id")
-        .withColumn("slot", F.pmod(F.xxhash64("query_id"), c("slots")))
-        .select("word_id", "chunk", "slot", "query_id", "framework", "qtf", "n_empty")
-    )
-    slotted_scores = word_scores.join(asked.select("word_id", "slots"), "word_id").withColumn(
-        "slot", F.explode(_salts(c("slots")))
+    word_blocks = asked.join(hits.select("word_id", "chunk").distinct(), "word_id").drop("word")
+    grid = spread_join(words, word_blocks, ["framework", "word_key"], ["query_id"]).select(
+        "word_id", "chunk", salt_of(["query_id"], c("slots")).alias("slot"), "query_id", "framework", "qtf", "n_empty"
     )
     query_scores = (
-        slotted_scores.join(grid, ["word_id", "chunk", "slot"])
+        word_scores.join(grid, ["word_id", "chunk", "slot"])
         .groupBy("query_id", "framework", "element_id", "n_empty")
         .agg(F.sum(c("qtf") * c("word_score")).alias("word_score"))
     )
@@ -216,11 +210,11 @@ def empty_word_leaders(index: KeywordIndex, queries: DataFrame, limit: int) -> D
     order = Window.partitionBy("framework").orderBy(c("total").desc(), "element_id")
     leaders = best.withColumn("rank", F.row_number().over(order)).where(c("rank") <= limit).drop("rank")
     spread = 16
-    leaders = leaders.withColumn("salt", F.explode(_salts(F.lit(spread))))
+    leaders = leaders.withColumn("salt", F.explode(salts(F.lit(spread))))
     asking = (
         queries.select("query_id", "framework", F.size(F.filter(query_words("query"), lambda w: w == "")).alias("n_empty"))
         .where("n_empty > 0")
-        .withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(spread)))
+        .withColumn("salt", salt_of(["query_id"], F.lit(spread)))
     )
     return asking.join(leaders, ["framework", "salt"]).select(
         "query_id", "framework", "element_id", "label",
@@ -249,8 +243,15 @@ def search(index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT)
 
 
 def search_elements(elements: DataFrame, index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """`search` joined back to the element rows it found."""
-    return search(index, queries, limit).join(elements, ["framework", "element_id"])
+    """`search` joined back to the element rows it found.
+
+    The hits are written first and only the elements among them are read in full;
+    an element that very many queries find is spread over tasks.
+    """
+    found = materialize(search(index, queries, limit), "found")
+    keys = ["framework", "element_id"]
+    wanted = elements.join(found.select(*keys).distinct(), keys, "left_semi")
+    return spread_join(found, wanted, keys, ["query_id"])
 
 
 def attach_context(
@@ -282,6 +283,6 @@ def attach_context(
             ),
         ).alias("context"),
     )
-    joined = salted_left_join(asking.drop("_query"), context, ["query_id"], ["review_id", "file_no"])
+    joined = spread_join(asking.drop("_query"), context, ["query_id"], ["review_id", "file_no"], "left")
     empty = F.array().cast("array<struct<type:string,package:string,name:string,doc:string,body:string>>")
     return joined.withColumn("context", F.coalesce("context", empty)).drop("query_id")
