@@ -20,7 +20,9 @@ ELEMENTS_PER_DOCUMENT = 50_000
 
 
 def _overwrite(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("framework").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    # Rebalancing by the partition column writes a few full files per framework, and
+    # still splits a framework that is too large for one task.
+    df.hint("rebalance", "framework").write.partitionBy("framework").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def save_frameworks(elements: DataFrame, path: str, repo_url: Column | None = None, local_path: Column | None = None) -> None:
