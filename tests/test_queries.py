@@ -1,9 +1,11 @@
-"""Every registered query against its SQL check on the driver's tables."""
+"""Every registered query of the library's own operators against its SQL check on the driver's tables."""
 
 import pytest
 from compare import difference, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from patchlens.plans.oracles import ORACLES
+from patchlens.plans.queries import QUERIES
 
 SLOW = {"routed_reviews"}
 
@@ -14,12 +16,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries(), key=lambda n: (n in SLOW, n)))
+@pytest.mark.parametrize("name", sorted(QUERIES, key=lambda n: (n in SLOW, n)))
 def test_query(spark, sf_dir, con, name):
-    assert difference(queries()[name](spark, sf_dir), con, oracle_sql()[name]) == ""
+    assert difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == ""
 
 
 def test_entry(spark):
