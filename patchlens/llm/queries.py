@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import token_counts
+from patchlens.llm import byte_bpe, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def query(fn: Query) -> Query:
@@ -35,3 +36,16 @@ def op1_token_counts(spark, sf):
         token_counts.tokens_in(steps).alias("n_tokens"),
         token_counts.fitting_prefix(steps, 2048).alias("fitting_chars"),
     ).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op3_byte_bpe(spark, sf):
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    ids = byte_bpe.with_ids(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    decoded = byte_bpe.with_decoded(ids, ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded.bytes", 256).alias("decoded_sha256"),
+    )
