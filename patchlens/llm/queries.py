@@ -1,12 +1,14 @@
 """One registered query per operator, each over its whole table, with SQL checks where SQL can say it."""
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, token_counts
+from patchlens.llm import byte_bpe, token_counts, warc
+from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +51,23 @@ def op3_byte_bpe(spark, sf):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded.bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_warc(spark, sf):
+    folder = f"{shared_dir(spark).rstrip('/')}/patchlens/warc-{uuid.uuid4().hex}"
+    materialize(warc.write_archives(table(spark, sf, "pages"), folder), "archives")
+    records = warc.read_archives(spark, folder).where("not gap")
+    return records.select(
+        F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to")
+    )
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f"""
