@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, token_counts, warc
+from patchlens.llm import byte_bpe, merkle, token_counts, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,12 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
 FROM f"""
+
+
+@query
+def op7_merkle(spark, sf):
+    found = merkle.compare_with_edits(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.col("section").alias("edit_section"), F.col("paragraph").alias("edit_paragraph"),
+    )
