@@ -11,6 +11,7 @@ tokens inside a text are ordinary text; null ids decode to null, unknown ids rai
 give equal results; other columns, whatever their names, are kept.
 """
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,27 +19,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000  # words whose tokens, and states, a worker remembers
+CACHE = 400_000  # words whose tokens, and states, a worker remembers
+START = -1
 
 
 class Transducer:
     """Tokens of one word after another."""
 
     def __init__(self, path: str):
-        from patchlens.llm.merges import START, rank_merges
+        from patchlens.llm.merges import rank_merges
 
         self.merges = rank_merges(path)
-        self.first = ((START,), b"")
+        self.first = (START, (((), 0),))
         self.reset()
 
     def reset(self):
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next: list[dict[int, tuple[int, tuple]]] = []
-        self.start = self.number((self.first,))
+        self.start = self.number(self.first)
 
     def number(self, state: tuple) -> int:
-        """state: (tokens so far from the last one agreed on, bytes since) for each open start, longest bytes first."""
+        """state: (last token emitted, for each open start the tokens since and the node of the bytes since, longest bytes first)."""
         found = self.numbers.get(state)
         if found is None:
             found = self.numbers[state] = len(self.states)
@@ -48,28 +50,39 @@ class Transducer:
 
     def follow(self, number: int, byte: int) -> tuple[int, tuple]:
         """(next state, tokens emitted)."""
-        m, added, open_starts, ended = self.merges, bytes((byte,)), [], None
-        for chain, since in self.states[number]:
-            piece = since + added
+        m, opens, ended = self.merges, [], None
+        step, token_at, going_on, seen = m.trie.at.get, m.trie.first, m.trie.inner_nodes, m.seen.get
+        context, before = self.states[number]
+        for pending, node in before:
+            node = step(node << 8 | byte)
+            if node is None:
+                continue
             if ended is None:
-                token = m.tokens.get(piece)
-                if token is not None and m.together(chain[-1], token):
-                    ended = (*chain, token)
-            if piece in m.starts:
-                open_starts.append((chain, piece))
-        open_starts.append((ended, b""))
-        agreed = min(len(chain) for chain, _ in open_starts)
-        shared = 0
-        while shared < agreed and all(chain[shared] == ended[shared] for chain, _ in open_starts):
-            shared += 1
-        emitted = ended[1:shared]
-        if shared > 1:
-            open_starts = [(chain[shared - 1 :], piece) for chain, piece in open_starts]
-        step = self.next[number][byte] = (self.number(tuple(open_starts)), emitted)
-        return step
+                token = token_at[node]
+                if token is not None:
+                    last = pending[-1] if pending else context
+                    fits = last == START or seen(last << 20 | token)
+                    if m.together(last, token) if fits is None else fits:
+                        ended = (*pending, token)
+            if node in going_on:
+                opens.append((pending, node))
+        opens.append((ended, 0))
+        emitted = ()
+        if opens[0][0]:  # else nothing is agreed on yet
+            low, high = min(opens)[0], max(opens)[0]
+            shared = 0
+            for x, y in zip(low, high):
+                if x != y:
+                    break
+                shared += 1
+            if shared:
+                emitted, context = low[:shared], low[shared - 1]
+                opens = [(pending[shared:], node) for pending, node in opens]
+        made = self.next[number][byte] = (self.number((context, tuple(opens))), emitted)
+        return made
 
     def tokens(self, word: bytes) -> list[int]:
-        if len(self.states) > CACHE:
+        if len(self.states) > CACHE // 2:
             self.reset()
         at, out, steps = self.start, [], self.next
         for byte in word:
@@ -77,7 +90,7 @@ class Transducer:
             at, emitted = step
             if emitted:
                 out += emitted
-        out += self.states[at][-1][0][1:]  # at the end only the start behind the last byte counts
+        out += self.states[at][1][-1][0]  # at the end only the start behind the last byte counts
         return out
 
 
@@ -85,27 +98,22 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.cut = regex.compile(pattern).findall
+        from patchlens.llm.merges import Recent, common_pattern
+
+        self.cut_any = regex.compile(pattern).findall
+        self.cut, self.rare = common_pattern(pattern)
         self.transducer = Transducer(path)
-        encoder = self
-
-        class Known(dict):
-            def __missing__(self, word):
-                raw = word.encode()
-                whole = encoder.transducer.merges.ids.get(raw)
-                # A listed word is one token even where no joins lead to it.
-                found = [whole] if whole is not None and not encoder.transducer.merges.reachable(whole) else encoder.transducer.tokens(raw)
-                if len(word) <= 64:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[word] = found
-                return found
-
-        self.known = Known()
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for found in map(self.known.__getitem__, self.cut(text)):
+        self.known = Recent(self.word, CACHE)
+
+    def word(self, word: str) -> array:
+        raw, merges = word.encode(), self.transducer.merges
+        whole = merges.ids.get(raw)
+        # A listed word is one token even where no joins lead to it.
+        return array("i", [whole] if whole is not None and not merges.reachable(whole) else self.transducer.tokens(raw))
+
+    def encode(self, text: str) -> array:
+        out = array("i")
+        for found in map(self.known.__getitem__, (self.cut_any if self.rare(text) else self.cut)(text)):
             out += found
         return out
 

@@ -7,6 +7,7 @@ of the pieces at the seam, without encoding anything.
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 START = -1  # stands for "nothing before"
@@ -22,7 +23,8 @@ class Merges:
         self.joined = joined  # (x, y) -> symbol
         self.base = base  # set of base symbols
         self._split: dict[int, tuple[int, int, int] | None] = {}
-        self._together: dict[tuple[int, int], bool] = {}
+        self.seen: dict[int, bool] = {}  # answers of together, by both symbols
+        self._seams: tuple[dict, dict] = ({}, {})
 
     def reduce(self, symbols) -> list[int]:
         """The definition: join the pair of lowest rank, leftmost first, while there is one."""
@@ -62,25 +64,29 @@ class Merges:
 
     def _seam(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """Pieces that stand at one end of the token while it is built: (symbol, born, gone)."""
-        seam, gone = [], NEVER
-        while True:
-            made = self.split(token) if token not in self.base else None
-            born = made[2] if made else -1
-            seam.append((token, born, gone))
-            if not made:
-                return seam
-            token, gone = made[side], born
+        known = self._seams[side].get(token)
+        if known is None:
+            known, at, gone = [], token, NEVER
+            while True:
+                made = self.split(at) if at not in self.base else None
+                born = made[2] if made else -1
+                known.append((at, born, gone))
+                if not made:
+                    break
+                at, gone = made[side], born
+            self._seams[side][token] = known
+        return known
 
     def together(self, x: int, y: int) -> bool:
         """Whether the encoding of text(x) + text(y) is [x, y]."""
         if x == START:
             return True
-        key = (x, y)
-        known = self._together.get(key)
+        key = x << 20 | y
+        known = self.seen.get(key)
         if known is None:
-            if len(self._together) > 1_000_000:
-                self._together.clear()
-            known = self._together[key] = self._stay_apart(x, y)
+            if len(self.seen) > 600_000:
+                self.seen.clear()
+            known = self.seen[key] = self._stay_apart(x, y)
         return known
 
     def _stay_apart(self, x: int, y: int) -> bool:
@@ -102,6 +108,71 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def common_pattern(pattern: str):
+    """(findall, is_rare): the pattern for texts of common characters, and a test for any others.
+
+    `regex` knows character classes that `re` lacks; written out for the characters below
+    U+0300 and common punctuation, they let the faster of the two do most texts.
+    """
+    import regex
+
+    common = [*map(chr, range(0x300)), *map(chr, range(0x2010, 0x2028)), *map(chr, range(0x2030, 0x2045)), "\u20ac"]
+    common = [ch for ch in common if ch not in "\x1c\x1d\x1e\x1f\u0130"]  # blanks only to `re`; two letters in lower case
+
+    def listed(chars: list[str]) -> str:
+        return "".join(map(re.escape, chars))
+
+    written = pattern
+    for name in (r"\p{L}", r"\p{N}"):
+        members = listed([ch for ch in common if regex.match(name, ch)])
+        written = re.sub(rf"\[{re.escape(name)}\]", lambda _: f"[{members}]", written)
+        inside = re.compile(rf"(\[[^\[\]]*){re.escape(name)}")
+        while inside.search(written):
+            written = inside.sub(lambda m: m.group(1) + members, written, count=1)
+        written = written.replace(name, f"[{members}]")
+    return re.compile(written).findall, re.compile(f"[^{listed(common)}]").search
+
+
+class Trie:
+    """Byte strings with up to two values each. The child of a node is at[node << 8 | byte], the root 0."""
+
+    def __init__(self, first: dict[bytes, int], second: dict[bytes, int]):
+        self.at: dict[int, int] = {}
+        self.first: list[int | None] = [None]
+        self.second: list[int | None] = [None]
+        for values, listed in ((self.first, first), (self.second, second)):
+            for raw, value in listed.items():
+                node = 0
+                for byte in raw:
+                    key = node << 8 | byte
+                    node = self.at.get(key, 0)
+                    if not node:
+                        node = self.at[key] = len(self.first)
+                        self.first.append(None)
+                        self.second.append(None)
+                values[node] = value
+        self.inner_nodes = {key >> 8 for key in self.at}  # those with children
+
+
+class Recent(dict):
+    """Values of `make` for the keys used last: two generations, the older one dropped when the newer is full."""
+
+    def __init__(self, make, size: int, longest_key: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest_key, self.older = make, size // 2, longest_key, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest_key:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordMerges(Merges):
     """A vocabulary whose last symbol of a word is a symbol of its own.
 
@@ -141,10 +212,9 @@ class WordMerges(Merges):
         super().__init__(spelling, lambda x, y: ranks.get((x, y), (None,))[0], lambda x, y: ranks[x, y][1], base)
         self.inner = {raw: t for raw, t in inner.items() if self.reachable(t)}
         self.final = {raw: t for raw, t in final.items() if self.reachable(t)}
-        listed = self.inner.keys() | self.final.keys()
-        #: Every ending of a token, with the tokens spelled so inside a word and at its end.
-        self.ends = {raw[i:]: (self.inner.get(raw[i:]), self.final.get(raw[i:])) for raw in listed for i in range(len(raw))}
-        self.longest = max(map(len, listed))
+        #: Read backwards, from the end of a token.
+        self.endings = Trie({raw[::-1]: t for raw, t in self.inner.items()}, {raw[::-1]: t for raw, t in self.final.items()})
+        self.longest = max(map(len, self.inner.keys() | self.final.keys()))
 
 
 class RankMerges(Merges):
@@ -163,7 +233,7 @@ class RankMerges(Merges):
         base = {t for raw, t in ids.items() if len(raw) == 1}
         super().__init__(spelling, lambda x, y: ids.get(raw_of[x] + raw_of[y]), lambda x, y: ids[raw_of[x] + raw_of[y]], base)
         self.tokens = {raw: t for raw, t in ids.items() if self.reachable(t)}
-        self.starts = {raw[:i] for raw in self.tokens for i in range(1, len(raw))}
+        self.trie = Trie(self.tokens, {})
 
 
 @lru_cache(maxsize=2)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, merkle, token_counts, warc
+from patchlens.llm import byte_bpe, merkle, token_counts, toxicity, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,14 +30,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op1_token_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = token_counts.with_prefix_counts(docs, public_tokenizers.path(WORD_VOCABULARY))
-    steps = F.col("token_steps")
+    counted = token_counts.with_prefix_counts(docs, public_tokenizers.path(WORD_VOCABULARY), budget=2048)
     return counted.select(
         "doc_id",
         F.octet_length("text").cast("bigint").alias("n_bytes"),
-        token_counts.tokens_in(steps).alias("n_tokens"),
-        token_counts.fitting_prefix(steps, 2048).alias("fitting_chars"),
-    ).withColumn("over_limit", F.col("n_tokens") > 2048)
+        "tokens.n_tokens",
+        (F.col("tokens.n_tokens") > 2048).alias("over_limit"),
+        F.col("tokens.fitting").alias("fitting_chars"),
+    )
 
 
 @query
@@ -80,3 +80,13 @@ def op7_merkle(spark, sf):
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         F.col("section").alias("edit_section"), F.col("paragraph").alias("edit_paragraph"),
     )
+
+
+@query
+def op6_toxicity(spark, sf):
+    docs, out = table(spark, sf, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf, "labels"), keep=~toxicity.held_out(F.col("own")))
+    return toxicity.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size(F.filter("passages", lambda p: p["significance"] > 0)).alias("n_passages"),
+    )

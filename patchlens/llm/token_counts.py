@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000  # words whose prefixes a worker remembers
+CACHE = 300_000  # words whose prefixes a worker remembers
+HEAD = 5  # bytes whose part of the table words share
+START = -1
 
 # How the vocabulary's own library cuts a text into words.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,84 +37,69 @@ class PrefixCounter:
         import regex
         from tokenizers import Tokenizer, normalizers
 
-        from patchlens.llm.merges import word_merges
+        from patchlens.llm.merges import Recent, common_pattern, word_merges
 
         self.merges = word_merges(path)
         assert self.merges.longest < 127, "a difference of counts is stored in one signed byte"
         library = Tokenizer.from_file(path)
         self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cut = library.pre_tokenizer
-        self.pieces = regex.compile(r"\s+|" + PIECES)
-        self.words = regex.compile(PIECES)
-        self.steps: dict[str, bytes] = {}
-        self.prefixes: dict[bytes, tuple[int, int, int]] = {}
-        # Beyond these characters the library's own tables decide about case, composition and classes.
-        self.rare = re.compile("[\\u0130\\u0300-\\u200f\\u2028-\\u202f\\u2045-\\U0010ffff]")
+        self.cut_prefix = regex.compile(PIECES).findall
+        self.pieces, self.rare = common_pattern(r"\s+|" + PIECES)
         self.special = re.compile("|".join(map(re.escape, self.merges.special)) or r"(?!)")
-        counter = self
-
-        class Known(dict):
-            """Differences by stretch between single blanks."""
-
-            def __missing__(self, stretch):
-                found = b"".join(map(counter.differences, counter.pieces.findall(stretch)))
-                if len(stretch) <= 64:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[stretch] = found
-                return found
-
-        self.known = Known()
-
-    def prefix(self, raw: bytes) -> tuple[int, int, int]:
-        """(last token, tokens) of the encoding that goes on after raw, and the tokens of raw as a whole word."""
-        made = self.prefixes.get(raw)
-        if made is not None:
-            return made
-        ends, n, candidates = self.merges.ends, len(raw), []
-        for j in range(n - 1, -1, -1):
-            both = ends.get(raw[j:])
-            if both is None:
-                break
-            if both[0] is not None or both[1] is not None:
-                candidates.append((j, both))
-        last = count = whole = None
-        together = self.merges.together
-        for j, (inner, final) in reversed(candidates):
-            before, so_far, _ = self.prefix(raw[:j]) if j else (-1, 0, 0)
-            if last is None and inner is not None and together(before, inner):
-                last, count = inner, so_far + 1
-            if whole is None and final is not None and together(before, final):
-                whole = so_far + 1
-            if last is not None and whole is not None:
-                break
-        if len(self.prefixes) >= 2 * CACHE:
-            self.prefixes.clear()
-        found = self.prefixes[raw] = (last, count, whole)
-        return found
+        self.heads: dict[bytes, tuple[list, list, list]] = {}  # tables of the first HEAD bytes of words
+        self.words = Recent(self.differences, CACHE)
+        self.known = Recent(self.stretch, CACHE // 2)  # differences by stretch between single blanks
 
     def totals(self, word: str) -> list[int]:
         """Tokens of the first 1, 2, ... characters of one word."""
-        raw = word.encode()
-        filled = [self.prefix(raw[:i])[2] for i in range(1, len(raw) + 1)]  # shortest first: each builds on those before
-        return filled if len(raw) == len(word) else [c for i, c in enumerate(filled, 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        raw, m = word.encode(), self.merges
+        n, step = len(raw), m.endings.at.get
+        inner, final, seen, together = m.endings.first, m.endings.second, m.seen.get, m.together
+        head = raw[:HEAD]
+        # last, count: of the encodings that go on behind a prefix; ended: tokens of the prefix as a whole word.
+        last, count, ended = map(list.copy, self.heads.get(head, ([START], [0], [0])))
+        for i in range(len(last), n + 1):
+            node, j, candidates = 0, i, []
+            while j:
+                node = step(node << 8 | raw[j - 1])
+                if node is None:
+                    break
+                j -= 1
+                t, f = inner[node], final[node]
+                if t is not None or f is not None:
+                    candidates.append((j, t, f))
+            go_on = whole = None
+            for j, t, f in reversed(candidates):
+                before = last[j]
+                if t is not None and go_on is None:
+                    fits = seen(before << 20 | t) if j else True
+                    if together(before, t) if fits is None else fits:
+                        go_on, tokens = t, count[j] + 1
+                if f is not None and whole is None:
+                    fits = seen(before << 20 | f) if j else True
+                    if together(before, f) if fits is None else fits:
+                        whole = count[j] + 1
+            last.append(go_on)
+            count.append(tokens)
+            ended.append(whole)
+            if i == HEAD:
+                if len(self.heads) >= CACHE // 2:
+                    self.heads.clear()
+                self.heads[head] = (last.copy(), count.copy(), ended.copy())
+        if len(word) == n:
+            return ended[1:]
+        return [ended[i] for i in range(1, n + 1) if i == n or raw[i] & 0xC0 != 0x80]
+
+    def stretch(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.pieces(text)))
 
     def differences(self, piece: str) -> bytes:
         """The differences along one piece, the first against no tokens at all."""
-        found = self.steps.get(piece)
-        if found is None:
-            found = self.derive(piece)
-            if len(piece) <= 64:
-                if len(self.steps) >= CACHE:
-                    self.steps.clear()
-                self.steps[piece] = found
-        return found
-
-    def derive(self, piece: str) -> bytes:
         if piece.isspace():
             return bytes(len(piece))
         if CONTRACTION.match(piece):  # its prefixes are cut differently
-            totals = [sum(self.totals(w)[-1] for w in self.words.findall(piece[:k])) for k in range(1, len(piece))]
+            totals = [sum(self.totals(w)[-1] for w in self.cut_prefix(piece[:k])) for k in range(1, len(piece))]
             totals.append(self.totals(piece)[-1])
         else:
             totals = self.totals(piece)
@@ -120,12 +107,12 @@ class PrefixCounter:
 
     def plain(self, text: str) -> bytes:
         """The differences along a text without special strings."""
-        if not self.rare.search(text):
+        if not self.rare(text):
             return b"\0".join(map(self.known.__getitem__, text.lower().split(" ")))
         out, at = [], 0
         text = self.normalise.normalize_str(text)
         for _, (start, end) in self.cut.pre_tokenize_str(text):
-            out += [bytes(start - at), self.differences(text[start:end])]
+            out += [bytes(start - at), self.words[text[start:end]]]
             at = end
         return b"".join(out) + bytes(len(text) - at)
 
@@ -150,19 +137,31 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_differences(text: Column, vocabulary: str) -> Column:
-    """binary: one signed byte per character, the tokens each one adds to the prefix before it."""
+def prefix_counts(text: Column, vocabulary: str, budget: int) -> Column:
+    """struct<steps: binary, n_tokens: bigint, fitting: bigint>.
 
-    @F.arrow_udf("binary")
+    steps has one signed byte per character, the tokens it adds to the prefix before it;
+    fitting is the length of the longest prefix of at most `budget` tokens.
+    """
+
+    @F.arrow_udf("struct<steps: binary, n_tokens: bigint, fitting: bigint>")
     def along(texts: pa.Array) -> pa.Array:
-        from patchlens.llm.token_counts import prefix_counter
+        from patchlens.llm.token_counts import fitting, prefix_counter
 
         counter = prefix_counter(vocabulary)
-        return pa.array([counter.along(t) for t in texts.to_pylist()], pa.binary())
+        steps = [counter.along(t) for t in texts.to_pylist()]
+        totals = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in steps]
+        fits = [fitting(d, budget) if n > budget else len(d) for d, n in zip(steps, totals)]
+        return pa.StructArray.from_arrays([pa.array(steps, pa.binary()), pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["steps", "n_tokens", "fitting"])
 
     return along(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def fitting(steps: bytes, budget: int) -> int:
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
 def tokens_in(differences: Column, n_chars: Column | None = None) -> Column:
     """bigint: tokens of the prefix of n_chars characters (the whole text if not given)."""
 
@@ -178,15 +177,13 @@ def fitting_prefix(differences: Column, budget: int) -> Column:
 
     @F.arrow_udf("bigint")
     def fit(rows: pa.Array) -> pa.Array:
-        out = []
-        for d in rows.to_pylist():
-            fits = np.flatnonzero(np.cumsum(np.frombuffer(d, np.int8), dtype=np.int64) <= budget)
-            out.append(int(fits[-1]) + 1 if len(fits) else 0)
-        return pa.array(out, pa.int64())
+        from patchlens.llm.token_counts import fitting
+
+        return pa.array([fitting(d, budget) for d in rows.to_pylist()], pa.int64())
 
     return fit(differences)
 
 
-def with_prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "token_steps") -> DataFrame:
-    """docs and `out`, the differences of token counts along the text."""
-    return docs.withColumn(out, prefix_differences(F.col(text), vocabulary))
+def with_prefix_counts(docs: DataFrame, vocabulary: str, budget: int = 2048, text: str = "text", out: str = "tokens") -> DataFrame:
+    """docs and `out`, a struct of the steps along the text, the tokens of all of it and the characters that fit the budget."""
+    return docs.withColumn(out, prefix_counts(F.col(text), vocabulary, budget))
