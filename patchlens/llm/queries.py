@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, merkle, token_counts, toxicity, warc
+from patchlens.llm import byte_bpe, merkle, near_join, token_counts, toxicity, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op6_toxicity(spark, sf):
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         F.size(F.filter("passages", lambda p: p["significance"] > 0)).alias("n_passages"),
     )
+
+
+@query
+def op9_near_join(spark, sf):
+    return near_join.near_copies(table(spark, sf, "documents"))
