@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, class_ngrams, merkle, near_join, token_counts, toxicity, warc
+from patchlens.llm import byte_bpe, class_ngrams, hnsw, merkle, near_join, token_counts, toxicity, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op9_near_join(spark, sf):
 def op4_class_ngrams(spark, sf):
     scored = class_ngrams.score(table(spark, sf, "documents"), train=~class_ngrams.held_out(F.col("doc_id")))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op5_hnsw(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
