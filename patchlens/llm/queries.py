@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, class_ngrams, hnsw, merkle, near_join, token_counts, toxicity, warc
+from patchlens.llm import byte_bpe, class_ngrams, hnsw, merkle, mixing, near_join, token_counts, toxicity, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def op4_class_ngrams(spark, sf):
 def op5_hnsw(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op2_mixing(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"), share=0.5)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
