@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, class_ngrams, hnsw, merkle, mixing, near_join, token_counts, toxicity, warc
+from patchlens.llm import byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, token_counts, toxicity, warc
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def op5_hnsw(spark, sf):
 def op2_mixing(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"), share=0.5)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
+@query
+def op8_licences(spark, sf):
+    docs = table(spark, sf, "documents")
+    return licences.scan(docs, licences.fit(docs))

@@ -235,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, own: str = "doc_id", t
     return {"lexicon": lexicon, "decay": decay, "scale": scale, "curve": curve}
 
 
-def score(docs: DataFrame, model: dict, own: str = "doc_id", text: str = "text") -> DataFrame:
-    """(own, score, passages): passages are the segments with character span, score and significance."""
+def passages(text: Column, model: dict) -> Column:
+    """struct<score, passages>: passages are the segments with character span, score and significance."""
 
     @F.arrow_udf("struct<score: double, passages: array<struct<start: int, end: int, score: double, significance: double>>>")
     def scan(texts: pa.Array) -> pa.Array:
@@ -254,5 +254,9 @@ def score(docs: DataFrame, model: dict, own: str = "doc_id", text: str = "text")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("significance", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(passages, kind)], ["score", "passages"])
 
-    rows = docs.select(F.col(own).alias("own"), scan(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("found"))
-    return rows.select(F.col("own").alias(own), "found.score", "found.passages")
+    return scan(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, model: dict, own: str = "doc_id", text: str = "text") -> DataFrame:
+    """(own, score, passages) of every document."""
+    return docs.select(F.col(own), passages(F.col(text), model).alias("_found")).select(own, "_found.score", "_found.passages")
