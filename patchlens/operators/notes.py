@@ -1,66 +1,43 @@
-"""Notes of a review, assembled without gathering a whole review in one task.
+"""Notes of a review as rows, so that a review of any size is assembled without gathering it.
 
-A note is one text. Files are placed by a running total of their section lengths,
-and a review whose sections exceed the size of a note continues in further notes:
-the head is in note 0, every note ends with the foot, and the sections in order of
-note_no are the whole text. A review that fits has exactly one note.
+A note is rows of (review_id, part, file_no, body): one head (part 0), a section per file
+with findings (part 1) and one foot (part 2). Read in the order of part and file_no, the
+bodies are the text of the note; `whole_notes` joins them where a receiver takes one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import render
 from patchlens.operators.review_stats import STAT_NAMES, aggregate_results, review_stats
 
-NOTE_CHARS = 1_000_000
-BLOCK_POSITIONS = 4_096
+HEAD, SECTION, FOOT = 0, 1, 2
 
 
-def running_total(rows: DataFrame, by: list[str], position: str, size: Column, name: str) -> DataFrame:
-    """Add the sum of `size` over the earlier positions of the same key.
+def note_rows(heads: DataFrame, sections: DataFrame, foot: str) -> DataFrame:
+    """The rows of the notes of heads(review_id, head, shown) and sections(review_id, file_no, section).
 
-    In two levels: within blocks of positions, and over the blocks' sums. No window
-    ever holds more than one block of a key, or one row per block.
+    `shown` tells whether a review's sections belong into its note. Reviews that have
+    sections but do not show them are few, so only those are kept apart, by an anti-join.
     """
-    rows = rows.withColumn("_size", size.cast("bigint")).withColumn("_block", F.expr(f"{position} div {BLOCK_POSITIONS}"))
-    over_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy(*by, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    blocks = (
-        rows.groupBy(*by, "_block")
-        .agg(F.sum("_size").alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(over_blocks), zero))
-        .select(*by, "_block", "_before")
-    )
-    return (
-        rows.join(blocks, [*by, "_block"])
-        .withColumn(name, F.col("_before") + F.coalesce(F.sum("_size").over(in_block), zero))
-        .drop("_size", "_block", "_before")
-    )
+    none = F.lit(None).cast(sections.schema["file_no"].dataType)
+    ends = heads.select(
+        "review_id", F.explode(F.array(F.struct(F.lit(HEAD).alias("part"), F.col("head").alias("body")), F.struct(F.lit(FOOT).alias("part"), F.lit(foot).alias("body")))).alias("e")
+    ).select("review_id", "e.part", none.alias("file_no"), "e.body")
+    hidden = heads.where(~F.col("shown")).select("review_id")
+    shown = sections.join(hidden, "review_id", "left_anti")
+    return ends.unionByName(shown.select("review_id", F.lit(SECTION).alias("part"), "file_no", F.col("section").alias("body")))
 
 
-def assemble_notes(heads: DataFrame, sections: DataFrame, foot: str, note_chars: int = NOTE_CHARS) -> DataFrame:
-    """(review_id, note_no, body) from heads(review_id, head, shown) and sections(review_id, file_no, section).
+def whole_notes(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(review_id, body): the text of each note, for receivers that take it in one piece.
 
-    `shown` tells whether a review's sections belong into its notes at all.
+    A note must then fit one value; use it on the reviews that are to be posted.
     """
-    c = F.col
-    placed = running_total(sections, ["review_id"], "file_no", F.length("section"), "before")
-    placed = placed.withColumn("note_no", F.expr(f"before div {note_chars}"))
-    texts = (
-        placed.groupBy("review_id", "note_no")
-        .agg(F.sort_array(F.collect_list(F.struct("file_no", "section"))).alias("parts"))
-        .select("review_id", "note_no", F.array_join(F.transform("parts", lambda p: p["section"]), "").alias("text"))
-    )
-    # The first section of a review is always in note 0, so every head meets a row or none.
-    joined = heads.join(texts, "review_id", "left").withColumn("note_no", F.coalesce("note_no", F.lit(0).cast("bigint")))
-    head = F.when(c("note_no") == 0, c("head")).otherwise("")
-    body = F.when(c("shown"), F.coalesce("text", F.lit(""))).otherwise("")
-    return joined.where(c("shown") | (c("note_no") == 0)).select(
-        "review_id", "note_no", F.concat(head, body, F.lit(foot)).alias("body")
-    )
+    parts = rows.groupBy(*(keys or ["review_id"])).agg(F.sort_array(F.collect_list(F.struct("part", "file_no", "body"))).alias("parts"))
+    return parts.withColumn("body", F.array_join(F.transform("parts", lambda p: p["body"]), "")).drop("parts")
 
 
 def _sections(results: DataFrame, section: Column) -> DataFrame:
@@ -72,7 +49,7 @@ def _columns() -> dict[str, Column]:
     return {name: F.col(name) for name in STAT_NAMES}
 
 
-def summary_notes(results: DataFrame, summary_only: bool = False, note_chars: int = NOTE_CHARS) -> DataFrame:
+def summary_notes(results: DataFrame, summary_only: bool = False) -> DataFrame:
     """The merge-request note: counts, severity table, categories, findings per file."""
     stats = review_stats(results)
     shown = F.lit(not summary_only) & (F.col("total_issues") > 0)
@@ -80,16 +57,29 @@ def summary_notes(results: DataFrame, summary_only: bool = False, note_chars: in
     heads = stats.select("review_id", head.alias("head"), shown.alias("shown"))
     # A file that has both an error and issues is not counted, and shows only if others are.
     sections = _sections(results, render.note_section(F.col("file_path"), F.col("result.issues"))).where(F.lit(not summary_only))
-    return assemble_notes(heads, sections, render.NOTE_FOOT, note_chars)
+    return note_rows(heads, sections, render.NOTE_FOOT)
+
+
+def batch_notes(results: DataFrame) -> DataFrame:
+    """The note of a batch request: failed files are not handed to it, so it counts and shows the others alone.
+
+    A batch of failed files only has a note that says that no file was reviewed.
+    """
+    failed = F.coalesce("error", F.lit("")) != ""
+    notes = summary_notes(results.where(~failed))
+    rest = results.groupBy("review_id").agg(F.bool_and(failed).alias("all_failed")).where("all_failed")
+    nothing = {name: F.lit(0).cast("bigint") for name in STAT_NAMES}
+    heads = rest.select("review_id", render.note_head(nothing).alias("head"), F.lit(True).alias("shown"))
+    return notes.unionByName(note_rows(heads, _sections(results, F.lit("")).where(F.lit(False)), render.NOTE_FOOT))
 
 
-def flow_notes(results: DataFrame, note_chars: int = NOTE_CHARS) -> DataFrame:
+def flow_notes(results: DataFrame) -> DataFrame:
     """The note of a review job: other layout, exact severity names, all files counted."""
     stats = review_stats(results, any_case=False, layout="flow")
     title = F.when(F.col("total_issues") > 0, render.FLOW_FINDINGS_TITLE).otherwise("")
     heads = stats.select("review_id", F.concat(render.flow_note_head(_columns()), title).alias("head"), F.lit(True).alias("shown"))
     sections = _sections(results, render.flow_note_section(F.col("file_path"), F.col("result.issues")))
-    return assemble_notes(heads, sections, render.FLOW_NOTE_FOOT, note_chars)
+    return note_rows(heads, sections, render.FLOW_NOTE_FOOT)
 
 
 def file_reports(results: DataFrame) -> DataFrame:
@@ -99,7 +89,7 @@ def file_reports(results: DataFrame) -> DataFrame:
     )
 
 
-def review_reports(results: DataFrame, note_chars: int = NOTE_CHARS) -> DataFrame:
+def review_reports(results: DataFrame) -> DataFrame:
     """Plain-text report per review: counters, then one line per issue."""
     c = F.col
     merged = aggregate_results(results)
@@ -107,4 +97,4 @@ def review_reports(results: DataFrame, note_chars: int = NOTE_CHARS) -> DataFram
     head = render.review_report_head(c("files_reviewed"), c("total_issues"), c("recommendation"), c("risk_score"))
     heads = merged.select("review_id", F.concat(head, title).alias("head"), F.lit(True).alias("shown"))
     lines = F.array_join(F.transform("result.issues", render.review_issue_line), "")
-    return assemble_notes(heads, _sections(results, lines), "", note_chars)
+    return note_rows(heads, _sections(results, lines), "")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import text
-from patchlens.operators.joins import spread_join
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]  # fixed values, gravest first
 SEVERITY_RANKS = {s: rank for rank, s in enumerate(reversed(SEVERITIES), start=1)}
@@ -90,15 +89,14 @@ APPROVE, COMMENT, REQUEST_CHANGES = "APPROVE", "COMMENT", "REQUEST_CHANGES"
 MORE_FILES = " (+ other files reviewed)"
 
 
-def aggregate_results(results: DataFrame, by: list[str] | None = None, nest_up_to: int | None = None) -> DataFrame:
+def aggregate_results(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One merged result per review.
 
     Risk is the sum of all risks divided by the number of all rows, failed ones
     included, cut towards zero. Unknown recommendations count as none.
 
-    The merged issues stay rows (see merged_issues) because a review may hold any
-    number of them. With nest_up_to, reviews of at most that many issues also get
-    them as an array; `issues` is null for larger ones.
+    The merged issues stay rows (see merged_issues), because a review may hold any
+    number of them.
     """
     by = by or ["review_id"]
     result = F.col("result")
@@ -112,20 +110,12 @@ def aggregate_results(results: DataFrame, by: list[str] | None = None, nest_up_t
         _total(F.coalesce(result["risk_score"], F.lit(0))).alias("risk"),
         F.max(verdict).alias("verdict"),
     )
-    merged = merged.select(
+    return merged.select(
         *by, "files_reviewed", "total_issues",
         F.expr("risk div files_reviewed").alias("risk_score"),
         F.concat(text("first.summary"), F.when(F.col("n_summaries") > 1, MORE_FILES).otherwise("")).alias("summary"),
         F.when(F.col("verdict") == 2, REQUEST_CHANGES).when(F.col("verdict") == 1, COMMENT).otherwise(APPROVE).alias("recommendation"),
     )
-    if nest_up_to is None:
-        return merged
-    small = merged.where(F.col("total_issues") <= nest_up_to).select(*by)
-    rows = spread_join(merged_issues(results, by), small, by, ["file_no", "issue_no"], "left_semi")
-    item = F.struct("file_no", "issue_no", F.struct("type", "severity", "line", "title", "description", "suggestion").alias("issue"))
-    nested = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["issue"]).alias("issues"))
-    none = F.when(F.col("total_issues") == 0, F.array().cast(nested.schema["issues"].dataType))
-    return merged.join(nested, by, "left").withColumn("issues", F.coalesce("issues", none))
 
 
 def critical_gate(results: DataFrame) -> DataFrame:
@@ -142,7 +132,7 @@ def severity_at_least(issues: DataFrame, minimum: str) -> DataFrame:
     return issues.where(rank >= SEVERITY_RANKS[minimum.upper()])
 
 
-def first_files(files: DataFrame, limit: int = 50, by: list[str] | None = None) -> DataFrame:
+def first_files(files: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:
     """At most `limit` files per review in file order; cut on both sides of the shuffle."""
     order = Window.partitionBy(*(by or ["review_id"])).orderBy("file_no")
     ranked = files.withColumn("_n", F.row_number().over(order))

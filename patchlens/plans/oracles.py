@@ -377,9 +377,8 @@ V_MERGED = """merged AS (
          WHEN bool_or(NOT failed AND recommendation = 'COMMENT') THEN 'COMMENT' ELSE 'APPROVE' END AS recommendation
   FROM v_files GROUP BY review_id)"""
 ORACLES["aggregate_results"] = with_views(V_FILES, V_ISSUES, V_MERGED, select=f"""
-SELECT m.review_id, files_reviewed, coalesce(n, 0) AS total_issues, risk_score, summary, recommendation, coalesce(issues, '') AS issues
-FROM merged m LEFT JOIN (SELECT review_id, count(*) AS n, string_agg({_ISSUE_TEXT}, '; ' ORDER BY file_no, issue_no) AS issues FROM v_issues GROUP BY review_id) i
-  USING (review_id)""")
+SELECT m.review_id, files_reviewed, coalesce(n, 0) AS total_issues, risk_score, summary, recommendation
+FROM merged m LEFT JOIN (SELECT review_id, count(*) AS n FROM v_issues GROUP BY review_id) i USING (review_id)""")
 ORACLES["merged_issues"] = with_views(V_ISSUES, select="SELECT * REPLACE (CAST(issue_no AS BIGINT) AS issue_no) FROM v_issues")
 ORACLES["critical_gate"] = with_views(V_FILES, V_ISSUES, select="""
 SELECT DISTINCT review_id, review_id IN (SELECT review_id FROM v_issues WHERE severity = 'CRITICAL') AS failed FROM v_files""")
@@ -414,29 +413,44 @@ _line = joined(
     f"CASE WHEN description <> '' THEN '  - ' || description || {NL} ELSE '' END",
     f"CASE WHEN suggestion <> '' THEN '  - 💡 ' || suggestion || {NL} ELSE '' END",
 )
-V_SECTIONS = f"""sections AS (SELECT review_id, string_agg(section, '' ORDER BY file_no) AS findings FROM (
+V_SECTIONS = f"""sections AS (
     SELECT review_id, file_no, '#### 📄 `' || file_path || '`' || {NL} || {NL} || string_agg({_line}, '' ORDER BY issue_no) || {NL} AS section
-    FROM v_issues GROUP BY review_id, file_no, file_path) GROUP BY review_id)"""
-ORACLES["mr_summary_note"] = with_views(V_FILES, V_ISSUES, stats_sql(True), V_SECTIONS, select=f"""
-SELECT review_id, CAST(0 AS BIGINT) AS note_no, {_head} || CASE WHEN total_issues > 0 THEN '### Detailed Findings' || {NL} || {NL} ELSE '' END
-  || coalesce(findings, '') || {_foot} AS body FROM s LEFT JOIN sections USING (review_id)""")
-ORACLES["mr_summary_only"] = with_views(V_FILES, V_ISSUES, stats_sql(True), select=f"""
-SELECT review_id, CAST(0 AS BIGINT) AS note_no, {_head} || {_foot} AS body FROM s""")
+    FROM v_issues GROUP BY review_id, file_no, file_path)"""
+
+
+def note_sql(head: str, foot: str, shown: str = "true", sections: str = "sections", stats: str = "s") -> str:
+    """Rows of notes: head and foot of every review, the sections of those that show them."""
+    none = "CAST(NULL AS BIGINT) AS file_no"
+    return f"""
+SELECT review_id, 0 AS part, {none}, {head} AS body FROM {stats}
+UNION ALL SELECT review_id, 2 AS part, {none}, {foot} AS body FROM {stats}
+UNION ALL SELECT review_id, 1 AS part, file_no, section AS body FROM {sections} JOIN {stats} USING (review_id) WHERE {shown}"""
+
+
+_titled = f"{_head} || CASE WHEN total_issues > 0 THEN '### Detailed Findings' || {NL} || {NL} ELSE '' END"
+ORACLES["mr_summary_note"] = with_views(V_FILES, V_ISSUES, stats_sql(True), V_SECTIONS, select=note_sql(_titled, _foot, "total_issues > 0"))
+_all = [v.replace(f"v_{n} AS", f"all_{n} AS", 1).replace("v_files", "all_files") for v, n in ((V_FILES, "files"), (V_ISSUES, "issues"))]
+ORACLES["batch_note"] = with_views(
+    *_all, "v_files AS (SELECT * FROM all_files WHERE NOT failed AND review_id % 11 <> 0)", "v_issues AS (SELECT * FROM all_issues WHERE review_id % 11 <> 0)",
+    stats_sql(True), """nothing AS (
+    SELECT * FROM s UNION ALL SELECT review_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM (SELECT DISTINCT review_id FROM all_files WHERE review_id NOT IN (SELECT review_id FROM v_files)))""",
+    V_SECTIONS, select=note_sql(_titled, _foot, "total_issues > 0", stats="nothing"),
+)
+ORACLES["mr_summary_only"] = with_views(V_FILES, V_ISSUES, stats_sql(True), V_SECTIONS, select=note_sql(_head, _foot, "false"))
 
 _flow_line = joined(
     "'- '", mark_sql("severity"), "' **['", "type", "']** '", "title", "' (line '", num("line"), "')'", NL, "'  - '", "description", NL,
     f"CASE WHEN suggestion <> '' THEN '  - 💡 ' || suggestion || {NL} ELSE '' END",
 )
+_flow_head = joined(
+    "'## 🤖 Automated Code Review'", NL, NL, "'**Files Reviewed:** '", num("files_reviewed"), NL,
+    "'**Issues Found:** '", num("total_issues"), NL, NL, "'| Severity | Count |'", NL, "'|----------|-------|'", NL,
+    "'| 🔴 Critical | '", num("critical"), "' |'", NL, "'| 🟠 High | '", num("high"), "' |'", NL, "'| 🟡 Medium | '", num("medium"), "' |'", NL,
+    "'| 🟢 Low | '", num("low"), "' |'", NL, NL, f"CASE WHEN total_issues > 0 THEN '### Issues' || {NL} || {NL} ELSE '' END",
+)
 ORACLES["workflow_note"] = with_views(V_FILES, V_ISSUES, stats_sql(False, flow=True), f"""
-  sections AS (SELECT review_id, string_agg(section, '' ORDER BY file_no) AS findings FROM (
-    SELECT review_id, file_no, '**' || file_path || '**' || {NL} || string_agg({_flow_line}, '' ORDER BY issue_no) || {NL} AS section
-    FROM v_issues GROUP BY review_id, file_no, file_path) GROUP BY review_id)""", select=f"""
-SELECT review_id, CAST(0 AS BIGINT) AS note_no, {joined("'## 🤖 Automated Code Review'", NL, NL, "'**Files Reviewed:** '", num("files_reviewed"), NL,
-  "'**Issues Found:** '", num("total_issues"), NL, NL, "'| Severity | Count |'", NL, "'|----------|-------|'", NL,
-  "'| 🔴 Critical | '", num("critical"), "' |'", NL, "'| 🟠 High | '", num("high"), "' |'", NL, "'| 🟡 Medium | '", num("medium"), "' |'", NL,
-  "'| 🟢 Low | '", num("low"), "' |'", NL, NL, f"CASE WHEN total_issues > 0 THEN '### Issues' || {NL} || {NL} ELSE '' END", "coalesce(findings, '')",
-  NL, "'---'", NL, "'*Automated review by Code Review Bot*'")} AS body
-FROM s LEFT JOIN sections USING (review_id)""")
+  sections AS (SELECT review_id, file_no, '**' || file_path || '**' || {NL} || string_agg({_flow_line}, '' ORDER BY issue_no) || {NL} AS section
+    FROM v_issues GROUP BY review_id, file_no, file_path)""", select=note_sql(_flow_head, joined(NL, "'---'", NL, "'*Automated review by Code Review Bot*'")))
 
 _label = "(CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN '[' || severity || ']' ELSE '[INFO]' END)"
 _report_line = joined("'  '", _label, "' ['", "type", "'] '", "title", "' (Line '", num("line"), "')'", NL, "'     '", "description", NL)
@@ -446,11 +460,14 @@ SELECT f.review_id, f.file_no, {joined(NL, _rule, NL, "'Risk Score: '", num("ris
   "'Issues Found: '", num("n_issues"), NL, f"CASE WHEN n_issues > 0 THEN {NL} || lines ELSE '' END", NL, "'Summary: '", "summary", NL, _rule, NL)} AS report
 FROM v_files f LEFT JOIN (SELECT file_no, string_agg({_report_line}, '' ORDER BY issue_no) AS lines FROM v_issues GROUP BY file_no) i USING (file_no)
 WHERE NOT failed""")
-ORACLES["workflow_report"] = with_views(V_FILES, V_ISSUES, V_MERGED, select=f"""
-SELECT review_id, CAST(0 AS BIGINT) AS note_no, {joined(NL, "'Files Reviewed: '", num("files_reviewed"), NL, "'Total Issues: '", num("coalesce(n, 0)"), NL,
-  "'Recommendation: '", "recommendation", NL, "'Risk Score: '", num("risk_score"), "'/10'", NL, f"CASE WHEN n > 0 THEN {NL} || 'Issues:' || {NL} || lines ELSE '' END")} AS body
-FROM merged LEFT JOIN (SELECT review_id, count(*) AS n, string_agg({joined("'  ['", "severity", "'] '", "type", "' (line '", num("line"), "'): '", "title", NL)}, ''
-  ORDER BY file_no, issue_no) AS lines FROM v_issues GROUP BY review_id) i USING (review_id)""")
+_report_head = joined(
+    NL, "'Files Reviewed: '", num("files_reviewed"), NL, "'Total Issues: '", num("coalesce(n, 0)"), NL, "'Recommendation: '", "recommendation", NL,
+    "'Risk Score: '", num("risk_score"), "'/10'", NL, f"CASE WHEN n > 0 THEN {NL} || 'Issues:' || {NL} ELSE '' END",
+)
+ORACLES["workflow_report"] = with_views(V_FILES, V_ISSUES, V_MERGED, f"""
+  s AS (SELECT * FROM merged LEFT JOIN (SELECT review_id, count(*) AS n FROM v_issues GROUP BY review_id) i USING (review_id)),
+  sections AS (SELECT review_id, file_no, string_agg({joined("'  ['", "severity", "'] '", "type", "' (line '", num("line"), "'): '", "title", NL)}, '' ORDER BY issue_no) AS section
+    FROM v_issues GROUP BY review_id, file_no)""", select=note_sql(_report_head, "''"))
 
 _comment = joined(
     mark_sql("upper(severity)"), "' **['", "upper(type)", "'] '", "title", "'**'", NL, NL, "description",

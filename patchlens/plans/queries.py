@@ -354,8 +354,7 @@ def workflow_stats(spark, sf):
 
 @query
 def aggregate_results(spark, sf):
-    rows = review_stats.aggregate_results(views.review_results(spark, sf), nest_up_to=1_000)
-    return rows.withColumn("issues", F.array_join(F.transform("issues", _issue_text), "; "))
+    return review_stats.aggregate_results(views.review_results(spark, sf))
 
 
 @query
@@ -392,6 +391,14 @@ def mr_summary_note(spark, sf):
     return notes.summary_notes(views.review_results(spark, sf))
 
 
+@query
+def batch_note(spark, sf):
+    """Notes of batches; every review whose number is a multiple of 11 has failed files only."""
+    results = views.review_results(spark, sf)
+    lost = (c("review_id") % 11 == 0) & (c("error") == "")
+    return notes.batch_notes(results.withColumn("error", F.when(lost, "lost").otherwise(c("error"))))
+
+
 @query
 def mr_summary_only(spark, sf):
     return notes.summary_notes(views.review_results(spark, sf), summary_only=True)

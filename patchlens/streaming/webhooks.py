@@ -71,7 +71,7 @@ def review_events(
     wanted = payloads.join(accepted, ["project_id", "iid"], "left_semi")
     files = changed_files(wanted).withColumn("review_id", F.struct("project_id", "iid")).withColumn("full_content", F.lit(""))
     results = materialize(review_files(files, complete_fn, **options), "batch-results")
-    notes = summary_notes(results).select("review_id.project_id", "review_id.iid", "note_no", "body")
+    notes = summary_notes(results).select("review_id.project_id", "review_id.iid", "part", "file_no", "body")
     with_keys = results.select("review_id.project_id", "review_id.iid", "file_no", "file_path", "result")
     return notes, line_comments(with_keys, versions)
 

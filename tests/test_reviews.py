@@ -45,15 +45,12 @@ def test_three_kinds_of_statistics(results):
 
 
 def test_merged_result(results):
-    merged = by_review(review_stats.aggregate_results(results, nest_up_to=3))
+    merged = by_review(review_stats.aggregate_results(results))
     r = merged[1]
     assert (r.risk_score, r.recommendation, r.summary, r.total_issues) == (-5, "COMMENT", "first (+ other files reviewed)", 4)
-    assert r.issues is None  # four issues, above the limit: they are rows only
-    assert (merged[2].issues, merged[2].recommendation, merged[2].summary) == ([], "APPROVE", "")
-    nested = by_review(review_stats.aggregate_results(results, nest_up_to=4))[1].issues
-    assert [i.severity for i in nested] == ["critical", "HIGH", "CRITICAL", "LOW"]
+    assert (merged[2].recommendation, merged[2].summary) == ("APPROVE", "")
     rows = review_stats.merged_issues(results).orderBy("file_no", "issue_no").collect()
-    assert [r.severity for r in rows] == [i.severity for i in nested]
+    assert [r.severity for r in rows] == ["critical", "HIGH", "CRITICAL", "LOW"]
 
 
 def test_gate_threshold_and_limit(results):
@@ -64,7 +61,7 @@ def test_gate_threshold_and_limit(results):
 
 
 def test_summary_note(results):
-    body = by_review(notes.summary_notes(results))[1].body
+    body = by_review(notes.whole_notes(notes.summary_notes(results)))[1].body
     assert body == (
         "## 🤖 Automated Code Review\n\n**Files Reviewed:** 2 / 4\n**Files with Errors:** 2\n**Issues Found:** 3\n\n"
         "### Issues by Severity\n\n| Severity | Count |\n|----------|-------|\n| 🔴 Critical | 2 |\n| 🟠 High | 1 |\n| 🟡 Medium | 0 |\n| 🟢 Low | 0 |\n\n"
@@ -73,28 +70,25 @@ def test_summary_note(results):
         "#### 📄 `c.go`\n\n- 🔴 **[Performance]** T (line 0)\n  - D\n\n#### 📄 `d.go`\n\n- 🟢 **[SECURITY]** T (line 1)\n  - D\n\n"
         "---\n*Automated review by Code Review Bot*\n"
     )
-    only = by_review(notes.summary_notes(results, summary_only=True))[1].body
+    only = by_review(notes.whole_notes(notes.summary_notes(results, summary_only=True)))[1].body
     assert "Detailed" not in only and "Categories" in only
-    assert "Detailed" not in by_review(notes.summary_notes(results))[2].body
-
-
-def test_long_notes_continue(spark):
-    """One review with all files: bounded notes that together are the whole text, in order."""
-    rows = [(1, n * 3, f"f{n}.go", ([issue("LOW")], "", 0, ""), "") for n in range(400)]
-    results = results_of(spark, rows)
-    whole = notes.summary_notes(results).collect()
-    parts = notes.summary_notes(results, note_chars=2_000).orderBy("note_no").collect()
-    assert len(whole) == 1 and len(parts) > 5 and [p.note_no for p in parts] == list(range(len(parts)))
-    foot = "---\n*Automated review by Code Review Bot*\n"
-    assert all(p.body.endswith(foot) and len(p.body) < 2_600 for p in parts)
-    assert "".join(p.body.removesuffix(foot) for p in parts) + foot == whole[0].body
-
-
-def test_running_total_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(notes, "BLOCK_POSITIONS", 10)
-    rows = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
-    out = notes.running_total(rows, ["k"], "id", F.col("id"), "before").collect()
-    assert all(r.before == sum(range(r.k, r.id, 2)) for r in out) and len(out) == 100
+    assert "Detailed" not in by_review(notes.whole_notes(notes.summary_notes(results)))[2].body
+
+
+def test_notes_of_any_size_have_the_same_rows(spark):
+    """One review of 5,000 files with sparse numbers: a head, a section each, a foot."""
+    rows = [(1, n * 1_000_003, f"f{n}.go", ([issue("LOW")], "", 0, ""), "") for n in range(5_000)]
+    parts = notes.summary_notes(results_of(spark, rows)).orderBy("part", "file_no").collect()
+    assert [p.part for p in parts] == [0] + [1] * 5_000 + [2]
+    assert [p.file_no for p in parts[1:-1]] == [n * 1_000_003 for n in range(5_000)]
+    assert parts[0].body.startswith("## ") and "f4999.go" in parts[-2].body
+
+
+def test_batch_note_leaves_failed_files_out(spark):
+    rows = [(1, 1, "a.go", ([issue("LOW")], "", 0, ""), ""), (1, 2, "b.go", None, "timeout"), (2, 1, "c.go", None, "timeout")]
+    found = {k: r.body for k, r in by_review(notes.whole_notes(notes.batch_notes(results_of(spark, rows)))).items()}
+    assert "**Files Reviewed:** 1 / 1" in found[1] and "Errors" not in found[1]
+    assert "**Files Reviewed:** 0 / 0" in found[2]
 
 
 def test_line_comments(spark, results):
