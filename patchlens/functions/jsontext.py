@@ -120,6 +120,45 @@ def _is_typed_result(value: Column, issues: Column) -> Column:
     )
 
 
+RESULT_FIELDS = ["issues", "summary", "risk_score", "recommendation"]
+FIELDS = [*RESULT_FIELDS, *ISSUE_TEXT_FIELDS, "line"]
+
+
+def fold_field_names(json: Column | str) -> Column:
+    """The text with the known field names in lower case, as they may be written in any.
+
+    An unescaped quotation mark cannot stand inside a string, so a name between two of
+    them with a colon behind is a field.
+    """
+    names = "|".join(FIELDS)
+    folded = col(json)
+    for name in FIELDS:
+        folded = F.regexp_replace(folded, rf'(?<!\\)"(?i:{name})"(\s*:)', f'"{name}"$1')
+    return F.when(col(json).rlike(rf'"(?!(?:{names})")(?i:{names})"\s*:'), folded).otherwise(col(json))
+
+
+def _last_of_each(json: Column) -> Column:
+    """The object as a VARIANT when it repeats fields: of each the last one counts, in issues too."""
+    read = F.from_json(json, "struct<" + ",".join(f"{n}:{'array<map<string,variant>>' if n == 'issues' else 'variant'}" for n in RESULT_FIELDS) + ">")
+
+    def issue(fields: Column) -> Column:
+        last = lambda n: F.try_element_at(F.filter(F.map_entries(fields), lambda e: e["key"] == n), F.lit(-1))["value"]
+        return F.struct(*(last(n).alias(n) for n in [*ISSUE_TEXT_FIELDS, "line"]))
+
+    known = lambda r: F.struct(F.transform(r["issues"], issue).alias("issues"), *(r[n].alias(n) for n in RESULT_FIELDS[1:]))
+    return let(read, lambda r: F.to_variant_object(known(r)))
+
+
+def _issues_are_no_list(json: Column) -> Column:
+    return json.rlike(r'(?<!\\)"issues"\s*:\s*(?!\[|null\b)')
+
+
+def parse_object(json: Column | str) -> Column:
+    """A JSON object text as a VARIANT; null when it is none. Only texts with repeated fields are read a second way."""
+    repeated = let(F.json_object_keys(col(json)), lambda keys: F.when(keys.isNotNull() & ~_issues_are_no_list(col(json)), _last_of_each(col(json))))
+    return let(F.try_parse_json(col(json)), lambda value: F.when(value.isNotNull(), value).otherwise(repeated))
+
+
 def _result_of(value: Column, issues: Column) -> Column:
     return F.struct(
         F.transform(issues, _issue).alias("issues"),
@@ -133,7 +172,8 @@ def decode_result(json: Column | str) -> Column:
     """A JSON object text as a review result; null when it is not one.
 
     One field of another type, at any depth but risk_score, makes the whole text
-    invalid; missing fields and nulls become '', 0 and no issues. The parsed value
+    invalid; missing fields and nulls become '', 0 and no issues. Field names may be
+    written in any case, and of a repeated field the last one counts. The parsed value
     and its issues are bound, so that each text is parsed once.
     """
 
@@ -142,4 +182,4 @@ def decode_result(json: Column | str) -> Column:
         issues = F.coalesce(F.try_variant_get(value, "$.issues", "array<variant>"), none)
         return let(issues, lambda i: F.when(_is_typed_result(value, i), _result_of(value, i)))
 
-    return let(F.try_parse_json(col(json)), from_value)
+    return let(fold_field_names(json), lambda folded: let(parse_object(folded), from_value))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import is_skipped, synthetic_diff, text
+from patchlens.operators.joins import spread_join
 
 NO_INPUT = "no input provided"
+BAD_REQUEST = "invalid request"
+BAD_PAYLOAD = "invalid merge request"
 MISSING_FIELDS = "file_path and diff are required"
 
 
@@ -49,12 +52,30 @@ BATCH_TYPE = (
 )
 
 
+def _object_error(value: str, message: str, list_field: str | None = None) -> Column:
+    """'' for the text of a JSON object, whose field `list_field` is a list if it is there."""
+    parsed = F.try_parse_json(value)
+    kind = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
+    bad = ~kind.startswith("OBJECT")
+    if list_field:
+        inner = F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{list_field}", "variant")), F.lit("VOID"))
+        bad = bad | ~(inner.startswith("ARRAY") | (inner == "VOID"))
+    return F.when(bad, message).otherwise("")
+
+
+def _kept(own: Column | None, message: Column) -> Column:
+    return message if own is None else F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(message)
+
+
 def batch_files(requests: DataFrame, value: str = "value", review_id: str = "review_id") -> DataFrame:
-    """One row per file of each batch request (JSON text)."""
-    parsed = requests.select(F.col(review_id).alias("review_id"), F.from_json(value, BATCH_TYPE).alias("r"))
-    return parsed.select(
-        "review_id", "r.project_id", "r.merge_req_id", "r.post_to_mr", F.posexplode("r.files").alias("file_no", "f")
-    ).select("review_id", "project_id", "merge_req_id", "post_to_mr", "file_no", "f.*")
+    """One row per file of each batch request (JSON text); a malformed request is one row with an error and no file."""
+    rows = requests.select(F.col(review_id).alias("review_id"), F.from_json(value, BATCH_TYPE).alias("r"), _object_error(value, BAD_REQUEST, "files").alias("error"))
+    good = rows.where("error = ''").select("review_id", "r.project_id", "r.merge_req_id", "r.post_to_mr", F.posexplode("r.files").alias("file_no", "f"), "error")
+    bad = rows.where("error <> ''").select(
+        "review_id", F.lit(None).cast("bigint").alias("project_id"), F.lit(None).cast("bigint").alias("merge_req_id"), F.lit(None).cast("boolean").alias("post_to_mr"),
+        F.lit(None).cast("int").alias("file_no"), F.lit(None).cast(good.schema["f"].dataType).alias("f"), "error",
+    )
+    return good.unionByName(bad).select("review_id", "project_id", "merge_req_id", "post_to_mr", "file_no", "f.*", "error")
 
 
 CHANGE_TYPE = "struct<old_path:string,new_path:string,diff:string,new_file:boolean,renamed_file:boolean,deleted_file:boolean>"
@@ -66,20 +87,36 @@ VERSIONS_TYPE = "array<struct<id:bigint,head_commit_sha:string,base_commit_sha:s
 
 
 def merge_request_headers(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """(project_id, id, iid, title, ..., web_url) without the changes."""
+    """(project_id, id, iid, title, ..., web_url, error) without the changes; error is '' or tells that the payload is malformed.
+
+    Payloads that bring an error of their own, as fetched ones do, keep it.
+    """
     header = MERGE_REQUEST_TYPE.replace(f",changes:array<{CHANGE_TYPE}>", "")
-    return payloads.select("project_id", F.from_json(value, header).alias("m")).select("project_id", "m.*")
+    own = F.col("error") if "error" in payloads.columns else None
+    rows = payloads.select("project_id", F.from_json(value, header).alias("m"), _kept(own, _object_error(value, BAD_PAYLOAD)).alias("error"))
+    return rows.select("project_id", "m.*", "error")
 
 
 def changed_files(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """Files to review of each merge request: deleted ones dropped, path is the new path."""
-    parsed = payloads.select("project_id", F.from_json(value, MERGE_REQUEST_TYPE).alias("m"))
-    changes = parsed.select("project_id", "m.iid", F.posexplode("m.changes").alias("file_no", "change"))
-    return changes.where(~F.coalesce(F.col("change.deleted_file"), F.lit(False))).select(
-        "project_id", "iid", "file_no",
-        F.col("change.new_path").alias("file_path"),
-        text("change.diff").alias("diff"),
+    """Files to review of each merge request: deleted ones dropped, path is the new path.
+
+    A malformed payload is one row with an error and no file; payloads that bring an
+    error or an iid of their own, as fetched ones do, keep them.
+    """
+    own = F.col("error") if "error" in payloads.columns else None
+    known = F.col("iid") if "iid" in payloads.columns else F.lit(None).cast("bigint")
+    parsed = payloads.select(
+        "project_id", known.alias("known_iid"), F.from_json(value, MERGE_REQUEST_TYPE).alias("m"), _kept(own, _object_error(value, BAD_PAYLOAD, "changes")).alias("error")
+    )
+    changes = parsed.where("error = ''").select("project_id", "m.iid", F.posexplode("m.changes").alias("file_no", "change"), "error")
+    files = changes.where(~F.coalesce(F.col("change.deleted_file"), F.lit(False))).select(
+        "project_id", "iid", "file_no", F.col("change.new_path").alias("file_path"), text("change.diff").alias("diff"), "error"
+    )
+    none = F.lit(None)
+    failed = parsed.where("error <> ''").select(
+        "project_id", F.col("known_iid").alias("iid"), none.cast("int").alias("file_no"), none.cast("string").alias("file_path"), F.lit("").alias("diff"), "error"
     )
+    return files.unionByName(failed)
 
 
 def merge_request_versions(payloads: DataFrame, value: str = "value") -> DataFrame:
@@ -89,7 +126,8 @@ def merge_request_versions(payloads: DataFrame, value: str = "value") -> DataFra
 
 def with_file_content(changes: DataFrame, contents: DataFrame) -> DataFrame:
     """Left join of changes(project_id, ref, file_path) to contents of the same key."""
-    return changes.join(contents.select("project_id", "ref", "file_path", "content"), ["project_id", "ref", "file_path"], "left")
+    content = contents.select("project_id", "ref", "file_path", "content")
+    return spread_join(changes, content, ["project_id", "ref", "file_path"], [c for c in changes.columns if c not in content.columns] or ["file_path"], "left")
 
 
 def reviewable(files: DataFrame, patterns: list[str] | None = None) -> DataFrame:

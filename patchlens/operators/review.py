@@ -82,11 +82,13 @@ def review_all(
     inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, on_missing: str = "skip", **options
 ) -> DataFrame:
     """Send each row to the agent, framework or standard review by its flags; errors stay rows."""
+    inputs, failed = _carry_errors(inputs)  # before routing: rows that failed are never asked about
     routed = materialize(known_framework(inputs, elements, on_missing), "routed")
     agent = routed.where("use_agent")
     rest = routed.where("NOT coalesce(use_agent, false)")
-    return (
+    results = (
         agent_review(agent, complete_fn, elements, index, **options)
         .unionByName(review_files_with_framework(rest.where("framework_found"), complete_fn, elements, index, **options))
         .unionByName(review_files(rest.where("NOT framework_found"), complete_fn, **options))
     )
+    return _with_failed(results, failed)

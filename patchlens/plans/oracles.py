@@ -131,6 +131,17 @@ SELECT o_orderkey AS review_id, o_custkey AS project_id, CAST(7 AS BIGINT) AS me
   CASE n WHEN 0 THEN {views.FILES['file_path']} ELSE 'extra.go' END AS file_path, o_orderstatus AS diff, '' AS full_content
 FROM orders, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(n)"""
 
+_broken = "o_orderkey % 5 < 3"
+ORACLES["bad_requests"] = f"""
+SELECT o_orderkey AS review_id, CASE WHEN {_broken} THEN NULL ELSE 'a.go' END AS file_path,
+  CASE WHEN {_broken} THEN CASE source WHEN 'batch' THEN 'invalid request' ELSE 'invalid merge request' END ELSE '' END AS error, source
+FROM orders, (VALUES ('batch'), ('changes')) t(source)"""
+ORACLES["mr_headers"] = """
+SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(-1 AS BIGINT) ELSE o_orderkey END AS id,
+  CASE WHEN o_orderkey % 5 >= 3 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 5 >= 3 THEN 'opened' END AS state,
+  CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'invalid merge request' ELSE '' END AS error
+FROM orders"""
+
 ORACLES["file_contents"] = f"""
 WITH ch AS ({views.select_sql(views.CHANGES, 'orders')})
 SELECT project_id, 'main' AS ref, new_path AS file_path, file_no,
@@ -346,6 +357,11 @@ SELECT f.file_no,
     ELSE coalesce((SELECT string_agg({_ISSUE_TEXT}, '; ' ORDER BY issue_no) FROM all_issues i WHERE i.file_no = f.file_no), '') END AS issues
 FROM f""")
 
+ORACLES["answer_spellings"] = with_views(V_ALL_ISSUES, f"f AS (SELECT {', '.join(f'{v} AS {k}' for k, v in views.FILES.items())} FROM orders)", select=f"""
+SELECT f.file_no, '' AS error, summary,
+  coalesce((SELECT string_agg({_ISSUE_TEXT}, '; ' ORDER BY issue_no) FROM all_issues i WHERE i.file_no = f.file_no), '') AS issues
+FROM f""")
+
 # --- reviews ---------------------------------------------------------------------
 
 
@@ -493,5 +509,5 @@ SELECT review_id, file_no, error,
   CASE WHEN error <> '' THEN -1 WHEN stuck THEN 0 ELSE file_no % 10 END AS risk_score,
   CASE WHEN error <> '' THEN NULL WHEN stuck THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS recommendation
 FROM (SELECT review_id, file_no, agent AND file_no % 13 = 0 AS stuck,
-    CASE WHEN agent THEN CASE WHEN file_no % 11 = 0 THEN 'step 1: service unavailable' ELSE '' END ELSE {_canned} END AS error
+    CASE WHEN file_no % 17 = 0 THEN 'no input provided' WHEN agent THEN CASE WHEN file_no % 11 = 0 THEN 'step 1: service unavailable' ELSE '' END ELSE {_canned} END AS error
   FROM (SELECT o_custkey AS review_id, o_orderkey AS file_no, o_orderkey % 3 = 0 AS agent FROM orders))"""

@@ -100,7 +100,7 @@ def mr_changes(spark, sf):
         f"to_json(named_struct('iid', {views.CHANGES['iid']}, 'title', o_orderpriority, 'changes', array({change}, "
         f"named_struct('old_path', 'a', 'new_path', 'second/m' || CAST(o_orderkey AS STRING), 'diff', '', 'deleted_file', o_orderkey % 2 = 0)))) AS value",
     )
-    return inputs.changed_files(payloads)
+    return inputs.changed_files(payloads).drop("error")
 
 
 @query
@@ -111,7 +111,27 @@ def batch_files(spark, sf):
         "o_orderkey AS review_id",
         f"to_json(named_struct('project_id', o_custkey, 'merge_req_id', 7, 'post_to_mr', true, 'files', array({files}))) AS value",
     )
-    return inputs.batch_files(requests).withColumn("file_no", c("file_no").cast("bigint"))
+    return inputs.batch_files(requests).withColumn("file_no", c("file_no").cast("bigint")).drop("error")
+
+
+BROKEN = "CASE o_orderkey % 5 WHEN 0 THEN '{\"files\": [' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"files\": 7, \"changes\": 7, \"iid\": 9}' ELSE {good} END"
+
+
+@query
+def bad_requests(spark, sf):
+    """Batch requests and change lists of which three in five are malformed: those are rows with an error."""
+    files = "'{\"files\":[{\"file_path\":\"a.go\",\"diff\":\"+x\"}],\"changes\":[{\"new_path\":\"a.go\",\"diff\":\"+x\"}],\"iid\":9}'"
+    rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS review_id", "o_orderkey AS project_id", f"{BROKEN.replace('{good}', files)} AS value")
+    batch = inputs.batch_files(rows).select("review_id", "file_path", "error", F.lit("batch").alias("source"))
+    changed = inputs.changed_files(rows).select(c("project_id").alias("review_id"), "file_path", "error", F.lit("changes").alias("source"))
+    return batch.unionByName(changed)
+
+
+@query
+def mr_headers(spark, sf):
+    header = "'{\"id\":' || CAST(o_orderkey AS STRING) || ',\"iid\":9,\"title\":\"' || o_orderpriority || '\",\"state\":\"opened\"}'"
+    rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS project_id", f"{BROKEN.replace('{good}', header)} AS value")
+    return inputs.merge_request_headers(rows).select("project_id", F.coalesce("id", F.lit(-1)).alias("id"), "title", "state", "error")
 
 
 @query
@@ -120,8 +140,8 @@ def file_contents(spark, sf):
     changes = views.view(spark, sf, views.CHANGES, "orders").select(
         "project_id", c("new_path").alias("file_path"), "file_no", F.lit("main").alias("ref")
     )
-    contents = views.table(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr(
-        f"{views.CHANGES['project_id']} AS project_id", "'main' AS ref", f"{views.CHANGES['new_path']} AS file_path",
+    contents = views.table(spark, sf, "orders").selectExpr(
+        f"{views.CHANGES['project_id']} AS project_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'main' ELSE 'old' END AS ref", f"{views.CHANGES['new_path']} AS file_path",
         "'content of ' || CAST(o_orderkey AS STRING) AS content",
     )
     return inputs.with_file_content(changes, contents)
@@ -331,6 +351,16 @@ def parse_responses(spark, sf):
     )
 
 
+@query
+def answer_spellings(spark, sf):
+    """Answers whose field names are written in other cases, with one field given twice."""
+    given = f"replace(replace(replace({views.RESULT_JSON}, '\"issues\"', '\"Issues\"'), '\"severity\"', '\"SEVERITY\"'), '\"summary\"', '\"Summary\"')"
+    rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS file_no", f"'{{\"summary\":\"old\",' || substr({given}, 2) AS response")
+    return answers.parse_responses(rows).select(
+        "file_no", "error", c("result.summary").alias("summary"), F.array_join(F.transform("result.issues", _issue_text), "; ").alias("issues")
+    )
+
+
 # --- reviews ---------------------------------------------------------------------
 
 
@@ -448,7 +478,7 @@ def routed_reviews(spark, sf):
     """Agent, framework and standard reviews side by side, with canned answers."""
     elements = _elements(spark, sf)
     rows = review.review_all(
-        _inputs(spark, sf).withColumn("use_agent", c("file_no") % 3 == 0), canned.canned_any, elements, index.build_index(elements), attempts=1
+        _inputs(spark, sf).withColumn("use_agent", c("file_no") % 3 == 0).withColumn("error", F.when(c("file_no") % 17 == 0, inputs.NO_INPUT).otherwise("")), canned.canned_any, elements, index.build_index(elements), attempts=1
     )
     return rows.select(
         "review_id", "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score"),
