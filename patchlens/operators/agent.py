@@ -8,6 +8,8 @@ from step to step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from patchlens.operators.index import KeywordIndex
 from patchlens.operators.search import TOOL_LIMIT, attach_context
 from patchlens.session import materialize
 
+ToolFn = Callable[[DataFrame], DataFrame]
 CALL_TYPE = "struct<name:string,args:string,result:string>"
 MODEL_TOOLS = ["analyze_security", "analyze_performance", "suggest_fix"]
 OUT_OF_STEPS = "Review completed after maximum steps."  # fixed value
@@ -72,11 +75,15 @@ def _search_results(calls: DataFrame, elements: DataFrame, index: KeywordIndex)
     return found.withColumn("tool_result", prompts.search_tool_text("context", indexed)).select("review_id", "file_no", "tool_result")
 
 
-def agent_review(inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, **options) -> DataFrame:
+def agent_review(
+    inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, tools: dict[str, ToolFn] | None = None,
+    system: Column | None = None, **options,
+) -> DataFrame:
     """(review_id, file_no, file_path, result, error) of review_inputs with framework_found.
 
     A row ends with its final_review call, with an answer that is itself a review,
-    with a failed completion, or after five steps.
+    with a failed completion, or after five steps. `tools` adds tools of the caller's
+    or replaces built-in ones; `system` is the caller's system text, which should name them.
     """
     c = F.col
     empty_calls = F.array().cast(f"array<{CALL_TYPE}>")
@@ -93,7 +100,7 @@ def agent_review(inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame
             break
         requests = state.withColumn(
             "messages",
-            prompts.messages(prompts.agent_system_prompt("framework"), prompts.agent_step_prompt(F.lit(step), "file_path", "diff", "tool_calls")),
+            prompts.messages(prompts.agent_system_prompt("framework") if system is None else system, prompts.agent_step_prompt(F.lit(step), "file_path", "diff", "tool_calls")),
         )
         answered = materialize(complete(requests, complete_fn, **options).drop("messages", "usage"), f"agent-{step}-answers")
         finished.append(answered.where(text("error") != "").withColumn("result", no_result).withColumn(
@@ -112,7 +119,7 @@ def agent_review(inputs: DataFrame, complete_fn: CompleteFn, elements: DataFrame
         keep = state.columns
         idle = spoken.where(~is_review).select(*keep)
         open_calls = calls.where(c("tool").isNotNull() & (c("tool") != "final_review"))
-        state = materialize(idle.unionByName(_run_tools(open_calls, complete_fn, elements, index, options).select(*keep)), f"agent-{step}")
+        state = materialize(idle.unionByName(run_tools(open_calls, complete_fn, elements, index, tools, **options).select(*keep)), f"agent-{step}")
     finished.append(state.withColumn("result", _out_of_steps()).withColumn("error", F.lit("")).select(*columns))
     out = finished[0]
     for rows in finished[1:]:
@@ -129,9 +136,17 @@ def _out_of_steps() -> Column:
     )
 
 
-def _run_tools(calls: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, options: dict) -> DataFrame:
-    """Rows with the call and its result appended to tool_calls."""
+def run_tools(
+    calls: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, tools: dict[str, ToolFn] | None = None, **options
+) -> DataFrame:
+    """Rows with the call and its result appended to tool_calls.
+
+    A tool of the caller's gets all rows that call it, with `args` as JSON text, and
+    returns (review_id, file_no, tool_result); rows it leaves out have an empty result.
+    """
     c = F.col
+    own = tools or {}
+    mine, calls = calls.where(c("tool").isin(list(own))), calls.where(~c("tool").isin(list(own)))
     searching = c("tool") == "search_framework"
     needs = {
         "search_framework": ["query"], "analyze_security": ["code"], "analyze_performance": ["code"],
@@ -148,6 +163,10 @@ def _run_tools(calls: DataFrame, complete_fn: CompleteFn, elements: DataFrame, i
         "tool_result", F.when(known, BAD_ARGS).otherwise(F.concat(F.lit("Error: unknown tool: "), c("tool")))
     )
     done = refused.select(*columns)
+    for name, tool_fn in own.items():
+        rows = mine.where(c("tool") == name)
+        found = rows.join(tool_fn(rows).select("review_id", "file_no", "tool_result"), ["review_id", "file_no"], "left")
+        done = done.unionByName(found.withColumn("tool_result", text("tool_result")).select(*columns))
 
     # A step in which no row searches, or none asks the model, leaves those jobs out.
     searched = calls.where(searching & c("args_ok"))

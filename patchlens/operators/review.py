@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from patchlens.operators.search import attach_context
 from patchlens.session import materialize
 
 
+UserPrompt = Callable[[str, str, str], Column]
+
+
 def _ask(requests: DataFrame, complete_fn: CompleteFn, **options) -> DataFrame:
     """Completion written to the shared folder, so that the model is asked once per row."""
     answered = materialize(complete(requests, complete_fn, **options), "answers")
@@ -37,13 +42,21 @@ def _with_failed(results: DataFrame, failed: DataFrame | None) -> DataFrame:
     return results.unionByName(failed.select("review_id", "file_no", "file_path", none.alias("result"), "error"))
 
 
-def review_files(inputs: DataFrame, complete_fn: CompleteFn, **options) -> DataFrame:
+def review_requests(inputs: DataFrame, system: str = prompts.REVIEW_SYSTEM, user: UserPrompt = prompts.review_prompt) -> DataFrame:
+    """Messages of a standard review; callers may bring their own templates.
+
+    `user` makes the text of a request out of the columns file_path, diff and full_content.
+    """
+    text_of = user("file_path", "diff", "full_content")
+    return inputs.select("review_id", "file_no", "file_path", prompts.messages(F.lit(system), text_of).alias("messages"))
+
+
+def review_files(
+    inputs: DataFrame, complete_fn: CompleteFn, system: str = prompts.REVIEW_SYSTEM, user: UserPrompt = prompts.review_prompt, **options
+) -> DataFrame:
     """Standard review of review_inputs(review_id, file_no, file_path, diff, full_content)."""
     inputs, failed = _carry_errors(inputs)
-    user = prompts.review_prompt("file_path", "diff", "full_content")
-    requests = inputs.select(
-        "review_id", "file_no", "file_path", prompts.messages(F.lit(prompts.REVIEW_SYSTEM), user).alias("messages")
-    )
+    requests = review_requests(inputs, system, user)
     return _with_failed(_ask(requests, complete_fn, **options), failed)
 
 

@@ -290,7 +290,7 @@ SELECT review_id, file_no, {joined(quoted(prompts.FRAMEWORK_SYSTEM_PARTS[0]), "f
     "diff", NL, "'```'", NL,
     f"CASE WHEN file_no % 3 > 0 THEN {NL} || 'Related framework code:' || {NL} ELSE '' END",
     f"CASE WHEN file_no % 3 > 0 THEN {_context_sql('struct')} ELSE '' END", f"CASE WHEN file_no % 3 > 1 THEN {_context_sql('method')} ELSE '' END",
-    _whole_file, NL, "'Say whether it keeps to the patterns above, could use the framework''s own helpers, and is safe, fast and sound.'", NL,
+    _whole_file, NL, "'Compare the change with the framework code before you judge it.'", NL,
     "'Reply with JSON only.'", NL)} AS prompt
 FROM v_inputs""")
 
@@ -316,15 +316,15 @@ SELECT o_custkey AS review_id, o_orderkey AS file_no,
     WHEN 4 THEN '{"summary":"s' || CAST(o_orderkey AS VARCHAR) || '"}' END AS args
 FROM orders"""
 
-_SEC = "'List the security holes in this code, such as injection, scripting, unsafe paths, keys in the source, missing access checks:'"
-_PERF = "'List what makes this code slow or wasteful, such as a query per row, leaks, poor algorithms, allocations, missing caches:'"
+_SEC = "'How could this code be abused?'"
+_PERF = "'What does this code cost as its input grows?'"
 ORACLES["tool_prompts"] = f"""
 SELECT o_custkey AS review_id, o_orderkey AS file_no,
   CASE o_orderkey % 9 WHEN 1 THEN 'analyze_security' WHEN 2 THEN 'analyze_performance' ELSE 'suggest_fix' END AS tool,
   CASE o_orderkey % 9 WHEN 1 THEN {quoted(prompts.SECURITY_SYSTEM)} WHEN 2 THEN {quoted(prompts.PERFORMANCE_SYSTEM)} ELSE {quoted(prompts.FIX_SYSTEM)} END AS system,
   CASE o_orderkey % 9 WHEN 1 THEN {_SEC} || {NL} || '```' || {NL} || 'f(' || CAST(o_orderkey AS VARCHAR) || ')' || {NL} || '```' || {NL}
     WHEN 2 THEN {_PERF} || {NL} || '```' || {NL} || 'for {{' || o_orderstatus || '}}' || {NL} || '```' || {NL}
-    ELSE 'Correct this issue: slow' || {NL} || {NL} || 'Code:' || {NL} || '```' || {NL} || o_orderpriority || {NL} || '```' || {NL} END AS user
+    ELSE 'Issue: slow' || {NL} || {NL} || 'Code:' || {NL} || '```' || {NL} || o_orderpriority || {NL} || '```' || {NL} END AS user
 FROM orders WHERE o_orderkey % 9 IN (1, 2, 3)"""
 
 # --- answers ---------------------------------------------------------------------
@@ -498,6 +498,12 @@ SELECT review_id % 100 AS project_id, review_id AS iid, file_no, CAST(issue_no A
   CASE WHEN known THEN file_path END AS new_path, CASE WHEN known THEN line ELSE -1 END AS new_line
 FROM (SELECT i.*, c_custkey IS NOT NULL AND c_custkey % 3 <> 0 AS known FROM v_issues i LEFT JOIN customer ON review_id = c_custkey) WHERE line > 0""")
 
+ORACLES["custom_prompt"] = with_views(V_INPUTS, select="""
+SELECT review_id, file_no, 'be brief' AS system, 'P ' || file_path || ' D ' || diff || ' C ' || full_content AS user FROM v_inputs""")
+ORACLES["custom_tool"] = """
+SELECT o_custkey AS review_id, o_orderkey AS file_no, CASE o_orderkey % 3 WHEN 0 THEN 'measure' WHEN 1 THEN 'no_such' ELSE 'suggest_fix' END AS tool,
+  CASE o_orderkey % 3 WHEN 0 THEN CAST(length(o_orderpriority) AS VARCHAR) WHEN 1 THEN 'Error: unknown tool: no_such' ELSE 'Error: invalid arguments' END AS tool_result
+FROM orders"""
 _canned = """CASE WHEN file_no % 7 = 0 THEN 'service unavailable' WHEN file_no % 5 = 0 THEN 'no JSON found in response' ELSE '' END"""
 ORACLES["file_reviews"] = f"""
 SELECT review_id, file_no, error, CASE WHEN error = '' THEN 'file ' || CAST(file_no AS VARCHAR) END AS summary,

@@ -463,6 +463,30 @@ def line_comments(spark, sf):
     )
 
 
+@query
+def custom_prompt(spark, sf):
+    """Requests made with the caller's own templates."""
+    user = lambda path, diff, content: F.concat(F.lit("P "), F.col(path), F.lit(" D "), F.col(diff), F.lit(" C "), F.col(content))
+    rows = review.review_requests(_inputs(spark, sf), system="be brief", user=user)
+    return rows.select("review_id", "file_no", c("messages")[0]["content"].alias("system"), c("messages")[1]["content"].alias("user"))
+
+
+@query
+def custom_tool(spark, sf):
+    """One step of tool calls with a tool of the caller's, an unknown one and a refused one."""
+    elements = _elements(spark, sf)
+    calls = views.table(spark, sf, "orders").selectExpr(
+        "o_custkey AS review_id", "o_orderkey AS file_no", "'' AS framework", "false AS framework_found", "'' AS response", "'' AS error",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'measure' WHEN 1 THEN 'no_such' ELSE 'suggest_fix' END AS tool",
+        "CASE o_orderkey % 3 WHEN 0 THEN to_json(named_struct('of', o_orderpriority)) ELSE '[]' END AS args",
+        f"CAST(array() AS ARRAY<{agent.CALL_TYPE}>) AS tool_calls",
+    )
+    measure = lambda rows: rows.withColumn("tool_result", F.length(F.get_json_object("args", "$.of")).cast("string"))
+    done = agent.run_tools(calls, canned.canned_any, elements, index.build_index(elements), {"measure": measure}, attempts=1)
+    call = c("tool_calls")[0]
+    return done.select("review_id", "file_no", call["name"].alias("tool"), call["result"].alias("tool_result"))
+
+
 @query
 def file_reviews(spark, sf):
     """Prompt, completion, decoding for every file, with canned answers."""
