@@ -96,7 +96,7 @@ class PrefixCounter:
 
     def differences(self, piece: str) -> bytes:
         """The differences along one piece, the first against no tokens at all."""
-        if piece.isspace():
+        if piece.strip(" \t\n\r\x0b\x0c\x85\xa0") == "":  # blanks of the common characters; others never come here
             return bytes(len(piece))
         if CONTRACTION.match(piece):  # its prefixes are cut differently
             totals = [sum(self.totals(w)[-1] for w in self.cut_prefix(piece[:k])) for k in range(1, len(piece))]

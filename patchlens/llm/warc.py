@@ -203,6 +203,7 @@ def write_archives(
 
     A retried task writes the same file again under another name and then moves it into place.
     """
+    shared_store(folder)  # there is a folder to read even if there are no pages
     rows = pages.select(
         F.col(own).alias("own"), F.coalesce(F.col(target), F.lit("")).alias("target"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
