@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm import byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, token_counts, toxicity, warc
+from patchlens.llm.workers import find_package
 from patchlens.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
