@@ -35,6 +35,7 @@ from patchlens.session import materialize
 SHARE = 2.0**-20  # of all tokens, from which a word is clustered by itself
 CLASSES = 48  # the first is that of the end token alone
 PASSES = 5
+SHARD = 8_192  # words and types that are moved one after another; shards do not see each other's moves of the same pass
 SMOOTHING = 5.0  # pseudo-counts of the overall class distribution behind each class
 HELD = 500_000  # words a task counts before it passes them on
 
@@ -315,7 +316,7 @@ def score(docs: DataFrame, train: Column, own: str = "doc_id", text: str = "text
     learning = corpus.where("train")
 
     classes = start_classes(vocabulary.names(), vocabulary.size)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), vocabulary.size * CLASSES // (1 << 20))
+    shards = -(-vocabulary.size // SHARD)
     for _ in range(PASSES):
         classes, _ = class_pass(learning, classes, shards)
     pairs = pair_counts(learning, classes).astype(np.float64)
