@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000  # words whose tokens, and states, a worker remembers
+CACHE = 300_000  # words whose tokens a worker remembers
+STATES = 120_000
 START = -1
 
 
@@ -36,7 +37,7 @@ class Transducer:
     def reset(self):
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.next: list[dict[int, tuple[int, tuple]]] = []
+        self.next: dict[int, tuple[int, tuple]] = {}  # by state << 8 | byte
         self.start = self.number(self.first)
 
     def number(self, state: tuple) -> int:
@@ -45,7 +46,6 @@ class Transducer:
         if found is None:
             found = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.next.append({})
         return found
 
     def follow(self, number: int, byte: int) -> tuple[int, tuple]:
@@ -78,21 +78,35 @@ class Transducer:
             if shared:
                 emitted, context = low[:shared], low[shared - 1]
                 opens = [(pending[shared:], node) for pending, node in opens]
-        made = self.next[number][byte] = (self.number((context, tuple(opens))), emitted)
+        made = self.next[number << 8 | byte] = (self.number((context, tuple(opens))), emitted)
         return made
 
     def tokens(self, word: bytes) -> list[int]:
-        if len(self.states) > CACHE // 2:
+        if len(self.states) > STATES:
             self.reset()
-        at, out, steps = self.start, [], self.next
-        for byte in word:
-            step = steps[at].get(byte) or self.follow(at, byte)
-            at, emitted = step
+        at, out, known = self.start, [], self.next.get
+        for byte in word[:-1]:
+            at, emitted = known(at << 8 | byte) or self.follow(at, byte)
             if emitted:
                 out += emitted
-        out += self.states[at][1][-1][0]  # at the end only the start behind the last byte counts
+        out += self.close(at, word[-1]) if word else ()
         return out
 
+    def close(self, number: int, byte: int) -> tuple:
+        """The tokens left at the end of a word: at its last byte only the start behind it counts, and no state is needed."""
+        m = self.merges
+        step, token_at, seen = m.trie.at.get, m.trie.first, m.seen.get
+        context, before = self.states[number]
+        for pending, node in before:
+            node = step(node << 8 | byte)
+            token = None if node is None else token_at[node]
+            if token is not None:
+                last = pending[-1] if pending else context
+                fits = last == START or seen(last << 20 | token)
+                if m.together(last, token) if fits is None else fits:
+                    return (*pending, token)
+        raise ValueError("a byte without a token")
+
 
 class Encoder:
     def __init__(self, path: str, pattern: str):
@@ -254,6 +268,32 @@ def decode(ids: Column, ranks: str, piece: int = 4096) -> Column:
     return bytes_of(ids)
 
 
+def round_trip(text: Column, ranks: str, pattern: str, piece: int = 4096) -> Column:
+    """struct<ids: array<int>, bytes: binary, malformed: int>: the ids of the text and what these ids decode to.
+
+    Both in one pass: as two columns, one made of the other, the encoding would run twice.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, bytes: binary, malformed: int>")
+    def both(texts: pa.Array) -> pa.Array:
+        from patchlens.llm.byte_bpe import decoder, encoder
+
+        tool, reader = encoder(ranks, pattern), decoder(ranks)
+        starts, parts, raws, malformed = [0], [], [], []
+        for t in texts.to_pylist():
+            ids = np.array(tool.encode(t), dtype=np.int32)
+            parts.append(ids)
+            starts.append(starts[-1] + len(ids))
+            reader.reset()
+            raws.append(b"".join([*(reader.feed(ids[at : at + piece]) for at in range(0, len(ids), piece)), reader.finish()]))
+            malformed.append(reader.malformed)
+        flat = np.concatenate(parts) if parts else np.array([], np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.StructArray.from_arrays([ids, pa.array(raws, pa.binary()), pa.array(malformed, pa.int32())], ["ids", "bytes", "malformed"])
+
+    return both(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def with_ids(docs: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     return docs.withColumn(out, encode(F.col(text), ranks, pattern))
 

@@ -45,13 +45,12 @@ def op1_token_counts(spark, sf):
 @query
 def op3_byte_bpe(spark, sf):
     ranks = public_tokenizers.path(BYTE_RANKS)
-    ids = byte_bpe.with_ids(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    decoded = byte_bpe.with_decoded(ids, ranks)
-    return decoded.select(
+    made = table(spark, sf, "documents").select("doc_id", byte_bpe.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("made"))
+    return made.select("doc_id", "made.ids", "made.bytes").select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded.bytes", 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 

@@ -84,7 +84,7 @@ def test_transducer_decides_early():
     t = byte_bpe.encoder(RANKS, P.PATTERN).transducer
     at, pending = t.start, 0
     for byte in b"international" * 30:
-        step = t.next[at].get(byte) or t.follow(at, byte)
+        step = t.next.get(at << 8 | byte) or t.follow(at, byte)
         at = step[0]
         pending = max(pending, max(len(p) for p, _ in t.states[at][1]))
     assert pending <= 12
@@ -111,10 +111,11 @@ def test_utf8_machine_and_streaming():
 def test_encode_and_decode_on_spark(spark, byte_library):
     rows = [(i, t) for i, t in enumerate([*texts(7, 60), None])]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2))
-    made = byte_bpe.with_decoded(byte_bpe.with_ids(df, RANKS, P.PATTERN), RANKS).withColumn("sha", F.sha2("decoded.bytes", 256))
+    made = byte_bpe.with_decoded(byte_bpe.with_ids(df, RANKS, P.PATTERN), RANKS).withColumn("sha", F.sha2("decoded.bytes", 256)).withColumn("both", byte_bpe.round_trip(F.col("text"), RANKS, P.PATTERN))
     for r in made.collect():
         t = dict(rows)[r.doc_id] or ""
         assert r.ids == byte_library.encode_ordinary(t)
+        assert (r.both.ids, r.both.bytes, r.both.malformed) == (r.ids, r.decoded.bytes, 0)
         assert r.sha == hashlib.sha256(t.encode()).hexdigest() and r.decoded.malformed == 0
     broken = spark.createDataFrame([([128 + 70],), (None,), ([],)], "ids array<int>")
     assert byte_bpe.with_decoded(broken, RANKS).where("ids is null and decoded.bytes is not null").count() == 0
