@@ -47,10 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the tokens of every document, decoded once to show that nothing is lost."""
     ranks = public_tokenizers.path(RANKS)
-    ids = byte_bpe.with_ids(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.with_decoded(ids, ranks)
-    same = F.col("decoded.bytes") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+    made = docs.select(*COLUMNS, byte_bpe.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("made"))
+    same = F.col("made.bytes") == F.coalesce("text", F.lit("")).cast("binary")
+    return made.select("doc_id", "lang", "source", "made.ids", F.size("made.ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
