@@ -51,6 +51,8 @@ def language_sql(path: str) -> str:
     return f"coalesce((SELECT max(language) FROM (VALUES {LANGUAGE_ROWS}) l(suffix, language) WHERE ends_with({path}, suffix)), 'code')"
 
 
+ORACLES["document_round_trip"] = with_views(V_ELEMENTS, select="SELECT framework, type, name, file_path, line, body, 'fmt' AS imports FROM v_elements")
+ORACLES["stored_search"] = with_views(V_ELEMENTS, select="SELECT framework, count(*) AS elements FROM v_elements GROUP BY framework")
 ORACLES["path_prune"] = with_views(V_ELEMENTS, select=r"""
 SELECT element_id, file_path,
   NOT regexp_matches(file_path, '(^|/)(vendor|testdata|\.[^/]*)/') AND file_path LIKE '%.go' AND file_path NOT LIKE '%\_test.go' ESCAPE '\' AS indexed,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from patchlens.operators import (
     agent, answers, comments, extract, index, inputs, notes, review, review_stats, search,
 )
 from patchlens.plans import canned, views
+from patchlens.session import shared_dir
+from patchlens.sources import store
 from patchlens.streaming import webhooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +192,30 @@ def framework_catalog(spark, sf):
     return index.framework_catalog(_elements(spark, sf)).withColumn("packages", F.array_join("packages", ","))
 
 
+@query
+def document_round_trip(spark, sf):
+    """Elements exported as JSON lines and read back."""
+    elements = _elements(spark, sf).select(
+        "framework", "type", "name", "package", "file_path", "line", F.lit("").alias("signature"), "doc", "body", F.lit("").alias("receiver"),
+        F.array(F.lit("fmt")).alias("imports"), F.array().cast("array<string>").alias("references"),
+    )
+    catalog = index.framework_catalog(_elements(spark, sf)).withColumns({"repo_url": F.lit("u"), "local_path": F.lit("")})
+    path = f"{shared_dir(spark).rstrip('/')}/patchlens/documents-{uuid.uuid4().hex}"
+    store.export_documents(elements, catalog, path)
+    return store.import_documents(spark, path, lines=True).select("framework", "type", "name", "file_path", "line", "body", F.array_join("imports", ",").alias("imports"))
+
+
+@query
+def stored_search(spark, sf):
+    """The elements of stored frameworks, saved twice: the second save replaces, nothing is added."""
+    path = f"{shared_dir(spark).rstrip('/')}/patchlens/store-{uuid.uuid4().hex}"
+    elements = _elements(spark, sf)
+    store.save_frameworks(elements.where("element_id % 2 = 0"), path)
+    store.save_frameworks(elements, path)
+    stored = spark.read.parquet(f"{path}/elements").groupBy("framework").agg(F.count("*").alias("elements"))
+    return stored.join(store.list_frameworks(spark, path), "framework")
+
+
 @query
 def framework_list(spark, sf):
     return _elements(spark, sf).select("framework").distinct().orderBy("framework")

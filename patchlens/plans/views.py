@@ -181,14 +181,8 @@ def select_sql(view: dict[str, str], table: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables.
-
-    A table of fewer files than the session has cores (the test data: one file with
-    one row group, which one task would read) is spread first; others stay as they are.
-    """
-    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, definition: dict[str, str], name: str) -> DataFrame:

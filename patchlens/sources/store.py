@@ -16,7 +16,6 @@ ELEMENT_TYPE = (
 DOCUMENT_TYPE = (
     f"name string, repo_url string, local_path string, element_count bigint, packages array<string>, elements array<{ELEMENT_TYPE}>"
 )
-ELEMENTS_PER_DOCUMENT = 50_000
 
 
 def _overwrite(df: DataFrame, path: str) -> None:
@@ -75,27 +74,21 @@ def load_index(spark: SparkSession, path: str, name: str | None = None) -> Keywo
 def import_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Elements out of nested framework documents, without element_id.
 
-    By default each file is one (indented) document; with `lines` each line is one,
-    as export_documents writes them.
+    By default each file is one (indented) document; with `lines` each line is a record,
+    as export_documents writes them: a document, or one element beside its framework's name.
     """
-    documents = spark.read.schema(DOCUMENT_TYPE).json(path, multiLine=not lines)
-    return documents.select(F.col("name").alias("framework"), F.explode("elements").alias("e")).select("framework", "e.*")
+    documents = spark.read.schema(f"{DOCUMENT_TYPE}, element {ELEMENT_TYPE}").json(path, multiLine=not lines)
+    found = documents.select(F.col("name").alias("framework"), F.explode(F.concat(F.coalesce("elements", F.array()), F.array("element"))).alias("e"))
+    return found.where("e IS NOT NULL").select("framework", "e.*")
 
 
-def export_documents(elements: DataFrame, catalog: DataFrame, path: str, per_document: int = ELEMENTS_PER_DOCUMENT) -> None:
-    """Nested framework documents, one JSON object per line.
+def export_documents(elements: DataFrame, catalog: DataFrame, path: str) -> None:
+    """Frameworks as JSON lines: per framework one record with its header, and one per element.
 
-    A framework's elements are cut by id into documents of bounded size, each with
-    the full header; import_documents puts them together again.
+    The records are the same whatever the size of a framework, and none holds more than
+    one element. import_documents puts them together again.
     """
-    item = F.struct("element_id", F.struct(*ELEMENT_COLUMNS).alias("e"))
-    parts = (
-        elements.withColumn("part", F.expr(f"element_id div {per_document}"))
-        .groupBy("framework", "part")
-        .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["e"]).alias("elements"))
-    )
-    headers = catalog.select("framework", "repo_url", "local_path", "element_count", "packages")
-    documents = parts.join(headers, "framework").select(
-        F.col("framework").alias("name"), "repo_url", "local_path", "element_count", "packages", "elements"
-    )
-    documents.write.mode("overwrite").json(path)
+    headers = catalog.select(F.col("framework").alias("name"), "repo_url", "local_path", "element_count", "packages")
+    items = elements.select(F.col("framework").alias("name"), F.struct(*ELEMENT_COLUMNS).alias("element"))
+    headers.unionByName(items, allowMissingColumns=True).write.mode("overwrite").json(path)
+

@@ -13,6 +13,7 @@ from patchlens.operators import agent, index, review, search
 from patchlens.operators.complete import lookup_complete_fn
 from patchlens.operators.extract import ELEMENT_COLUMNS
 from patchlens.operators.inputs import merge_request_versions
+from patchlens.session import shared_dir
 from patchlens.sources import remote, store
 from patchlens.streaming import webhooks
 
@@ -161,9 +162,9 @@ def test_documents_round_trip(spark, tmp_path):
     path = str(tmp_path / "docs")
     rows = store_rows(spark, "a", [f"F{i}" for i in range(7)], ["p"] * 7)
     catalog = index.framework_catalog(rows).withColumn("repo_url", F.lit("u")).withColumn("local_path", F.lit(""))
-    store.export_documents(rows, catalog, path, per_document=3)  # several documents of one framework
-    documents = spark.read.json(path).collect()
-    assert len(documents) == 3 and {d.element_count for d in documents} == {7}
+    store.export_documents(rows, catalog, path)
+    records = spark.read.json(path).collect()
+    assert len(records) == 8 and [r.element_count for r in records if r.element is None] == [7]
     back = store.import_documents(spark, path, lines=True)
     assert sorted(tuple(r) for r in back.select(ELEMENT_COLUMNS).collect()) == sorted(tuple(r) for r in rows.select(ELEMENT_COLUMNS).collect())
     nested = tmp_path / "nested"
@@ -172,6 +173,39 @@ def test_documents_round_trip(spark, tmp_path):
     assert [(r.framework, r.name, r.line) for r in store.import_documents(spark, str(nested)).collect()] == [("g", "S", 4)]
 
 
+def test_results_are_written_as_json_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.go", ""), (2, "b.go", "late")], "review_id int, file_path string, error string")
+    remote.write_results(rows, str(tmp_path / "results"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "results")).select(rows.columns).collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        conf = {}
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("Context", (), {"getCheckpointDir": lambda self: type("None_", (), {"isDefined": lambda self: False})()})())
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
+def test_failed_rows_are_not_reviewed(spark):
+    """Rows that bring an error keep it on every way, and the model is not asked about them."""
+    elements = store_rows(spark, "a", ["GetItem"], ["p"])
+    rows = [(1, i, "a.go", "" if i < 4 else "+x", "a", i % 2 == 0, "no input provided" if i < 4 else "") for i in range(6)]
+    df = spark.createDataFrame(rows, "review_id bigint, file_no bigint, file_path string, diff string, framework string, use_agent boolean, error string").withColumn("full_content", F.lit(""))
+
+    def answer(requests):
+        assert all("+x" in m[-1]["content"] for m in requests)
+        return [(ANSWER, None, None) for _ in requests]
+
+    found = {r.file_no: r for r in review.review_all(df, answer, elements, index.build_index(elements), attempts=1).collect()}
+    assert [found[i].error for i in range(6)] == ["no input provided"] * 4 + [""] * 2
+    assert all(found[i].result is None for i in range(4))
+
+
 def test_fetch_and_delivery_errors_are_rows(spark):
     keys = spark.createDataFrame([(1,), (2,)], "iid int")
     got = {r.iid: r for r in remote.fetch_payloads(keys, lambda k: {1: "{}"}[k["iid"]]).collect()}
