@@ -119,17 +119,16 @@ class Encoder:
         self.transducer = Transducer(path)
         self.known = Recent(self.word, CACHE)
 
-    def word(self, word: str) -> array:
+    def word(self, word: str) -> bytes:
+        """Ids as 32-bit integers."""
         raw, merges = word.encode(), self.transducer.merges
         whole = merges.ids.get(raw)
         # A listed word is one token even where no joins lead to it.
-        return array("i", [whole] if whole is not None and not merges.reachable(whole) else self.transducer.tokens(raw))
+        return array("i", [whole] if whole is not None and not merges.reachable(whole) else self.transducer.tokens(raw)).tobytes()
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        for found in map(self.known.__getitem__, (self.cut_any if self.rare(text) else self.cut)(text)):
-            out += found
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        cut = self.cut_any if self.rare(text) else self.cut
+        return np.frombuffer(b"".join(map(self.known.__getitem__, cut(text))), dtype=np.int32)
 
 
 # The open part of a character: bytes still to come, and the range of the next one.
@@ -236,7 +235,7 @@ def encode(text: Column, ranks: str, pattern: str) -> Column:
 
         tool, starts, parts = encoder(ranks, pattern), [0], []
         for t in texts.to_pylist():
-            parts.append(np.array(tool.encode(t), dtype=np.int32))
+            parts.append(tool.encode(t))
             starts.append(starts[-1] + len(parts[-1]))
         flat = np.concatenate(parts) if parts else np.array([], np.int32)
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
@@ -281,7 +280,7 @@ def round_trip(text: Column, ranks: str, pattern: str, piece: int = 4096) -> Col
         tool, reader = encoder(ranks, pattern), decoder(ranks)
         starts, parts, raws, malformed = [0], [], [], []
         for t in texts.to_pylist():
-            ids = np.array(tool.encode(t), dtype=np.int32)
+            ids = tool.encode(t)
             parts.append(ids)
             starts.append(starts[-1] + len(ids))
             reader.reset()

@@ -52,8 +52,8 @@ class Bags:
         return len(codes), v / size if size else v
 
 
-def bags(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(n_tokens, bag) of every document, with source and lang."""
+def bags(docs: DataFrame, own: str = "doc_id", text: str = "text") -> DataFrame:
+    """(own, chance, source, lang, n_tokens, bag) of every document."""
 
     def make(batches):
         from patchlens.llm import mixing
@@ -62,16 +62,20 @@ def bags(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             found = [tool.bag(t) for t in batch.column("text").to_pylist()]
             flat = np.concatenate([v for _, v in found]) if found else np.array([], np.float32)
+            rest = ["own", "chance", "source", "lang"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("source"), batch.column("lang"), pa.array([n for n, _ in found], pa.int64()),
+                    *(batch.column(c) for c in rest), pa.array([n for n, _ in found], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * mixing.DIMENSIONS, pa.int32()), pa.array(flat, pa.float32())),
                 ],
-                names=["source", "lang", "n_tokens", "bag"],
+                names=[*rest, "n_tokens", "bag"],
             )
 
-    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(make, "source string, lang string, n_tokens bigint, bag array<float>")
+    rows = docs.select(
+        F.col(own).cast("bigint").alias("own"), chance(F.col(own), F.col(text)).alias("chance"), F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
+    return rows.mapInArrow(make, "own bigint, chance double, source string, lang string, n_tokens bigint, bag array<float>")
 
 
 def first_centres(made: DataFrame, topics: int) -> np.ndarray:
@@ -191,19 +195,25 @@ def chance(own: Column, text: Column) -> Column:
     return F.shiftrightunsigned(h, 11) / float(1 << 53)
 
 
-def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, dict | None] | None = None, own: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs and topic, n_tokens, weight, probability and kept."""
-    made = materialize(bags(docs, text), "bags")
-    centres = centres_of(made)
-
+def nearest_topic(bag: Column, centres: np.ndarray) -> Column:
     @F.arrow_udf("int")
     def nearest(v: pa.Array) -> pa.Array:
         return pa.array(np.argmax(v.flatten().to_numpy().reshape(-1, centres.shape[1]) @ centres.T, axis=1), pa.int32())
 
-    cells = made.select("source", "lang", nearest("bag").alias("topic"), "n_tokens").groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    cells = materialize(calibrated(rake(cells, targets or {"source": None, "lang": None, "topic": None}), share), "cells")
-    found = docs.withColumn("_found", topic_of(F.col(text), centres))
-    rows = found.withColumn("topic", F.col("_found.topic")).withColumn("n_tokens", F.col("_found.n_tokens")).drop("_found", "weight", "probability", "kept")
+    return nearest(bag)
+
+
+def fitted(docs: DataFrame, share: float, targets: dict[str, dict | None] | None, own: str, text: str) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(bags of the documents, topic centres, cells with weight and probability)."""
+    made = materialize(bags(docs, own, text), "bags")
+    centres = centres_of(made)
+    cells = made.select("source", "lang", nearest_topic(F.col("bag"), centres).alias("topic"), "n_tokens")
+    cells = cells.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    return made, centres, materialize(calibrated(rake(cells, targets or {"source": None, "lang": None, "topic": None}), share), "cells")
+
+
+def with_probability(rows: DataFrame, cells: DataFrame, own: str) -> DataFrame:
+    """rows of source, lang and topic with the weight of a token and the probability of a document of their cell."""
     # Null-safe keys as one value, so that the join is an equality of hashes.
     key = lambda: F.to_json(F.struct(F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"), F.col("topic").alias("t")))
     small = cells.select(key().alias("_cell"), (F.col("weight") / F.greatest(F.col("tokens"), F.lit(1))).alias("weight"), "probability")
@@ -212,4 +222,20 @@ def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, dict | None] | N
         joined = rows.join(F.broadcast(small), "_cell", "left")
     else:
         joined = joins.spread_join(rows, small, ["_cell"], [own], "left")
-    return joined.drop("_cell").withColumn("kept", chance(F.col(own), F.col(text)) < F.col("probability"))
+    return joined.drop("_cell")
+
+
+def weigh(docs: DataFrame, share: float = 0.5, targets: dict[str, dict | None] | None = None, own: str = "doc_id", text: str = "text") -> DataFrame:
+    """(own, source, lang, topic, n_tokens, weight, probability, kept) of every document; texts are read once."""
+    made, centres, cells = fitted(docs, share, targets, own, text)
+    rows = made.select("own", "chance", "source", "lang", nearest_topic(F.col("bag"), centres).alias("topic"), "n_tokens")
+    found = with_probability(rows, cells, "own")
+    return found.select(F.col("own").alias(own), "source", "lang", "topic", "n_tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("kept"))
+
+
+def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, dict | None] | None = None, own: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs and topic, n_tokens, weight, probability and kept; topics are told again from the texts, so that these need no shuffle."""
+    _, centres, cells = fitted(docs, share, targets, own, text)
+    found = docs.withColumn("_found", topic_of(F.col(text), centres))
+    rows = found.withColumn("topic", F.col("_found.topic")).withColumn("n_tokens", F.col("_found.n_tokens")).drop("_found", "weight", "probability", "kept")
+    return with_probability(rows, cells, own).withColumn("kept", chance(F.col(own), F.col(text)) < F.col("probability"))

@@ -112,8 +112,7 @@ def op5_hnsw(spark, sf):
 
 @query
 def op2_mixing(spark, sf):
-    mixed = mixing.mix(table(spark, sf, "documents"), share=0.5)
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return mixing.weigh(table(spark, sf, "documents"), share=0.5)
 
 
 @query

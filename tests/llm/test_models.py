@@ -163,6 +163,9 @@ def test_mixture_samples_by_probability(spark):
     rows += [(None, "a b", None, None), (7, None, "s0", "lTrue")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").withColumn("topic", F.lit("clash"))
     made = mixing.mix(df, share=0.5).collect()
+    weighed = mixing.weigh(df, share=0.5).collect()
+    key = lambda r: (r.doc_id or -1, r.topic, r.n_tokens, r.weight, r.probability, r.kept)
+    assert sorted(map(key, weighed)) == sorted(map(key, made))
     assert len(made) == len(rows) and all(r.probability is not None for r in made)
     tokens = sum(r.n_tokens for r in made)
     assert abs(sum(r.n_tokens for r in made if r.kept) / tokens - 0.5) < 0.04
