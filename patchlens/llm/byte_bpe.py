@@ -11,26 +11,24 @@ tokens inside a text are ordinary text; null ids decode to null, unknown ids rai
 give equal results; other columns, whatever their names, are kept.
 """
 
+import base64
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000  # words whose tokens a worker remembers
-STATES = 120_000
+CACHE = 200_000  # words whose tokens a worker remembers
+STATES = 80_000
 START = -1
 
 
 class Transducer:
     """Tokens of one word after another."""
 
-    def __init__(self, path: str):
-        from patchlens.llm.merges import rank_merges
-
-        self.merges = rank_merges(path)
+    def __init__(self, merges):
+        self.merges = merges
         self.first = (START, (((), 0),))
         self.reset()
 
@@ -112,11 +110,11 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        from patchlens.llm.merges import Recent, common_pattern
+        from patchlens.llm.merges import RankMerges, Recent, common_pattern
 
         self.cut_any = regex.compile(pattern).findall
         self.cut, self.rare = common_pattern(pattern)
-        self.transducer = Transducer(path)
+        self.transducer = Transducer(RankMerges(path))
         self.known = Recent(self.word, CACHE)
 
     def word(self, word: str) -> bytes:
@@ -158,9 +156,8 @@ class StreamDecoder:
     """Bytes and characters of ids that arrive in pieces; a character cut by a piece waits for its rest."""
 
     def __init__(self, path: str):
-        from patchlens.llm.merges import rank_merges
-
-        self.raw_of = rank_merges(path).raw_of
+        with open(path, "rb") as file:
+            self.raw_of = {int(rank): base64.b64decode(raw) for raw, rank in (line.split() for line in file if line.strip())}
         self.steps: dict[tuple, tuple] = {}
         self.whole = np.zeros(max(self.raw_of) + 1, dtype=bool)
         for token in self.raw_of:
@@ -216,14 +213,16 @@ class StreamDecoder:
         return rest
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
+    from patchlens.llm.workers import tool
+
+    return tool(("byte_bpe", path, pattern), lambda: (Encoder(path, pattern), StreamDecoder(path)))
 
 
-@lru_cache(maxsize=2)
 def decoder(path: str) -> StreamDecoder:
-    return StreamDecoder(path)
+    from patchlens.llm.workers import tool
+
+    return tool(("byte_bpe decoder", path), lambda: StreamDecoder(path))
 
 
 def encode(text: Column, ranks: str, pattern: str) -> Column:
@@ -231,9 +230,9 @@ def encode(text: Column, ranks: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        from patchlens.llm.byte_bpe import encoder
+        from patchlens.llm.byte_bpe import coder
 
-        tool, starts, parts = encoder(ranks, pattern), [0], []
+        (tool, _), starts, parts = coder(ranks, pattern), [0], []
         for t in texts.to_pylist():
             parts.append(tool.encode(t))
             starts.append(starts[-1] + len(parts[-1]))
@@ -275,9 +274,9 @@ def round_trip(text: Column, ranks: str, pattern: str, piece: int = 4096) -> Col
 
     @F.arrow_udf("struct<ids: array<int>, bytes: binary, malformed: int>")
     def both(texts: pa.Array) -> pa.Array:
-        from patchlens.llm.byte_bpe import decoder, encoder
+        from patchlens.llm.byte_bpe import coder
 
-        tool, reader = encoder(ranks, pattern), decoder(ranks)
+        tool, reader = coder(ranks, pattern)
         starts, parts, raws, malformed = [0], [], [], []
         for t in texts.to_pylist():
             ids = tool.encode(t)

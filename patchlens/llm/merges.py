@@ -8,7 +8,6 @@ of the pieces at the seam, without encoding anything.
 import base64
 import json
 import re
-from functools import lru_cache
 
 START = -1  # stands for "nothing before"
 NEVER = 1 << 60
@@ -84,7 +83,7 @@ class Merges:
         key = x << 20 | y
         known = self.seen.get(key)
         if known is None:
-            if len(self.seen) > 600_000:
+            if len(self.seen) > 400_000:
                 self.seen.clear()
             known = self.seen[key] = self._stay_apart(x, y)
         return known
@@ -234,13 +233,3 @@ class RankMerges(Merges):
         super().__init__(spelling, lambda x, y: ids.get(raw_of[x] + raw_of[y]), lambda x, y: ids[raw_of[x] + raw_of[y]], base)
         self.tokens = {raw: t for raw, t in ids.items() if self.reachable(t)}
         self.trie = Trie(self.tokens, {})
-
-
-@lru_cache(maxsize=2)
-def word_merges(path: str) -> WordMerges:
-    return WordMerges(path)
-
-
-@lru_cache(maxsize=2)
-def rank_merges(path: str) -> RankMerges:
-    return RankMerges(path)

@@ -57,8 +57,9 @@ def bags(docs: DataFrame, own: str = "doc_id", text: str = "text") -> DataFrame:
 
     def make(batches):
         from patchlens.llm import mixing
+        from patchlens.llm.workers import tool as kept
 
-        tool = mixing.Bags()
+        tool = kept(("mixing",), mixing.Bags)
         for batch in batches:
             found = [tool.bag(t) for t in batch.column("text").to_pylist()]
             flat = np.concatenate([v for _, v in found]) if found else np.array([], np.float32)
@@ -120,8 +121,9 @@ def topic_of(text: Column, centres: np.ndarray) -> Column:
     @F.arrow_udf("struct<topic: int, n_tokens: bigint>")
     def assign(texts: pa.Array) -> pa.Array:
         from patchlens.llm import mixing
+        from patchlens.llm.workers import tool as kept
 
-        tool = mixing.Bags()
+        tool = kept(("mixing",), mixing.Bags)
         found = [tool.bag(t) for t in texts.to_pylist()]
         v = np.array([x for _, x in found], dtype=np.float32).reshape(-1, centres.shape[1])
         return pa.StructArray.from_arrays([pa.array(np.argmax(v @ centres.T, axis=1), pa.int32()), pa.array([n for n, _ in found], pa.int64())], ["topic", "n_tokens"])

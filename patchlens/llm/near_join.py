@@ -101,8 +101,9 @@ def signatures(docs: DataFrame, own: str, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from patchlens.llm import near_join as nj
+        from patchlens.llm.workers import tool as kept
 
-        tool = nj.Shingler()
+        tool = kept(("near_join",), nj.Shingler)
         for batch in batches:
             ns, digests, sigs, keys = [], [], [], []
             for t in batch.column("text").to_pylist():
@@ -309,8 +310,9 @@ def verified(docs: DataFrame, classes: DataFrame, components_: DataFrame, own: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from patchlens.llm import near_join as nj
+        from patchlens.llm.workers import tool as kept
 
-        tool = nj.Shingler()
+        tool = kept(("near_join",), nj.Shingler)
         for batch in batches:
             found = [tool.shingles(t) for t in batch.column("text").to_pylist()]
             keep = [nj.digest(s) == d for s, d in zip(found, batch.column("want").to_pylist())]

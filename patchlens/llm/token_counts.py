@@ -14,7 +14,6 @@ give equal results; other columns, whatever their names, are kept.
 """
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,9 @@ class PrefixCounter:
         import regex
         from tokenizers import Tokenizer, normalizers
 
-        from patchlens.llm.merges import Recent, common_pattern, word_merges
+        from patchlens.llm.merges import Recent, WordMerges, common_pattern
 
-        self.merges = word_merges(path)
+        self.merges = WordMerges(path)
         assert self.merges.longest < 127, "a difference of counts is stored in one signed byte"
         library = Tokenizer.from_file(path)
         self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
@@ -132,9 +131,10 @@ class PrefixCounter:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    from patchlens.llm.workers import tool
+
+    return tool(("token_counts", path), lambda: PrefixCounter(path))
 
 
 def prefix_counts(text: Column, vocabulary: str, budget: int) -> Column:

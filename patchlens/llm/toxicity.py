@@ -241,8 +241,10 @@ def passages(text: Column, model: dict) -> Column:
     @F.arrow_udf("struct<score: double, passages: array<struct<start: int, end: int, score: double, significance: double>>>")
     def scan(texts: pa.Array) -> pa.Array:
         from patchlens.llm import toxicity
+        from patchlens.llm.workers import tool as kept
 
-        tool, curve = toxicity.Scanner(model["lexicon"]), model["curve"]
+        lexicon, curve = model["lexicon"], model["curve"]
+        tool = kept(("toxicity", hash(frozenset(lexicon.items()))), lambda: toxicity.Scanner(lexicon))
         scores, passages = [], []
         for t in texts.to_pylist():
             n, found = tool.scan(t)

@@ -1,4 +1,4 @@
-"""Python workers must find this package: tasks import their helpers, and keep what they have built between tasks."""
+"""Python workers: they must find this package, as tasks import their helpers, and keep what they have built."""
 
 import os
 
@@ -17,3 +17,18 @@ def find_package(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+
+
+_kept: dict = {}
+
+
+def tool(key: tuple, make):
+    """What make() gives, kept by this worker for later tasks that ask for the same key.
+
+    A worker keeps one tool at a time: it serves the stages of a job one after another,
+    and what an earlier stage remembers must not take memory from a later one.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

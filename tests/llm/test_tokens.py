@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from patchlens.llm import byte_bpe, token_counts
-from patchlens.llm.merges import START, rank_merges, word_merges
+from patchlens.llm.merges import START, RankMerges, WordMerges
 
 WORDS = P.path("word_bpe_49k.json")
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -39,12 +39,12 @@ def byte_library():
 
 
 def test_neighbours_may_stand_together_exactly_if_their_text_is_encoded_so():
-    m, rng = rank_merges(RANKS), random.Random(3)
+    m, rng = RankMerges(RANKS), random.Random(3)
     some = rng.sample(sorted(m.raw_of), 300)
     for x, y in zip(some, some[1:]):
         assert m.together(x, y) == (m.reduce([*m.spelling(x), *m.spelling(y)]) == [x, y])
     assert m.together(START, some[0])
-    w = word_merges(WORDS)
+    w = WordMerges(WORDS)
     inner, final = rng.sample(sorted(w.inner.values()), 300), rng.sample(sorted(w.final.values()), 300)
     for x, y in zip(inner, final):
         assert w.together(x, y) == (w.reduce([*w.spelling(x), *w.spelling(y)]) == [x, y])
@@ -74,14 +74,14 @@ def test_counts_on_spark(spark, word_library):
 
 
 def test_transducer_gives_the_ids_of_the_library(byte_library):
-    tool = byte_bpe.encoder(RANKS, P.PATTERN)
+    tool = byte_bpe.Encoder(RANKS, P.PATTERN)
     for t in texts(2, 1500) + ["a" * n for n in range(40)]:
         assert list(tool.encode(t)) == byte_library.encode_ordinary(t), repr(t)
 
 
 def test_transducer_decides_early():
     """A long word is emitted on the way, not kept to its end."""
-    t = byte_bpe.encoder(RANKS, P.PATTERN).transducer
+    t = byte_bpe.Encoder(RANKS, P.PATTERN).transducer
     at, pending = t.start, 0
     for byte in b"international" * 30:
         step = t.next.get(at << 8 | byte) or t.follow(at, byte)
@@ -98,9 +98,9 @@ def test_utf8_machine_and_streaming():
             bad += more
         good = raw.decode("utf-8", "ignore").encode() == raw
         assert (bad == 0 and state == byte_bpe.CLOSED) == good, raw
-    decoder = byte_bpe.decoder(RANKS)
+    decoder = byte_bpe.StreamDecoder(RANKS)
     text = "naïve 🙂 漢字 end"
-    ids = byte_bpe.encoder(RANKS, P.PATTERN).encode(text)
+    ids = byte_bpe.Encoder(RANKS, P.PATTERN).encode(text)
     decoder.reset()
     parts = [decoder.feed(ids[i : i + 1]) for i in range(len(ids))]
     for part in parts:
