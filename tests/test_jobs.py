@@ -245,7 +245,7 @@ def test_event_stream(spark, tmp_path):
         str(tmp_path / "checkpoint"), on_batch=lambda notes, comments: seen.append((notes.count(), comments.count())), available_now=True, attempts=1,
     )
     query.awaitTermination(120)
-    assert query.exception() is None and seen == [(2, 2)]
+    assert query.exception() is None and seen == [(6, 2)]  # two notes of a head, a section and a foot
     written = spark.read.parquet(str(tmp_path / "out" / "comments")).collect()
     assert {(r.iid, r.kind) for r in written} == {(1, "discussion"), (4, "note")}
     heads = spark.read.parquet(str(tmp_path / "out" / "notes")).where("part = 0").collect()
