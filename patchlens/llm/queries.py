@@ -119,3 +119,29 @@ def op2_mixing(spark, sf):
 def op8_licences(spark, sf):
     docs = table(spark, sf, "documents")
     return licences.scan(docs, licences.fit(docs))
+
+
+_PIECES = "list_distinct(list_filter(string_split_regex({p}[66:], '[/,.]'), lambda y: y <> ''))"
+_NEAR = """CASE WHEN left(a, 64) = left({o}, 64) THEN 1.0 WHEN len(pa) + len(p{o}) = 0 THEN 0.0
+    ELSE 2.0 * len(list_intersect(pa, p{o})) / (len(pa) + len(p{o})) END"""
+_FIRST = "coalesce(list_filter(range(1, greatest(len({x}), len({y})) + 1), lambda i: {x}[i] IS DISTINCT FROM {y}[i])[1] - 1, 0)"
+ORACLES["op7_merkle"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), (SELECT t FROM d ORDER BY doc_id DESC LIMIT 1)) AS nx FROM d),
+e AS (SELECT doc_id, t, nx, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) AS ed FROM n),
+v AS (SELECT doc_id, 'a' AS k, t AS x FROM e UNION ALL SELECT doc_id, 'b', ed FROM e UNION ALL SELECT doc_id, 'c', nx FROM e),
+p AS (SELECT doc_id, k, generate_subscripts(string_split(x, chr(10)), 1) AS i, unnest(string_split(x, chr(10))) AS q FROM v),
+h AS (SELECT doc_id, k, i, sha256(q) AS dg, array_to_string(list_transform(regexp_extract_all(q, '{merkle.PIECE}'), lambda y: left(sha256(y), 8)), '.') AS pc FROM p),
+m AS (SELECT *, CASE WHEN dg < '4' THEN '/' ELSE ',' END AS mark FROM h),
+s AS (SELECT doc_id, k, string_agg(pc || mark, '' ORDER BY i) AS body, string_agg(dg || mark, '' ORDER BY i) AS dgs FROM m GROUP BY doc_id, k),
+f AS (SELECT doc_id, k, sha256(array_to_string(list_transform(string_split(dgs, '/'), lambda y: sha256(y)), '')) || ':' || body AS fp FROM s),
+w AS (SELECT doc_id, max(fp) FILTER (k = 'a') AS a, max(fp) FILTER (k = 'b') AS b, max(fp) FILTER (k = 'c') AS c FROM f GROUP BY doc_id),
+g AS (SELECT *, {_PIECES.format(p='a')} AS pa, {_PIECES.format(p='b')} AS pb, {_PIECES.format(p='c')} AS pc,
+    string_split(a[66:], '/') AS sa, string_split(b[66:], '/') AS sb FROM w),
+c AS (SELECT *, {_FIRST.format(x='sa', y='sb')} AS sec FROM g),
+r AS (SELECT *, string_split(coalesce(sa[sec + 1], ''), ',') AS xa, string_split(coalesce(sb[sec + 1], ''), ',') AS xb FROM c)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+  CAST({_NEAR.format(o='b')} AS DOUBLE) AS near_edited, CAST({_NEAR.format(o='c')} AS DOUBLE) AS near_next,
+  CASE WHEN left(a, 64) <> left(b, 64) THEN CAST(sec AS INTEGER) END AS edit_section,
+  CASE WHEN left(a, 64) <> left(b, 64) THEN CAST({_FIRST.format(x='xa', y='xb')} AS INTEGER) END AS edit_paragraph
+FROM r JOIN e USING (doc_id)"""
