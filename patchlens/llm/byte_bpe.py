@@ -233,7 +233,7 @@ def encode(text: Column, ranks: str, pattern: str) -> Column:
         from patchlens.llm.byte_bpe import coder
 
         (tool, _), starts, parts = coder(ranks, pattern), [0], []
-        for t in texts.to_pylist():
+        for t in (x.as_py() for x in texts):
             parts.append(tool.encode(t))
             starts.append(starts[-1] + len(parts[-1]))
         flat = np.concatenate(parts) if parts else np.array([], np.int32)
@@ -278,7 +278,7 @@ def round_trip(text: Column, ranks: str, pattern: str, piece: int = 4096) -> Col
 
         tool, reader = coder(ranks, pattern)
         starts, parts, raws, malformed = [0], [], [], []
-        for t in texts.to_pylist():
+        for t in (x.as_py() for x in texts):
             ids = tool.encode(t)
             parts.append(ids)
             starts.append(starts[-1] + len(ids))

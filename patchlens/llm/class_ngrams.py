@@ -74,7 +74,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column("text").to_pylist():
+            for t in (x.as_py() for x in batch.column("text")):
                 seen.update(cn.tokens(t))
                 seen[cn.END] += 1
                 if len(seen) > cn.HELD:
@@ -150,7 +150,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, own: str, text: str, train:
         known = Ids()
         for batch in batches:
             ids, starts, rare, times, rare_starts = [], [0], [], [], [0]
-            for t in batch.column("text").to_pylist():
+            for t in (x.as_py() for x in batch.column("text")):
                 words = cn.tokens(t)
                 row = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
                 few = Counter(words[i] for i in np.flatnonzero(row < 0).tolist())

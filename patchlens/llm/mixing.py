@@ -61,7 +61,7 @@ def bags(docs: DataFrame, own: str = "doc_id", text: str = "text") -> DataFrame:
 
         tool = kept(("mixing",), mixing.Bags)
         for batch in batches:
-            found = [tool.bag(t) for t in batch.column("text").to_pylist()]
+            found = [tool.bag(t) for t in (x.as_py() for x in batch.column("text"))]
             flat = np.concatenate([v for _, v in found]) if found else np.array([], np.float32)
             rest = ["own", "chance", "source", "lang"]
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +124,7 @@ def topic_of(text: Column, centres: np.ndarray) -> Column:
         from patchlens.llm.workers import tool as kept
 
         tool = kept(("mixing",), mixing.Bags)
-        found = [tool.bag(t) for t in texts.to_pylist()]
+        found = [tool.bag(t) for t in (x.as_py() for x in texts)]
         v = np.array([x for _, x in found], dtype=np.float32).reshape(-1, centres.shape[1])
         return pa.StructArray.from_arrays([pa.array(np.argmax(v @ centres.T, axis=1), pa.int32()), pa.array([n for n, _ in found], pa.int64())], ["topic", "n_tokens"])
 

@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, own: str, text: str) -> DataFrame:
         tool = kept(("near_join",), nj.Shingler)
         for batch in batches:
             ns, digests, sigs, keys = [], [], [], []
-            for t in batch.column("text").to_pylist():
+            for t in (x.as_py() for x in batch.column("text")):
                 s = tool.shingles(t)
                 ns.append(len(s))
                 digests.append(nj.digest(s))
@@ -314,7 +314,7 @@ def verified(docs: DataFrame, classes: DataFrame, components_: DataFrame, own: s
 
         tool = kept(("near_join",), nj.Shingler)
         for batch in batches:
-            found = [tool.shingles(t) for t in batch.column("text").to_pylist()]
+            found = [tool.shingles(t) for t in (x.as_py() for x in batch.column("text"))]
             keep = [nj.digest(s) == d for s, d in zip(found, batch.column("want").to_pylist())]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             shingles = pa.array([s.tobytes() for s, k in zip(found, keep) if k], pa.binary())

@@ -149,7 +149,7 @@ def prefix_counts(text: Column, vocabulary: str, budget: int) -> Column:
         from patchlens.llm.token_counts import fitting, prefix_counter
 
         counter = prefix_counter(vocabulary)
-        steps = [counter.along(t) for t in texts.to_pylist()]
+        steps = [counter.along(t) for t in (x.as_py() for x in texts)]
         totals = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in steps]
         fits = [fitting(d, budget) if n > budget else len(d) for d, n in zip(steps, totals)]
         return pa.StructArray.from_arrays([pa.array(steps, pa.binary()), pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["steps", "n_tokens", "fitting"])

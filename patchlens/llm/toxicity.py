@@ -183,7 +183,7 @@ def scanned(sample: DataFrame, lexicon: dict[str, float]) -> list:
 
         tool = Scanner(lexicon)
         for batch in batches:
-            found = [tool.scan(t) for t in batch.column("text").to_pylist()]
+            found = [tool.scan(t) for t in (x.as_py() for x in batch.column("text"))]
             yield pa.RecordBatch.from_pydict({
                 "toxic": batch.column("toxic"), "tokens": pa.array([n for n, _ in found], pa.int64()),
                 "scores": pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64())),
@@ -246,7 +246,7 @@ def passages(text: Column, model: dict) -> Column:
         lexicon, curve = model["lexicon"], model["curve"]
         tool = kept(("toxicity", hash(frozenset(lexicon.items()))), lambda: toxicity.Scanner(lexicon))
         scores, passages = [], []
-        for t in texts.to_pylist():
+        for t in (x.as_py() for x in texts):
             n, found = tool.scan(t)
             bits = toxicity.significances(n, found, model["decay"], model["scale"])
             x = toxicity.summary(n, found, model["decay"], model["scale"])
