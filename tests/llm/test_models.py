@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -194,3 +195,32 @@ def test_licence_lines_are_told_from_text(spark):
     found = licences.scan(df, licences.fit(df)).where("doc_id < 500").collect()
     assert {(r.doc_id, r.paragraph): r.family for r in found} == planted and all(r.confirmed for r in found)
     assert licences.scan(df.where("false"), licences.fit(df.where("doc_id < 20"))).count() == 0
+
+
+def licensed(n=400):
+    """Texts of which every fifth holds a notice as a line."""
+    rng = random.Random(8)
+    notices = [n for all_ in licences.NOTICES.values() for n in all_]
+    for i in range(n):
+        lines = [words(rng, rng.randint(2, 20), rng.choice("ab")) for _ in range(rng.randint(1, 6))]
+        if i % 5 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), notices[i // 5 % len(notices)])
+        yield i, "\n".join(lines)
+
+
+def grams(text):
+    found = [w.rstrip(".") for w in re.split(r"[^a-z0-9.]+", text.lower()) if w not in ("", ".")]
+    return {*found, *(f"{a} {b}" for a, b in zip(found, found[1:]))}
+
+
+def test_whole_notices_confirm_a_licence(spark):
+    tricky = {502: "the license of the mit is not apache, version nothing", 503: "the apache rode on", 504: "apache license", 505: "gpl", 506: "reserved seats", 507: "mit license", 508: "cc nc", 509: "mozilla public"}
+    texts = dict(licensed()) | tricky
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    found = licences.scan(df, licences.fit(df.where("doc_id < 500"))).collect()
+    assert any(r.doc_id >= 500 for r in found) and sum(r.doc_id < 500 for r in found) == 80
+    for r in found:
+        own = grams(texts[r.doc_id].split("\n")[r.paragraph - 1])
+        share = max(len(own & grams(n)) / len(grams(n)) for n in licences.NOTICES[r.family])
+        assert abs(r.resemblance - share) < 1e-9 and r.confirmed == (share >= licences.CONFIRM)
+        assert not (r.doc_id >= 500 and r.confirmed)
