@@ -224,3 +224,12 @@ def test_whole_notices_confirm_a_licence(spark):
         share = max(len(own & grams(n)) / len(grams(n)) for n in licences.NOTICES[r.family])
         assert abs(r.resemblance - share) < 1e-9 and r.confirmed == (share >= licences.CONFIRM)
         assert not (r.doc_id >= 500 and r.confirmed)
+
+
+def test_words_of_the_corpus_weigh_against_a_licence(spark):
+    texts = dict(licensed()) | {1000 + i: f"word{i % 7} and more\nEverything here is licensed under our terms" for i in range(200)}
+    model = licences.fit(spark.createDataFrame(list(texts.items()), SCHEMA))
+    weights = {r.gram: r.w for r in model.weights.collect()}
+    assert any(g not in set().union(*(grams(n) for all_ in licences.NOTICES.values() for n in all_)) and w[-1] > max(w[:-1]) for g, w in weights.items())
+    found = licences.scan(spark.createDataFrame(list(texts.items()), SCHEMA), model).collect()
+    assert {r.doc_id for r in found} == {i for i in range(400) if i % 5 == 0}
