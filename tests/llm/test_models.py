@@ -233,3 +233,24 @@ def test_words_of_the_corpus_weigh_against_a_licence(spark):
     assert any(g not in set().union(*(grams(n) for all_ in licences.NOTICES.values() for n in all_)) and w[-1] > max(w[:-1]) for g, w in weights.items())
     found = licences.scan(spark.createDataFrame(list(texts.items()), SCHEMA), model).collect()
     assert {r.doc_id for r in found} == {i for i in range(400) if i % 5 == 0}
+
+
+def test_other_wordings_and_wrapped_notices_are_found(spark):
+    wrapped = {
+        900: (3, "apache", "words before\n\n# Licensed under the Apache\n# License, Version 2.0 (the \"License\");\n# you may not use this\n# file except in compliance\n# with the License.\n\nwords after"),
+        901: (1, "mit", "Permission is\nhereby granted, free\nof charge, to any\nperson obtaining a\ncopy of this software\nand associated\ndocumentation files."),
+    }
+    other = {
+        910: ("mit", "Published under the terms of the MIT license, see COPYING."), 911: ("apache", "We share this code under Apache License 2.0."),
+        912: ("gpl", "You may copy this under the GNU General Public License v2."), 913: ("cc", "Photos are under a Creative Commons Attribution license."),
+        914: ("mpl", "Code is covered by the Mozilla Public License."),
+    }
+    assert not {n for _, n in other.values()} & {n for all_ in licences.NOTICES.values() for n in all_}
+    texts = dict(licensed()) | {i: t for i, (_, _, t) in wrapped.items()} | {i: t for i, (_, t) in other.items()} | {920: "plain\ntext a1na\n\n \nof b2no words"}
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    found = licences.scan(df.where("doc_id >= 900"), licences.fit(df.where("doc_id < 900"))).collect()
+    assert {(r.doc_id, r.family) for r in found if r.doc_id >= 910} == {(i, f) for i, (f, _) in other.items()}
+    for i, (no, family, _) in wrapped.items():
+        assert any((r.doc_id, r.paragraph, r.family, r.confirmed) == (i, no, family, True) for r in found)
+    cut = licences.paragraphs(df.where("doc_id in (900, 920)")).orderBy("own", "no", "whole").collect()
+    assert [(r.own, r.no, r.whole) for r in cut] == [(900, 1, False), (900, 3, False), (900, 3, True), *((900, n, False) for n in (4, 5, 6, 7, 9)), (920, 1, False), (920, 1, True), (920, 2, False), (920, 5, False)]
