@@ -195,13 +195,14 @@ def scanned(sample: DataFrame, lexicon: dict[str, float]) -> list:
 def extreme_value_law(rows: list) -> tuple[float, float]:
     """(decay, scale) of the expected number of segments in clean text, scale * tokens * exp(-decay * score).
 
-    Scores of clean segments decay exponentially; their mean gives the rate, between 0.5 and
-    1 as weights are log-odds, and their number the scale. One segment is added to what was seen.
+    No segment scores less than LEAST_ODDS, and what clean segments score beyond that decays
+    exponentially: its mean gives the rate, their number the scale. One segment, of an excess
+    of one, is added to what was seen. A rate of 100 counts for steeper ones, so that numbers stay finite.
     """
     clean = [s for r in rows if r.toxic <= 0 for s in r.scores]
     tokens = sum(r.tokens for r in rows if r.toxic <= 0)
-    decay = min(1.0, max(0.5, (len(clean) + 1) / (sum(clean) + 1)))
-    scale = (sum(math.exp(decay * min(s, LEAST_ODDS)) for s in clean) + 1.0) / max(tokens, 1)
+    decay = min(100.0, (len(clean) + 1) / (sum(s - LEAST_ODDS for s in clean) + 1))
+    scale = (len(clean) + 1) * math.exp(decay * LEAST_ODDS) / max(tokens, 1)
     return decay, scale
 
 

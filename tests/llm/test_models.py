@@ -176,6 +176,24 @@ def test_mixture_samples_by_probability(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_rate_follows_the_clean_scores():
+    class Row:
+        def __init__(self, scores, toxic=0):
+            self.toxic, self.tokens, self.scores = toxic, 100, scores
+
+    rng = random.Random(6)
+    for rate in (0.2, 0.7, 1.0, 3.0):
+        clean = [Row([toxicity.LEAST_ODDS + rng.expovariate(rate) for _ in range(rng.randint(0, 4))]) for _ in range(2_000)]
+        decay, scale = toxicity.extreme_value_law([*clean, Row([50.0] * 9, toxic=1)])
+        assert abs(decay / rate - 1) < 0.1
+        seen = [s for r in clean for s in r.scores]
+        for s in (toxicity.LEAST_ODDS, toxicity.LEAST_ODDS + 1 / rate):  # expected and seen number of segments of at least s
+            assert abs(scale * 200_000 * math.exp(-decay * s) / sum(x >= s for x in seen) - 1) < 0.1
+    for rows in ([], [Row([])], [Row([toxicity.LEAST_ODDS] * 10_000)]):
+        assert all(map(math.isfinite, toxicity.extreme_value_law(rows)))
+    assert toxicity.extreme_value_law([Row([])])[0] == 1.0
+
+
 # --- licences -----------------------------------------------------------------------------
 
 
