@@ -111,7 +111,7 @@ def test_changes_and_headers(spark):
         '{"new_path":"gone.go","deleted_file":true}]}'
     )
     df = spark.createDataFrame([(1, payload)], "project_id int, value string")
-    assert [tuple(r) for r in inputs.changed_files(df).collect()] == [(1, 42, 0, "file.go", "+added line")]
+    assert [tuple(r) for r in inputs.changed_files(df).collect()] == [(1, 42, 0, "file.go", "+added line", "")]
     head = inputs.merge_request_headers(df).first()
     assert (head.iid, head.title, head.web_url) == (42, "t", None)
 
