@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, token_counts, toxicity, warc
+from patchlens.llm import alignment, byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, token_counts, toxicity, warc
 from patchlens.llm.workers import find_package
 from patchlens.session import materialize, shared_dir
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -115,6 +116,13 @@ def op2_mixing(spark, sf):
     return mixing.weigh(table(spark, sf, "documents"), share=0.5)
 
 
+@query
+def op13_alignment(spark, sf):
+    paths = public_tokenizers.path(ALIGNED[0]), public_tokenizers.path(ALIGNED[1])
+    found = alignment.correspondences(table(spark, sf, "documents"), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op8_licences(spark, sf):
     docs = table(spark, sf, "documents")
