@@ -22,8 +22,10 @@ links it, also of rows that are equal or share an id; columns other than id and
 dropped; an empty table gives an empty one.
 """
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +36,24 @@ from patchlens.session import materialize
 
 REMEMBERED = 200_000  # pieces of text whose solutions a worker keeps
 COMMON = 1 << 20  # pairs whose counts are sent to all tasks
-BATCH_LINKS = 400_000  # distinct links in one output batch
+BATCH_CHARS = 1 << 20  # characters that are encoded and put out together
+LONGEST, FEW_LINKS = 64, 256  # characters of a remembered piece; links of a piece that are kept one by one
 BLANK = r" (?<=\S )(?=\S)"
 
 
-def shared_cut(ends_a: list[int], ends_b: list[int], a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int] | None:
-    """Token positions behind a shared cut inside the interval, the one nearest to the middle of its shorter side."""
-    if a[1] - a[0] > b[1] - b[0]:
-        found = shared_cut(ends_b, ends_a, b, a)
-        return found and found[::-1]
-    first, last = a[0], a[1] - 2  # the interval's own end is no cut inside it
-    middle, step = (first + last) // 2, 0
-    while middle - step >= first or middle + step <= last:
-        for i in {middle - step, middle + step}:
-            if first <= i <= last:
-                j = bisect_left(ends_b, ends_a[i], b[0], b[1] - 1)
-                if j < b[1] - 1 and ends_b[j] == ends_a[i]:
+def shared_cut(ends: list[int], others: list[int], start: int, end: int, low: int, high: int) -> tuple[int, int] | None:
+    """Positions behind a shared cut among tokens start .. end - 1 and low .. high - 1 of the other side, the nearest to the middle of the first."""
+    high -= 1  # the interval's own end is no cut inside it
+    middle = (start + end - 2) // 2
+    j = bisect_left(others, ends[middle], low, high)
+    if j < high and others[j] == ends[middle]:
+        return middle + 1, j + 1
+    for step in range(1, end - start):
+        for i in (middle - step, middle + step):
+            if start <= i <= end - 2:
+                j = bisect_left(others, ends[i], low, high)
+                if j < high and others[j] == ends[i]:
                     return i + 1, j + 1
-        step += 1
     return None
 
 
@@ -59,12 +61,17 @@ def groups_of(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int,
     """Groups in order, as token ranges (first a, last a + 1, first b, last b + 1)."""
     found, open_ = [], [(0, len(ends_a), 0, len(ends_b))]
     while open_:
-        a0, a1, b0, b1 = open_.pop()
-        cut = shared_cut(ends_a, ends_b, (a0, a1), (b0, b1)) if a1 - a0 > 1 and b1 - b0 > 1 else None
+        whole = a0, a1, b0, b1 = open_.pop()
+        n_a, n_b, cut = a1 - a0, b1 - b0, None
+        if 1 < n_a <= n_b:
+            cut = shared_cut(ends_a, ends_b, a0, a1, b0, b1)
+        elif 1 < n_b < n_a and (turned := shared_cut(ends_b, ends_a, b0, b1, a0, a1)):
+            cut = turned[1], turned[0]
         if cut:
-            open_ += [(cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1])]
+            open_.append((cut[0], a1, cut[1], b1))
+            open_.append((a0, cut[0], b0, cut[1]))
         else:
-            found.append((a0, a1, b0, b1))
+            found.append(whole)
     return found
 
 
@@ -75,82 +82,106 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-class Piece:
-    """The solution of one piece of text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "codes", "times", "ends", "same")
+#: Solution of a text: tokens of a and b, groups, links, the groups as text, the linked pairs
+#: (each as often as it is linked, or once with its number beside it), byte ends of the groups.
+Solved = tuple[int, int, int, int, str, bytes, bytes, bytes]
+NOTHING: Solved = (0, 0, 0, 0, "", b"", b"", b"")
 
 
 class Aligner:
-    def __init__(self, path_a: str, path_b: str):
+    """Alignments by one pair of vocabularies. Pieces of up to LONGEST characters are remembered."""
+
+    def __init__(self, path_a: str, path_b: str, ends: bool = False):
+        import os
         import re
 
         import sentencepiece
         from tokenizers import Tokenizer
 
-        from patchlens.llm.merges import Recent
-
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        self.a, self.b, self.ends = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), ends
         self.a.encode_special_tokens = True
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        entries = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for t, i in entries.items():
+            self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.width = len(names)
+        self.digits = list(map(str, range(max(len(self.bytes_a), self.width))))
         # A piece that holds a blank behind other characters would reach over the cut.
         self.divide = re.compile(BLANK if not any("▁" in p.lstrip("▁") for p in names) else r"(?!)").split
-        self.known = Recent(self.solve, REMEMBERED)
-
-    def solve(self, text: str) -> Piece:
-        """The alignment of a blank and the text."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        raw, p = (" " + text).encode(), Piece()
-        p.same = b"".join(parts_a) == raw == b"".join(parts_b)
-        if not p.same:
-            return p
-        ends_a, ends_b = np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist()
-        found = groups_of(ends_a, ends_b)
-        links: Counter = Counter()
+        self.known: dict[str, Solved | None] = {}
+        self.older: dict[str, Solved | None] = {}
+
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [(x.ids, y) for x, y in zip(first, self.b.encode(texts, num_threads=1))]
+
+    def solve(self, text: str, a: list[int], b: list[int]) -> Solved | None:
+        """The alignment of a blank and the text; None if the tokens' bytes are others."""
+        parts_a, parts_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
+        raw = b" " + text.encode()
+        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+            return None
+        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
+        found, digits, width = groups_of(ends_a, ends_b), self.digits, self.width
+        names, links, n_links = [], [], 0
         for a0, a1, b0, b1 in found:
-            if a1 - a0 == 1 and b1 - b0 == 1:
-                links[a[a0] * self.width + b[b0]] += 1
+            n_a, n_b = a1 - a0, b1 - b0
+            n_links += n_a * n_b
+            if n_a == 1 == n_b:
+                x, y = a[a0], b[b0]
+                names.append(f"{digits[x]}|{digits[y]}")
+                links.append(x * width + y)
                 continue
-            right = Counter(b[b0:b1])
-            for x, n in Counter(a[a0:a1]).items():
-                for y, m in right.items():
-                    links[x * self.width + y] += n * m
-        p.n_a, p.n_b, p.n_groups, p.n_links = len(a), len(b), len(found), sum((a1 - a0) * (b1 - b0) for a0, a1, b0, b1 in found)
-        p.groups = ";".join(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in found)
-        p.codes, p.times = np.array(list(links), np.int64).tobytes(), np.array(list(links.values()), np.int64).tobytes()
-        p.ends = np.array([ends_a[a1 - 1] for _, a1, _, _ in found], np.int64)
-        return p
-
-    def document(self, text: str, ends: bool = False) -> tuple:
-        """(tokens of a and b, groups, links, the groups as text, distinct links, how often each occurs, byte ends of the groups)."""
-        nothing = (0, 0, 0, 0, "", np.array([], np.int64), np.array([], np.int64), np.array([], np.int64))
-        if not text:
-            return nothing
-        parts = self.divide(text)
-        pieces = [self.known[x] for x in parts]
-        if not all(p.same for p in pieces):
-            whole = self.solve(text)
-            if not whole.same:
-                return nothing
-            parts, pieces = [text], [whole]
-        codes = np.frombuffer(b"".join([p.codes for p in pieces]), np.int64)
-        times = np.frombuffer(b"".join([p.times for p in pieces]), np.int64)
-        distinct, where = np.unique(codes, return_inverse=True)
-        counted = np.zeros(len(distinct), np.int64)
-        np.add.at(counted, where, times)
-        cuts = nothing[7]
-        if ends:
-            starts = np.cumsum([0, *(len(x.encode()) + 1 for x in parts[:-1])])
-            cuts = np.concatenate([p.ends + s for p, s in zip(pieces, starts)])
-        return (
-            sum([p.n_a for p in pieces]), sum([p.n_b for p in pieces]), sum([p.n_groups for p in pieces]), sum([p.n_links for p in pieces]),
-            ";".join([p.groups for p in pieces]), distinct, counted, cuts,
-        )
+            names.append(f"{','.join(map(digits.__getitem__, a[a0:a1]))}|{','.join(map(digits.__getitem__, b[b0:b1]))}")
+            if n_links <= FEW_LINKS:
+                links += [x * width + y for x in a[a0:a1] for y in b[b0:b1]]
+        times = b""
+        if n_links > FEW_LINKS:
+            counted: Counter = Counter()
+            for a0, a1, b0, b1 in found:
+                right = Counter(b[b0:b1])
+                for x, n in Counter(a[a0:a1]).items():
+                    for y, m in right.items():
+                        counted[x * width + y] += n * m
+            links, times = list(counted), np.array(list(counted.values()), np.int64).tobytes()
+        ends = np.array([ends_a[a1 - 1] for _, a1, _, _ in found], np.int64).tobytes() if self.ends else b""
+        return len(a), len(b), len(found), n_links, ";".join(names), array("q", links).tobytes(), times, ends
+
+    def documents(self, texts: list[str]) -> list[tuple]:
+        """(tokens of a and b, groups, links, the groups as text, distinct links, how often each occurs, byte ends) of each text."""
+        divided = [self.divide(t) if t else [] for t in texts]
+        need = set().union(*divided) - self.known.keys()
+        self.known.update({p: self.older[p] for p in need & self.older.keys()})
+        fresh = list(need - self.known.keys())
+        long_ones = {}
+        for p, (a, b) in zip(fresh, self.encoded(fresh)):
+            (self.known if len(p) <= LONGEST else long_ones)[p] = self.solve(p, a, b)
+        out = [self.joined(t, parts, [self.known[p] if len(p) <= LONGEST else long_ones[p] for p in parts]) for t, parts in zip(texts, divided)]
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        return out
+
+    def joined(self, text: str, parts: list[str], pieces: list[Solved | None]) -> tuple:
+        if None in pieces:
+            pieces, parts = [self.solve(text, *self.encoded([text])[0]) or NOTHING], [text]
+        n_a, n_b, groups, links, names, codes, times, ends = zip(*pieces) if pieces else zip(NOTHING)
+        codes_of_all = np.frombuffer(b"".join(codes), np.int64)
+        if any(times):
+            weights = np.concatenate([np.frombuffer(t, np.int64) if t else np.ones(len(c) // 8, np.int64) for c, t in zip(codes, times)])
+            distinct, where = np.unique(codes_of_all, return_inverse=True)
+            counted = np.zeros(len(distinct), np.int64)
+            np.add.at(counted, where, weights)
+        else:
+            distinct, counted = np.unique(codes_of_all, return_counts=True)
+        cuts = np.array([], np.int64)
+        if self.ends and pieces:
+            starts = list(accumulate([0, *(len(x.encode()) + 1 for x in parts[:-1])]))
+            cuts = np.concatenate([np.frombuffer(e, np.int64) + s for e, s in zip(ends, starts)])
+        return sum(n_a), sum(n_b), sum(groups), sum(links), ";".join(names), distinct, counted, cuts
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, own: str = "doc_id", text: str = "text", ends: bool = False) -> DataFrame:
@@ -168,7 +199,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, own: str = "doc_id", text:
         from patchlens.llm import alignment
         from patchlens.llm.workers import tool as kept
 
-        tool = kept(("alignment", path_a, path_b), lambda: alignment.Aligner(path_a, path_b))
+        tool = kept(("alignment", path_a, path_b, ends), lambda: alignment.Aligner(path_a, path_b, ends))
 
         def batch_of(owns, rows):
             columns = [pa.concat_arrays(owns), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields))]
@@ -178,15 +209,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, own: str = "doc_id", text:
             return pa.RecordBatch.from_arrays(columns, names=[own, *(n for n, _ in fields), *lists])
 
         for batch in batches:
-            at, rows, size = 0, [], 0
+            at, texts, size = 0, [], 0
             for n, x in enumerate(batch.column(1)):
-                rows.append(tool.document(x.as_py(), ends))
-                size += len(rows[-1][5]) + len(rows[-1][4]) // 16
-                if size > BATCH_LINKS:
-                    yield batch_of([batch.column(0).slice(at, len(rows))], rows)
-                    at, rows, size = n + 1, [], 0
-            if rows:
-                yield batch_of([batch.column(0).slice(at, len(rows))], rows)
+                texts.append(x.as_py())
+                size += len(texts[-1])
+                if size > alignment.BATCH_CHARS or n + 1 == len(batch):
+                    yield batch_of([batch.column(0).slice(at, len(texts))], tool.documents(texts))
+                    at, texts, size = n + 1, [], 0
 
     kind = docs.select(own).schema[0].dataType.simpleString()
     schema = f"`{own}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, codes array<bigint>, times array<bigint>, ends array<bigint>"
