@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import alignment, byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, token_counts, toxicity, warc
+from patchlens.llm import alignment, byte_bpe, class_ngrams, hnsw, licences, merkle, mixing, near_join, prefix_trie, quality, token_counts, toxicity, warc
 from patchlens.llm.workers import find_package
 from patchlens.session import materialize, shared_dir
 
@@ -116,6 +116,46 @@ def op2_mixing(spark, sf):
     return mixing.weigh(table(spark, sf, "documents"), share=0.5)
 
 
+@query
+def op11_quality(spark, sf):
+    docs, out = table(spark, sf, "documents"), quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs, table(spark, sf, "labels"), keep=~quality.held_out(F.col("own")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op12_prefix_trie(spark, sf):
+    turns = prefix_trie.ordered_turns(table(spark, sf, "conversations"))
+    head, source = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9, F.expr("conv_id - conv_id % 5")
+    found = prefix_trie.trie(*prefix_trie.regrafted(turns, source, head, longest_head=8))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS source, string_split(CAST(conv_id AS VARCHAR), '') AS digits, count(*) AS n FROM turns GROUP BY ALL),
+heads AS (SELECT c.conv_id, source, xor(list_reduce(list_prepend(4294967295, list_transform(digits, lambda y: CAST(ascii(y) AS BIGINT))),
+    lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 9 AS h FROM convs c, crc),
+sized AS (SELECT h.*, least(h, coalesce(s.n, 0)) AS taken FROM heads h LEFT JOIN convs s ON s.conv_id = h.source),
+grown AS (SELECT s.conv_id, pos, role, text FROM sized s JOIN turns t ON t.conv_id = s.source AND pos <= h
+    UNION ALL SELECT s.conv_id, pos - h + taken, role, text FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND pos > h),
+whole AS (SELECT conv_id, list(sha256(octet_length(encode(role)) || ':' || role || text) ORDER BY pos) AS all_turns, list(octet_length(encode(text)) ORDER BY pos) AS sizes FROM grown GROUP BY conv_id),
+seqs AS (SELECT conv_id, coalesce(all_turns, []) AS all_turns, coalesce(sizes, []) AS sizes FROM sized LEFT JOIN whole USING (conv_id)),
+paths AS (SELECT conv_id, d AS depth, sha256(array_to_string(all_turns[:d], '')) || '-' || d AS node, d = len(all_turns) AS last, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size
+    FROM (SELECT *, unnest(range(len(all_turns) + 1)) AS d FROM seqs)),
+found AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM paths GROUP BY node, depth),
+up AS (SELECT f.*, p.node AS parent FROM found f LEFT JOIN paths p ON p.conv_id = f.conv_id AND p.depth = f.depth - 1),
+kids AS (SELECT parent, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY parent),
+nodes AS (SELECT u.*, coalesce(k.n, 0) AS n_children FROM up u LEFT JOIN kids k ON k.parent = u.node),
+sums AS (SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, r.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN nodes r ON r.node = n.parent"""
+
+
 @query
 def op13_alignment(spark, sf):
     paths = public_tokenizers.path(ALIGNED[0]), public_tokenizers.path(ALIGNED[1])
