@@ -3,6 +3,9 @@
 The index is a table of postings, one row per (element, term). It is built by a
 narrow job: every posting of an element comes from that element's own row, so the
 counts are made inside the row and nothing is shuffled.
+
+Beside the postings stand what lookups need: the greatest count of each term in each
+chunk of elements, the distinct terms, and their three-character grams.
 """
 
 from __future__ import annotations
@@ -15,18 +18,27 @@ from pyspark.sql import functions as F
 from patchlens.functions.text import camel_words, doc_words, exploded_counts, text
 from patchlens.session import materialize
 
-# Postings are addressed by blocks of consecutive element ids, so that one term
-# never owns more than this many postings under one join key.
-CHUNK_ELEMENTS = 65_536
+# A chunk holds elements of like size, and about this many postings at most, so one term
+# never owns many postings under one join key and the largest total bounds all others well.
+CHUNK_POSTINGS = 1 << 18
 
 # Terms and words up to this length are their own key; longer ones are keyed by digest.
 KEY_CHARS = 64
 
+GRAM = 3
+
 
 def token_key(token: Column) -> Column:
     return F.when(F.length(token) <= KEY_CHARS, token).otherwise(F.concat(F.lit("\u0001"), F.sha2(token, 256)))
 
 
+def chunk_of(element_id: str = "element_id", total: str = "total") -> Column:
+    """Chunk number: the size class (half octaves of the total), then blocks of ids that shrink as the size grows."""
+    size = f"CAST(floor(2 * log2(greatest({total}, 1))) AS BIGINT)"
+    block = f"greatest(1L, shiftright({CHUNK_POSTINGS}L, CAST({size} / 2 AS INT) + 1))"
+    return F.expr(f"{size} * {1 << 52}L + pmod({element_id} div {block}, {1 << 52}L)")
+
+
 def element_terms(name: Column, package: Column, kind: Column, doc: Column) -> Column:
     """All postings of one element, repeats included."""
     return F.concat(
@@ -57,7 +69,7 @@ def postings(elements: DataFrame) -> DataFrame:
         "framework",
         c("word").alias("term"),
         token_key(c("word")).alias("term_key"),
-        F.expr(f"element_id div {CHUNK_ELEMENTS}").alias("chunk"),
+        chunk_of().alias("chunk"),
         "element_id",
         "label",
         c("n").alias("tf"),
@@ -68,25 +80,61 @@ def postings(elements: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Stored postings and the distinct terms in them as (key, text)."""
+    """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (key, text); grams (gram, key).
+
+    With `buckets`, postings and term_chunks have a column `bucket` that follows from the
+    term and lookups read the buckets of the asked terms only; grams have one that follows
+    from the gram.
+    """
 
     postings: DataFrame
+    term_chunks: DataFrame
     vocabulary: DataFrame
+    grams: DataFrame
+    buckets: int | None = None
 
     @property
     def element_keys(self) -> DataFrame:
-        """(framework, element_id, label, total), one row per element."""
-        return self.postings.where("is_first").select("framework", "element_id", "label", "total")
+        """(framework, element_id, label, total, chunk), one row per element."""
+        return self.postings.where("is_first").select("framework", "element_id", "label", "total", "chunk")
+
+    def looked_up(self, table: str, asked: DataFrame, key: str) -> DataFrame:
+        """The table, or of a bucketed one the buckets that hold the asked keys: at most `buckets` numbers reach the driver."""
+        rows = getattr(self, table)
+        if self.buckets is None:
+            return rows
+        numbers = [r[0] for r in asked.select(bucket_of(F.col(key), F.lit(self.buckets))).distinct().collect()]
+        return rows.where(F.col("bucket").isin(numbers))
+
+
+def bucket_of(key: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(key), buckets.cast("bigint")).cast("int")
+
+
+def vocabulary(stored_postings: DataFrame, *by: str) -> DataFrame:
+    return stored_postings.select(*by, F.col("term").alias("text")).distinct().select(*by, token_key(F.col("text")).alias("key"), "text")
+
+
+def term_chunks(stored_postings: DataFrame) -> DataFrame:
+    return stored_postings.groupBy("framework", "term_key", "chunk").agg(F.max("tf").alias("max_tf"))
+
+
+def windows(token: Column, width: int) -> Column:
+    """Distinct substrings that start at each character, of the width or as long as the rest."""
+    places = F.sequence(F.lit(1), F.length(token))
+    return F.when(F.length(token) > 0, F.array_distinct(F.transform(places, lambda p: F.substr(token, p, F.lit(width))))).otherwise(F.array().cast("array<string>"))
 
 
-def vocabulary(stored_postings: DataFrame) -> DataFrame:
-    return stored_postings.select(F.col("term").alias("text")).distinct().select(token_key(F.col("text")).alias("key"), "text")
+def grams(terms: DataFrame, *by: str) -> DataFrame:
+    """(gram, key) of distinct terms: one row per distinct window of GRAM characters, the shorter ones at the end included."""
+    return terms.select(*by, F.explode(windows(F.col("text"), GRAM)).alias("gram"), "key")
 
 
 def build_index(elements: DataFrame) -> KeywordIndex:
     """Write the index of these elements to the shared folder."""
     stored = materialize(postings(elements), "postings")
-    return KeywordIndex(stored, materialize(vocabulary(stored), "vocabulary"))
+    terms = materialize(vocabulary(stored), "vocabulary")
+    return KeywordIndex(stored, materialize(term_chunks(stored), "term-chunks"), terms, materialize(grams(terms), "grams"))
 
 
 def term_freq(elements: DataFrame) -> DataFrame:

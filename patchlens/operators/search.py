@@ -4,24 +4,28 @@ Score of an element for a query, summed over the query's words with repeats:
 10 per posting whose term equals the word, and 3 per posting whose term contains
 the word or is contained in it. The empty word is contained in every term.
 
-The plan has three equi-join steps and no theta join:
+The plan has equi-joins only:
 
-1. distinct words x distinct terms -> matching pairs, by joining on substrings;
-2. pairs x postings -> score of each word on each element, shared by all queries;
-3. query words x those scores -> score of each query on each element.
+1. distinct words x distinct terms -> matching pairs, through the stored grams of the terms
+   (terms that contain a word) and the windows of the words (terms inside a word);
+2. pairs x (term, chunk) -> what each word can add to an element of each chunk at most,
+   and from that a bound for each query and chunk;
+3. the chunks of the highest bound are scored first; the k-th best label there is the score
+   to reach, and of all other chunks only those whose bound reaches it are read and scored.
+   Before words meet queries the bounds are drawn once more, from the scores of the words.
 
-Keys are split by blocks of element ids and slots of queries, so neither a term
-found in a third of all elements nor a word used by a third of all queries meets
-in one task.
+Postings and pairs meet by chunk, so the scores of a chunk are summed where they arise.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
-from patchlens.operators.index import KEY_CHARS, KeywordIndex, token_key
+from patchlens.operators.index import GRAM, KEY_CHARS, KeywordIndex, token_key, windows
 from patchlens.operators.joins import salt_of, salts, spread_join
 from patchlens.session import materialize
 
@@ -32,8 +36,8 @@ DEFAULT_LIMIT = 10
 REVIEW_LIMIT = 5
 TOOL_LIMIT = 3
 
-SEGMENT_CHARS = 256  # a long token is cut into overlapping pieces of this many start positions
-QUERIES_PER_SLOT = 4_096
+HEAD = 6  # characters of a term that are looked up inside words
+FIRST_CHUNKS, FIRST_LABELS = 32, 3  # a query starts with that many chunks at most, and with that many times the labels it asks for
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -47,150 +51,164 @@ def _counted_words(queries: DataFrame) -> DataFrame:
     return exploded_counts(rows, "words", ["query_id", "framework", "n_empty"]).withColumnRenamed("n", "qtf")
 
 
-def _substrings(pieces: DataFrame) -> DataFrame:
-    """(hay, part): the distinct substrings, '' included, of (hay, piece).
+def _asked_grams(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """(gram, word_key, word): the grams to look each word up by.
 
-    Substrings have up to KEY_CHARS characters and start in the first SEGMENT_CHARS
-    positions. Each is kept where it occurs first, so no distinct is needed.
+    A word of at least GRAM characters is looked up by the rarest of its grams, a shorter
+    one by all grams that start with it.
     """
     c = F.col
-    n = F.length("piece")
-    starts = pieces.select("hay", "piece", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(SEGMENT_CHARS)))).alias("at"))
-    sizes = starts.select(
-        "hay", "piece", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY_CHARS), n - c("at") + 1))).alias("size")
-    )
-    parts = sizes.select("hay", "piece", "at", F.substr("piece", c("at"), c("size")).alias("part"))
-    first = parts.where(F.instr("piece", c("part")) == c("at")).select("hay", "part")
-    return first.unionByName(pieces.select("hay", F.lit("").alias("part")))
+    rows = words.select(c("key").alias("word_key"), c("text").alias("word"), F.explode(windows(c("text"), GRAM)).alias("part"))
+    long_rows = rows.where((F.length("word") >= GRAM) & (F.length("part") == GRAM))
+    counts = index.looked_up("grams", long_rows, "part").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = (
+        long_rows.join(counts.withColumnRenamed("gram", "part"), "part", "left")
+        .groupBy("word_key", "word").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("gram"))
+    )
+    short = words.where(F.length("text") < GRAM).select(c("key").alias("word_key"), c("text").alias("word"))
+    if short.isEmpty():
+        return rarest.select("gram", "word_key", "word")
+    # Only distinct grams meet short words, by their starts of one and two characters.
+    known = index.grams.select("gram").distinct()
+    starts = known.select("gram", F.explode(F.array_distinct(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2)))).alias("word"))
+    return rarest.select("gram", "word_key", "word").unionByName(starts.join(short, "word").select("gram", "word_key", "word"))
+
+
+def terms_that_contain(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """(term_key, word_key) of all terms that hold a word, the word itself left out; words are (key, text), none empty."""
+    c = F.col
+    asked = materialize(_asked_grams(index, words), "asked-grams")
+    rows = spread_join(index.looked_up("grams", asked, "gram"), asked, ["gram"], ["key"]).where("key <> word_key")
+    is_text = F.length("key") <= KEY_CHARS
+    whole = rows.where(is_text & (F.length("word") <= F.length("key")) & F.contains("key", "word"))
+    # A long term is known by its digest here; its text comes from the vocabulary.
+    texts = index.vocabulary.where(F.length("text") > KEY_CHARS)
+    long_terms = rows.where(~is_text).select("key", "word_key", "word").distinct().join(texts, "key").where(F.contains("text", "word"))
+    found = whole.select("key", "word_key").unionByName(long_terms.select("key", "word_key"))
+    return found.distinct().select(c("key").alias("term_key"), "word_key")
+
+
+def terms_inside(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """(term_key, word_key) of all terms that a word holds, itself included; words are (key, text), none empty.
+
+    Each place of a word gives its next KEY_CHARS characters and their starts of up to
+    HEAD characters, so rows grow with the length of a word and not with its square. The
+    empty term is inside every word.
+    """
+    c = F.col
+    places = words.select(c("key").alias("word_key"), F.explode(windows(c("text"), KEY_CHARS)).alias("window"))
+    starts = places.select("word_key", "window", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("window"))), lambda n: F.substr("window", F.lit(1), n))).alias("head"))
+    nothing = words.select(c("key").alias("word_key"), F.lit("").alias("window"), F.lit("").alias("head"))
+    terms = index.vocabulary.withColumn("head", F.substring("text", 1, HEAD))
+    met = spread_join(terms, starts.unionByName(nothing), ["head"], ["key"])
+    short = met.where((F.length("text") <= KEY_CHARS) & F.startswith("window", "text")).select("key", "word_key").distinct()
+    # Of a long term the window proves the first KEY_CHARS characters only.
+    likely = met.where((F.length("text") > KEY_CHARS) & (F.substring("text", 1, KEY_CHARS) == c("window"))).select("key", "word_key").distinct()
+    longer = (
+        likely.join(index.vocabulary.where(F.length("text") > KEY_CHARS), "key")
+        .join(words.where(F.length("text") > KEY_CHARS).select(c("key").alias("word_key"), c("text").alias("word")), "word_key")
+        .where(F.contains("word", "text")).select("key", "word_key")
+    )
+    return short.unionByName(longer).select(c("key").alias("term_key"), "word_key")
+
+
+def matching_pairs(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """(term_key, word_key, weight) for the distinct terms of the index and distinct words (key, text).
 
+    Equal texts weigh 13, other matches 3. The empty word would match every term;
+    its partial score is added elsewhere, so here it only meets the empty term.
+    """
+    c = F.col
+    real_words = words.where("text <> ''")
+    equal = F.when(c("term_key") == c("word_key"), EXACT_SCORE + PARTIAL_SCORE).otherwise(PARTIAL_SCORE)
+    inside = terms_inside(index, real_words).withColumn("weight", equal)
+    around = terms_that_contain(index, real_words).withColumn("weight", F.lit(PARTIAL_SCORE))
+    empty = index.vocabulary.where("text = ''").join(words.where("text = ''").select("key"), "key")
+    empty = empty.select(c("key").alias("term_key"), c("key").alias("word_key"), F.lit(EXACT_SCORE).alias("weight"))
+    return inside.unionByName(around).unionByName(empty)
 
-def _segments(hays: DataFrame) -> DataFrame:
-    """(hay, piece): a long text in overlapping pieces that hold every substring of KEY_CHARS."""
-    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(SEGMENT_CHARS))).alias("at")
-    return hays.select(F.col("key").alias("hay"), "text", starts).select(
-        "hay", F.substr("text", "at", F.lit(SEGMENT_CHARS + KEY_CHARS - 1)).alias("piece")
-    )
 
+# --- bounds and scores --------------------------------------------------------------------
 
-def _spread(size: Column) -> Column:
-    """Number of salts for a key of this length: short strings occur in many tokens."""
-    return F.when(size <= 1, 64).when(size == 2, 16).when(size == 3, 4).otherwise(1)
 
+@dataclass(frozen=True)
+class Asked:
+    """What a search has found out before it reads postings, all stored."""
 
-def containing_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
-    """(hay, needle): keys of all pairs whose hay text contains the needle text.
+    words: DataFrame  # query_id, framework, word_id, qtf, n_empty
+    hits: DataFrame  # framework, term_key, chunk, word_id, weight, max_tf
+    totals: DataFrame  # framework, chunk, max_total, labels
 
-    Both inputs are (key, text) with distinct texts and no empty hay. Substrings
-    of each hay are joined to the needles by equality. A needle longer than the
-    substrings is found by its first KEY_CHARS characters and then verified.
-    """
-    c = F.col
-    short_hays = _substrings(hays.where(F.length("text") <= SEGMENT_CHARS).select(c("key").alias("hay"), c("text").alias("piece")))
-    long_hays = _substrings(_segments(hays.where(F.length("text") > SEGMENT_CHARS))).distinct()
-    parts = short_hays.unionByName(long_hays).withColumn("salt", salt_of(["hay"], _spread(F.length("part"))))
-    short_needles = needles.where(F.length("text") <= KEY_CHARS).select(
-        c("key").alias("needle"),
-        c("text").alias("part"),
-        F.explode(salts(_spread(F.length("text")))).alias("salt"),
-    )
-    found = parts.join(short_needles, ["part", "salt"]).select("hay", "needle")
 
-    long_needles = needles.where(F.length("text") > KEY_CHARS)
-    anchors = long_needles.select(
-        c("key").alias("needle"), c("text").alias("needle_text"), F.substr("text", F.lit(1), F.lit(KEY_CHARS)).alias("part")
-    )
-    windows = _segments(hays.where(F.length("text") > KEY_CHARS)).where(F.length("piece") >= KEY_CHARS)
-    windows = windows.select(
-        "hay",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("piece") - KEY_CHARS + 1),
-                lambda p: F.substr(c("piece"), p, F.lit(KEY_CHARS)),
-            )
-        ).alias("part"),
-    )
-    candidates = windows.join(anchors.select("needle", "part"), "part").select("hay", "needle").distinct()
-    verified = (
-        candidates.join(anchors.select("needle", "needle_text"), "needle")
-        .join(hays.where(F.length("text") > KEY_CHARS).select(c("key").alias("hay"), c("text").alias("hay_text")), "hay")
-        .where(F.contains("hay_text", "needle_text"))
-        .select("hay", "needle")
+def ask(index: KeywordIndex, queries: DataFrame) -> Asked:
+    """Words of the queries and the (term, chunk) pairs they match."""
+    c = F.col
+    counted = _counted_words(queries).withColumn("word_key", token_key(c("word")))
+    asked = materialize(counted.groupBy("framework", "word_key", "word").agg(F.count("*").alias("n")).withColumn("word_id", F.monotonically_increasing_id()), "words")
+    pairs = materialize(matching_pairs(index, asked.select(c("word_key").alias("key"), c("word").alias("text")).distinct()), "pairs")
+    # One word of one framework is a number from here on: the large steps below sort and hash integers only.
+    by_framework = spread_join(pairs, asked.select("framework", "word_key", "word_id"), ["word_key"], ["term_key"])
+    blocks = index.looked_up("term_chunks", pairs, "term_key").select("framework", "term_key", "chunk", "max_tf")
+    hits = spread_join(by_framework, blocks, ["framework", "term_key"], ["word_id"])
+    hits = materialize(hits.select("framework", "term_key", "chunk", "word_id", c("weight").cast("bigint").alias("weight"), "max_tf"), "hits")
+    words = spread_join(counted, asked.select("framework", "word_key", "word_id"), ["framework", "word_key"], ["query_id"])
+    words = materialize(words.select("query_id", "framework", "word_id", "qtf", "n_empty"), "query-words")
+    totals = materialize(index.element_keys.groupBy("framework", "chunk").agg(F.max("total").alias("max_total"), F.approx_count_distinct("label").alias("labels")), "chunk-totals")
+    return Asked(words, hits, totals)
+
+
+def chunk_bounds(asked: Asked) -> DataFrame:
+    """(framework, word_id, chunk, most): no element of the chunk scores more for the word.
+
+    Every posting adds 3 at most, but those of the equal term, which add 10 more; and no
+    term adds more than its greatest count in the chunk.
+    """
+    sums = asked.hits.groupBy("framework", "word_id", "chunk").agg(
+        F.sum(F.col("weight") * F.col("max_tf")).alias("by_terms"),
+        F.max(F.when(F.col("weight") >= EXACT_SCORE, F.col("max_tf")).otherwise(0)).alias("exact"),
     )
-    return found.unionByName(verified)
+    by_size = PARTIAL_SCORE * F.col("max_total") + EXACT_SCORE * F.col("exact")
+    return sums.join(asked.totals, ["framework", "chunk"]).select("framework", "word_id", "chunk", F.least("by_terms", by_size).alias("most"))
 
 
-def matching_pairs(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(term_key, word_key, weight) for distinct terms and words, both (key, text).
+def query_bounds(asked: Asked, bounds: DataFrame) -> DataFrame:
+    """(query_id, framework, chunk, bound): no element of the chunk scores more for the query. Chunks without a match have no row."""
+    met = spread_join(asked.words, bounds, ["framework", "word_id"], ["query_id"])
+    sums = met.groupBy("query_id", "framework", "chunk", "n_empty").agg(F.sum(F.col("qtf") * F.col("most")).alias("most"))
+    empty = PARTIAL_SCORE * F.col("n_empty") * F.col("max_total")
+    return sums.join(asked.totals, ["framework", "chunk"]).select("query_id", "framework", "chunk", "labels", (F.col("most") + empty).alias("bound"))
 
-    Equal texts weigh 13, other matches 3. The empty word would match every term;
-    its partial score is added elsewhere, so here it only meets the empty term.
-    """
-    c = F.col
-    real_words = words.where(F.col("text") != "")
-    term_in_word = containing_pairs(real_words, terms).select(
-        c("needle").alias("term_key"),
-        c("hay").alias("word_key"),
-        F.when(c("needle") == c("hay"), EXACT_SCORE + PARTIAL_SCORE).otherwise(PARTIAL_SCORE).alias("weight"),
-    )
-    word_in_term = containing_pairs(terms.where(F.col("text") != ""), real_words).where("hay <> needle").select(
-        c("hay").alias("term_key"), c("needle").alias("word_key"), F.lit(PARTIAL_SCORE).alias("weight")
-    )
-    empty = terms.where("text = ''").select("key").join(words.where("text = ''").select("key"), "key")
-    empty = empty.select(c("key").alias("term_key"), c("key").alias("word_key"), F.lit(EXACT_SCORE).alias("weight"))
-    return term_in_word.unionByName(word_in_term).unionByName(empty)
 
+def word_scores(index: KeywordIndex, asked: Asked, chunks: DataFrame) -> DataFrame:
+    """(framework, chunk, word_id, element_id, word_score) in the given chunks, for the words of the queries that ask for them.
 
-def scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, framework, element_id, label, score) of every element with a matching word.
-
-    Each step reads its own columns of the stored index. The asked words and their hits are written to the
-    shared folder when this is called, because several steps read them. Elements
-    matched by empty words only are not part of the result; `empty_word_leaders`
-    gives those that can win.
+    chunks is (query_id, framework, chunk). Both sides are dealt by chunk alone, so the
+    sums need no further shuffle where the session allows joins on part of the keys.
     """
     c = F.col
-    words = _counted_words(queries).withColumn("word_key", token_key(c("word")))
-    asked = materialize(
-        words.groupBy("framework", "word_key", "word")
-        .agg(F.ceil(F.count("*") / QUERIES_PER_SLOT).cast("bigint").alias("slots"))
-        .withColumn("word_id", F.monotonically_increasing_id()),
-        "words",
-    )
-    asked_words = asked.select(c("word_key").alias("key"), c("word").alias("text")).distinct()
-    pairs = matching_pairs(index.vocabulary, asked_words)
-
-    # One word of one framework is a number from here on: the large steps below
-    # sort and hash integers only.
-    blocks = index.postings.select("framework", "term_key", "chunk").distinct()
-    spread = _spread(F.length("term_key"))
-    asked_pairs = spread_join(pairs, asked.select("framework", "word_key", "word_id", "slots"), ["word_key"], ["term_key"])
-    hits = materialize(
-        asked_pairs.withColumn("salt", salt_of(["word_id"], spread))
-        .join(blocks.withColumn("salt", F.explode(salts(spread))), ["framework", "term_key", "salt"])
-        .select("framework", "term_key", "salt", "chunk", "word_id", "slots", "weight"),
-        "hits",
-    )
-    salted_postings = index.postings.select(
-        "framework", "term_key", "chunk", "element_id", "tf", F.explode(salts(spread)).alias("salt")
-    )
-    word_scores = (
-        hits.join(salted_postings, ["framework", "term_key", "chunk", "salt"])
-        .groupBy("word_id", "slots", "chunk", "element_id")
-        .agg(F.sum(c("weight") * c("tf")).alias("word_score"))
-        .withColumn("slot", F.explode(salts(c("slots"))))
-    )
-    word_blocks = asked.join(hits.select("word_id", "chunk").distinct(), "word_id").drop("word")
-    grid = spread_join(words, word_blocks, ["framework", "word_key"], ["query_id"]).select(
-        "word_id", "chunk", salt_of(["query_id"], c("slots")).alias("slot"), "query_id", "framework", "qtf", "n_empty"
-    )
-    query_scores = (
-        word_scores.join(grid, ["word_id", "chunk", "slot"])
-        .groupBy("query_id", "framework", "element_id", "n_empty")
-        .agg(F.sum(c("qtf") * c("word_score")).alias("word_score"))
-    )
-    return query_scores.join(index.element_keys, ["framework", "element_id"]).select(
-        "query_id", "framework", "element_id", "label",
-        (c("word_score") + PARTIAL_SCORE * c("n_empty") * c("total")).alias("score"),
+    wanted = spread_join(asked.words.select("query_id", "framework", "word_id"), chunks, ["query_id", "framework"], ["word_id"])
+    wanted = wanted.select("framework", "chunk", "word_id").distinct()
+    hits = asked.hits.join(wanted, ["framework", "chunk", "word_id"], "left_semi").select("framework", "chunk", "term_key", "word_id", "weight")
+    read = index.looked_up("postings", hits, "term_key").join(chunks.select("framework", "chunk").distinct(), ["framework", "chunk"], "left_semi")
+    postings = read.select("framework", "chunk", "term_key", "element_id", "tf").repartition("framework", "chunk")
+    return (
+        hits.repartition("framework", "chunk").join(postings, ["framework", "chunk", "term_key"])
+        .groupBy("framework", "chunk", "word_id", "element_id").agg(F.sum(c("weight") * c("tf")).alias("word_score"))
+    )
+
+
+def query_scores(index: KeywordIndex, asked: Asked, scored_words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, framework, element_id, label, score) of the elements of the given chunks with a matching word."""
+    c = F.col
+    grid = spread_join(asked.words, chunks, ["query_id", "framework"], ["word_id"])
+    grid = grid.select("framework", "chunk", "word_id", "query_id", "qtf", "n_empty").repartition("framework", "chunk")
+    sums = (
+        grid.join(scored_words.repartition("framework", "chunk"), ["framework", "chunk", "word_id"])
+        .groupBy("framework", "chunk", "query_id", "n_empty", "element_id").agg(F.sum(c("qtf") * c("word_score")).alias("word_score"))
+    )
+    keys = index.element_keys.repartition("framework", "chunk")
+    return sums.join(keys, ["framework", "chunk", "element_id"]).select(
+        "query_id", "framework", "element_id", "label", (c("word_score") + PARTIAL_SCORE * c("n_empty") * c("total")).alias("score")
     )
 
 
@@ -222,6 +240,55 @@ def empty_word_leaders(index: KeywordIndex, queries: DataFrame, limit: int) -> D
     )
 
 
+def best_labels(scored: DataFrame) -> DataFrame:
+    """(query_id, framework, label, score, element_id): the best element of each label, the smaller id of equal ones."""
+    best = F.max(F.struct("score", (-F.col("element_id")).alias("neg_id"))).alias("best")
+    rows = scored.groupBy("query_id", "framework", "label").agg(best)
+    return rows.select("query_id", "framework", "label", F.col("best.score").alias("score"), (-F.col("best.neg_id")).alias("element_id"))
+
+
+def ranked(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
+    """The first `limit` rows of each query with their rank, cut before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("query_id", "framework").orderBy(*order))
+    return rows.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
+def first_chunks(bounds: DataFrame, limit: int) -> DataFrame:
+    """(query_id, framework, chunk): the chunks of the highest bound, up to some more labels than are asked for."""
+    top = ranked(bounds, FIRST_CHUNKS, F.desc("bound"), "chunk")
+    order = Window.partitionBy("query_id", "framework").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("labels").over(order), F.lit(0))
+    return top.withColumn("before", before).where(F.col("before") < FIRST_LABELS * limit).select("query_id", "framework", "chunk")
+
+
+def within_reach(bounds: DataFrame, reach: DataFrame) -> DataFrame:
+    """(query_id, framework, chunk) of the bounds that are at least the score to reach, where there is one."""
+    rows = spread_join(bounds, reach, ["query_id", "framework"], ["chunk"], "left")
+    return rows.where("reach IS NULL OR bound >= reach").select("query_id", "framework", "chunk")
+
+
+def scores(index: KeywordIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, framework, label, score, element_id) of labels by matching words, whole for every label among the `limit` best.
+
+    Elements matched by empty words only are not part of it; `empty_word_leaders` gives
+    those that can win. What several steps read is written to the shared folder.
+    """
+    c = F.col
+    names = ["query_id", "framework", "chunk"]
+    asked = ask(index, queries)
+    bounds = materialize(query_bounds(asked, chunk_bounds(asked)), "chunk-bounds")
+    first = materialize(first_chunks(bounds, limit), "first-chunks")
+    found = materialize(best_labels(query_scores(index, asked, word_scores(index, asked, first), first)), "first-scores")
+    reach = materialize(ranked(found, limit, F.desc("score"), "element_id").where(c("rank") == limit).select("query_id", "framework", c("score").alias("reach")), "reach")
+    others = materialize(within_reach(bounds.join(first, names, "left_anti"), reach), "other-chunks")
+    if others.isEmpty():
+        return found
+    scored = materialize(word_scores(index, asked, others), "word-scores")
+    closer = query_bounds(asked, scored.groupBy("framework", "word_id", "chunk").agg(F.max("word_score").alias("most")))
+    open_ = materialize(within_reach(closer.join(others, names, "left_semi"), reach), "open-chunks")
+    return best_labels(found.unionByName(query_scores(index, asked, scored, open_).select(*found.columns)))
+
+
 def search(index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The best elements of each query: (query_id, framework, rank, element_id, score).
 
@@ -229,17 +296,12 @@ def search(index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT)
     package.name labels are made distinct first, keeping the best element; ties
     go to the smaller element_id. A limit of zero or less means 10.
     """
-    c = F.col
     limit = limit if limit > 0 else DEFAULT_LIMIT
-    scored = scores(index, queries).unionByName(empty_word_leaders(index, queries, limit))
-    distinct = (
-        scored.groupBy("query_id", "framework", "label")
-        .agg(F.max(F.struct("score", (-c("element_id")).alias("neg_id"))).alias("best"))
-        .select("query_id", "framework", c("best.score").alias("score"), (-c("best.neg_id")).alias("element_id"))
-    )
-    order = Window.partitionBy("query_id", "framework").orderBy(c("score").desc(), "element_id")
-    ranked = distinct.withColumn("rank", F.row_number().over(order)).where(c("rank") <= limit)
-    return ranked.select("query_id", "framework", c("rank").cast("bigint").alias("rank"), "element_id", "score")
+    found = scores(index, queries, limit)
+    leaders = empty_word_leaders(index, queries, limit)
+    labels = best_labels(found.unionByName(leaders.select(*found.columns)))
+    best = ranked(labels, limit, F.desc("score"), "element_id")
+    return best.select("query_id", "framework", F.col("rank").cast("bigint").alias("rank"), "element_id", "score")
 
 
 def search_elements(elements: DataFrame, index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

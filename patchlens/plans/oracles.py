@@ -243,6 +243,10 @@ ORACLES["keyword_search"] = with_views(
     V_ELEMENTS, V_QUERIES, V_TF, V_QW, V_SCORES,
     select="SELECT query_id, framework, rank, element_id, score FROM ranked WHERE rank <= 10",
 )
+ORACLES["framework_search"] = with_views(
+    V_ELEMENTS, V_QUERIES, V_TF, V_QW, V_SCORES,
+    select="SELECT query_id, rank, element_id, score, name, package FROM ranked WHERE rank <= 3 AND framework = 'de'",
+)
 ORACLES["review_context"] = with_views(
     V_ELEMENTS, V_INPUTS, V_TF, f"qw AS ({words_sql('v_inputs', 'file_no AS query_id, framework', 'diff').replace('SELECT file_no AS query_id, framework, word', 'SELECT query_id, framework, word').replace('(SELECT file_no AS query_id, framework, trim', '(SELECT query_id, framework, trim')})",
     V_SCORES,

@@ -212,10 +212,20 @@ def stored_search(spark, sf):
     elements = _elements(spark, sf)
     store.save_frameworks(elements.where("element_id % 2 = 0"), path)
     store.save_frameworks(elements, path)
-    stored = spark.read.parquet(f"{path}/elements").groupBy("framework").agg(F.count("*").alias("elements"))
+    stored = store.load_elements(spark, path).groupBy("framework").agg(F.count("*").alias("elements"))
     return stored.join(store.list_frameworks(spark, path), "framework")
 
 
+@query
+def framework_search(spark, sf):
+    """Search in the stored index of one framework: elements saved, index and elements loaded by its name."""
+    path = f"{shared_dir(spark).rstrip('/')}/patchlens/store-{uuid.uuid4().hex}"
+    store.save_frameworks(_elements(spark, sf), path)
+    asked = _queries(spark, sf).where("framework = 'de'")
+    found = search.search_elements(store.load_framework(spark, path, "de"), store.load_index(spark, path, "de"), asked, 3)
+    return found.select("query_id", "rank", "element_id", "score", "name", "package")
+
+
 @query
 def framework_list(spark, sf):
     return _elements(spark, sf).select("framework").distinct().orderBy("framework")

@@ -1,13 +1,29 @@
-"""The element store: partitioned tables of elements, catalog and keyword index."""
+"""The element store: versioned tables of elements, catalog and keyword index.
+
+Every save writes folders of its own, `<table>/save=<id>`, and last of all one row in
+`commits`. Readers look at committed saves only and take the latest one of each framework,
+so they never see elements, catalog and index of different saves, and a save that breaks
+off, or runs while others read, is invisible. Older folders stay until the store's owner
+removes them.
+
+Postings and (term, chunk) rows are partitioned by framework and bucket of the term, grams
+by bucket of the gram, and sorted by them inside; a lookup reads the buckets it asks for.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from patchlens.operators.extract import ELEMENT_COLUMNS
-from patchlens.operators.index import KeywordIndex, framework_catalog, postings, vocabulary
+from patchlens.operators.index import KeywordIndex, bucket_of, framework_catalog, grams, postings, term_chunks, vocabulary
+
+BUCKET_ELEMENTS = 4_096  # elements of a framework for each of its buckets
+MOST_BUCKETS = 256
 
 ELEMENT_TYPE = (
     "struct<type:string,name:string,package:string,file_path:string,line:int,signature:string,doc:string,"
@@ -18,57 +34,115 @@ DOCUMENT_TYPE = (
 )
 
 
-def _overwrite(df: DataFrame, path: str) -> None:
-    # Rebalancing by the partition column writes a few full files per framework, and
-    # still splits a framework that is too large for one task.
-    df.hint("rebalance", "framework").write.partitionBy("framework").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-
-
-def save_frameworks(elements: DataFrame, path: str, repo_url: Column | None = None, local_path: Column | None = None) -> None:
-    """Replace the given frameworks in the store; others stay.
-
-    `elements` needs element_id (see numbered_elements) and may hold many
-    frameworks. The keyword index is written with them, so loading builds nothing.
-    """
-    none = F.lit("")
-    _overwrite(elements, f"{path}/elements")
-    stored = elements.sparkSession.read.parquet(f"{path}/elements").join(
-        elements.select("framework").distinct(), "framework", "left_semi"
-    )
-    catalog = framework_catalog(stored).withColumn("repo_url", none if repo_url is None else repo_url)
-    _overwrite(catalog.withColumn("local_path", none if local_path is None else local_path), f"{path}/catalog")
-    _overwrite(postings(stored), f"{path}/postings")
+def _write(df: DataFrame, path: str, by: list[str], sort: list[str]) -> None:
+    # Rebalancing by the partition columns writes few full files for each of them, and
+    # still splits one that is too large for one task.
+    df.hint("rebalance", *by).sortWithinPartitions(*by, *sort).write.partitionBy(*by).parquet(path)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, with framework names as text whatever they look like; None if there is none."""
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
     except AnalysisException:
         return None
+    typed = StructType([StructField(f.name, StringType() if f.name in ("framework", "save") else f.dataType) for f in found.schema])
+    return found if typed == found.schema else spark.read.schema(typed).parquet(path)
+
+
+def save_frameworks(elements: DataFrame, path: str, repo_url: Column | None = None, local_path: Column | None = None) -> str:
+    """Replace the given frameworks in the store, all tables at once; others stay. Returns the id of the save.
+
+    `elements` needs element_id (see numbered_elements) and may hold many frameworks; it
+    is computed once. The keyword index is written with it, so loading builds nothing.
+    """
+    spark, save = elements.sparkSession, f"s{uuid.uuid4().hex}"
+
+    def place(table: str) -> str:
+        return f"{path}/{table}/save={save}"
+
+    _write(elements, place("elements"), ["framework"], ["element_id"])
+    stored = _read(spark, place("elements"))
+    if stored is None:
+        return save  # nothing to replace
+    buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("element_count") / BUCKET_ELEMENTS)).cast("int")
+    catalog = framework_catalog(stored).withColumn("repo_url", F.lit("") if repo_url is None else repo_url)
+    catalog = catalog.withColumn("local_path", F.lit("") if local_path is None else local_path).withColumn("buckets", buckets)
+    catalog.write.parquet(place("catalog"))
+    sizes = _read(spark, place("catalog")).select("framework", "buckets")
+    rows = postings(stored).join(sizes, "framework").withColumn("bucket", bucket_of(F.col("term_key"), F.col("buckets"))).drop("buckets")
+    _write(rows, place("postings"), ["framework", "bucket"], ["term_key"])
+    written = _read(spark, place("postings"))
+    chunks = term_chunks(written).join(sizes, "framework").withColumn("bucket", bucket_of(F.col("term_key"), F.col("buckets"))).drop("buckets")
+    _write(chunks, place("term_chunks"), ["framework", "bucket"], ["term_key"])
+    _write(vocabulary(written, "framework"), place("vocabulary"), ["framework"], ["key"])
+    parts = grams(_read(spark, place("vocabulary")), "framework").join(sizes, "framework")
+    _write(parts.withColumn("bucket", bucket_of(F.col("gram"), F.col("buckets"))).drop("buckets"), place("grams"), ["framework", "bucket"], ["gram"])
+    commit(spark, path, save)
+    return save
+
+
+def commit(spark: SparkSession, path: str, save: str) -> None:
+    """Make a save visible: one row in one file, so readers see it whole or not at all."""
+    commits = _read(spark, f"{path}/commits")
+    last = 0 if commits is None else commits.agg(F.max("number")).first()[0] or 0
+    spark.range(1).select(F.lit(last + 1).cast("bigint").alias("number"), F.current_timestamp().alias("committed_at")).coalesce(1).write.parquet(f"{path}/commits/save={save}")
+
+
+def load_catalog(spark: SparkSession, path: str) -> DataFrame | None:
+    """(framework, element_count, packages, repo_url, local_path, buckets, save) as of the last committed save of each framework."""
+    commits, catalog = _read(spark, f"{path}/commits"), _read(spark, f"{path}/catalog")
+    if commits is None or catalog is None:
+        return None
+    names = ["element_count", "packages", "repo_url", "local_path", "buckets", "save"]
+    rows = catalog.join(commits.select("save", "number"), "save")
+    last = rows.groupBy("framework").agg(F.max_by(F.struct(*names), F.struct("number", "save")).alias("last"))
+    return last.select("framework", *(F.col(f"last.{n}").alias(n) for n in names))
 
 
 def list_frameworks(spark: SparkSession, path: str) -> DataFrame:
     """Names in order; no rows when nothing was saved yet."""
-    catalog = _read(spark, f"{path}/catalog")
+    catalog = load_catalog(spark, path)
     if catalog is None:
         return spark.createDataFrame([], "framework string")
-    return catalog.select("framework").distinct().orderBy("framework")
+    return catalog.select("framework").orderBy("framework")
 
 
-def load_framework(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Elements of one framework, read from its own partition only."""
-    elements = _read(spark, f"{path}/elements")
-    found = None if elements is None else elements.where(F.col("framework") == name)
-    if found is None or found.isEmpty():
+def _saved(spark: SparkSession, path: str, name: str):
+    catalog = load_catalog(spark, path)
+    found = None if catalog is None else catalog.where(F.col("framework") == name).select("save", "buckets").first()
+    if found is None:
         raise ValueError(f"framework not indexed: {name}")
     return found
 
 
+def load_framework(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Elements of one framework, read from its own partition of its last save only."""
+    return _read(spark, f"{path}/elements/save={_saved(spark, path, name).save}").where(F.col("framework") == name)
+
+
+def _current(spark: SparkSession, path: str, table: str) -> DataFrame:
+    last = load_catalog(spark, path)
+    if last is None:
+        raise ValueError("no framework indexed")
+    return _read(spark, f"{path}/{table}").join(last.select("framework", "save"), ["framework", "save"], "left_semi").drop("save")
+
+
+def load_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of all frameworks, of the last save of each."""
+    return _current(spark, path, "elements")
+
+
 def load_index(spark: SparkSession, path: str, name: str | None = None) -> KeywordIndex:
-    """The stored index of one framework or of all."""
-    stored = spark.read.parquet(f"{path}/postings")
-    stored = stored if name is None else stored.where(F.col("framework") == name)
-    return KeywordIndex(stored, vocabulary(stored))
+    """The stored index of one framework, whose lookups read single buckets, or of all."""
+    tables = ["postings", "term_chunks", "vocabulary", "grams"]
+    if name is None:
+        posted, chunks, terms, parts = (_current(spark, path, t) for t in tables)
+        return KeywordIndex(posted, chunks, terms.select("key", "text").distinct(), parts.select("gram", "key").distinct())
+    last = _saved(spark, path, name)
+    found = [_read(spark, f"{path}/{t}/save={last.save}") for t in tables]
+    posted, chunks, terms, parts = (t.where(F.col("framework") == name) for t in found)
+    return KeywordIndex(posted, chunks, terms.select("key", "text"), parts.select("gram", "key", "bucket"), last.buckets)
 
 
 def import_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

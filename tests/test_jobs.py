@@ -150,7 +150,7 @@ def test_store(spark, tmp_path):
     store.save_frameworks(store_rows(spark, "b", ["Stop", "Start"], ["z", "z"]), path)  # replaces b, keeps a
     assert {r.name for r in store.load_framework(spark, path, "b").collect()} == {"Stop", "Start"}
     assert {r.name for r in store.load_framework(spark, path, "a").collect()} == {"GetItem", "SetItem"}
-    catalog = {r.framework: r for r in spark.read.parquet(f"{path}/catalog").collect()}
+    catalog = {r.framework: r for r in store.load_catalog(spark, path).collect()}
     assert (catalog["a"].element_count, catalog["a"].packages, catalog["b"].packages) == (2, ["p", "q"], ["z"])
     hits = search.search(store.load_index(spark, path, "a"), queries_of(spark, ["setitem"], "a")).orderBy("rank").collect()
     assert hits[0].element_id == 1
@@ -158,6 +158,67 @@ def test_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(framework" in plan
 
 
+def saved_state(spark, path):
+    """Everything a reader sees."""
+    names = sorted((r.framework, r.name) for r in store.load_elements(spark, path).collect())
+    built = store.load_index(spark, path)
+    terms = sorted((r.framework, r.element_id, r.term, r.tf) for r in built.postings.collect())
+    catalog = sorted((r.framework, r.element_count, r.packages) for r in store.load_catalog(spark, path).collect())
+    return names, terms, catalog, sorted(map(tuple, built.vocabulary.collect())), sorted(map(tuple, built.grams.collect()))
+
+
+@pytest.mark.parametrize("breaks_in", ["catalog", "postings", "term_chunks", "vocabulary", "grams", "commit"])
+def test_broken_save_is_invisible(spark, tmp_path, monkeypatch, breaks_in):
+    path = str(tmp_path / "store")
+    old = store_rows(spark, "a", ["GetItem", "SetItem"], ["p", "q"]).unionByName(store_rows(spark, "7", ["Run"], ["p"]))
+    store.save_frameworks(old, path)
+    before = saved_state(spark, path)
+    assert [n for n in before[0]] == [("7", "Run"), ("a", "GetItem"), ("a", "SetItem")]
+
+    def broken(*args, **kwargs):
+        raise OSError("disk full")
+
+    writers = {"catalog": "framework_catalog", "postings": "postings", "term_chunks": "term_chunks", "vocabulary": "vocabulary", "grams": "grams", "commit": "commit"}
+    with monkeypatch.context() as patch:
+        patch.setattr(store, writers[breaks_in], broken)
+        with pytest.raises(OSError):
+            store.save_frameworks(store_rows(spark, "a", ["Lost"], ["z"]), path)
+    assert saved_state(spark, path) == before
+    assert {r.name for r in store.load_framework(spark, path, "a").collect()} == {"GetItem", "SetItem"}
+    store.save_frameworks(store_rows(spark, "a", ["Kept"], ["z"]), path)
+    assert saved_state(spark, path)[0] == [("7", "Run"), ("a", "Kept")]
+
+
+def test_elements_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = store_rows(spark, "a", ["GetItem", "SetItem", "Run"], ["p", "q", "q"])
+    store.save_frameworks(rows.mapInArrow(touch, rows.schema), str(tmp_path / "store"))
+    assert seen.value == 3
+
+
+def test_lookup_reads_asked_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ELEMENTS", 1)
+    path = str(tmp_path / "store")
+    names = [f"Thing{i}Word{i}" for i in range(30)]
+    store.save_frameworks(store_rows(spark, "a", names, ["p"] * 30), path)
+    loaded = store.load_index(spark, path, "a")
+    assert loaded.buckets == 30
+    asked = spark.createDataFrame([("thing7",)], "term_key string")
+    plan = loaded.looked_up("postings", asked, "term_key")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+    files = lambda df: len({r[0] for r in df.select(F.input_file_name()).collect()})
+    assert files(loaded.looked_up("postings", asked, "term_key")) < files(loaded.postings) / 5
+    texts = ["thing7 word12", "p", "g1"]
+    ranked = lambda at: sorted(tuple(r) for r in search.search(at, queries_of(spark, texts, "a"), 4).collect())
+    assert ranked(loaded) == ranked(index.build_index(store.load_framework(spark, path, "a"))) == ranked(store.load_index(spark, path))
+
+
 def test_documents_round_trip(spark, tmp_path):
     path = str(tmp_path / "docs")
     rows = store_rows(spark, "a", [f"F{i}" for i in range(7)], ["p"] * 7)

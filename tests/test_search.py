@@ -99,29 +99,79 @@ def test_search_equals_brute_force(spark, seed):
     assert found(spark, rows, texts, limit) == {i: brute_force(rows, q, limit) for i, q in enumerate(texts)}
 
 
-def test_containing_pairs_equals_nested_loop(spark):
+def texts_of(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string").select(index.token_key(index.F.col("text")).alias("key"), "text")
+
+
+def pairs_of(spark, terms, words):
+    vocabulary = texts_of(spark, terms)
+    only = index.KeywordIndex(None, None, vocabulary, index.grams(vocabulary))
+    return [tuple(r) for r in search.matching_pairs(only, texts_of(spark, words)).collect()]
+
+
+def test_matching_pairs_equal_nested_loop(spark):
     rng = random.Random(7)
-    hays = {"".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 40, 64, 65, 100, 255, 256, 257, 400, 900]))) for _ in range(60)}
-    needles = {h[i : i + n] for h in hays for i in (0, 3, len(h) // 2) for n in (1, 2, 3, 10, 64, 65, 80, 300)} - {""}
-    needles |= {"zzz", "z" * 90}
-    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string").select(
-        index.token_key(index.F.col("text")).alias("key"), "text"
-    )
-    keys = {r.text: r.key for r in frame(hays | needles).collect()}
-    got = [tuple(r) for r in search.containing_pairs(frame(hays), frame(needles)).select("hay", "needle").collect()]
-    want = {(keys[h], keys[n]) for h in hays for n in needles if n in h}
+    terms = {"".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 6, 7, 40, 64, 65, 100, 255, 256, 257, 400, 900]))) for _ in range(60)}
+    words = {h[i : i + n] for h in terms for i in (0, 3, len(h) // 2) for n in (1, 2, 3, 6, 10, 64, 65, 80, 300)} - {""}
+    words |= {"zzz", "z" * 90, "xyzab", "", "x" + max(terms, key=len) + "yy"}
+    terms |= {"", "é\U0001f642a", "\U0001f642"}
+    words |= {"\U0001f642a", "zé\U0001f642ab"}
+    keys = {r.text: r.key for r in texts_of(spark, terms | words).collect()}
+    got = pairs_of(spark, terms, words)
+    want = {(keys[t], keys[w], 13 if t == w else 3) for t in terms for w in words - {""} if w in t or t in w} | {(keys[""], keys[""], 10)}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rows_grow_with_the_length_of_a_token(spark):
+    """A token of a megabyte makes a few rows for each of its characters, not one for each of its substrings."""
+    rng = random.Random(3)
+    long_text = "".join(rng.choice("abcdefghij") for _ in range(60_000))
+    vocabulary = texts_of(spark, [long_text, "needle"])
+    assert index.grams(vocabulary).count() <= 10**3 + 100 + 10 + 10
+    keys = {r.text: r.key for r in vocabulary.collect()}
+    part, tail = long_text[30_000:30_200], long_text[-1:]
+    got = pairs_of(spark, [long_text, "needle"], [part, tail, "xneedle"])
+    assert {(t, w) for t, w, _ in got} == {(keys[long_text], texts_of(spark, [part]).first().key), (keys[long_text], tail), ("needle", "xneedle")}
+
+
 def test_split_keys_change_nothing(spark, monkeypatch):
-    """Small blocks and query slots force every split; the result stays the same."""
+    """Tiny chunks force every split and skip; the result stays the same."""
     texts = ["request handler", "handler { config", "interface"] * 3
     want = found(spark, ELEMENTS * 5, texts, 3)
-    monkeypatch.setattr(index, "CHUNK_ELEMENTS", 2)
-    monkeypatch.setattr(search, "QUERIES_PER_SLOT", 2)
+    monkeypatch.setattr(index, "CHUNK_POSTINGS", 2)
+    monkeypatch.setattr(search, "FIRST_CHUNKS", 1)
     assert found(spark, ELEMENTS * 5, texts, 3) == want
 
 
+def test_chunks_out_of_reach_are_not_read(spark, monkeypatch):
+    """Short elements cannot reach the score of long ones: their postings are neither matched nor scored."""
+    rng = random.Random(4)
+    stems = ["parse", "token", "handler", "request", "buffer", "queue", "lock", "index"]
+    rows = []
+    for i in range(400):
+        size = 60 if i % 20 == 0 else rng.randint(1, 12)
+        rows.append(("function", f"Item{i}", f"p{i % 40}", " ".join(rng.choice(stems) + str(rng.randint(0, 5)) for _ in range(size))))
+    texts = ["parse the token", "request handler queue", "{ buffer lock }", "index4 queue"]
+    monkeypatch.setattr(index, "CHUNK_POSTINGS", 256)
+    read, scored = [], []
+
+    def spied(kind, inner, chunks_at):
+        def call(*args):
+            kind.append(args[chunks_at].count())
+            return inner(*args)
+
+        return call
+
+    monkeypatch.setattr(search, "word_scores", spied(read, search.word_scores, 2))
+    monkeypatch.setattr(search, "query_scores", spied(scored, search.query_scores, 3))
+    bounds = []
+    inner = search.first_chunks
+    monkeypatch.setattr(search, "first_chunks", lambda b, limit: (bounds.append(b.count()), inner(b, limit))[1])
+    got = found(spark, rows, texts, 3)
+    assert got == {i: brute_force(rows, q, 3) for i, q in enumerate(texts)}
+    assert sum(read) < 0.7 * bounds[0] and sum(scored) <= sum(read)
+
+
 def test_frameworks_do_not_mix(spark):
     both = elements_of(spark, ELEMENTS, "f").unionByName(elements_of(spark, ELEMENTS[:1], "g"))
     rows = search.search(index.build_index(both), queries_of(spark, ["request"], "g"), 0).collect()
@@ -150,6 +200,15 @@ def test_context_of_inputs(spark):
 
 
 def test_no_theta_join_and_early_top_k(spark):
-    plan = search.search(index.build_index(elements_of(spark, ELEMENTS)), queries_of(spark, ["request"]))._jdf.queryExecution().toString()
-    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
-    assert "WindowGroupLimit" in plan
+    built = index.build_index(elements_of(spark, ELEMENTS))
+    asked = search.ask(built, queries_of(spark, ["request"]))
+    bounds = search.query_bounds(asked, search.chunk_bounds(asked))
+    first = search.first_chunks(bounds, 3)
+    words = texts_of(spark, ["request"])
+    steps = [
+        search.search(built, queries_of(spark, ["request"])), search.matching_pairs(built, words), bounds, first,
+        search.query_scores(built, asked, search.word_scores(built, asked, first), first),
+    ]
+    plans = [s._jdf.queryExecution().toString() for s in steps]
+    assert not any("NestedLoop" in p or "CartesianProduct" in p for p in plans)
+    assert "WindowGroupLimit" in plans[0] and "WindowGroupLimit" in plans[3]
