@@ -7,6 +7,8 @@ type of every value so that strict and lenient decoding can differ by field.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +89,31 @@ def _is_object(value: Column) -> Column:
     return _kind(value).startswith("OBJECT") | (_kind(value) == "VOID")
 
 
+Spec = str | list | dict
+
+
+def is_typed(value: Column, spec: Spec) -> Column:
+    """Whether a VARIANT has the types of the spec, at every depth; missing values and nulls fit all.
+
+    A spec is the name of a JSON type, a list with the spec of its items, or a dict of
+    field specs; fields it does not name may be anything.
+    """
+    if isinstance(spec, str):
+        return _is(value, spec)
+    if isinstance(spec, list):
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        return (_kind(value).startswith("ARRAY") | (_kind(value) == "VOID")) & F.forall(items, lambda item: is_typed(item, spec[0]))
+    def field_fits(name: str, inner: Spec) -> Column:
+        return is_typed(_field(value, name), inner) if isinstance(inner, str) else let(_field(value, name), lambda v: is_typed(v, inner))
+
+    return reduce(Column.__and__, (field_fits(*item) for item in spec.items()), _is_object(value))
+
+
+def object_error(json: Column | str, spec: dict, message: str) -> Column:
+    """'' for the text of a JSON object of these types, else the message."""
+    return let(F.try_parse_json(col(json)), lambda v: F.when(_kind(v).startswith("OBJECT") & is_typed(v, spec), "").otherwise(message))
+
+
 def _issue_is_typed(issue: Column) -> Column:
     ok = _is_object(issue) & _is(_field(issue, "line"), "BIGINT")
     for name in ISSUE_TEXT_FIELDS:

@@ -6,6 +6,8 @@ the user and is the only Python in a review; it sees one Arrow batch at a time.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,6 +22,7 @@ ATTEMPTS = 3
 FIRST_WAIT_S = 1.0
 WAIT_FACTOR = 2.0
 LONGEST_WAIT_S = 60.0
+DEADLINE_S = 600.0
 
 Messages = list[dict[str, str]]
 Usage = dict[str, int] | None
@@ -29,35 +32,87 @@ CompleteFn = Callable[[list[Messages]], Sequence[Reply]]
 USAGE_TYPE = "struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 
 
-def with_retries(complete_fn: CompleteFn, batch: list[Messages], attempts: int, first_wait: float) -> list[Reply]:
-    """Ask again for the failed rows only; what still fails carries its last error."""
+class Deadline:
+    """Calls a function in a thread beside the task; a call that takes too long is given up.
+
+    The thread of such a call is left behind with its queues, so a late reply reaches
+    nobody, and the next call gets a new thread.
+    """
+
+    def __init__(self, call: CompleteFn, seconds: float):
+        self.call, self.seconds, self.asked = call, seconds, None
+
+    def __call__(self, batch: list[Messages]) -> Sequence[Reply]:
+        if self.asked is None:
+            self.asked, self.replies = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=self.serve, args=(self.asked, self.replies), daemon=True).start()
+        self.asked.put(batch)
+        try:
+            reply, failure = self.replies.get(timeout=self.seconds)
+        except queue.Empty:
+            self.close()
+            raise TimeoutError(f"no reply within {self.seconds:g} s") from None
+        if failure:
+            raise failure
+        return reply
+
+    def serve(self, asked: queue.SimpleQueue, replies: queue.SimpleQueue) -> None:
+        while (batch := asked.get()) is not None:
+            try:
+                replies.put((self.call(batch), None))
+            except Exception as failure:
+                replies.put((None, failure))
+
+    def close(self) -> None:
+        """Let the thread end after what it is doing."""
+        if self.asked is not None:
+            self.asked.put(None)
+            self.asked = None
+
+
+def with_retries(
+    complete_fn: CompleteFn, batch: list[Messages], attempts: int, first_wait: float, deadline_s: float | None = None, rows_per_call: int | None = None
+) -> list[Reply]:
+    """Ask again for the failed rows only; what still fails carries its last error.
+
+    Each call of an attempt has the deadline, and asks about `rows_per_call` rows (all of
+    them if not given); the rows of a call that is late are open again.
+    """
     replies: list[Reply] = [(None, "not asked", None)] * len(batch)
     open_rows = list(range(len(batch)))
-    wait = first_wait
+    wait, ask = first_wait, Deadline(complete_fn, deadline_s) if deadline_s else complete_fn
     for attempt in range(attempts):
-        try:
-            got = complete_fn([batch[i] for i in open_rows])
-            if len(got) != len(open_rows):
-                raise ValueError(f"{len(got)} replies to {len(open_rows)} requests")
-        except Exception as failure:  # a failing service is a row error, not a task failure
-            got = [(None, str(failure) or type(failure).__name__, None)] * len(open_rows)
-        for i, reply in zip(open_rows, got):
-            replies[i] = reply
+        step = rows_per_call or max(len(open_rows), 1)
+        for at in range(0, len(open_rows), step):
+            rows = open_rows[at : at + step]
+            try:
+                got = ask([batch[i] for i in rows])
+                if len(got) != len(rows):
+                    raise ValueError(f"{len(got)} replies to {len(rows)} requests")
+            except Exception as failure:  # a failing service is a row error, not a task failure
+                got = [(None, str(failure) or type(failure).__name__, None)] * len(rows)
+            for i, reply in zip(rows, got):
+                replies[i] = reply
         open_rows = [i for i in open_rows if replies[i][1] or replies[i][0] is None]
         if not open_rows or attempt + 1 == attempts:
             break
         time.sleep(min(wait, LONGEST_WAIT_S))
         wait *= WAIT_FACTOR
+    if deadline_s:
+        ask.close()
     return replies
 
 
 def complete(
-    requests: DataFrame, complete_fn: CompleteFn, concurrency: int | None = None, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT_S
+    requests: DataFrame, complete_fn: CompleteFn, concurrency: int | None = None, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT_S,
+    deadline_s: float | None = DEADLINE_S, rows_per_call: int | None = None,
 ) -> DataFrame:
     """Add (response, error, usage) to rows with a `messages` column.
 
     `concurrency` is the number of partitions that ask at the same time. The result
-    is lazy: write it before using it twice, or the model is asked twice.
+    is lazy: write it before using it twice, or the model is asked twice. A call that takes
+    longer than `deadline_s` counts as failed; `rows_per_call` keeps a row that hangs from
+    holding up others.
     """
     if concurrency:
         requests = requests.repartition(concurrency)
@@ -69,7 +124,7 @@ def complete(
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             batch = [[dict(m) for m in row] for row in rows["messages"]]
-            replies = with_retries(complete_fn, batch, attempts, first_wait) if batch else []
+            replies = with_retries(complete_fn, batch, attempts, first_wait, deadline_s, rows_per_call) if batch else []
             failed = [error or ("no answer" if answer is None else "") for answer, error, _ in replies]
             yield rows.assign(
                 response=[None if error else answer for (answer, _, _), error in zip(replies, failed)],

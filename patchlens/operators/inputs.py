@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlens.functions.jsontext import object_error
 from patchlens.functions.text import is_skipped, synthetic_diff, text
 from patchlens.operators.joins import spread_join
 
@@ -52,15 +53,13 @@ BATCH_TYPE = (
 )
 
 
-def _object_error(value: str, message: str, list_field: str | None = None) -> Column:
-    """'' for the text of a JSON object, whose field `list_field` is a list if it is there."""
-    parsed = F.try_parse_json(value)
-    kind = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
-    bad = ~kind.startswith("OBJECT")
-    if list_field:
-        inner = F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{list_field}", "variant")), F.lit("VOID"))
-        bad = bad | ~(inner.startswith("ARRAY") | (inner == "VOID"))
-    return F.when(bad, message).otherwise("")
+# A value of another type, at any depth, makes the whole payload malformed.
+_TEXTS = lambda *names: dict.fromkeys(names, "STRING")
+BATCH_SPEC = {
+    "files": [_TEXTS("file_path", "diff", "full_content")], "project_id": "BIGINT", "merge_req_id": "BIGINT", "post_to_mr": "BOOLEAN",
+}
+HEADER_SPEC = {"id": "BIGINT", "iid": "BIGINT"} | _TEXTS("title", "description", "source_branch", "target_branch", "state", "web_url")
+CHANGE_SPEC = _TEXTS("old_path", "new_path", "diff") | dict.fromkeys(["new_file", "renamed_file", "deleted_file"], "BOOLEAN")
 
 
 def _kept(own: Column | None, message: Column) -> Column:
@@ -69,7 +68,7 @@ def _kept(own: Column | None, message: Column) -> Column:
 
 def batch_files(requests: DataFrame, value: str = "value", review_id: str = "review_id") -> DataFrame:
     """One row per file of each batch request (JSON text); a malformed request is one row with an error and no file."""
-    rows = requests.select(F.col(review_id).alias("review_id"), F.from_json(value, BATCH_TYPE).alias("r"), _object_error(value, BAD_REQUEST, "files").alias("error"))
+    rows = requests.select(F.col(review_id).alias("review_id"), F.from_json(value, BATCH_TYPE).alias("r"), object_error(value, BATCH_SPEC, BAD_REQUEST).alias("error"))
     good = rows.where("error = ''").select("review_id", "r.project_id", "r.merge_req_id", "r.post_to_mr", F.posexplode("r.files").alias("file_no", "f"), "error")
     bad = rows.where("error <> ''").select(
         "review_id", F.lit(None).cast("bigint").alias("project_id"), F.lit(None).cast("bigint").alias("merge_req_id"), F.lit(None).cast("boolean").alias("post_to_mr"),
@@ -93,7 +92,8 @@ def merge_request_headers(payloads: DataFrame, value: str = "value") -> DataFram
     """
     header = MERGE_REQUEST_TYPE.replace(f",changes:array<{CHANGE_TYPE}>", "")
     own = F.col("error") if "error" in payloads.columns else None
-    rows = payloads.select("project_id", F.from_json(value, header).alias("m"), _kept(own, _object_error(value, BAD_PAYLOAD)).alias("error"))
+    rows = payloads.select("project_id", F.from_json(value, header).alias("m"), _kept(own, object_error(value, HEADER_SPEC, BAD_PAYLOAD)).alias("error"))
+    rows = rows.withColumn("m", F.when(F.col("error") == "", F.col("m")))  # nothing of a malformed payload is taken over
     return rows.select("project_id", "m.*", "error")
 
 
@@ -106,7 +106,7 @@ def changed_files(payloads: DataFrame, value: str = "value") -> DataFrame:
     own = F.col("error") if "error" in payloads.columns else None
     known = F.col("iid") if "iid" in payloads.columns else F.lit(None).cast("bigint")
     parsed = payloads.select(
-        "project_id", known.alias("known_iid"), F.from_json(value, MERGE_REQUEST_TYPE).alias("m"), _kept(own, _object_error(value, BAD_PAYLOAD, "changes")).alias("error")
+        "project_id", known.alias("known_iid"), F.from_json(value, MERGE_REQUEST_TYPE).alias("m"), _kept(own, object_error(value, HEADER_SPEC | {"changes": [CHANGE_SPEC]}, BAD_PAYLOAD)).alias("error")
     )
     changes = parsed.where("error = ''").select("project_id", "m.iid", F.posexplode("m.changes").alias("file_no", "change"), "error")
     files = changes.where(~F.coalesce(F.col("change.deleted_file"), F.lit(False))).select(

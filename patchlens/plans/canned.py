@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 from patchlens.operators.complete import Messages, Reply
 
@@ -35,6 +36,25 @@ def canned_reviews(batch: list[Messages]) -> list[Reply]:
     return replies
 
 
+_asked: set[int] = set()
+
+
+def slow_reviews(batch: list[Messages]) -> list[Reply]:
+    """Every 997th file never gets a reply, every third of the others fails when it is asked about first."""
+    replies: list[Reply] = []
+    for messages in batch:
+        n = reviewed_number(messages)
+        if n % 997 == 0:
+            time.sleep(5)
+        if n % 3 == 0 and n not in _asked:
+            _asked.add(n)
+            replies.append((None, "service unavailable", None))
+        else:
+            _asked.discard(n)
+            replies.append((json.dumps(review_reply(n)), None, None))
+    return replies
+
+
 def canned_agent(batch: list[Messages]) -> list[Reply]:
     """Step 1 searches or calls a tool, step 2 hands in the review; some rows never finish."""
     replies: list[Reply] = []

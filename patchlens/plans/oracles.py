@@ -133,15 +133,15 @@ SELECT o_orderkey AS review_id, o_custkey AS project_id, CAST(7 AS BIGINT) AS me
   CASE n WHEN 0 THEN {views.FILES['file_path']} ELSE 'extra.go' END AS file_path, o_orderstatus AS diff, '' AS full_content
 FROM orders, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(n)"""
 
-_broken = "o_orderkey % 5 < 3"
+_broken = "o_orderkey % 9 < 6"
 ORACLES["bad_requests"] = f"""
 SELECT o_orderkey AS review_id, CASE WHEN {_broken} THEN NULL ELSE 'a.go' END AS file_path,
   CASE WHEN {_broken} THEN CASE source WHEN 'batch' THEN 'invalid request' ELSE 'invalid merge request' END ELSE '' END AS error, source
 FROM orders, (VALUES ('batch'), ('changes')) t(source)"""
 ORACLES["mr_headers"] = """
-SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(-1 AS BIGINT) ELSE o_orderkey END AS id,
-  CASE WHEN o_orderkey % 5 >= 3 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 5 >= 3 THEN 'opened' END AS state,
-  CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'invalid merge request' ELSE '' END AS error
+SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 9 IN (0, 1, 4, 5) THEN CAST(-1 AS BIGINT) WHEN o_orderkey % 9 IN (2, 3) THEN -1 ELSE o_orderkey END AS id,
+  CASE WHEN o_orderkey % 9 > 5 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 9 > 5 THEN 'opened' END AS state,
+  CASE WHEN o_orderkey % 9 IN (0, 1, 4, 5) THEN 'invalid merge request' ELSE '' END AS error
 FROM orders"""
 
 ORACLES["file_contents"] = f"""
@@ -515,6 +515,9 @@ ORACLES["file_reviews"] = f"""
 SELECT review_id, file_no, error, CASE WHEN error = '' THEN 'file ' || CAST(file_no AS VARCHAR) END AS summary,
   CASE WHEN error = '' THEN file_no % 10 ELSE -1 END AS risk_score, CASE WHEN error = '' THEN file_no % 2 ELSE -1 END AS n_issues
 FROM (SELECT o_custkey AS review_id, o_orderkey AS file_no, {_canned.replace('file_no', 'o_orderkey')} AS error FROM orders)"""
+ORACLES["retried_reviews"] = """
+SELECT review_id, file_no, error, CASE WHEN error = '' THEN 'file ' || CAST(file_no AS VARCHAR) END AS summary, CASE WHEN error = '' THEN file_no % 10 ELSE -1 END AS risk_score
+FROM (SELECT o_custkey AS review_id, o_orderkey AS file_no, CASE WHEN o_orderkey % 997 = 0 THEN 'no reply within 0.25 s' ELSE '' END AS error FROM orders)"""
 ORACLES["routed_reviews"] = f"""
 SELECT review_id, file_no, error,
   CASE WHEN error <> '' THEN NULL WHEN stuck THEN 'Review completed after maximum steps.' ELSE 'file ' || CAST(file_no AS VARCHAR) END AS summary,

@@ -117,12 +117,17 @@ def batch_files(spark, sf):
     return inputs.batch_files(requests).withColumn("file_no", c("file_no").cast("bigint")).drop("error")
 
 
-BROKEN = "CASE o_orderkey % 5 WHEN 0 THEN '{\"files\": [' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"files\": 7, \"changes\": 7, \"iid\": 9}' ELSE {good} END"
+BROKEN = (
+    "CASE o_orderkey % 9 WHEN 0 THEN '{\"files\": [' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"files\": 7, \"changes\": 7, \"iid\": 9}' "
+    "WHEN 3 THEN '{\"files\":[7,{\"file_path\":\"b\"}],\"changes\":[7,{\"new_path\":\"b\",\"diff\":\"e\"}],\"iid\":5}' "
+    "WHEN 4 THEN '{\"project_id\":\"x\",\"iid\":\"x\",\"id\":8,\"files\":[],\"changes\":[]}' "
+    "WHEN 5 THEN '{\"post_to_mr\":\"yes\",\"iid\":2.5,\"changes\":[{\"new_path\":\"c\",\"deleted_file\":\"yes\"}]}' ELSE {good} END"
+)
 
 
 @query
 def bad_requests(spark, sf):
-    """Batch requests and change lists of which three in five are malformed: those are rows with an error."""
+    """Batch requests and change lists of which two in three are malformed or hold a value of another type: those are rows with an error."""
     files = "'{\"files\":[{\"file_path\":\"a.go\",\"diff\":\"+x\"}],\"changes\":[{\"new_path\":\"a.go\",\"diff\":\"+x\"}],\"iid\":9}'"
     rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS review_id", "o_orderkey AS project_id", f"{BROKEN.replace('{good}', files)} AS value")
     batch = inputs.batch_files(rows).select("review_id", "file_path", "error", F.lit("batch").alias("source"))
@@ -534,6 +539,16 @@ def file_reviews(spark, sf):
     )
 
 
+@query
+def retried_reviews(spark, sf):
+    """Three attempts under a deadline: some files fail at first, for some the model never replies."""
+    asked = canned.slow_reviews
+    rows = review.review_files(_inputs(spark, sf), asked, attempts=3, first_wait=0.0, deadline_s=0.25, rows_per_call=1)
+    return rows.select(
+        "review_id", "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score")
+    )
+
+
 @query
 def routed_reviews(spark, sf):
     """Agent, framework and standard reviews side by side, with canned answers."""

@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -10,7 +11,7 @@ from test_search import ELEMENTS, elements_of, queries_of
 
 from patchlens.functions import prompts
 from patchlens.operators import agent, index, review, search
-from patchlens.operators.complete import lookup_complete_fn
+from patchlens.operators.complete import lookup_complete_fn, with_retries
 from patchlens.operators.extract import ELEMENT_COLUMNS
 from patchlens.operators.inputs import merge_request_versions
 from patchlens.session import shared_dir
@@ -130,6 +131,29 @@ def test_tool_catalog():
     assert prompts.tool_schema(prompts.TOOLS[3][2])["required"] == ["issue", "original_code"]
 
 
+def test_deadline_of_an_attempt():
+    """A call that hangs is given up, its rows are asked again, and its late reply reaches nobody."""
+    calls = []
+
+    def ask(batch):
+        names = [m[0]["content"] for m in batch]
+        calls.append(names)
+        if "hangs" in names or ("once" in names and sum("once" in c for c in calls) == 1):
+            time.sleep(0.6)
+            return [("late", None, None)] * len(batch)
+        return [(f"re {n}", None, None) for n in names]
+
+    rows = [[{"content": n}] for n in ("a", "hangs", "once", "b")]
+    started = time.monotonic()
+    got = with_retries(ask, rows, 3, 0.0, deadline_s=0.15, rows_per_call=1)
+    assert time.monotonic() - started < 1.2
+    assert [r[0] for r in got] == ["re a", None, "re once", "re b"] and got[1][1] == "no reply within 0.15 s"
+    assert [c for c in calls if c == ["a"]] == [["a"]] and calls.count(["hangs"]) == 3
+    whole = with_retries(ask, rows[1:], 2, 0.0, deadline_s=0.15)
+    assert all(r[1] == "no reply within 0.15 s" for r in whole)
+    assert with_retries(ask, rows[:1], 1, 0.0, deadline_s=5)[0][0] == "re a"
+
+
 def store_rows(spark, framework, names, packages):
     rows = [(framework, i, "function", n, p, f"{p}/x.go", i, "func", "", "body", "", ["fmt"], []) for i, (n, p) in enumerate(zip(names, packages))]
     return spark.createDataFrame(

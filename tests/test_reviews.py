@@ -116,6 +116,26 @@ def test_changes_and_headers(spark):
     assert (head.iid, head.title, head.web_url) == (42, "t", None)
 
 
+PROBES = [
+    '{"iid":5,"changes":[7,{"new_path":"b","diff":"e"}]}', '{"iid":"x","changes":[]}', '{"iid":5,"changes":[{"new_path":"b","deleted_file":"yes"}]}',
+    '{"iid":5,"changes":{"new_path":"b"}}', '{"iid":5.5}', '{"iid":5,"changes":[{"new_path":["b"]}]}', "[]", "null", "{",
+]
+
+
+def test_wrong_types_are_error_rows(spark):
+    """One row with an error for each malformed payload, and none of its fields."""
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "project_id int, value string")
+    bad = inputs.changed_files(frame(PROBES)).collect()
+    assert sorted((r.project_id, r.file_path, r.error) for r in bad) == [(i, None, inputs.BAD_PAYLOAD) for i in range(len(PROBES))]
+    heads = {r.project_id: (r.iid, r.error) for r in inputs.merge_request_headers(frame(['{"iid":7,"title":7}', '{"iid":7,"title":null,"other":[1]}'])).collect()}
+    assert heads == {0: (None, inputs.BAD_PAYLOAD), 1: (7, "")}
+    fine = inputs.changed_files(frame(['{"iid":5,"changes":[null,{"new_path":"b","diff":null,"more":{}}]}', '{"iid":6,"changes":null}'])).collect()
+    assert [(r.project_id, r.iid, r.file_no, r.file_path, r.diff, r.error) for r in fine] == [(0, 5, 0, None, "", ""), (0, 5, 1, "b", "", "")]
+    files = frame(['{"files":[{"file_path":1}]}', '{"files":[[]]}', '{"post_to_mr":1}', '{"merge_req_id":true}', '{"files":[{"file_path":"a"}]}'])
+    got = inputs.batch_files(files.withColumnRenamed("project_id", "review_id")).collect()
+    assert sorted((r.review_id, r.file_path, r.error) for r in got) == [(i, None, inputs.BAD_REQUEST) for i in range(4)] + [(4, "a", "")]
+
+
 def test_job_input_and_skips(spark):
     df = spark.createDataFrame([("p/a.go", "", "x\n"), ("README.md", "+d", None)], "file_path string, diff string, content string")
     rows = {r.file_path: r for r in inputs.job_input(df).collect()}
