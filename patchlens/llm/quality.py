@@ -34,31 +34,34 @@ FEATURES, DIMENSIONS = 1 << 14, 64
 NEIGHBOURS = 15
 SHARPNESS = 8  # power of the similarity in a vote
 ROUNDS, SPARE = 6, 8  # of the subspace iteration; directions kept beside until the end
-PARTS = 8  # partitions of the sample
+PARTS = 8  # tasks of a round, each of which sends one sum to the driver
 BLOCK = 256  # documents in one product
 THRESHOLD = 0.7
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
+def place_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % FEATURES
+
+
 class Bags:
     """Texts as sorted places and damped counts."""
 
     def __init__(self):
         from patchlens.llm.merges import Recent
 
-        self.codes = Recent(self.places, 300_000)
+        self.codes, self.forms = Recent(self.places, 300_000), Recent(lambda shape: place_of("shape " + shape), 10_000)
 
-    @staticmethod
-    def places(token: str) -> int:
+    def places(self, token: str) -> int:
         """The place of the token and that of its shape, in one number."""
-        import xxhash
-
-        shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token))
         if token.isalpha() and token[1:].islower():
-            shape = "Aa" if token[0].isupper() else "a"
-        word, form = (xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) % FEATURES for x in (token.lower(), "shape " + shape))
-        return word * FEATURES + form
+            shape = "a" if token[0].islower() else "Aa"
+        else:
+            shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token))
+        return place_of(token.lower()) * FEATURES + self.forms[shape]
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         codes = np.fromiter(map(self.codes.__getitem__, TOKEN.findall(text)), np.int64)
@@ -142,6 +145,8 @@ def directions(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
     width = DIMENSIONS + SPARE
     basis = np.linalg.qr(np.random.default_rng(11).standard_normal((FEATURES, width)))[0].astype(np.float32)
 
+    rows = sample.select("places", "counts").coalesce(PARTS)
+
     for _ in range(ROUNDS):
         sent = sample.sparkSession.sparkContext.broadcast(basis)
 
@@ -155,7 +160,7 @@ def directions(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
                     total[at] += np.outer(x, x @ sent.value[at])
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
-        parts = [np.frombuffer(r.total, np.float32).reshape(FEATURES, width) for r in sample.select("places", "counts").mapInArrow(turn, "total binary").collect()]
+        parts = [np.frombuffer(r.total, np.float32).reshape(FEATURES, width) for r in rows.mapInArrow(turn, "total binary").collect()]
         basis, strength, _ = np.linalg.svd(np.sum(parts, axis=0, dtype=np.float64), full_matrices=False)
         basis = basis.astype(np.float32)
         sent.unpersist()
