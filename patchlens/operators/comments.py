@@ -16,18 +16,20 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return versions.where(F.size("versions") > 0).select("project_id", "iid", F.get("versions", F.lit(0)).alias("version"))
 
 
-def line_comments(results: DataFrame, versions: DataFrame) -> DataFrame:
+def line_comments(results: DataFrame, versions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One comment per issue with a line number.
 
     `results` has project_id and iid beside the columns of review_results. With a
     known version the comment is a discussion at a position in the diff; else it is
     a general note that names the place. (project_id, iid, file_no, issue_no) keys
-    the comment, so that delivery can be repeated safely.
+    the comment, so that delivery can be repeated safely; `keep` names columns of the
+    results that belong to the key as well.
     """
     c = F.col
+    keep = keep or []
     issues = (
         results.where("result IS NOT NULL")
-        .select("project_id", "iid", "file_no", "file_path", F.posexplode("result.issues").alias("issue_no", "issue"))
+        .select("project_id", "iid", *keep, "file_no", "file_path", F.posexplode("result.issues").alias("issue_no", "issue"))
         .where("issue.line > 0")
     )
     placed = spread_join(issues, latest_versions(versions), ["project_id", "iid"], ["file_no", "issue_no"], "left")
@@ -42,7 +44,7 @@ def line_comments(results: DataFrame, versions: DataFrame) -> DataFrame:
         c("issue.line").alias("new_line"),
     )
     return placed.select(
-        "project_id", "iid", "file_no", "issue_no",
+        "project_id", "iid", *keep, "file_no", "issue_no",
         F.when(known, "discussion").otherwise("note").alias("kind"),
         F.when(known, comment).otherwise(render.fmt("**", c("file_path"), ":", c("issue.line"), "**\n\n", comment)).alias("body"),
         F.when(known, position).alias("position"),

@@ -1,6 +1,7 @@
 """Jobs of several steps: reviews, the agent, the store, and the event stream."""
 
 import json
+import os
 import sys
 import time
 
@@ -303,8 +304,74 @@ def test_fetch_and_delivery_errors_are_rows(spark):
     assert {r.iid: r.delivery_error for r in remote.deliver(keys, post).collect()} == {1: "", 2: "refused"}
 
 
-def event(kind="merge_request", action="open", iid=1):
-    return json.dumps({"object_kind": kind, "project": {"id": 5}, "object_attributes": {"iid": iid, "action": action}})
+def event(kind="merge_request", action="open", iid=1, commit="c1", **more):
+    about = {"iid": iid, "action": action, **({"last_commit": {"id": commit}} if commit else {}), **more}
+    return json.dumps({"object_kind": kind, "project": {"id": 5}, "object_attributes": about})
+
+
+CHANGE = '{"iid":%d,"changes":[{"new_path":"a.go","diff":"+x"},{"new_path":"b.go","deleted_file":true}]}'
+
+
+def test_stream_does_not_depend_on_its_batches(spark, tmp_path):
+    """One event file, cut into 1, 2 and 7 batches: the same reviews, notes, comments and rejected events."""
+    lines = [
+        event(), event(action="update"), event(action="update", commit="c2"), event(action="close", iid=2), event(kind="push", iid=3), "{broken",
+        event(action="reopen", iid=4), event(), event(iid=6, commit=None, updated_at="t1"), event(iid=6, commit=None, updated_at="t1", action="update"),
+        event(iid=9), "{broken", event(iid=4), event(action="update", commit="c2"),
+    ]
+    payloads = spark.createDataFrame([(5, i, CHANGE % i) for i in (1, 2, 4, 6)] + [(5, 9, '{"changes":7}')], "project_id bigint, iid bigint, value string")
+    versions = merge_request_versions(spark.createDataFrame([(5, 1, '[{"head_commit_sha":"h"}]')], "project_id bigint, iid bigint, value string"))
+    webhooks.store_payloads(payloads, str(tmp_path / "payloads"))
+    stored = spark.read.parquet(str(tmp_path / "payloads"))
+    asked = spark.createDataFrame([(5, 4)], "project_id bigint, iid bigint")
+    plan = webhooks.looked_up(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters")[1].split("]")[0]
+    seen = []
+    for n in (1, 2, 7):
+        folder, out = tmp_path / f"events{n}", str(tmp_path / f"out{n}")
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"{i}.json").write_text("\n".join(lines[i * len(lines) // n : (i + 1) * len(lines) // n]))
+            os.utime(folder / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
+        source = spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
+        query = webhooks.start_reviews(source, stored, versions, lookup_complete_fn({}, ANSWER), out, str(tmp_path / f"checkpoint{n}"), available_now=True, attempts=1)
+        query.awaitTermination(300)
+        assert query.exception() is None
+        rows = lambda t, *names: sorted(map(str, webhooks.read_done(spark, out, t).select(*names).collect()))
+        assert spark.read.parquet(f"{out}/marks/done").select("batch").distinct().count() == n
+        seen.append((rows("results", "review_id", "file_path", "error"), rows("notes", *webhooks.KEYS, "part", "body"), rows("comments", *webhooks.KEYS, "kind", "body"), rows("rejected", "value", "status")))
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][0]) == 5 and sum("invalid merge request" in r for r in seen[0][0]) == 1 and len(seen[0][3]) == 4
+
+
+def test_repeated_batch_asks_no_model_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(webhooks, "SNAPSHOT", 2)
+    asked = spark.sparkContext.accumulator(0)
+    inner = lookup_complete_fn({}, ANSWER)
+
+    def counting(batch):
+        asked.add(len(batch))
+        return inner(batch)
+
+    payloads = spark.createDataFrame([(5, i, CHANGE % i) for i in range(9)], "project_id bigint, iid bigint, value string")
+    versions = merge_request_versions(spark.createDataFrame([], "project_id bigint, iid bigint, value string"))
+    out = str(tmp_path / "out")
+
+    def run(batch_id, *iids):
+        rows = webhooks.route_events(spark.createDataFrame([(event(iid=i),) for i in iids], "value string"))
+        notes, _ = webhooks.handle_batch(rows, batch_id, payloads, versions, counting, out, attempts=1)
+        return sorted({r.iid for r in notes.collect()})
+
+    assert run(0, 1, 2) == [1, 2] and asked.value == 2
+    monkeypatch.setattr(webhooks, "outputs", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError):
+        run(1, 2, 3)  # breaks off after the model was asked
+    assert asked.value == 3 and {r.batch for r in webhooks.read_done(spark, out, "results").collect()} == {0}
+    monkeypatch.undo()
+    monkeypatch.setattr(webhooks, "SNAPSHOT", 2)
+    assert run(1, 2, 3) == [3] and asked.value == 3
+    assert [run(n, 1, n + 2) for n in (2, 3, 4)] == [[4], [5], [6]] and run(4, 1, 6) == [6] and asked.value == 6
+    assert run(5, 1, 2, 3, 4, 5, 6) == [] and asked.value == 6
 
 
 def test_event_stream(spark, tmp_path):
@@ -321,8 +388,7 @@ def test_event_stream(spark, tmp_path):
     same = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
     assert same(spark.table("routed")) == same(batch)
 
-    change = '{"iid":%d,"changes":[{"new_path":"a.go","diff":"+x"},{"new_path":"b.go","deleted_file":true}]}'
-    payloads = spark.createDataFrame([(5, i, change % i) for i in (1, 2, 4)], "project_id bigint, iid bigint, value string")
+    payloads = spark.createDataFrame([(5, i, CHANGE % i) for i in (1, 2, 4)], "project_id bigint, iid bigint, value string")
     versions = merge_request_versions(spark.createDataFrame([(5, 1, '[{"head_commit_sha":"h"}]')], "project_id bigint, iid bigint, value string"))
     seen = []
     query = webhooks.start_reviews(
