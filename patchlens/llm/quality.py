@@ -65,9 +65,9 @@ class Bags:
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         codes = np.fromiter(map(self.codes.__getitem__, TOKEN.findall(text)), np.int64)
-        words, shapes = np.divmod(codes, FEATURES)
+        both = np.concatenate(np.divmod(codes, FEATURES))
         again = int((codes[1:] == codes[:-1]).sum()) if len(codes) > 1 else 0
-        counts = np.bincount(words, minlength=FEATURES) + np.bincount(shapes, minlength=FEATURES)
+        counts = np.bincount(both, minlength=FEATURES)
         counts[0] += again  # the place of repeats, shared with few words
         at = np.flatnonzero(counts)
         return at, np.log1p(counts[at]).astype(np.float32)
@@ -163,7 +163,7 @@ def directions(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
         parts = [np.frombuffer(r.total, np.float32).reshape(FEATURES, width) for r in rows.mapInArrow(turn, "total binary").collect()]
         basis, strength, _ = np.linalg.svd(np.sum(parts, axis=0, dtype=np.float64), full_matrices=False)
         basis = basis.astype(np.float32)
-        sent.unpersist()
+        sent.destroy()
     # Directions of no strength are rounding noise.
     return basis[:, :DIMENSIONS] * (strength[:DIMENSIONS] > 1e-6 * max(strength[0], 1e-30)).astype(np.float32)
 
@@ -192,17 +192,22 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, own: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("good"), batch.column("n")], names=["vector", "good", "n"])
 
     known = sample.mapInArrow(place, "vector binary, good double, n double").collect()  # at most SAMPLE rows
+    sent.destroy()
     vectors = np.stack([np.frombuffer(r.vector, np.float32) for r in known])
     return {"weights": weights, "basis": basis, "vectors": vectors, "good": np.array([r.good / r.n for r in known]), "share": rows.good / rows.n}
 
 
 def votes(block: np.ndarray, vectors: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
     """Scores of unit vectors (or zeros) by their neighbours among the labelled ones."""
-    like = np.round(block @ vectors.T, 5)
+    like = block @ vectors.T
     k = min(NEIGHBOURS, len(vectors))
-    least = np.partition(like, len(vectors) - k, axis=1)[:, len(vectors) - k]
-    row, column = np.nonzero((like >= least[:, None]) & (like > 0))
-    vote = like[row, column].astype(np.float64) ** SHARPNESS
+    # Similarities count as equal where five decimals are.
+    least = np.round(np.partition(like, len(vectors) - k, axis=1)[:, len(vectors) - k], 5)
+    row, column = np.nonzero(like >= np.maximum(least, 1e-5)[:, None] - 1e-5)
+    near = np.round(like[row, column], 5)
+    kept = (near >= least[row]) & (near > 0)
+    row, column, near = row[kept], column[kept], near[kept]
+    vote = near.astype(np.float64) ** SHARPNESS
     total = np.bincount(row, vote, len(block))
     yes = np.bincount(row, vote * good[column], len(block))
     # Ties beyond the k-th neighbour make no difference to the weight of the prior.
