@@ -20,7 +20,7 @@ from patchlens.session import materialize
 
 # A chunk holds elements of like size, and about this many postings at most, so one term
 # never owns many postings under one join key and the largest total bounds all others well.
-CHUNK_POSTINGS = 1 << 18
+CHUNK_POSTINGS = 1 << 21
 
 # Terms and words up to this length are their own key; longer ones are keyed by digest.
 KEY_CHARS = 64
@@ -80,7 +80,8 @@ def postings(elements: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (key, text); grams (gram, key).
+    """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (framework, key, text);
+    grams (framework, gram, key).
 
     With `buckets`, postings and term_chunks have a column `bucket` that follows from the
     term and lookups read the buckets of the asked terms only; grams have one that follows
@@ -111,8 +112,9 @@ def bucket_of(key: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(key), buckets.cast("bigint")).cast("int")
 
 
-def vocabulary(stored_postings: DataFrame, *by: str) -> DataFrame:
-    return stored_postings.select(*by, F.col("term").alias("text")).distinct().select(*by, token_key(F.col("text")).alias("key"), "text")
+def vocabulary(stored_postings: DataFrame) -> DataFrame:
+    """(framework, key, text) of the distinct terms of each framework."""
+    return stored_postings.select("framework", F.col("term").alias("text")).distinct().select("framework", token_key(F.col("text")).alias("key"), "text")
 
 
 def term_chunks(stored_postings: DataFrame) -> DataFrame:
@@ -125,9 +127,9 @@ def windows(token: Column, width: int) -> Column:
     return F.when(F.length(token) > 0, F.array_distinct(F.transform(places, lambda p: F.substr(token, p, F.lit(width))))).otherwise(F.array().cast("array<string>"))
 
 
-def grams(terms: DataFrame, *by: str) -> DataFrame:
-    """(gram, key) of distinct terms: one row per distinct window of GRAM characters, the shorter ones at the end included."""
-    return terms.select(*by, F.explode(windows(F.col("text"), GRAM)).alias("gram"), "key")
+def grams(terms: DataFrame) -> DataFrame:
+    """(framework, gram, key) of distinct terms: one row per distinct window of GRAM characters, the shorter ones at the end included."""
+    return terms.select("framework", F.explode(windows(F.col("text"), GRAM)).alias("gram"), "key")
 
 
 def build_index(elements: DataFrame) -> KeywordIndex:

@@ -8,13 +8,14 @@ The plan has equi-joins only:
 
 1. distinct words x distinct terms -> matching pairs, through the stored grams of the terms
    (terms that contain a word) and the windows of the words (terms inside a word);
-2. pairs x (term, chunk) -> what each word can add to an element of each chunk at most,
-   and from that a bound for each query and chunk;
+2. (term, chunk) x words of the term -> what each word can add to an element of each chunk
+   at most, and from that a bound for each query and chunk;
 3. the chunks of the highest bound are scored first; the k-th best label there is the score
    to reach, and of all other chunks only those whose bound reaches it are read and scored.
    Before words meet queries the bounds are drawn once more, from the scores of the words.
 
-Postings and pairs meet by chunk, so the scores of a chunk are summed where they arise.
+Each posting meets the list of the words that match its term, so it is read once for all
+queries, and a word's score is summed where the element's postings lie.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ REVIEW_LIMIT = 5
 TOOL_LIMIT = 3
 
 HEAD = 6  # characters of a term that are looked up inside words
+WORDS_PER_ROW = 32_768
+BROADCAST_PAIRS = 4_000_000  # pairs of term and word that are sent to all tasks
 FIRST_CHUNKS, FIRST_LABELS = 32, 3  # a query starts with that many chunks at most, and with that many times the labels it asks for
 
 
@@ -52,80 +55,81 @@ def _counted_words(queries: DataFrame) -> DataFrame:
 
 
 def _asked_grams(index: KeywordIndex, words: DataFrame) -> DataFrame:
-    """(gram, word_key, word): the grams to look each word up by.
+    """(framework, gram, word_id, word): the grams to look each word up by.
 
     A word of at least GRAM characters is looked up by the rarest of its grams, a shorter
     one by all grams that start with it.
     """
     c = F.col
-    rows = words.select(c("key").alias("word_key"), c("text").alias("word"), F.explode(windows(c("text"), GRAM)).alias("part"))
-    long_rows = rows.where((F.length("word") >= GRAM) & (F.length("part") == GRAM))
-    counts = index.looked_up("grams", long_rows, "part").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        long_rows.join(counts.withColumnRenamed("gram", "part"), "part", "left")
-        .groupBy("word_key", "word").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("gram"))
-    )
-    short = words.where(F.length("text") < GRAM).select(c("key").alias("word_key"), c("text").alias("word"))
+    keys = ["framework", "word_id", "word"]
+    rows = words.where(F.length("word") >= GRAM).select(*keys, F.explode(windows(c("word"), GRAM)).alias("gram")).where(F.length("gram") == GRAM)
+    counts = index.looked_up("grams", rows, "gram").groupBy("framework", "gram").agg(F.count("*").alias("n"))
+    found = rows.join(counts, ["framework", "gram"])  # a word with a gram that no term has would find nothing by it
+    some = rows.groupBy(*keys).agg(F.count("*").alias("grams"))
+    rarest = found.groupBy(*keys).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("known")).join(some, keys)
+    looked = rarest.where("known = grams").select("framework", "gram", "word_id", "word")
+    short = words.where(F.length("word") < GRAM).select(*keys)
     if short.isEmpty():
-        return rarest.select("gram", "word_key", "word")
+        return looked
     # Only distinct grams meet short words, by their starts of one and two characters.
-    known = index.grams.select("gram").distinct()
-    starts = known.select("gram", F.explode(F.array_distinct(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2)))).alias("word"))
-    return rarest.select("gram", "word_key", "word").unionByName(starts.join(short, "word").select("gram", "word_key", "word"))
+    known = index.grams.select("framework", "gram").distinct()
+    starts = known.select("framework", "gram", F.explode(F.array_distinct(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2)))).alias("word"))
+    return looked.unionByName(starts.join(short, ["framework", "word"]).select(*looked.columns))
 
 
 def terms_that_contain(index: KeywordIndex, words: DataFrame) -> DataFrame:
-    """(term_key, word_key) of all terms that hold a word, the word itself left out; words are (key, text), none empty."""
-    c = F.col
+    """(framework, term_key, word_id) of all terms that hold a word, the word itself left out; words as in matching_pairs, none empty."""
     asked = materialize(_asked_grams(index, words), "asked-grams")
-    rows = spread_join(index.looked_up("grams", asked, "gram"), asked, ["gram"], ["key"]).where("key <> word_key")
+    rows = spread_join(index.looked_up("grams", asked, "gram").select("framework", "gram", "key"), asked, ["framework", "gram"], ["key"])
     is_text = F.length("key") <= KEY_CHARS
-    whole = rows.where(is_text & (F.length("word") <= F.length("key")) & F.contains("key", "word"))
+    # More than one gram of a term may start with a short word.
+    whole = rows.where(is_text & (F.col("key") != F.col("word")) & F.contains("key", "word")).drop("gram")
+    once = whole.where(F.length("word") >= GRAM).unionByName(whole.where(F.length("word") < GRAM).distinct())
     # A long term is known by its digest here; its text comes from the vocabulary.
     texts = index.vocabulary.where(F.length("text") > KEY_CHARS)
-    long_terms = rows.where(~is_text).select("key", "word_key", "word").distinct().join(texts, "key").where(F.contains("text", "word"))
-    found = whole.select("key", "word_key").unionByName(long_terms.select("key", "word_key"))
-    return found.distinct().select(c("key").alias("term_key"), "word_key")
+    long_terms = rows.where(~is_text).drop("gram").distinct().join(texts, ["framework", "key"]).where(F.contains("text", "word") & (F.col("text") != F.col("word")))
+    found = [x.select("framework", F.col("key").alias("term_key"), "word_id") for x in (once, long_terms)]
+    return found[0].unionByName(found[1])
 
 
 def terms_inside(index: KeywordIndex, words: DataFrame) -> DataFrame:
-    """(term_key, word_key) of all terms that a word holds, itself included; words are (key, text), none empty.
+    """(framework, term_key, word_id, equal) of all terms that a word holds, itself included; words as in matching_pairs, none empty.
 
     Each place of a word gives its next KEY_CHARS characters and their starts of up to
     HEAD characters, so rows grow with the length of a word and not with its square. The
     empty term is inside every word.
     """
     c = F.col
-    places = words.select(c("key").alias("word_key"), F.explode(windows(c("text"), KEY_CHARS)).alias("window"))
-    starts = places.select("word_key", "window", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("window"))), lambda n: F.substr("window", F.lit(1), n))).alias("head"))
-    nothing = words.select(c("key").alias("word_key"), F.lit("").alias("window"), F.lit("").alias("head"))
-    terms = index.vocabulary.withColumn("head", F.substring("text", 1, HEAD))
-    met = spread_join(terms, starts.unionByName(nothing), ["head"], ["key"])
-    short = met.where((F.length("text") <= KEY_CHARS) & F.startswith("window", "text")).select("key", "word_key").distinct()
+    places = words.select("framework", "word_id", "key", F.explode(windows(c("word"), KEY_CHARS)).alias("window"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("window"))), lambda n: F.substr("window", F.lit(1), n))
+    starts = places.select("framework", "word_id", c("key").alias("word_key"), "window", F.explode(heads).alias("head"))
+    nothing = words.select("framework", "word_id", c("key").alias("word_key"), F.lit("").alias("window"), F.lit("").alias("head"))
+    terms = index.vocabulary.select("framework", "key", "text", F.substring("text", 1, HEAD).alias("head"))
+    met = spread_join(terms, starts.unionByName(nothing), ["framework", "head"], ["key"])
+    equal = (c("key") == c("word_key")).alias("equal")
+    short = met.where((F.length("text") <= KEY_CHARS) & F.startswith("window", "text")).select("framework", "key", "word_id", equal).distinct()
     # Of a long term the window proves the first KEY_CHARS characters only.
-    likely = met.where((F.length("text") > KEY_CHARS) & (F.substring("text", 1, KEY_CHARS) == c("window"))).select("key", "word_key").distinct()
+    likely = met.where((F.length("text") > KEY_CHARS) & (F.substring("text", 1, KEY_CHARS) == c("window"))).select("framework", "key", "word_id", equal).distinct()
     longer = (
-        likely.join(index.vocabulary.where(F.length("text") > KEY_CHARS), "key")
-        .join(words.where(F.length("text") > KEY_CHARS).select(c("key").alias("word_key"), c("text").alias("word")), "word_key")
-        .where(F.contains("word", "text")).select("key", "word_key")
+        likely.join(index.vocabulary.where(F.length("text") > KEY_CHARS), ["framework", "key"])
+        .join(words.where(F.length("word") > KEY_CHARS).select("word_id", "word"), "word_id")
+        .where(F.contains("word", "text")).select(*short.columns)
     )
-    return short.unionByName(longer).select(c("key").alias("term_key"), "word_key")
+    return short.unionByName(longer).withColumnRenamed("key", "term_key")
 
 
 def matching_pairs(index: KeywordIndex, words: DataFrame) -> DataFrame:
-    """(term_key, word_key, weight) for the distinct terms of the index and distinct words (key, text).
+    """(framework, term_key, word_id, weight) for distinct terms and distinct words (framework, word_id, key, word) of each framework.
 
     Equal texts weigh 13, other matches 3. The empty word would match every term;
     its partial score is added elsewhere, so here it only meets the empty term.
     """
-    c = F.col
-    real_words = words.where("text <> ''")
-    equal = F.when(c("term_key") == c("word_key"), EXACT_SCORE + PARTIAL_SCORE).otherwise(PARTIAL_SCORE)
-    inside = terms_inside(index, real_words).withColumn("weight", equal)
+    real_words = words.where("word <> ''")
+    inside = terms_inside(index, real_words)
+    inside = inside.withColumn("weight", F.when(F.col("equal"), EXACT_SCORE + PARTIAL_SCORE).otherwise(PARTIAL_SCORE)).drop("equal")
     around = terms_that_contain(index, real_words).withColumn("weight", F.lit(PARTIAL_SCORE))
-    empty = index.vocabulary.where("text = ''").join(words.where("text = ''").select("key"), "key")
-    empty = empty.select(c("key").alias("term_key"), c("key").alias("word_key"), F.lit(EXACT_SCORE).alias("weight"))
-    return inside.unionByName(around).unionByName(empty)
+    empty = index.vocabulary.where("text = ''").select("framework", F.col("key").alias("term_key")).join(words.where("word = ''").select("framework", "word_id"), "framework")
+    return inside.unionByName(around).unionByName(empty.withColumn("weight", F.lit(EXACT_SCORE)))
 
 
 # --- bounds and scores --------------------------------------------------------------------
@@ -136,34 +140,49 @@ class Asked:
     """What a search has found out before it reads postings, all stored."""
 
     words: DataFrame  # query_id, framework, word_id, qtf, n_empty
-    hits: DataFrame  # framework, term_key, chunk, word_id, weight, max_tf
+    term_words: DataFrame  # framework, term_key, words: array of (word_id, weight)
+    small: bool  # whether term_words holds at most BROADCAST_PAIRS pairs
     totals: DataFrame  # framework, chunk, max_total, labels
 
 
 def ask(index: KeywordIndex, queries: DataFrame) -> Asked:
-    """Words of the queries and the (term, chunk) pairs they match."""
+    """Words of the queries and the terms they match."""
     c = F.col
-    counted = _counted_words(queries).withColumn("word_key", token_key(c("word")))
-    asked = materialize(counted.groupBy("framework", "word_key", "word").agg(F.count("*").alias("n")).withColumn("word_id", F.monotonically_increasing_id()), "words")
-    pairs = materialize(matching_pairs(index, asked.select(c("word_key").alias("key"), c("word").alias("text")).distinct()), "pairs")
-    # One word of one framework is a number from here on: the large steps below sort and hash integers only.
-    by_framework = spread_join(pairs, asked.select("framework", "word_key", "word_id"), ["word_key"], ["term_key"])
-    blocks = index.looked_up("term_chunks", pairs, "term_key").select("framework", "term_key", "chunk", "max_tf")
-    hits = spread_join(by_framework, blocks, ["framework", "term_key"], ["word_id"])
-    hits = materialize(hits.select("framework", "term_key", "chunk", "word_id", c("weight").cast("bigint").alias("weight"), "max_tf"), "hits")
-    words = spread_join(counted, asked.select("framework", "word_key", "word_id"), ["framework", "word_key"], ["query_id"])
+    counted = _counted_words(queries)
+    asked = counted.select("framework", "word").distinct().select("*", token_key(c("word")).alias("key"), F.monotonically_increasing_id().alias("word_id"))
+    asked = materialize(asked, "words")
+    # A term's words are a list, in parts of bounded size, so each posting is read once for all of them.
+    parts = -(-asked.count() // WORDS_PER_ROW)
+    lists = matching_pairs(index, asked).groupBy("framework", "term_key", F.pmod(F.xxhash64("word_id"), F.lit(max(parts, 1))).alias("part")).agg(
+        F.collect_list(F.struct("word_id", c("weight").cast("bigint").alias("weight"))).alias("words")
+    )
+    lists = materialize(lists.select("framework", "term_key", "words"), "term-words")
+    n_pairs = lists.agg(F.sum(F.size("words"))).first()[0] or 0
+    words = spread_join(counted, asked.select("framework", "word", "word_id"), ["framework", "word"], ["query_id"])
     words = materialize(words.select("query_id", "framework", "word_id", "qtf", "n_empty"), "query-words")
-    totals = materialize(index.element_keys.groupBy("framework", "chunk").agg(F.max("total").alias("max_total"), F.approx_count_distinct("label").alias("labels")), "chunk-totals")
-    return Asked(words, hits, totals)
+    totals = index.element_keys.groupBy("framework", "chunk").agg(F.max("total").alias("max_total"), F.approx_count_distinct("label").alias("labels"))
+    return Asked(words, lists, n_pairs <= BROADCAST_PAIRS, materialize(totals, "chunk-totals"))
+
+
+def _matched(rows: DataFrame, asked: Asked, spread_by: list[str]) -> DataFrame:
+    """rows (framework, term_key, ...) once for each word that matches the term, with word_id and weight.
+
+    The lists are sent to all tasks if they are few: rows of an element then stay together,
+    and its words are summed before anything is shuffled. Otherwise they are joined by term.
+    """
+    keys = ["framework", "term_key"]
+    met = rows.join(F.broadcast(asked.term_words), keys) if asked.small else spread_join(rows, asked.term_words, keys, spread_by)
+    return met.select(*(n for n in rows.columns if n != "term_key"), F.explode("words").alias("w")).select("*", "w.word_id", "w.weight").drop("w")
 
 
-def chunk_bounds(asked: Asked) -> DataFrame:
+def chunk_bounds(index: KeywordIndex, asked: Asked) -> DataFrame:
     """(framework, word_id, chunk, most): no element of the chunk scores more for the word.
 
     Every posting adds 3 at most, but those of the equal term, which add 10 more; and no
     term adds more than its greatest count in the chunk.
     """
-    sums = asked.hits.groupBy("framework", "word_id", "chunk").agg(
+    rows = index.looked_up("term_chunks", asked.term_words, "term_key").select("framework", "term_key", "chunk", "max_tf")
+    sums = _matched(rows, asked, ["chunk"]).groupBy("framework", "word_id", "chunk").agg(
         F.sum(F.col("weight") * F.col("max_tf")).alias("by_terms"),
         F.max(F.when(F.col("weight") >= EXACT_SCORE, F.col("max_tf")).otherwise(0)).alias("exact"),
     )
@@ -180,21 +199,11 @@ def query_bounds(asked: Asked, bounds: DataFrame) -> DataFrame:
 
 
 def word_scores(index: KeywordIndex, asked: Asked, chunks: DataFrame) -> DataFrame:
-    """(framework, chunk, word_id, element_id, word_score) in the given chunks, for the words of the queries that ask for them.
-
-    chunks is (query_id, framework, chunk). Both sides are dealt by chunk alone, so the
-    sums need no further shuffle where the session allows joins on part of the keys.
-    """
-    c = F.col
-    wanted = spread_join(asked.words.select("query_id", "framework", "word_id"), chunks, ["query_id", "framework"], ["word_id"])
-    wanted = wanted.select("framework", "chunk", "word_id").distinct()
-    hits = asked.hits.join(wanted, ["framework", "chunk", "word_id"], "left_semi").select("framework", "chunk", "term_key", "word_id", "weight")
-    read = index.looked_up("postings", hits, "term_key").join(chunks.select("framework", "chunk").distinct(), ["framework", "chunk"], "left_semi")
-    postings = read.select("framework", "chunk", "term_key", "element_id", "tf").repartition("framework", "chunk")
-    return (
-        hits.repartition("framework", "chunk").join(postings, ["framework", "chunk", "term_key"])
-        .groupBy("framework", "chunk", "word_id", "element_id").agg(F.sum(c("weight") * c("tf")).alias("word_score"))
-    )
+    """(framework, chunk, word_id, element_id, word_score) of all asked words in the given chunks (query_id, framework, chunk)."""
+    places = chunks.select("framework", "chunk").distinct()
+    read = index.looked_up("postings", asked.term_words, "term_key").join(places, ["framework", "chunk"], "left_semi")
+    rows = _matched(read.select("framework", "term_key", "chunk", "element_id", "tf"), asked, ["element_id"])
+    return rows.groupBy("framework", "chunk", "word_id", "element_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("word_score"))
 
 
 def query_scores(index: KeywordIndex, asked: Asked, scored_words: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -276,7 +285,7 @@ def scores(index: KeywordIndex, queries: DataFrame, limit: int) -> DataFrame:
     c = F.col
     names = ["query_id", "framework", "chunk"]
     asked = ask(index, queries)
-    bounds = materialize(query_bounds(asked, chunk_bounds(asked)), "chunk-bounds")
+    bounds = materialize(query_bounds(asked, chunk_bounds(index, asked)), "chunk-bounds")
     first = materialize(first_chunks(bounds, limit), "first-chunks")
     found = materialize(best_labels(query_scores(index, asked, word_scores(index, asked, first), first)), "first-scores")
     reach = materialize(ranked(found, limit, F.desc("score"), "element_id").where(c("rank") == limit).select("query_id", "framework", c("score").alias("reach")), "reach")

@@ -75,8 +75,8 @@ def save_frameworks(elements: DataFrame, path: str, repo_url: Column | None = No
     written = _read(spark, place("postings"))
     chunks = term_chunks(written).join(sizes, "framework").withColumn("bucket", bucket_of(F.col("term_key"), F.col("buckets"))).drop("buckets")
     _write(chunks, place("term_chunks"), ["framework", "bucket"], ["term_key"])
-    _write(vocabulary(written, "framework"), place("vocabulary"), ["framework"], ["key"])
-    parts = grams(_read(spark, place("vocabulary")), "framework").join(sizes, "framework")
+    _write(vocabulary(written), place("vocabulary"), ["framework"], ["key"])
+    parts = grams(_read(spark, place("vocabulary"))).join(sizes, "framework")
     _write(parts.withColumn("bucket", bucket_of(F.col("gram"), F.col("buckets"))).drop("buckets"), place("grams"), ["framework", "bucket"], ["gram"])
     commit(spark, path, save)
     return save
@@ -137,12 +137,10 @@ def load_index(spark: SparkSession, path: str, name: str | None = None) -> Keywo
     """The stored index of one framework, whose lookups read single buckets, or of all."""
     tables = ["postings", "term_chunks", "vocabulary", "grams"]
     if name is None:
-        posted, chunks, terms, parts = (_current(spark, path, t) for t in tables)
-        return KeywordIndex(posted, chunks, terms.select("key", "text").distinct(), parts.select("gram", "key").distinct())
+        return KeywordIndex(*(_current(spark, path, t) for t in tables))
     last = _saved(spark, path, name)
     found = [_read(spark, f"{path}/{t}/save={last.save}") for t in tables]
-    posted, chunks, terms, parts = (t.where(F.col("framework") == name) for t in found)
-    return KeywordIndex(posted, chunks, terms.select("key", "text"), parts.select("gram", "key", "bucket"), last.buckets)
+    return KeywordIndex(*(t.where(F.col("framework") == name) for t in found), last.buckets)
 
 
 def import_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -100,13 +100,20 @@ def test_search_equals_brute_force(spark, seed):
 
 
 def texts_of(spark, texts):
-    return spark.createDataFrame([(t,) for t in texts], "text string").select(index.token_key(index.F.col("text")).alias("key"), "text")
+    return spark.createDataFrame([("f", t) for t in texts], "framework string, text string").select("framework", index.token_key(index.F.col("text")).alias("key"), "text")
+
+
+def words_of(spark, texts):
+    rows = spark.createDataFrame([("f", t, i) for i, t in enumerate(sorted(texts))], "framework string, word string, word_id bigint")
+    return rows.withColumn("key", index.token_key(index.F.col("word")))
 
 
 def pairs_of(spark, terms, words):
     vocabulary = texts_of(spark, terms)
     only = index.KeywordIndex(None, None, vocabulary, index.grams(vocabulary))
-    return [tuple(r) for r in search.matching_pairs(only, texts_of(spark, words)).collect()]
+    asked = words_of(spark, words)
+    keys = {r.word_id: r.key for r in asked.collect()}
+    return [(r.term_key, keys[r.word_id], r.weight) for r in search.matching_pairs(only, asked).collect()]
 
 
 def test_matching_pairs_equal_nested_loop(spark):
@@ -140,6 +147,9 @@ def test_split_keys_change_nothing(spark, monkeypatch):
     want = found(spark, ELEMENTS * 5, texts, 3)
     monkeypatch.setattr(index, "CHUNK_POSTINGS", 2)
     monkeypatch.setattr(search, "FIRST_CHUNKS", 1)
+    monkeypatch.setattr(search, "WORDS_PER_ROW", 2)
+    assert found(spark, ELEMENTS * 5, texts, 3) == want
+    monkeypatch.setattr(search, "BROADCAST_PAIRS", -1)  # lists are joined by term
     assert found(spark, ELEMENTS * 5, texts, 3) == want
 
 
@@ -202,9 +212,9 @@ def test_context_of_inputs(spark):
 def test_no_theta_join_and_early_top_k(spark):
     built = index.build_index(elements_of(spark, ELEMENTS))
     asked = search.ask(built, queries_of(spark, ["request"]))
-    bounds = search.query_bounds(asked, search.chunk_bounds(asked))
+    bounds = search.query_bounds(asked, search.chunk_bounds(built, asked))
     first = search.first_chunks(bounds, 3)
-    words = texts_of(spark, ["request"])
+    words = words_of(spark, ["request"])
     steps = [
         search.search(built, queries_of(spark, ["request"])), search.matching_pairs(built, words), bounds, first,
         search.query_scores(built, asked, search.word_scores(built, asked, first), first),
