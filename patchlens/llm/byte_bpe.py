@@ -13,14 +13,18 @@ give equal results; other columns, whatever their names, are kept.
 
 import base64
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 200_000  # words whose tokens a worker remembers
-STATES = 80_000
+STATES = 20_000
+LOOKAHEAD = 64
+PIECE_BYTES = 2 << 20  # of text that a worker takes out of a batch at a time
 START = -1
 
 
@@ -30,6 +34,15 @@ class Transducer:
     def __init__(self, merges):
         self.merges = merges
         self.first = (START, (((), 0),))
+        lengths: dict[bytes, set[int]] = {}  # of the tokens that start with up to three bytes
+        one = {raw: (token, len(raw)) for raw, token in merges.tokens.items()}
+        self.ways = {}  # by the longest token that stands next: all tokens it starts with, longest first, and their lengths
+        for raw in merges.tokens:
+            starts = [raw[:n] for n in range(len(raw), 0, -1) if raw[:n] in one]
+            self.ways[raw] = tuple(one[start] for start in starts)
+            for n in range(1, min(len(raw), 3) + 1):
+                lengths.setdefault(raw[:n], set()).update((len(raw), *(len(start) for start in starts if len(start) < n)))
+        self.lengths = {start: tuple(sorted(found, reverse=True)) for start, found in lengths.items()}
         self.reset()
 
     def reset(self):
@@ -79,7 +92,35 @@ class Transducer:
         made = self.next[number << 8 | byte] = (self.number((context, tuple(opens))), emitted)
         return made
 
+    def short(self, word: bytes) -> list[int]:
+        ways, lengths, seen, together, size = self.ways.get, self.lengths, self.merges.seen.get, self.merges.together, len(word)
+        at, last, out, given_up = 0, START, [], ()
+        while at < size:
+            found = None
+            start = word[at : at + 3]
+            for n in lengths.get(start) or lengths.get(start[:2]) or lengths[start[:1]]:
+                found = ways(word[at : at + n])
+                if found:
+                    break
+            for token, n in found:
+                if at + n in given_up:
+                    continue
+                fits = last == START or seen(last << 20 | token)
+                if together(last, token) if fits is None else fits:
+                    out.append(token)
+                    at, last = at + n, token
+                    break
+            else:
+                if not out:
+                    raise ValueError("no tokens make this word")
+                given_up = (*given_up, at)
+                at -= len(self.merges.raw_of[out.pop()])
+                last = out[-1] if out else START
+        return out
+
     def tokens(self, word: bytes) -> list[int]:
+        if len(word) <= LOOKAHEAD:
+            return self.short(word)
         if len(self.states) > STATES:
             self.reset()
         at, out, known = self.start, [], self.next.get
@@ -225,6 +266,20 @@ def decoder(path: str) -> StreamDecoder:
     return tool(("byte_bpe decoder", path), lambda: StreamDecoder(path))
 
 
+def small_batches(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about PIECE_BYTES of text each, a longer text with those before it, so that results leave a worker early."""
+    if not len(texts):
+        yield texts
+        return
+    ends = pc.cumulative_sum(pc.cast(pc.binary_length(texts), pa.int64())).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        to = min(len(texts), int(np.searchsorted(ends, done + PIECE_BYTES)) + 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def encode(text: Column, ranks: str, pattern: str) -> Column:
     """array<int>: ids of the text, each match of the pattern by itself."""
 
@@ -273,21 +328,22 @@ def round_trip(text: Column, ranks: str, pattern: str, piece: int = 4096) -> Col
     """
 
     @F.arrow_udf("struct<ids: array<int>, bytes: binary, malformed: int>")
-    def both(texts: pa.Array) -> pa.Array:
-        from patchlens.llm.byte_bpe import coder
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from patchlens.llm.byte_bpe import coder, small_batches
 
         tool, reader = coder(ranks, pattern)
-        starts, parts, raws, malformed = [0], [], [], []
-        for t in (x.as_py() for x in texts):
-            ids = tool.encode(t)
-            parts.append(ids)
-            starts.append(starts[-1] + len(ids))
-            reader.reset()
-            raws.append(b"".join([*(reader.feed(ids[at : at + piece]) for at in range(0, len(ids), piece)), reader.finish()]))
-            malformed.append(reader.malformed)
-        flat = np.concatenate(parts) if parts else np.array([], np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([ids, pa.array(raws, pa.binary()), pa.array(malformed, pa.int32())], ["ids", "bytes", "malformed"])
+        for texts in (few for batch in batches for few in small_batches(batch)):
+            starts, parts, raws, malformed = [0], [], [], []
+            for t in (x.as_py() for x in texts):
+                ids = tool.encode(t)
+                parts.append(ids)
+                starts.append(starts[-1] + len(ids))
+                reader.reset()
+                raws.append(b"".join([*(reader.feed(ids[at : at + piece]) for at in range(0, len(ids), piece)), reader.finish()]))
+                malformed.append(reader.malformed)
+            flat = np.concatenate(parts) if parts else np.array([], np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.StructArray.from_arrays([ids, pa.array(raws, pa.binary()), pa.array(malformed, pa.int32())], ["ids", "bytes", "malformed"])
 
     return both(F.coalesce(text.cast("string"), F.lit("")))
 

@@ -85,14 +85,15 @@ class Merges:
         if known is None:
             if len(self.seen) > 400_000:
                 self.seen.clear()
-            known = self.seen[key] = self._stay_apart(x, y)
+            known = self.seen[key] = self.stay_apart(x, y)
         return known
 
-    def _stay_apart(self, x: int, y: int) -> bool:
+    def stay_apart(self, x: int, y: int) -> bool:
+        """What `together` remembers, worked out."""
         left = self._seam(x, 1)
         for b, born_b, gone_b in self._seam(y, 0):
             for a, born_a, gone_a in left:
-                if max(born_a, born_b) < min(gone_a, gone_b):
+                if born_a < gone_b and born_b < gone_a:  # both stand at some time
                     r = self.rank(a, b)
                     # At equal rank the join further left comes first: a's own end is left of the seam, b's is right of it.
                     if r is not None and r < gone_a and r <= gone_b:
