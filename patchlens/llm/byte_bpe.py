@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000  # words whose tokens a worker remembers
+CACHE = 500_000  # words whose tokens a worker remembers
 STATES = 20_000
 LOOKAHEAD = 64
 PIECE_BYTES = 2 << 20  # of text that a worker takes out of a batch at a time
@@ -94,28 +94,32 @@ class Transducer:
 
     def short(self, word: bytes) -> list[int]:
         ways, lengths, seen, together, size = self.ways.get, self.lengths, self.merges.seen.get, self.merges.together, len(word)
-        at, last, out, given_up = 0, START, [], ()
+        at, last, out, tried, given_up = 0, START, [], [], ()
         while at < size:
-            found = None
-            start = word[at : at + 3]
+            start, found = word[at : at + 3], None
             for n in lengths.get(start) or lengths.get(start[:2]) or lengths[start[:1]]:
                 found = ways(word[at : at + n])
                 if found:
                     break
-            for token, n in found:
-                if at + n in given_up:
+            while True:
+                for token, n in found:
+                    if given_up and at + n in given_up:
+                        continue
+                    fits = seen(last << 20 | token)
+                    if together(last, token) if fits is None else fits:
+                        break
+                else:
+                    if not out:
+                        raise ValueError("no tokens make this word")
+                    given_up = (*given_up, at)
+                    found = tried.pop()
+                    at -= len(self.merges.raw_of[out.pop()])
+                    last = out[-1] if out else START
                     continue
-                fits = last == START or seen(last << 20 | token)
-                if together(last, token) if fits is None else fits:
-                    out.append(token)
-                    at, last = at + n, token
-                    break
-            else:
-                if not out:
-                    raise ValueError("no tokens make this word")
-                given_up = (*given_up, at)
-                at -= len(self.merges.raw_of[out.pop()])
-                last = out[-1] if out else START
+                out.append(token)
+                tried.append(found)
+                at, last = at + n, token
+                break
         return out
 
     def tokens(self, word: bytes) -> list[int]:
