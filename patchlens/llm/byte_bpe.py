@@ -21,9 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 500_000  # words whose tokens a worker remembers
-STATES = 20_000
-LOOKAHEAD = 64
+CACHE = 200_000  # words whose tokens a worker remembers
+STATES = 80_000
 PIECE_BYTES = 2 << 20  # of text that a worker takes out of a batch at a time
 START = -1
 
@@ -34,15 +33,6 @@ class Transducer:
     def __init__(self, merges):
         self.merges = merges
         self.first = (START, (((), 0),))
-        lengths: dict[bytes, set[int]] = {}  # of the tokens that start with up to three bytes
-        one = {raw: (token, len(raw)) for raw, token in merges.tokens.items()}
-        self.ways = {}  # by the longest token that stands next: all tokens it starts with, longest first, and their lengths
-        for raw in merges.tokens:
-            starts = [raw[:n] for n in range(len(raw), 0, -1) if raw[:n] in one]
-            self.ways[raw] = tuple(one[start] for start in starts)
-            for n in range(1, min(len(raw), 3) + 1):
-                lengths.setdefault(raw[:n], set()).update((len(raw), *(len(start) for start in starts if len(start) < n)))
-        self.lengths = {start: tuple(sorted(found, reverse=True)) for start, found in lengths.items()}
         self.reset()
 
     def reset(self):
@@ -92,39 +82,7 @@ class Transducer:
         made = self.next[number << 8 | byte] = (self.number((context, tuple(opens))), emitted)
         return made
 
-    def short(self, word: bytes) -> list[int]:
-        ways, lengths, seen, together, size = self.ways.get, self.lengths, self.merges.seen.get, self.merges.together, len(word)
-        at, last, out, tried, given_up = 0, START, [], [], ()
-        while at < size:
-            start, found = word[at : at + 3], None
-            for n in lengths.get(start) or lengths.get(start[:2]) or lengths[start[:1]]:
-                found = ways(word[at : at + n])
-                if found:
-                    break
-            while True:
-                for token, n in found:
-                    if given_up and at + n in given_up:
-                        continue
-                    fits = seen(last << 20 | token)
-                    if together(last, token) if fits is None else fits:
-                        break
-                else:
-                    if not out:
-                        raise ValueError("no tokens make this word")
-                    given_up = (*given_up, at)
-                    found = tried.pop()
-                    at -= len(self.merges.raw_of[out.pop()])
-                    last = out[-1] if out else START
-                    continue
-                out.append(token)
-                tried.append(found)
-                at, last = at + n, token
-                break
-        return out
-
     def tokens(self, word: bytes) -> list[int]:
-        if len(word) <= LOOKAHEAD:
-            return self.short(word)
         if len(self.states) > STATES:
             self.reset()
         at, out, known = self.start, [], self.next.get

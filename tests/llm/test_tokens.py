@@ -79,20 +79,6 @@ def test_transducer_gives_the_ids_of_the_library(byte_library):
         assert list(tool.encode(t)) == byte_library.encode_ordinary(t), repr(t)
 
 
-def test_both_readings_of_a_word_give_the_same_ids(byte_library):
-    """Words within the lookahead are read by tokens, longer ones by bytes; either way serves all words."""
-    machine, rng = byte_bpe.Encoder(RANKS, P.PATTERN).transducer, random.Random(11)
-    syllables = ["th", "an", "ed", "tion", "wh", "cion", "ñ", "ß", "oa", "q", "ing", "ere", "mente", "''", "é"]
-    for n in [*range(1, 12)] * 60 + [40] * 20:
-        word = "".join(rng.choice(syllables) for _ in range(n)).encode()
-        at, by_bytes = machine.start, []
-        for byte in word[:-1]:
-            at, emitted = machine.next.get(at << 8 | byte) or machine.follow(at, byte)
-            by_bytes += emitted
-        by_bytes += machine.close(at, word[-1])
-        assert machine.short(word) == by_bytes == byte_library._encode_single_piece(word) or word in machine.merges.ids
-
-
 def test_small_batches_hold_every_text_once(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 5)
     for rows in ([], ["", ""], ["abc", "de", "", "x" * 100, "é", "", "abcdef"], ["x" * 20] * 3):
