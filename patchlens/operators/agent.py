@@ -102,7 +102,7 @@ def agent_review(
             "messages",
             prompts.messages(prompts.agent_system_prompt("framework") if system is None else system, prompts.agent_step_prompt(F.lit(step), "file_path", "diff", "tool_calls")),
         )
-        answered = materialize(complete(requests, complete_fn, **options).drop("messages", "usage"), f"agent-{step}-answers")
+        answered = materialize(complete(requests, complete_fn, returned=state.columns, **options).drop("usage"), f"agent-{step}-answers")
         finished.append(answered.where(text("error") != "").withColumn("result", no_result).withColumn(
             "error", F.concat(F.lit(f"step {step}: "), c("error"))).select(*columns))
 
@@ -176,7 +176,8 @@ def run_tools(
 
     asked = tool_prompts(calls.where(c("args_ok"))).withColumn("messages", prompts.messages("system", "user"))
     if not asked.isEmpty():
-        replies = materialize(complete(asked, complete_fn, **options), "tool-answers")
+        kept = [name for name in columns if name != "tool_result"]
+        replies = materialize(complete(asked, complete_fn, returned=kept, **options).drop("usage"), "tool-answers")
         failed = F.concat(F.lit("Error: "), c("error"))
         replies = replies.withColumn("tool_result", F.when(text("error") != "", failed).otherwise(text("response")))
         done = done.unionByName(replies.select(*columns))

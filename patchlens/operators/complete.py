@@ -23,6 +23,7 @@ FIRST_WAIT_S = 1.0
 WAIT_FACTOR = 2.0
 LONGEST_WAIT_S = 60.0
 DEADLINE_S = 600.0
+CALLS_AT_ONCE = 16
 
 Messages = list[dict[str, str]]
 Usage = dict[str, int] | None
@@ -32,42 +33,56 @@ CompleteFn = Callable[[list[Messages]], Sequence[Reply]]
 USAGE_TYPE = "struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 
 
-class Deadline:
-    """Calls a function in a thread beside the task; a call that takes too long is given up.
+class Calls:
+    """Calls a function in threads beside the task, several at once; a call that takes too long is given up.
 
-    The thread of such a call is left behind with its queues, so a late reply reaches
-    nobody, and the next call gets a new thread.
+    The thread of such a call is left behind with its queue, so a late reply reaches
+    nobody, and a new thread takes its place: a call that hangs holds up no other.
     """
 
-    def __init__(self, call: CompleteFn, seconds: float):
-        self.call, self.seconds, self.asked = call, seconds, None
-
-    def __call__(self, batch: list[Messages]) -> Sequence[Reply]:
-        if self.asked is None:
-            self.asked, self.replies = queue.SimpleQueue(), queue.SimpleQueue()
-            threading.Thread(target=self.serve, args=(self.asked, self.replies), daemon=True).start()
-        self.asked.put(batch)
-        try:
-            reply, failure = self.replies.get(timeout=self.seconds)
-        except queue.Empty:
-            self.close()
-            raise TimeoutError(f"no reply within {self.seconds:g} s") from None
-        if failure:
-            raise failure
-        return reply
-
-    def serve(self, asked: queue.SimpleQueue, replies: queue.SimpleQueue) -> None:
-        while (batch := asked.get()) is not None:
+    def __init__(self, call: CompleteFn, seconds: float, at_once: int):
+        self.call, self.seconds, self.at_once = call, seconds, at_once
+        self.idle: list[queue.SimpleQueue] = []
+
+    def __call__(self, batches: list[list[Messages]]) -> list[Sequence[Reply] | Exception]:
+        """The replies to each batch, or why there are none; each call has the whole time from its own start."""
+        results: list[Sequence[Reply] | Exception] = [TimeoutError(f"no reply within {self.seconds:g} s")] * len(batches)
+        running: dict[int, tuple[float, queue.SimpleQueue]] = {}  # in the order of their ends
+        started, replies = 0, queue.SimpleQueue()
+        while running or started < len(batches):
+            while started < len(batches) and len(running) < self.at_once:
+                asked = self.idle.pop() if self.idle else self.thread()
+                running[started] = time.monotonic() + self.seconds, asked
+                asked.put((started, batches[started], replies))
+                started += 1
+            first = next(iter(running))
             try:
-                replies.put((self.call(batch), None))
+                at, reply = replies.get(timeout=max(0.0, running[first][0] - time.monotonic()))
+            except queue.Empty:
+                running.pop(first)[1].put(None)
+                continue
+            if at in running:  # else it is late
+                results[at] = reply
+                self.idle.append(running.pop(at)[1])
+        return results
+
+    def thread(self) -> queue.SimpleQueue:
+        asked: queue.SimpleQueue = queue.SimpleQueue()
+        threading.Thread(target=self.serve, args=(asked,), daemon=True).start()
+        return asked
+
+    def serve(self, asked: queue.SimpleQueue) -> None:
+        while (task := asked.get()) is not None:
+            at, batch, replies = task
+            try:
+                replies.put((at, self.call(batch)))
             except Exception as failure:
-                replies.put((None, failure))
+                replies.put((at, failure))
 
     def close(self) -> None:
-        """Let the thread end after what it is doing."""
-        if self.asked is not None:
-            self.asked.put(None)
-            self.asked = None
+        """Let the threads end after what they are doing."""
+        while self.idle:
+            self.idle.pop().put(None)
 
 
 def with_retries(
@@ -76,17 +91,20 @@ def with_retries(
     """Ask again for the failed rows only; what still fails carries its last error.
 
     Each call of an attempt has the deadline, and asks about `rows_per_call` rows (all of
-    them if not given); the rows of a call that is late are open again.
+    them if not given); the rows of a call that is late are open again. With a deadline
+    up to CALLS_AT_ONCE calls wait for their replies at the same time.
     """
     replies: list[Reply] = [(None, "not asked", None)] * len(batch)
     open_rows = list(range(len(batch)))
-    wait, ask = first_wait, Deadline(complete_fn, deadline_s) if deadline_s else complete_fn
+    wait, calls = first_wait, Calls(complete_fn, deadline_s, CALLS_AT_ONCE) if deadline_s else None
     for attempt in range(attempts):
         step = rows_per_call or max(len(open_rows), 1)
-        for at in range(0, len(open_rows), step):
-            rows = open_rows[at : at + step]
+        parts = [open_rows[at : at + step] for at in range(0, len(open_rows), step)]
+        asked = [[batch[i] for i in rows] for rows in parts]
+        for rows, got in zip(parts, calls(asked) if calls else (_tried(complete_fn, part) for part in asked)):
             try:
-                got = ask([batch[i] for i in rows])
+                if isinstance(got, Exception):
+                    raise got
                 if len(got) != len(rows):
                     raise ValueError(f"{len(got)} replies to {len(rows)} requests")
             except Exception as failure:  # a failing service is a row error, not a task failure
@@ -98,35 +116,46 @@ def with_retries(
             break
         time.sleep(min(wait, LONGEST_WAIT_S))
         wait *= WAIT_FACTOR
-    if deadline_s:
-        ask.close()
+    if calls:
+        calls.close()
     return replies
 
 
+def _tried(complete_fn: CompleteFn, batch: list[Messages]) -> Sequence[Reply] | Exception:
+    try:
+        return complete_fn(batch)
+    except Exception as failure:
+        return failure
+
+
 def complete(
     requests: DataFrame, complete_fn: CompleteFn, concurrency: int | None = None, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT_S,
-    deadline_s: float | None = DEADLINE_S, rows_per_call: int | None = None,
+    deadline_s: float | None = DEADLINE_S, rows_per_call: int | None = None, returned: list[str] | None = None,
 ) -> DataFrame:
     """Add (response, error, usage) to rows with a `messages` column.
 
     `concurrency` is the number of partitions that ask at the same time. The result
     is lazy: write it before using it twice, or the model is asked twice. A call that takes
     longer than `deadline_s` counts as failed; `rows_per_call` keeps a row that hangs from
-    holding up others.
+    holding up others, so calls of one task then overlap and `complete_fn` is called from several
+    threads. `returned` names the columns of the requests to keep, all if not given: prompts
+    that nobody reads again need not come back from the workers.
     """
     if concurrency:
         requests = requests.repartition(concurrency)
     kept = [f for f in requests.schema.fields if f.name not in {"response", "error", "usage"}]
-    requests = requests.select(*(f.name for f in kept))
+    requests = requests.select(*(f.name for f in kept if returned is None or f.name in returned or f.name == "messages"))
+    kept = [f for f in kept if returned is None or f.name in returned]
     added = T.StructType.fromDDL(f"response string, error string, usage {USAGE_TYPE}")
     schema = T.StructType([*kept, *added.fields])
+    names = [f.name for f in kept]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             batch = [[dict(m) for m in row] for row in rows["messages"]]
             replies = with_retries(complete_fn, batch, attempts, first_wait, deadline_s, rows_per_call) if batch else []
             failed = [error or ("no answer" if answer is None else "") for answer, error, _ in replies]
-            yield rows.assign(
+            yield rows[names].assign(
                 response=[None if error else answer for (answer, _, _), error in zip(replies, failed)],
                 error=failed,
                 usage=[usage for _, _, usage in replies],

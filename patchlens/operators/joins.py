@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a large part of the left side."""
+"""Joins and deals that stay balanced when one key, or one file, holds a large part of the rows."""
 
 from __future__ import annotations
 
@@ -26,3 +26,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: l
     salted = left.withColumn("_salt", salt_of(spread_by, F.lit(SPREAD)))
     repeated = right.withColumn("_salt", F.explode(salts(F.lit(SPREAD))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, however few files or row groups they come from.
+
+    For rows that are small beside the work on them. The number is given, so that adaptive
+    execution does not put them together again by their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -13,7 +13,7 @@ from patchlens.operators.agent import agent_review
 from patchlens.operators.answers import parse_responses
 from patchlens.operators.complete import CompleteFn, complete
 from patchlens.operators.index import KeywordIndex
-from patchlens.operators.joins import spread_join
+from patchlens.operators.joins import dealt, spread_join
 from patchlens.operators.search import attach_context
 from patchlens.session import materialize
 
@@ -22,8 +22,8 @@ UserPrompt = Callable[[str, str, str], Column]
 
 
 def _ask(requests: DataFrame, complete_fn: CompleteFn, **options) -> DataFrame:
-    """Completion written to the shared folder, so that the model is asked once per row."""
-    answered = materialize(complete(requests, complete_fn, **options), "answers")
+    """Completion written to the shared folder without its prompt, so that the model is asked once per row."""
+    answered = materialize(complete(requests, complete_fn, returned=["review_id", "file_no", "file_path"], **options).drop("usage"), "answers")
     return parse_responses(answered).select("review_id", "file_no", "file_path", "result", "error")
 
 
@@ -56,7 +56,7 @@ def review_files(
 ) -> DataFrame:
     """Standard review of review_inputs(review_id, file_no, file_path, diff, full_content)."""
     inputs, failed = _carry_errors(inputs)
-    requests = review_requests(inputs, system, user)
+    requests = review_requests(dealt(inputs, ["review_id", "file_no"]), system, user)
     return _with_failed(_ask(requests, complete_fn, **options), failed)
 
 

@@ -155,6 +155,21 @@ def test_deadline_of_an_attempt():
     assert with_retries(ask, rows[:1], 1, 0.0, deadline_s=5)[0][0] == "re a"
 
 
+def test_hanging_calls_overlap():
+    """Calls that hang are waited for together; the replies of the others keep their rows."""
+    def ask(batch):
+        if batch[0][0]["content"].startswith("hangs"):
+            time.sleep(1.5)
+        return [(f"re {m[0]['content']}", None, None) for m in batch]
+
+    names = [f"hangs {i}" if i % 5 == 0 else f"n{i}" for i in range(50)]
+    started = time.monotonic()
+    got = with_retries(ask, [[{"content": n}] for n in names], 2, 0.0, deadline_s=0.3, rows_per_call=1)
+    assert time.monotonic() - started < 2.4  # one after another: 6 s
+    assert [r[:2] for r in got] == [(None, "no reply within 0.3 s") if n.startswith("hangs") else (f"re {n}", None) for n in names]
+    assert with_retries(lambda batch: None, [[{"content": "a"}]], 1, 0.0, deadline_s=1)[0][1]
+
+
 def store_rows(spark, framework, names, packages):
     rows = [(framework, i, "function", n, p, f"{p}/x.go", i, "func", "", "body", "", ["fmt"], []) for i, (n, p) in enumerate(zip(names, packages))]
     return spark.createDataFrame(
