@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import prompts
 from patchlens.functions.jsontext import RESULT_TYPE
-from patchlens.operators import comments, inputs, notes, review_stats
+from patchlens.operators import agent, comments, inputs, notes, review, review_stats
 from patchlens.operators.complete import complete, with_retries
 
 SCHEMA = f"review_id bigint, file_no bigint, file_path string, result {RESULT_TYPE}, error string"
@@ -168,3 +168,23 @@ def test_completion_stage(spark):
     rows = {r.id: r for r in complete(df, reply, concurrency=2, attempts=1).collect()}
     assert (rows[1].response, rows[1].error, rows[1].usage.total_tokens) == ("shi", "", 3)
     assert (rows[2].response, rows[2].error, rows[2].usage) == (None, "refused", None)
+
+
+def test_prompts_are_not_written(spark, monkeypatch):
+    """Answers are stored without the prompts they answer: those may hold five whole elements a file."""
+    stored = {}
+
+    def kept(df, name):
+        stored[name] = df.columns
+        return df
+
+    monkeypatch.setattr(review, "materialize", kept)
+    monkeypatch.setattr(agent, "materialize", kept)
+    reply = lambda batch: [('{"summary": "s"}', None, None)] * len(batch)
+    files = spark.createDataFrame([(1, 2, "a.go", "+x", "", "")], "review_id int, file_no int, file_path string, diff string, full_content string, error string")
+    row = review.review_files(files, reply, attempts=1).first()
+    assert (row.review_id, row.file_no, row.file_path, row.result.summary, row.error) == (1, 2, "a.go", "s", "")
+    calls = files.drop("error").selectExpr("*", "'analyze_security' AS tool", "'{\"code\": \"x\"}' AS args", f"CAST(array() AS ARRAY<{agent.CALL_TYPE}>) AS tool_calls")
+    done = agent.run_tools(calls, reply, None, None, attempts=1).first()
+    assert done.tool_calls[0].result == '{"summary": "s"}'
+    assert stored.keys() == {"answers", "tool-answers"} and not {"messages", "system", "user"} & {c for cs in stored.values() for c in cs}
