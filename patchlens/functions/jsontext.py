@@ -109,9 +109,28 @@ def is_typed(value: Column, spec: Spec) -> Column:
     return reduce(Column.__and__, (field_fits(*item) for item in spec.items()), _is_object(value))
 
 
+def plain_schema(spec: Spec) -> str:
+    """A regular expression of the schemas, as schema_of_variant prints them, that fit the spec and have no other fields.
+
+    A value of such a schema is_typed, so most values need one look at their schema and none
+    at their fields. Items of different types print as VARIANT, which is not in it.
+    """
+    if isinstance(spec, str):
+        return f"(?:{spec}|VOID)"
+    if isinstance(spec, list):
+        return f"(?:ARRAY<{plain_schema(spec[0])}>|VOID)"
+    fields = "|".join(f"{name}: {plain_schema(inner)}" for name, inner in spec.items())
+    return f"(?:OBJECT<(?:(?:{fields})(?:, )?)*+>|VOID)"
+
+
 def object_error(json: Column | str, spec: dict, message: str) -> Column:
     """'' for the text of a JSON object of these types, else the message."""
-    return let(F.try_parse_json(col(json)), lambda v: F.when(_kind(v).startswith("OBJECT") & is_typed(v, spec), "").otherwise(message))
+
+    def of_kind(value: Column, kind: Column) -> Column:
+        plain = kind.rlike(rf"\A{plain_schema(spec)}\z") & (kind != "VOID")
+        return F.when(plain, "").when(kind.startswith("OBJECT"), F.when(is_typed(value, spec), "").otherwise(message)).otherwise(message)
+
+    return let(F.try_parse_json(col(json)), lambda v: let(_kind(v), lambda kind: of_kind(v, kind)))
 
 
 def _issue_is_typed(issue: Column) -> Column:
@@ -136,11 +155,19 @@ def _issue(value: Column) -> Column:
     )
 
 
+RESULT_SPEC = {"issues": [dict.fromkeys(ISSUE_TEXT_FIELDS, "STRING") | {"line": "BIGINT"}], "summary": "STRING", "recommendation": "STRING"}
+ANY_SCALAR = r"[A-Z]+(?:\([0-9,]+\))?"  # of risk_score
+
+
 def _is_typed_result(value: Column, issues: Column) -> Column:
+    plain = rf"\A{plain_schema(RESULT_SPEC | {'risk_score': ANY_SCALAR})}\z"
+    return value.isNotNull() & (_kind(value).rlike(plain) | _fields_are_typed(value, issues))
+
+
+def _fields_are_typed(value: Column, issues: Column) -> Column:
     issues_kind = _kind(_field(value, "issues"))
     return (
-        value.isNotNull()
-        & (issues_kind.startswith("ARRAY") | (issues_kind == "VOID"))
+        (issues_kind.startswith("ARRAY") | (issues_kind == "VOID"))
         & _is(_field(value, "summary"), "STRING")
         & _is(_field(value, "recommendation"), "STRING")
         & F.forall(issues, _issue_is_typed)
@@ -158,10 +185,17 @@ def fold_field_names(json: Column | str) -> Column:
     them with a colon behind is a field.
     """
     names = "|".join(FIELDS)
-    folded = col(json)
-    for name in FIELDS:
-        folded = F.regexp_replace(folded, rf'(?<!\\)"(?i:{name})"(\s*:)', f'"{name}"$1')
-    return F.when(col(json).rlike(rf'"(?!(?:{names})")(?i:{names})"\s*:'), folded).otherwise(col(json))
+
+    def folded(value: Column, odd: Column, name: str) -> Column:
+        # The quotation mark stands first, so that the search passes over all else quickly.
+        return let(value, lambda v: F.when(F.array_contains(odd, name), F.regexp_replace(v, rf'"(?<!\\")(?i:{name})"(\s*:)', f'"{name}"$1')).otherwise(v))
+
+    def fold(odd: Column) -> Column:
+        """odd: the names in need of it, so that the text is rewritten for those only."""
+        return reduce(lambda value, name: folded(value, odd, name), FIELDS, col(json))
+
+    odd = F.transform(F.regexp_extract_all(col(json), F.lit(rf'"(?!(?:{names})")((?i:{names}))"\s*:'), F.lit(1)), F.lower)
+    return let(odd, lambda found: F.when(F.size(found) > 0, fold(found)).otherwise(col(json)))
 
 
 def _last_of_each(json: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions.jsontext import object_error
-from patchlens.functions.text import is_skipped, synthetic_diff, text
+from patchlens.functions.text import is_skipped, let, synthetic_diff, text
 from patchlens.operators.joins import spread_join
 
 NO_INPUT = "no input provided"
@@ -48,8 +48,9 @@ def validate_single(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(missing, MISSING_FIELDS).otherwise(""))
 
 
+FILE_TYPE = "struct<file_path:string,diff:string,full_content:string>"
 BATCH_TYPE = (
-    "struct<files:array<struct<file_path:string,diff:string,full_content:string>>,project_id:bigint,merge_req_id:bigint,post_to_mr:boolean>"
+    f"struct<files:array<{FILE_TYPE}>,project_id:bigint,merge_req_id:bigint,post_to_mr:boolean>"
 )
 
 
@@ -66,15 +67,28 @@ def _kept(own: Column | None, message: Column) -> Column:
     return message if own is None else F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(message)
 
 
+def _parsed(value: str, kind: str, spec: dict, message: str, own: Column | None = None) -> Column:
+    """struct<r, error>: the payload read as the type, if it is a JSON object of these types. Bound by the caller, so each is read once."""
+    return let(
+        _kept(own, object_error(value, spec, message)),
+        lambda error: F.struct(F.when(error == "", F.from_json(value, kind)).alias("r"), error.alias("error")),
+    )
+
+
 def batch_files(requests: DataFrame, value: str = "value", review_id: str = "review_id") -> DataFrame:
     """One row per file of each batch request (JSON text); a malformed request is one row with an error and no file."""
-    rows = requests.select(F.col(review_id).alias("review_id"), F.from_json(value, BATCH_TYPE).alias("r"), object_error(value, BATCH_SPEC, BAD_REQUEST).alias("error"))
-    good = rows.where("error = ''").select("review_id", "r.project_id", "r.merge_req_id", "r.post_to_mr", F.posexplode("r.files").alias("file_no", "f"), "error")
-    bad = rows.where("error <> ''").select(
-        "review_id", F.lit(None).cast("bigint").alias("project_id"), F.lit(None).cast("bigint").alias("merge_req_id"), F.lit(None).cast("boolean").alias("post_to_mr"),
-        F.lit(None).cast("int").alias("file_no"), F.lit(None).cast(good.schema["f"].dataType).alias("f"), "error",
-    )
-    return good.unionByName(bad).select("review_id", "project_id", "merge_req_id", "post_to_mr", "file_no", "f.*", "error")
+    file = lambda p, no, f: F.struct(
+        p["r"]["project_id"].alias("project_id"), p["r"]["merge_req_id"].alias("merge_req_id"), p["r"]["post_to_mr"].alias("post_to_mr"),
+        no.alias("file_no"), f.alias("f"), p["error"].alias("error"),
+    )
+    none = F.lit(None)
+    failed = lambda p: F.struct(
+        none.cast("bigint").alias("project_id"), none.cast("bigint").alias("merge_req_id"), none.cast("boolean").alias("post_to_mr"),
+        none.cast("int").alias("file_no"), none.cast(FILE_TYPE).alias("f"), p["error"].alias("error"),
+    )
+    files = let(_parsed(value, BATCH_TYPE, BATCH_SPEC, BAD_REQUEST), lambda p: F.when(p["error"] == "", F.transform(p["r"]["files"], lambda f, no: file(p, no, f))).otherwise(F.array(failed(p))))
+    rows = requests.select(F.col(review_id).alias("review_id"), F.explode(files).alias("x"))
+    return rows.select("review_id", "x.project_id", "x.merge_req_id", "x.post_to_mr", "x.file_no", "x.f.*", "x.error")
 
 
 CHANGE_TYPE = "struct<old_path:string,new_path:string,diff:string,new_file:boolean,renamed_file:boolean,deleted_file:boolean>"
@@ -105,18 +119,19 @@ def changed_files(payloads: DataFrame, value: str = "value") -> DataFrame:
     """
     own = F.col("error") if "error" in payloads.columns else None
     known = F.col("iid") if "iid" in payloads.columns else F.lit(None).cast("bigint")
-    parsed = payloads.select(
-        "project_id", known.alias("known_iid"), F.from_json(value, MERGE_REQUEST_TYPE).alias("m"), _kept(own, object_error(value, HEADER_SPEC | {"changes": [CHANGE_SPEC]}, BAD_PAYLOAD)).alias("error")
-    )
-    changes = parsed.where("error = ''").select("project_id", "m.iid", F.posexplode("m.changes").alias("file_no", "change"), "error")
-    files = changes.where(~F.coalesce(F.col("change.deleted_file"), F.lit(False))).select(
-        "project_id", "iid", "file_no", F.col("change.new_path").alias("file_path"), text("change.diff").alias("diff"), "error"
-    )
     none = F.lit(None)
-    failed = parsed.where("error <> ''").select(
-        "project_id", F.col("known_iid").alias("iid"), none.cast("int").alias("file_no"), none.cast("string").alias("file_path"), F.lit("").alias("diff"), "error"
-    )
-    return files.unionByName(failed)
+    file = lambda p, no, f: F.struct(
+        p["r"]["iid"].alias("iid"), no.alias("file_no"), f["new_path"].alias("file_path"), text(f["diff"]).alias("diff"),
+        F.coalesce(f["deleted_file"], F.lit(False)).alias("deleted"), p["error"].alias("error"),
+    )
+    failed = lambda p: F.struct(
+        known.alias("iid"), none.cast("int").alias("file_no"), none.cast("string").alias("file_path"), F.lit("").alias("diff"),
+        F.lit(False).alias("deleted"), p["error"].alias("error"),
+    )
+    changes = lambda p: F.filter(F.transform(p["r"]["changes"], lambda f, no: file(p, no, f)), lambda x: ~x["deleted"])
+    parsed = _parsed(value, MERGE_REQUEST_TYPE, HEADER_SPEC | {"changes": [CHANGE_SPEC]}, BAD_PAYLOAD, own)
+    rows = let(parsed, lambda p: F.when(p["error"] == "", changes(p)).otherwise(F.array(failed(p))))
+    return payloads.select("project_id", F.explode(rows).alias("x")).select("project_id", "x.iid", "x.file_no", "x.file_path", "x.diff", "x.error")
 
 
 def merge_request_versions(payloads: DataFrame, value: str = "value") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_search import ELEMENTS, elements_of, queries_of
 
 from patchlens.functions import prompts
-from patchlens.operators import agent, index, review, search
+from patchlens.operators import agent, index, inputs, review, search
 from patchlens.operators.complete import lookup_complete_fn, with_retries
 from patchlens.operators.extract import ELEMENT_COLUMNS
 from patchlens.operators.inputs import merge_request_versions
@@ -416,3 +416,22 @@ def test_event_stream(spark, tmp_path):
     assert {(r.iid, r.kind) for r in written} == {(1, "discussion"), (4, "note")}
     heads = spark.read.parquet(str(tmp_path / "out" / "notes")).where("part = 0").collect()
     assert heads and all("**Files Reviewed:** 1 / 1" in r.body for r in heads)
+
+
+def test_payloads_are_read_once(spark):
+    """Files and errors come from one reading of a payload, whichever way its types are told."""
+    texts = [
+        '{"iid":9,"changes":[{"new_path":"a","diff":null},{"new_path":"b","deleted_file":true},null]}', '{"iid":9,"changes":[]}', '{"iid":9}',
+        '{"iid":9,"other":[1],"changes":[{"new_path":"a","more":2}]}', '{"iid":9.5,"changes":[]}', '{"changes":[{"new_path":1},{"new_path":"a"}]}',
+        '{"changes":[1,{"new_path":"a"}]}', "null", "[]", "{", '{"iid":1,"iid":2}', '{"iid":123456789012345678901}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "project_id int, value string")
+    changed = inputs.changed_files(rows)
+    assert changed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert inputs.batch_files(rows.withColumnRenamed("project_id", "review_id"))._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    got = {}
+    for r in changed.collect():
+        got.setdefault(r.project_id, []).append((r.iid, r.file_no, r.file_path, r.diff, r.error))
+    bad = [(None, None, None, "", inputs.BAD_PAYLOAD)]
+    want = {0: [(9, 0, "a", "", ""), (9, 2, None, "", "")], 3: [(9, 0, "a", "", "")]} | {i: bad for i in range(4, 12)}
+    assert got == want
