@@ -10,7 +10,8 @@ chunk of elements, the distinct terms, and their three-character grams.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,21 +79,30 @@ def postings(elements: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
+Table = DataFrame | Callable[[], DataFrame]
+
+
 class KeywordIndex:
     """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (framework, key, text);
-    grams (framework, gram, key).
+    grams (framework, gram, key). A table may be given as a function that writes it, called when it is first read.
 
     With `buckets`, postings and term_chunks have a column `bucket` that follows from the
     term and lookups read the buckets of the asked terms only; grams have one that follows
     from the gram.
     """
 
-    postings: DataFrame
-    term_chunks: DataFrame
-    vocabulary: DataFrame
-    grams: DataFrame
-    buckets: int | None = None
+    def __init__(self, postings: Table, term_chunks: Table, vocabulary: Table, grams: Table, buckets: int | None = None):
+        self.given = {"postings": postings, "term_chunks": term_chunks, "vocabulary": vocabulary, "grams": grams}
+        self.buckets = buckets
+
+    def _table(self, name: str) -> DataFrame:
+        given = self.given[name]
+        return given if isinstance(given, DataFrame) else given()
+
+    postings = cached_property(lambda self: self._table("postings"))
+    term_chunks = cached_property(lambda self: self._table("term_chunks"))
+    vocabulary = cached_property(lambda self: self._table("vocabulary"))
+    grams = cached_property(lambda self: self._table("grams"))
 
     @property
     def element_keys(self) -> DataFrame:
@@ -133,10 +143,14 @@ def grams(terms: DataFrame) -> DataFrame:
 
 
 def build_index(elements: DataFrame) -> KeywordIndex:
-    """Write the index of these elements to the shared folder."""
-    stored = materialize(postings(elements), "postings")
-    terms = materialize(vocabulary(stored), "vocabulary")
-    return KeywordIndex(stored, materialize(term_chunks(stored), "term-chunks"), terms, materialize(grams(terms), "grams"))
+    """The index of these elements, each table written to the shared folder when it is first read: without a search nothing is."""
+    index = KeywordIndex(
+        lambda: materialize(postings(elements), "postings"),
+        lambda: materialize(term_chunks(index.postings), "term-chunks"),
+        lambda: materialize(vocabulary(index.postings), "vocabulary"),
+        lambda: materialize(grams(index.vocabulary), "grams"),
+    )
+    return index
 
 
 def term_freq(elements: DataFrame) -> DataFrame:

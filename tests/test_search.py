@@ -222,3 +222,13 @@ def test_no_theta_join_and_early_top_k(spark):
     plans = [s._jdf.queryExecution().toString() for s in steps]
     assert not any("NestedLoop" in p or "CartesianProduct" in p for p in plans)
     assert "WindowGroupLimit" in plans[0] and "WindowGroupLimit" in plans[3]
+
+
+def test_index_is_written_when_it_is_read(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(index, "materialize", lambda df, name: written.append(name) or df)
+    elements = spark.createDataFrame([("f", 1, "function", "GetItem", "p", "words here")], "framework string, element_id bigint, type string, name string, package string, doc string")
+    made = index.build_index(elements)
+    assert written == []
+    assert made.grams.count() > 0 and made.element_keys.count() == 1 and made.term_chunks.count() > 0 and made.grams.count() > 0
+    assert sorted(written) == ["grams", "postings", "term-chunks", "vocabulary"]
