@@ -12,6 +12,7 @@ from patchlens.functions import jsontext, prompts, render, text as words
 from patchlens.operators import (
     agent, answers, comments, extract, index, inputs, notes, review, review_stats, search,
 )
+from patchlens.operators.joins import dealt
 from patchlens.plans import canned, views
 from patchlens.session import shared_dir
 from patchlens.sources import store
@@ -39,6 +40,11 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return views.view(spark, sf, views.FILES, "orders")
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Go files made of parts, whose small table is one split: its keys are dealt before the texts are made, as a file takes milliseconds."""
+    return dealt(views.table(spark, sf, "part").select("p_partkey"), ["p_partkey"]).selectExpr(*views.columns(views.SOURCES))
+
+
 def _inputs(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "orders").selectExpr(*views.columns(views.REVIEW_INPUTS))
 
@@ -64,7 +70,7 @@ def detect_language(spark, sf):
 @query
 def extract_elements(spark, sf):
     """Declarations out of Go sources written from the part table, one file per part."""
-    rows = extract.extract_elements(views.view(spark, sf, views.SOURCES, "part"))
+    rows = extract.extract_elements(_sources(spark, sf))
     return rows.select(
         "framework", "file_path", "package", "type", "name", "line", "signature", "doc", "body", "receiver",
         F.array_join("imports", ",").alias("imports"),
@@ -73,7 +79,7 @@ def extract_elements(spark, sf):
 
 @query
 def quarantined_files(spark, sf):
-    return extract.quarantine(views.view(spark, sf, views.SOURCES, "part"))
+    return extract.quarantine(_sources(spark, sf))
 
 
 @query

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from patchlens.operators.extract import blocks, extract_elements, numbered_elements, quarantine
+from patchlens.plans.queries import QUERIES
 from patchlens.sources.tree import read_go_tree, read_tree
 
 CART = '''// Package text.
@@ -181,3 +184,9 @@ def test_blocks(spark):
     df = spark.createDataFrame([(1, "head\nA\nx\nB\n"), (2, "A"), (3, "x\ny"), (4, "")], "id int, t string")
     rows = blocks(df, ["id"], "t", start="(?md)^(?=[A-Z])").orderBy("id", "block_no").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 2, 2, "A\nx"), (1, 2, 4, 1, "B"), (2, 1, 1, 1, "A")]
+
+
+@pytest.mark.parametrize("name", ["extract_elements", "quarantined_files"])
+def test_files_of_one_split_are_dealt(spark, sf_dir, name):
+    """The table of parts is one split; the work on its files is not one task's."""
+    assert len({r.p for r in QUERIES[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).collect()}) > 1
