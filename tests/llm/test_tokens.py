@@ -127,3 +127,30 @@ def test_encode_and_decode_on_spark(spark, byte_library):
         assert r.sha == hashlib.sha256(t.encode()).hexdigest() and r.decoded.malformed == 0
     broken = spark.createDataFrame([([128 + 70],), (None,), ([],)], "ids array<int>")
     assert byte_bpe.with_decoded(broken, RANKS).where("ids is null and decoded.bytes is not null").count() == 0
+
+
+def test_memory_of_an_earlier_tool_is_returned():
+    """A worker's next tool does not come on top of what the last one took."""
+    code = """
+import psutil
+from patchlens.llm.workers import tool
+pins = []
+def make():
+    kept = []
+    for i in range(200_000):
+        kept.append(bytes(1_000))
+        if i % 1_000 == 0:
+            pins.append(bytes(1_000))
+    return kept
+tool(("first",), make)
+full = psutil.Process().memory_info().rss
+tool(("second",), list)
+print(full - psutil.Process().memory_info().rss)
+"""
+    import subprocess
+    import sys
+
+    from patchlens.llm.workers import ROOT
+
+    got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    assert int(got) > 150 << 20
