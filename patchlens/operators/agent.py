@@ -3,7 +3,8 @@
 Each of at most five steps is one job over the rows that are still open: prompt,
 completion, tool call, tool result. Completions are written to the shared folder,
 so a lost executor never makes the model answer twice and the plan does not grow
-from step to step.
+from step to step. What a search found is stored once, however many rows asked for it:
+the rows carry its name, and get the text when their prompt is made.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from patchlens.functions.jsontext import RESULT_TYPE, decode_result, extract_jso
 from patchlens.functions.text import let, text, trim_space
 from patchlens.operators.complete import CompleteFn, complete
 from patchlens.operators.index import KeywordIndex
-from patchlens.operators.search import TOOL_LIMIT, attach_context
+from patchlens.operators.joins import counted_join
+from patchlens.operators.search import TOOL_LIMIT, searched_contexts
 from patchlens.session import materialize
 
 ToolFn = Callable[[DataFrame], DataFrame]
@@ -67,12 +69,38 @@ def tool_prompts(calls: DataFrame) -> DataFrame:
     )
 
 
-def _search_results(calls: DataFrame, elements: DataFrame, index: KeywordIndex) -> DataFrame:
-    """Result texts of search_framework calls."""
-    indexed = F.col("framework_found")
-    queries = calls.withColumn("framework", F.when(indexed, F.col("framework")).otherwise(""))
-    found = attach_context(queries, elements, index, TOOL_LIMIT, query=_argument("query"))
-    return found.withColumn("tool_result", prompts.search_tool_text("context", indexed)).select("review_id", "file_no", "tool_result")
+def _search_results(calls: DataFrame, elements: DataFrame, index: KeywordIndex, step: int) -> tuple[DataFrame, DataFrame]:
+    """search_framework calls with tool_result, or with ref instead; and (ref, found), the texts of what was found."""
+    indexed = F.coalesce("framework_found", F.lit(False))
+    asked = calls.withColumn("_framework", F.col("framework")).withColumn("framework", F.when(indexed, F.col("framework")).otherwise(""))
+    asking, contexts = searched_contexts(asked, elements, index, TOOL_LIMIT, query=_argument("query"))
+    named = lambda: F.concat(F.lit(f"{step}/"), "query_id")
+    texts = materialize(contexts.select(named().alias("ref"), prompts.search_tool_text("context").alias("found")), "search-texts")
+    rows = asking.withColumn("framework", F.col("_framework")).drop("_framework")
+    nothing = F.when(F.col("query_id").isNull(), F.when(indexed, prompts.NO_MATCH).otherwise(prompts.NO_INDEX))
+    return rows.withColumns({"tool_result": nothing, "ref": named()}).drop("query_id"), texts
+
+
+def _with_texts(rows: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """Stored rows with `shown`, their tool_calls with the texts that `refs` names by place."""
+    rows = rows.withColumn("shown", F.col("tool_calls"))
+    if not seen:
+        return rows
+    texts = seen[0]
+    for more in seen[1:]:
+        texts = texts.unionByName(more)
+    places = rows.select(F.posexplode("refs").alias("at", "ref")).where("ref IS NOT NULL").select("at").distinct()
+    for at in sorted(r[0] for r in places.collect()):  # as many as steps at most
+        named = rows.withColumn("ref", F.coalesce(F.get("refs", F.lit(at)), F.lit("")))  # no text has the empty name
+        met = counted_join(named, texts, ["ref"], ["review_id", "file_no"], "left")
+        found = F.when(F.col("ref") != "", F.coalesce("found", F.lit(prompts.NO_MATCH)))
+
+        def put(call: Column, i: Column) -> Column:
+            result = F.when((i == at) & found.isNotNull(), found).otherwise(call["result"])
+            return F.struct(call["name"].alias("name"), call["args"].alias("args"), result.alias("result"))
+
+        rows = met.withColumn("shown", F.transform("shown", put)).drop("ref", "found")
+    return rows
 
 
 def agent_review(
@@ -91,16 +119,17 @@ def agent_review(
     columns = ["review_id", "file_no", "file_path", "result", "error"]
     state = materialize(
         inputs.select("review_id", "file_no", "file_path", text("diff").alias("diff"), text("framework").alias("framework"), "framework_found")
-        .withColumn("tool_calls", empty_calls),
+        .withColumn("tool_calls", empty_calls).withColumn("refs", F.array().cast("array<string>")),
         "agent-0",
     )
     finished: list[DataFrame] = []
+    seen: list[DataFrame] = []  # per step with searches: (ref, found)
     for step in range(1, prompts.MAX_STEPS + 1):
         if state.isEmpty():
             break
-        requests = state.withColumn(
+        requests = _with_texts(state, seen).withColumn(
             "messages",
-            prompts.messages(prompts.agent_system_prompt("framework") if system is None else system, prompts.agent_step_prompt(F.lit(step), "file_path", "diff", "tool_calls")),
+            prompts.messages(prompts.agent_system_prompt("framework") if system is None else system, prompts.agent_step_prompt(F.lit(step), "file_path", "diff", "shown")),
         )
         answered = materialize(complete(requests, complete_fn, returned=state.columns, **options).drop("usage"), f"agent-{step}-answers")
         finished.append(answered.where(text("error") != "").withColumn("result", no_result).withColumn(
@@ -119,7 +148,7 @@ def agent_review(
         keep = state.columns
         idle = spoken.where(~is_review).select(*keep)
         open_calls = calls.where(c("tool").isNotNull() & (c("tool") != "final_review"))
-        state = materialize(idle.unionByName(run_tools(open_calls, complete_fn, elements, index, tools, **options).select(*keep)), f"agent-{step}")
+        state = materialize(idle.unionByName(_step(open_calls, complete_fn, elements, index, tools, seen, **options).select(*keep)), f"agent-{step}")
     finished.append(state.withColumn("result", _out_of_steps()).withColumn("error", F.lit("")).select(*columns))
     out = finished[0]
     for rows in finished[1:]:
@@ -144,6 +173,17 @@ def run_tools(
     A tool of the caller's gets all rows that call it, with `args` as JSON text, and
     returns (review_id, file_no, tool_result); rows it leaves out have an empty result.
     """
+    seen: list[DataFrame] = []
+    named = calls.withColumn("refs", F.transform("tool_calls", lambda _: F.lit(None).cast("string")))
+    done = _step(named, complete_fn, elements, index, tools, seen, **options)
+    done = materialize(done, "tool-calls") if seen else done
+    return _with_texts(done, seen).withColumn("tool_calls", F.col("shown")).drop("shown", "refs")
+
+
+def _step(
+    calls: DataFrame, complete_fn: CompleteFn, elements: DataFrame, index: KeywordIndex, tools: dict[str, ToolFn] | None, seen: list[DataFrame], **options
+) -> DataFrame:
+    """run_tools with the results of searches by their names in `refs`; their texts are appended to `seen`."""
     c = F.col
     own = tools or {}
     mine, calls = calls.where(c("tool").isin(list(own))), calls.where(~c("tool").isin(list(own)))
@@ -158,21 +198,24 @@ def run_tools(
     calls = calls.withColumn("args_ok", valid)
 
     columns = [*(name for name in calls.columns if name not in {"response", "error", "args_ok"}), "tool_result"]
+    no_ref = F.lit(None).cast("string").alias("ref")
     known = c("tool").isin(list(needs))
     refused = calls.where(~known | ~c("args_ok")).withColumn(
         "tool_result", F.when(known, BAD_ARGS).otherwise(F.concat(F.lit("Error: unknown tool: "), c("tool")))
     )
-    done = refused.select(*columns)
+    done = refused.select(*columns, no_ref)
     for name, tool_fn in own.items():
         rows = mine.where(c("tool") == name)
-        found = rows.join(tool_fn(rows).select("review_id", "file_no", "tool_result"), ["review_id", "file_no"], "left")
-        done = done.unionByName(found.withColumn("tool_result", text("tool_result")).select(*columns))
+        given = _with_texts(rows, seen).withColumn("tool_calls", c("shown")).drop("shown", "refs")
+        found = rows.join(tool_fn(given).select("review_id", "file_no", "tool_result"), ["review_id", "file_no"], "left")
+        done = done.unionByName(found.withColumn("tool_result", text("tool_result")).select(*columns, no_ref))
 
     # A step in which no row searches, or none asks the model, leaves those jobs out.
     searched = calls.where(searching & c("args_ok"))
     if not searched.isEmpty():
-        found = searched.join(_search_results(searched, elements, index), ["review_id", "file_no"], "left")
-        done = done.unionByName(found.select(*columns))
+        found, texts = _search_results(searched, elements, index, len(seen))
+        done = done.unionByName(found.select(*columns, "ref"))
+        seen.append(texts)
 
     asked = tool_prompts(calls.where(c("args_ok"))).withColumn("messages", prompts.messages("system", "user"))
     if not asked.isEmpty():
@@ -180,6 +223,6 @@ def run_tools(
         replies = materialize(complete(asked, complete_fn, returned=kept, **options).drop("usage"), "tool-answers")
         failed = F.concat(F.lit("Error: "), c("error"))
         replies = replies.withColumn("tool_result", F.when(text("error") != "", failed).otherwise(text("response")))
-        done = done.unionByName(replies.select(*columns))
+        done = done.unionByName(replies.select(*columns, no_ref))
     call = F.struct(c("tool").alias("name"), c("args").alias("args"), c("tool_result").alias("result"))
-    return done.withColumn("tool_calls", F.concat("tool_calls", F.array(call)))
+    return done.withColumns({"tool_calls": F.concat("tool_calls", F.array(call)), "refs": F.concat("refs", F.array("ref"))}).drop("ref")

@@ -118,6 +118,17 @@ class KeywordIndex:
         return rows.where(F.col("bucket").isin(numbers))
 
 
+    def most_in_chunks(self, asked: DataFrame, few: bool) -> DataFrame:
+        """(framework, term_key, chunk, max_tf) of the asked terms at least.
+
+        A table that is not written yet is not written for one search: the few asked terms are counted out of the postings.
+        """
+        if isinstance(self.given["term_chunks"], DataFrame) or "term_chunks" in self.__dict__ or not few:
+            return self.looked_up("term_chunks", asked, "term_key")
+        keys = ["framework", "term_key"]
+        return term_chunks(self.postings.select(*keys, "chunk", "tf").join(F.broadcast(asked.select(*keys)), keys, "left_semi"))
+
+
 def bucket_of(key: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(key), buckets.cast("bigint")).cast("int")
 
@@ -144,8 +155,9 @@ def grams(terms: DataFrame) -> DataFrame:
 
 def build_index(elements: DataFrame) -> KeywordIndex:
     """The index of these elements, each table written to the shared folder when it is first read: without a search nothing is."""
+    key = token_key(F.col("term"))  # the term itself but for long ones, so it is made again and not stored
     index = KeywordIndex(
-        lambda: materialize(postings(elements), "postings"),
+        lambda: materialize(postings(elements).drop("term_key"), "postings").withColumn("term_key", key),
         lambda: materialize(term_chunks(index.postings), "term-chunks"),
         lambda: materialize(vocabulary(index.postings), "vocabulary"),
         lambda: materialize(grams(index.vocabulary), "grams"),

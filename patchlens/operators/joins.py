@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlens.session import materialize
+
 SPREAD = 16
+KEY_ROWS = 1 << 16  # rows of one key that a task takes where keys are counted
 
 
 def salts(n: Column) -> Column:
@@ -28,6 +31,18 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: l
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner") -> DataFrame:
+    """spread_join for a right side of wide rows: they are repeated only for keys with more than KEY_ROWS left rows, once for each KEY_ROWS.
+
+    The left side is read twice, first for its counts, so it should be stored; keys must not be null.
+    """
+    many = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS)
+    many = materialize(many.select(*keys, F.ceil(F.col("n") / KEY_ROWS).alias("_salts")), "heavy-keys")
+    counted = left.join(many, keys, "left").withColumn("_salt", salt_of(spread_by, F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    repeated = right.join(many, keys, "left").withColumn("_salt", F.explode(salts(F.coalesce("_salts", F.lit(1))))).drop("_salts")
+    return counted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows over as many tasks as a shuffle has, however few files or row groups they come from.
 

@@ -20,6 +20,7 @@ queries, and a word's score is summed where the element's postings lie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
 from patchlens.operators.index import GRAM, KEY_CHARS, KeywordIndex, token_key, windows
-from patchlens.operators.joins import salt_of, salts, spread_join
+from patchlens.operators.joins import counted_join, salt_of, salts, spread_join
 from patchlens.session import materialize
 
 # Scores and default result sizes.
@@ -181,7 +182,7 @@ def chunk_bounds(index: KeywordIndex, asked: Asked) -> DataFrame:
     Every posting adds 3 at most, but those of the equal term, which add 10 more; and no
     term adds more than its greatest count in the chunk.
     """
-    rows = index.looked_up("term_chunks", asked.term_words, "term_key").select("framework", "term_key", "chunk", "max_tf")
+    rows = index.most_in_chunks(asked.term_words, asked.small).select("framework", "term_key", "chunk", "max_tf")
     sums = _matched(rows, asked, ["chunk"]).groupBy("framework", "word_id", "chunk").agg(
         F.sum(F.col("weight") * F.col("max_tf")).alias("by_terms"),
         F.max(F.when(F.col("weight") >= EXACT_SCORE, F.col("max_tf")).otherwise(0)).alias("exact"),
@@ -322,24 +323,22 @@ def search_elements(elements: DataFrame, index: KeywordIndex, queries: DataFrame
     found = materialize(search(index, queries, limit), "found")
     keys = ["framework", "element_id"]
     wanted = elements.join(found.select(*keys).distinct(), keys, "left_semi")
-    return spread_join(found, wanted, keys, ["query_id"])
+    return counted_join(found, wanted, keys, ["query_id"])
 
 
-def attach_context(
-    inputs: DataFrame, elements: DataFrame, index: KeywordIndex, limit: int = REVIEW_LIMIT,
-    query: Column | None = None, body: Column | None = None,
-) -> DataFrame:
-    """`inputs` with `context`, the best elements of its framework in rank order.
+ENTRIES_TYPE = "array<struct<type:string,package:string,name:string,doc:string,body:string>>"
 
-    The query is the diff unless another column is given. A row without framework,
-    or whose framework has no index, gets an empty array. At most `limit` elements
-    are gathered per query, and a query text that many rows share is searched once.
+
+def searched_contexts(
+    inputs: DataFrame, elements: DataFrame, index: KeywordIndex, limit: int = REVIEW_LIMIT, query: Column | None = None, body: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """`inputs` with `query_id`, null without framework, and (query_id, context) of the texts for which something was found.
+
+    One search per framework and text, however many rows share it; query_id names both.
     """
     c = F.col
     asking = inputs.withColumn("_query", text("diff") if query is None else query)
-    asking = asking.withColumn("query_id", F.when(text("framework") != "", F.sha2("_query", 256)))
-    # One search per framework and text. query_id must be unique, so it names both.
-    asking = asking.withColumn("query_id", F.concat(c("framework"), F.lit("/"), c("query_id")))
+    asking = asking.withColumn("query_id", F.when(text("framework") != "", F.concat(c("framework"), F.lit("/"), F.sha2("_query", 256))))
     queries = asking.where("query_id IS NOT NULL").select("query_id", "framework", c("_query").alias("query"))
     found = search_elements(elements, index, queries.dropDuplicates(["query_id", "framework"]), limit).select(
         "query_id",
@@ -354,6 +353,23 @@ def attach_context(
             ),
         ).alias("context"),
     )
-    joined = spread_join(asking.drop("_query"), context, ["query_id"], ["review_id", "file_no"], "left")
-    empty = F.array().cast("array<struct<type:string,package:string,name:string,doc:string,body:string>>")
-    return joined.withColumn("context", F.coalesce("context", empty)).drop("query_id")
+    return asking.drop("_query"), context
+
+
+def attach_context(
+    inputs: DataFrame, elements: DataFrame, index: KeywordIndex, limit: int = REVIEW_LIMIT,
+    query: Column | None = None, body: Column | None = None, made: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """`inputs` with `context`, the best elements of its framework in rank order.
+
+    The query is the diff unless another column is given. A row without framework,
+    or whose framework has no index, gets an empty array. At most `limit` elements
+    are gathered per query, and a query text that many rows share is searched once.
+    `made` makes another value out of the array; it is made once per search, so rows
+    that share one carry no texts they do not need.
+    """
+    made = made or (lambda context: context)
+    asking, context = searched_contexts(inputs, elements, index, limit, query, body)
+    asking = asking.withColumn("query_id", F.coalesce("query_id", F.lit("")))  # no search has this name
+    joined = counted_join(asking, context.select("query_id", made(F.col("context")).alias("context")), ["query_id"], ["review_id", "file_no"], "left")
+    return joined.withColumn("context", F.coalesce("context", made(F.array().cast(ENTRIES_TYPE)))).drop("query_id")

@@ -276,8 +276,9 @@ def keyword_search(spark, sf):
 @query
 def review_context(spark, sf):
     elements = _elements(spark, sf)
-    rows = search.attach_context(_inputs(spark, sf), elements, index.build_index(elements))
-    listed = F.array_join(F.transform("context", lambda e: render.fmt(e["type"], " ", e["package"], ".", e["name"])), "; ")
+    names = lambda context: F.transform(context, lambda e: render.fmt(e["type"], " ", e["package"], ".", e["name"]))
+    rows = search.attach_context(_inputs(spark, sf), elements, index.build_index(elements), made=names)
+    listed = F.array_join("context", "; ")
     return rows.select("review_id", "file_no", "framework", F.size("context").cast("bigint").alias("n"), listed.alias("context"))
 
 
@@ -288,8 +289,8 @@ def search_tool_text(spark, sf):
     asked = _queries(spark, sf).select(
         c("query_id").alias("review_id"), F.lit(0).alias("file_no"), "framework", c("query").alias("diff")
     )
-    rows = search.attach_context(asked, elements, index.build_index(elements), search.TOOL_LIMIT)
-    return rows.select(c("review_id").alias("query_id"), prompts.search_tool_text("context").alias("result"))
+    rows = search.attach_context(asked, elements, index.build_index(elements), search.TOOL_LIMIT, made=prompts.search_tool_text)
+    return rows.select(c("review_id").alias("query_id"), c("context").alias("result"))
 
 
 # --- text and prompts ------------------------------------------------------------

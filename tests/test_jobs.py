@@ -126,6 +126,28 @@ def test_agent(spark, base):
     assert got["down"].error == "step 1: down" and got["search"].error == ""
 
 
+def test_found_texts_are_stored_once(spark, base, monkeypatch):
+    """Rows of an agent's steps carry the names of what their searches found, prompts its text."""
+    elements, stored = base
+    written, real = {}, agent.materialize
+    monkeypatch.setattr(agent, "materialize", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+
+    def ask(batch):
+        call = lambda q: json.dumps({"tool": "search_framework", "args": {"query": q}})
+        done = lambda user: json.dumps({"tool": "final_review", "args": {"summary": user.split("so far")[1].split("## Task")[0]}})
+        at = lambda user: int(user.split("step ")[1][0])
+        return [(call("request") if at(u) == 1 else call("nothing-like-it") if at(u) == 2 else done(u), None, None) for u in (m[-1]["content"] for m in batch)]
+
+    files = inputs_of(spark, [(1, i, f"f{i}.go", "+x", "", "f", True) for i in range(20)])
+    got = review.review_all(files, ask, elements, stored, attempts=1).collect()
+    assert len(got) == 20 and {r.error for r in got} == {""}
+    summary = {r.result.summary for r in got}.pop()
+    assert summary.count("### search_framework") == 2 and prompts.FOUND in summary and prompts.NO_MATCH in summary
+    assert [t.count() for t in written["search-texts"]] == [1, 0]
+    for name in ("agent-1", "agent-2", "agent-2-answers", "agent-2-calls", "agent-3-calls"):
+        assert {c.result for r in written[name][0].collect() for c in r.tool_calls} == {None}
+
+
 def test_tool_catalog():
     names = [name for name, _, _ in prompts.TOOLS]
     assert names == ["search_framework", "analyze_security", "analyze_performance", "suggest_fix", "final_review"]

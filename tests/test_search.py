@@ -232,3 +232,29 @@ def test_index_is_written_when_it_is_read(spark, monkeypatch):
     assert written == []
     assert made.grams.count() > 0 and made.element_keys.count() == 1 and made.term_chunks.count() > 0 and made.grams.count() > 0
     assert sorted(written) == ["grams", "postings", "term-chunks", "vocabulary"]
+
+
+def test_a_context_is_not_repeated_for_rows_that_share_it(spark, monkeypatch):
+    from patchlens.operators import joins
+
+    F = index.F
+    wide = spark.createDataFrame([("a", "x" * 100), ("b", "y" * 100)], "k string, wide string")
+    rows = spark.range(40).selectExpr("id", "IF(id < 30, 'a', IF(id < 35, 'b', '')) AS k")
+
+    def copies() -> int:
+        numbers = []
+        real = joins.salts
+        monkeypatch.setattr(joins, "salts", lambda n: numbers.append(n) or real(n))
+        joined = joins.counted_join(rows, wide, ["k"], ["id"], "left")
+        monkeypatch.setattr(joins, "salts", real)
+        assert joined.count() == 40 and joined.where("wide IS NOT NULL").count() == 35
+        many = rows.groupBy("k").count().select("k", F.ceil(F.col("count") / joins.KEY_ROWS).alias("_salts")).where("_salts > 1")
+        return wide.join(many, "k", "left").select(F.explode(real(numbers[0]))).count()
+
+    assert copies() == 2
+    monkeypatch.setattr(joins, "KEY_ROWS", 8)
+    assert copies() == 4 + 1
+    elements = elements_of(spark, ELEMENTS).withColumn("body", F.col("doc"))
+    inputs = spark.range(40).selectExpr("id AS review_id", "0 AS file_no", "IF(id % 4 = 0, '', 'f') AS framework", "'get request' AS diff")
+    named = search.attach_context(inputs, elements, index.build_index(elements), made=lambda context: F.transform(context, lambda e: e["name"]))
+    assert {r.review_id: len(r.context) for r in named.collect()} == {i: 2 * (i % 4 > 0) for i in range(40)}
