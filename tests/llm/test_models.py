@@ -272,3 +272,23 @@ def test_other_wordings_and_wrapped_notices_are_found(spark):
         assert any((r.doc_id, r.paragraph, r.family, r.confirmed) == (i, no, family, True) for r in found)
     cut = licences.paragraphs(df.where("doc_id in (900, 920)")).orderBy("own", "no", "whole").collect()
     assert [(r.own, r.no, r.whole) for r in cut] == [(900, 1, False), (900, 3, False), (900, 3, True), *((900, n, False) for n in (4, 5, 6, 7, 9)), (920, 1, False), (920, 1, True), (920, 2, False), (920, 5, False)]
+
+
+def test_paragraphs_without_an_anchor_are_never_found(spark):
+    tricky = {900: "under all of this", 901: "LICENSED UNDER THE APACHE LICENSE", 902: "the mit license", 903: "not any of the above", 904: "Line\nReleased under the\nGPL, version 2\n\nnext"}
+    df = spark.createDataFrame(list((dict(licensed()) | tricky).items()), SCHEMA)
+    model = licences.fit(df.where("doc_id < 500"))
+    words = model.anchors()
+    assert words and len(words) < len(model.listed)
+    found = sorted(map(str, licences.scan(df, model).collect()))
+    for least in (0.5, 0.9):
+        model.least = least
+        with_words = sorted(map(str, licences.scan(df, model).collect()))
+        whole = type(model).anchors
+        type(model).anchors = lambda self: None
+        try:
+            assert sorted(map(str, licences.scan(df, model).collect())) == with_words
+        finally:
+            type(model).anchors = whole
+    model.offsets[0] += 100  # every paragraph is of the first family, so no word may be asked for
+    assert found and model.anchors() is None
