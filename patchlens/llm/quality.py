@@ -160,9 +160,13 @@ def directions(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
                     total[at] += np.outer(x, x @ sent.value[at])
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
-        parts = [np.frombuffer(r.total, np.float32).reshape(FEATURES, width) for r in rows.mapInArrow(turn, "total binary").collect()]
-        basis, strength, _ = np.linalg.svd(np.sum(parts, axis=0, dtype=np.float64), full_matrices=False)
+        # As Arrow, and added one by one: rows would be copied several times on their way.
+        total = np.zeros((FEATURES, width))
+        for part in rows.mapInArrow(turn, "total binary").toArrow().column("total"):
+            total += np.frombuffer(part.as_buffer(), np.float32).reshape(FEATURES, width)
+        basis, strength, _ = np.linalg.svd(total, full_matrices=False)
         basis = basis.astype(np.float32)
+        del total
         sent.destroy()
     # Directions of no strength are rounding noise.
     return basis[:, :DIMENSIONS] * (strength[:DIMENSIONS] > 1e-6 * max(strength[0], 1e-30)).astype(np.float32)
@@ -191,10 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, own: str = "doc_id", t
             made = [quality.vector(a.values.to_numpy(), c.values.to_numpy(), weights, sent.value).tobytes() for a, c in zip(batch.column("places"), batch.column("counts"))]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("good"), batch.column("n")], names=["vector", "good", "n"])
 
-    known = sample.mapInArrow(place, "vector binary, good double, n double").collect()  # at most SAMPLE rows
+    known = sample.mapInArrow(place, "vector binary, good double, n double").toArrow()  # at most SAMPLE rows
     sent.destroy()
-    vectors = np.stack([np.frombuffer(r.vector, np.float32) for r in known])
-    return {"weights": weights, "basis": basis, "vectors": vectors, "good": np.array([r.good / r.n for r in known]), "share": rows.good / rows.n}
+    vectors = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in known["vector"]])
+    good = known["good"].to_numpy() / known["n"].to_numpy()
+    return {"weights": weights, "basis": basis, "vectors": vectors, "good": good, "share": rows.good / rows.n}
 
 
 def votes(block: np.ndarray, vectors: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:

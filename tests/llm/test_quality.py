@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions
+
 from patchlens.llm import quality, queries
 
 
@@ -51,13 +53,13 @@ def test_defined_cases(spark):
     labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
     from pyspark.sql import functions as F
 
-    model = quality.fit(docs, labels, keep=F.lit(True))
+    model = quality.fit(docs, labels, keep=functions.lit(True))
     rows = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert len(rows) == len(texts) + 1
     n = len(good) + len(bad)
     assert rows[n] == rows[n + 1] == rows[n + 2] == pytest.approx(model["share"])
     assert rows[0] == rows[n + 4] > 0.7 and rows[None] < 0.3 and 0 <= rows[n + 3] <= 1
-    nothing = quality.fit(docs, labels.where("false"), keep=F.lit(True))
+    nothing = quality.fit(docs, labels.where("false"), keep=functions.lit(True))
     assert nothing is None and {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
     assert quality.score(docs.where("false"), model).count() == 0
     assert quality.fit(docs.where("false"), labels, keep=F.lit(True)) is None
@@ -70,3 +72,15 @@ def test_all_rows_equal(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
     scores = {r.score for r in quality.score(docs, quality.fit(docs, labels, keep=F.lit(True))).collect()}
     assert len(scores) == 1 and scores.pop() == pytest.approx(0.5, abs=1e-6)
+
+
+def test_sums_reach_the_driver_as_arrow(spark, monkeypatch):
+    """No sum of a round and no vector is sent as a row, which the driver would hold several times."""
+    rows = [(i, f"plain words number {i % 17} and more of them {i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, quality int")
+    frame, sent = type(docs), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.extend(t for _, t in self.dtypes) or real(self))
+    model = quality.fit(docs, labels, functions.lit(True))
+    assert model["vectors"].shape == (120, quality.DIMENSIONS) and "binary" not in sent
