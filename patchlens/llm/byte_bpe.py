@@ -6,6 +6,10 @@ them agree on a first token, it is emitted. States and transitions are made when
 needed and kept, so reading on is one lookup per byte. How long a token can stay undecided
 is bounded by the vocabulary, not by the text.
 
+For words of up to SHORT bytes the transducer emits the last token of the bytes read so far
+instead, at every byte: what comes before it need not be kept in the state, so there are far
+fewer states, and the tokens are read off these from the end of the word.
+
 Defined cases: a null text counts as empty; an empty text has no tokens; the words of special
 tokens inside a text are ordinary text; null ids decode to null, unknown ids raise; equal rows
 give equal results; other columns, whatever their names, are kept.
@@ -21,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000  # words whose tokens a worker remembers
+CACHE = 400_000  # words whose tokens a worker remembers
 STATES = 80_000
+SHORT, SHORT_STATES = 64, 200_000
 PIECE_BYTES = 2 << 20  # of text that a worker takes out of a batch at a time
 START = -1
 
@@ -109,6 +114,72 @@ class Transducer:
         raise ValueError("a byte without a token")
 
 
+class LastTokens:
+    """The transducer for short words: what it emits at a byte is the last token of the word up to there.
+
+    A state holds, for each place where the next token could still start, the token that ends
+    there and the node of the bytes since, longest bytes first, as one integer.
+    """
+
+    def __init__(self, merges):
+        self.merges = merges
+        self.lengths = {token: len(raw) for token, raw in merges.raw_of.items()}
+        self.reset()
+
+    def reset(self):
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.next: dict[int, int] = {}  # by state << 8 | byte: next state << 20 | token emitted
+        self.start = self.number((START << 32,))
+
+    def number(self, state: tuple) -> int:
+        found = self.numbers.get(state)
+        if found is None:
+            found = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return found
+
+    def follow(self, number: int, byte: int) -> int:
+        m, opens, ended = self.merges, [], None
+        step, token_at, going_on, seen = m.trie.at.get, m.trie.first, m.trie.inner_nodes, m.seen.get
+        for place in self.states[number]:
+            last = place >> 32
+            node = step((place & 0xFFFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            if ended is None:
+                token = token_at[node]
+                if token is not None:
+                    fits = last == START or seen(last << 20 | token)
+                    if m.together(last, token) if fits is None else fits:
+                        ended = token
+            if node in going_on:
+                opens.append(last << 32 | node)
+        if ended is None:
+            raise ValueError("a byte without a token")
+        opens.append(ended << 32)
+        made = self.next[number << 8 | byte] = self.number(tuple(opens)) << 20 | ended
+        return made
+
+    def tokens(self, word: bytes) -> list[int]:
+        if len(self.states) > SHORT_STATES:
+            self.reset()
+        at, emitted, known, lengths = self.start, [], self.next.get, self.lengths
+        for byte in word:
+            made = known(at << 8 | byte)
+            if made is None:
+                made = self.follow(at, byte)
+            emitted.append(made & 0xFFFFF)
+            at = made >> 20
+        out, end = [], len(word)
+        while end:
+            token = emitted[end - 1]
+            out.append(token)
+            end -= lengths[token]
+        out.reverse()
+        return out
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
@@ -118,6 +189,7 @@ class Encoder:
         self.cut_any = regex.compile(pattern).findall
         self.cut, self.rare = common_pattern(pattern)
         self.transducer = Transducer(RankMerges(path))
+        self.short = LastTokens(self.transducer.merges)
         self.known = Recent(self.word, CACHE)
 
     def word(self, word: str) -> bytes:
@@ -125,7 +197,10 @@ class Encoder:
         raw, merges = word.encode(), self.transducer.merges
         whole = merges.ids.get(raw)
         # A listed word is one token even where no joins lead to it.
-        return array("i", [whole] if whole is not None and not merges.reachable(whole) else self.transducer.tokens(raw)).tobytes()
+        if whole is not None and not merges.reachable(whole):
+            return array("i", [whole]).tobytes()
+        reader = self.short if len(raw) <= SHORT else self.transducer
+        return array("i", reader.tokens(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         cut = self.cut_any if self.rare(text) else self.cut
@@ -161,6 +236,7 @@ class StreamDecoder:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.raw_of = {int(rank): base64.b64decode(raw) for raw, rank in (line.split() for line in file if line.strip())}
+        self.raws = pa.array(map(self.raw_of.get, range(max(self.raw_of) + 1)), pa.binary())
         self.steps: dict[tuple, tuple] = {}
         self.whole = np.zeros(max(self.raw_of) + 1, dtype=bool)
         for token in self.raw_of:
@@ -180,9 +256,16 @@ class StreamDecoder:
             found = self.steps[state, token] = (after, bad)
         return found
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        found = self.raws.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError("an unknown id")
+        ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+        return found.buffers()[2][ends[0] : ends[-1]].to_pybytes() if len(found) else b""
+
     def feed(self, ids: np.ndarray) -> bytes:
         """The bytes of all characters that these ids complete."""
-        raw = self.held + b"".join(map(self.raw_of.__getitem__, ids.tolist()))
+        raw = self.held + self.joined(ids)
         odd = np.flatnonzero(~self.whole[ids]).tolist() if len(ids) else []
         at = 0 if self.state != CLOSED else (odd[0] if odd else len(ids))
         k = 0

@@ -79,6 +79,19 @@ def test_transducer_gives_the_ids_of_the_library(byte_library):
         assert list(tool.encode(t)) == byte_library.encode_ordinary(t), repr(t)
 
 
+def test_short_words_need_few_states(byte_library):
+    """What is agreed on no longer is part of a state, so invented words share states; long words are read by the other transducer."""
+    tool, rng = byte_bpe.Encoder(RANKS, P.PATTERN), random.Random(9)
+    syllables = ["on", "tion", "ment", "er", "ión", "heit", "ß", "que", "st", "é", "ing", "the"]
+    words = [" " + "".join(rng.choice(syllables) for _ in range(rng.randint(2, 6))) for _ in range(5000)]
+    for w in words + ["a" * n for n in (63, 64, 65)] + ["é" * 31 + "xyz"[:n] for n in range(4)]:
+        assert list(tool.encode(w)) == byte_library.encode_ordinary(w), w
+    other = byte_bpe.Transducer(tool.transducer.merges)
+    for w in words:
+        other.tokens(w.encode())
+    assert len(tool.short.states) < 0.6 * len(other.states)
+
+
 def test_small_batches_hold_every_text_once(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 5)
     for rows in ([], ["", ""], ["abc", "de", "", "x" * 100, "é", "", "abcdef"], ["x" * 20] * 3):
@@ -116,6 +129,14 @@ def test_utf8_machine_and_streaming():
     assert b"".join(parts).decode() == text and decoder.finish() == b"" and decoder.malformed == 0
 
 
+def test_unknown_ids_raise():
+    decoder = byte_bpe.StreamDecoder(RANKS)
+    assert decoder.feed(np.array([], np.int32)) == b""
+    for bad in (1 << 30, -1):
+        with pytest.raises(Exception):
+            decoder.feed(np.array([70, bad], np.int32))
+
+
 def test_encode_and_decode_on_spark(spark, byte_library):
     rows = [(i, t) for i, t in enumerate([*texts(7, 60), None])]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2))
