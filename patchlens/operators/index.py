@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import camel_words, doc_words, exploded_counts, text
+from patchlens.operators import joins
 from patchlens.session import materialize
 
 # A chunk holds elements of like size, and about this many postings at most, so one term
@@ -83,7 +84,7 @@ Table = DataFrame | Callable[[], DataFrame]
 
 
 class KeywordIndex:
-    """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (framework, key, text);
+    """Stored tables: postings; term_chunks (framework, term_key, chunk, max_tf); vocabulary (framework, key, text, n);
     grams (framework, gram, key). A table may be given as a function that writes it, called when it is first read.
 
     With `buckets`, postings and term_chunks have a column `bucket` that follows from the
@@ -117,6 +118,12 @@ class KeywordIndex:
         numbers = [r[0] for r in asked.select(bucket_of(F.col(key), F.lit(self.buckets))).distinct().collect()]
         return rows.where(F.col("bucket").isin(numbers))
 
+    def heavy_terms(self) -> DataFrame:
+        """(framework, term_key, _salts) of the terms with more than KEY_ROWS postings: how many tasks a join gives to each."""
+        counts = self.vocabulary  # of a save without counts they are made
+        if "n" not in counts.columns:
+            counts = self.postings.groupBy("framework", F.col("term_key").alias("key")).agg(F.count("*").alias("n"))
+        return counts.where(F.col("n") > joins.KEY_ROWS).select("framework", F.col("key").alias("term_key"), F.ceil(F.col("n") / joins.KEY_ROWS).alias("_salts"))
 
     def most_in_chunks(self, asked: DataFrame, few: bool) -> DataFrame:
         """(framework, term_key, chunk, max_tf) of the asked terms at least.
@@ -134,8 +141,9 @@ def bucket_of(key: Column, buckets: Column) -> Column:
 
 
 def vocabulary(stored_postings: DataFrame) -> DataFrame:
-    """(framework, key, text) of the distinct terms of each framework."""
-    return stored_postings.select("framework", F.col("term").alias("text")).distinct().select("framework", token_key(F.col("text")).alias("key"), "text")
+    """(framework, key, text, n) of the distinct terms of each framework and how many postings they have."""
+    counted = stored_postings.groupBy("framework", F.col("term").alias("text")).agg(F.count("*").alias("n"))
+    return counted.select("framework", token_key(F.col("text")).alias("key"), "text", "n")
 
 
 def term_chunks(stored_postings: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def counted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by:
     """
     many = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS)
     many = materialize(many.select(*keys, F.ceil(F.col("n") / KEY_ROWS).alias("_salts")), "heavy-keys")
+    return salted_join(left, right, keys, spread_by, many, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], many: DataFrame, how: str = "inner") -> DataFrame:
+    """counted_join where the keys with many left rows are known: `many` is (keys, _salts), the tasks that each of these keys takes."""
     counted = left.join(many, keys, "left").withColumn("_salt", salt_of(spread_by, F.coalesce("_salts", F.lit(1)))).drop("_salts")
     repeated = right.join(many, keys, "left").withColumn("_salt", F.explode(salts(F.coalesce("_salts", F.lit(1))))).drop("_salts")
     return counted.join(repeated, [*keys, "_salt"], how).drop("_salt")

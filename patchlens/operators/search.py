@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
 from patchlens.operators.index import GRAM, KEY_CHARS, KeywordIndex, token_key, windows
-from patchlens.operators.joins import counted_join, salt_of, salts, spread_join
+from patchlens.operators.joins import counted_join, salt_of, salted_join, salts, spread_join
 from patchlens.session import materialize
 
 # Scores and default result sizes.
@@ -38,6 +38,7 @@ DEFAULT_LIMIT = 10
 REVIEW_LIMIT = 5
 TOOL_LIMIT = 3
 
+FEW = 128  # words of a framework that are looked for in every distinct term
 HEAD = 6  # characters of a term that are looked up inside words
 WORDS_PER_ROW = 32_768
 BROADCAST_PAIRS = 4_000_000  # pairs of term and word that are sent to all tasks
@@ -80,6 +81,32 @@ def _asked_grams(index: KeywordIndex, words: DataFrame) -> DataFrame:
 
 def terms_that_contain(index: KeywordIndex, words: DataFrame) -> DataFrame:
     """(framework, term_key, word_id) of all terms that hold a word, the word itself left out; words as in matching_pairs, none empty."""
+    few = _few_words(words)
+    if few is None:
+        return _found_by_grams(index, words)
+    found = _found_in_terms(index, few)
+    others = words.join(few.select("word_id"), "word_id", "left_anti")
+    return found if others.isEmpty() else found.unionByName(_found_by_grams(index, others))
+
+
+def _few_words(words: DataFrame) -> DataFrame | None:
+    """All words if no framework has more than FEW, else all that are shorter than a gram if these are as few, else None."""
+    is_short = F.length("word") < GRAM
+    counts = words.groupBy("framework").agg(F.count("*").alias("n"), F.count_if(is_short).alias("short"))
+    most = counts.agg(F.max("n"), F.max("short")).first()
+    if (most[0] or 0) <= FEW:
+        return words
+    return words.where(is_short) if 0 < most[1] <= FEW else None
+
+
+def _found_in_terms(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """terms_that_contain by a look into every distinct term, for at most FEW words of a framework: no grams are needed."""
+    lists = words.groupBy("framework").agg(F.collect_list(F.struct("word_id", "word")).alias("words"))
+    met = index.vocabulary.join(F.broadcast(lists), "framework").select("framework", F.col("key").alias("term_key"), "text", F.explode("words").alias("w"))
+    return met.where(F.contains("text", "w.word") & (F.col("text") != F.col("w.word"))).select("framework", "term_key", "w.word_id")
+
+
+def _found_by_grams(index: KeywordIndex, words: DataFrame) -> DataFrame:
     asked = materialize(_asked_grams(index, words), "asked-grams")
     rows = spread_join(index.looked_up("grams", asked, "gram").select("framework", "gram", "key"), asked, ["framework", "gram"], ["key"])
     is_text = F.length("key") <= KEY_CHARS
@@ -143,6 +170,7 @@ class Asked:
     words: DataFrame  # query_id, framework, word_id, qtf, n_empty
     term_words: DataFrame  # framework, term_key, words: array of (word_id, weight)
     small: bool  # whether term_words holds at most BROADCAST_PAIRS pairs
+    heavy: DataFrame | None  # framework, term_key, _salts: terms with very many postings, if term_words is not small
     totals: DataFrame  # framework, chunk, max_total, labels
 
 
@@ -162,17 +190,19 @@ def ask(index: KeywordIndex, queries: DataFrame) -> Asked:
     words = spread_join(counted, asked.select("framework", "word", "word_id"), ["framework", "word"], ["query_id"])
     words = materialize(words.select("query_id", "framework", "word_id", "qtf", "n_empty"), "query-words")
     totals = index.element_keys.groupBy("framework", "chunk").agg(F.max("total").alias("max_total"), F.approx_count_distinct("label").alias("labels"))
-    return Asked(words, lists, n_pairs <= BROADCAST_PAIRS, materialize(totals, "chunk-totals"))
+    small = n_pairs <= BROADCAST_PAIRS
+    return Asked(words, lists, small, None if small else materialize(index.heavy_terms(), "heavy-terms"), materialize(totals, "chunk-totals"))
 
 
 def _matched(rows: DataFrame, asked: Asked, spread_by: list[str]) -> DataFrame:
     """rows (framework, term_key, ...) once for each word that matches the term, with word_id and weight.
 
     The lists are sent to all tasks if they are few: rows of an element then stay together,
-    and its words are summed before anything is shuffled. Otherwise they are joined by term.
+    and its words are summed before anything is shuffled. Otherwise they are joined by term,
+    and repeated only for terms with very many postings.
     """
     keys = ["framework", "term_key"]
-    met = rows.join(F.broadcast(asked.term_words), keys) if asked.small else spread_join(rows, asked.term_words, keys, spread_by)
+    met = rows.join(F.broadcast(asked.term_words), keys) if asked.small else salted_join(rows, asked.term_words, keys, spread_by, asked.heavy)
     return met.select(*(n for n in rows.columns if n != "term_key"), F.explode("words").alias("w")).select("*", "w.word_id", "w.weight").drop("w")
 
 

@@ -129,6 +129,42 @@ def test_matching_pairs_equal_nested_loop(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("few", [0, 3, 1_000])
+def test_words_looked_for_in_terms_or_by_grams_find_the_same(spark, monkeypatch, few):
+    """No word, the short ones or all of them are looked for in the terms."""
+    monkeypatch.setattr(search, "FEW", few)
+    terms = {"handler", "request", "a", "ab", "cab", "", "x" * 70 + "ab", "handlers"}
+    words = {"a", "b", "ab", "hand", "handler", "que", "x" * 66, "", "zzz"}
+    keys = {r.text: r.key for r in texts_of(spark, terms | words).collect()}
+    got = pairs_of(spark, terms, words)
+    want = {(keys[t], keys[w], 13 if t == w else 3) for t in terms for w in words - {""} if w in t or t in w} | {(keys[""], keys[""], 10)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_few_words_need_no_grams(spark, monkeypatch):
+    written = []
+    real = index.materialize
+    monkeypatch.setattr(index, "materialize", lambda df, name: written.append(name) or real(df, name))
+    assert found(spark, ELEMENTS, ["request", "handler"], 10) == {0: [(0, 29), (2, 19)], 1: [(3, 42), (0, 12), (1, 12)]}
+    assert "grams" not in written
+
+
+def test_lists_are_repeated_for_terms_with_many_postings_only(spark, monkeypatch):
+    from patchlens.operators import joins
+
+    texts = ["request handler", "interface"]
+    want = found(spark, ELEMENTS * 3, texts, 3)
+    monkeypatch.setattr(search, "BROADCAST_PAIRS", -1)
+    built = index.build_index(elements_of(spark, ELEMENTS * 3))
+    assert search.ask(built, queries_of(spark, texts)).heavy.count() == 0
+    monkeypatch.setattr(joins, "KEY_ROWS", 4)
+    heavy = {r.term_key: r._salts for r in search.ask(built, queries_of(spark, texts)).heavy.collect()}
+    assert heavy["handlers"] == 3 and "interface" not in heavy
+    old = index.KeywordIndex(built.postings, built.term_chunks, built.vocabulary.drop("n"), built.grams)
+    assert {r.term_key: r._salts for r in old.heavy_terms().collect()} == heavy
+    assert found(spark, ELEMENTS * 3, texts, 3) == want
+
+
 def test_rows_grow_with_the_length_of_a_token(spark):
     """A token of a megabyte makes a few rows for each of its characters, not one for each of its substrings."""
     rng = random.Random(3)
