@@ -25,7 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000  # words whose tokens a worker remembers
+from patchlens.llm.merges import Recent
+
+CACHE = 240_000  # words whose tokens a worker remembers
+CAME = 1 << 22  # places for the words that came once
 STATES = 80_000
 SHORT, SHORT_STATES = 64, 200_000
 PIECE_BYTES = 2 << 20  # of text that a worker takes out of a batch at a time
@@ -118,21 +121,24 @@ class LastTokens:
     """The transducer for short words: what it emits at a byte is the last token of the word up to there.
 
     A state holds, for each place where the next token could still start, the token that ends
-    there and the node of the bytes since, longest bytes first, as one integer.
+    there and the node of the bytes since, longest bytes first, as one 64-bit integer each. States
+    are kept as bytes, a third of a tuple of integers, and the last byte of a word makes none.
     """
 
     def __init__(self, merges):
         self.merges = merges
-        self.lengths = {token: len(raw) for token, raw in merges.raw_of.items()}
+        self.lengths = bytearray(max(merges.raw_of) + 1) if max(map(len, merges.raw_of.values())) < 256 else [0] * (max(merges.raw_of) + 1)
+        for token, raw in merges.raw_of.items():
+            self.lengths[token] = len(raw)
         self.reset()
 
     def reset(self):
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.next: dict[int, int] = {}  # by state << 8 | byte: next state << 20 | token emitted
-        self.start = self.number((START << 32,))
+        self.start = self.number(array("q", [START << 32]).tobytes())
 
-    def number(self, state: tuple) -> int:
+    def number(self, state: bytes) -> int:
         found = self.numbers.get(state)
         if found is None:
             found = self.numbers[state] = len(self.states)
@@ -142,7 +148,7 @@ class LastTokens:
     def follow(self, number: int, byte: int) -> int:
         m, opens, ended = self.merges, [], None
         step, token_at, going_on, seen = m.trie.at.get, m.trie.first, m.trie.inner_nodes, m.seen.get
-        for place in self.states[number]:
+        for place in memoryview(self.states[number]).cast("q"):
             last = place >> 32
             node = step((place & 0xFFFFFFFF) << 8 | byte)
             if node is None:
@@ -158,19 +164,37 @@ class LastTokens:
         if ended is None:
             raise ValueError("a byte without a token")
         opens.append(ended << 32)
-        made = self.next[number << 8 | byte] = self.number(tuple(opens)) << 20 | ended
+        made = self.next[number << 8 | byte] = self.number(array("q", opens).tobytes()) << 20 | ended
         return made
 
+    def close(self, number: int, byte: int) -> int:
+        """The token that ends a word; what could start inside it is not needed."""
+        m = self.merges
+        step, token_at, seen = m.trie.at.get, m.trie.first, m.seen.get
+        for place in memoryview(self.states[number]).cast("q"):
+            node = step((place & 0xFFFFFFFF) << 8 | byte)
+            token = None if node is None else token_at[node]
+            if token is not None:
+                last = place >> 32
+                fits = last == START or seen(last << 20 | token)
+                if m.together(last, token) if fits is None else fits:
+                    return token
+        raise ValueError("a byte without a token")
+
     def tokens(self, word: bytes) -> list[int]:
         if len(self.states) > SHORT_STATES:
             self.reset()
+        if not word:
+            return []
         at, emitted, known, lengths = self.start, [], self.next.get, self.lengths
-        for byte in word:
+        for byte in word[:-1]:
             made = known(at << 8 | byte)
             if made is None:
                 made = self.follow(at, byte)
             emitted.append(made & 0xFFFFF)
             at = made >> 20
+        made = known(at << 8 | word[-1])
+        emitted.append(self.close(at, word[-1]) if made is None else made & 0xFFFFF)
         out, end = [], len(word)
         while end:
             token = emitted[end - 1]
@@ -180,17 +204,39 @@ class LastTokens:
         return out
 
 
+class Known(Recent):
+    """Recent, where a word is remembered when it comes again: most different words come once, and would drive out others."""
+
+    def __init__(self, make, size: int):
+        super().__init__(make, size)
+        self.came = bytearray(CAME)  # by hash
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found, place = self.make(key), hash(key) % CAME
+            if not self.came[place]:
+                self.came[place] = 1
+                return found
+        if len(key) <= self.longest_key:
+            if len(self) >= self.size:
+                self.older, self.came = dict(self), bytearray(CAME)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        from patchlens.llm.merges import RankMerges, Recent, common_pattern
+        from patchlens.llm.merges import RankMerges, common_pattern
 
         self.cut_any = regex.compile(pattern).findall
         self.cut, self.rare = common_pattern(pattern)
         self.transducer = Transducer(RankMerges(path))
         self.short = LastTokens(self.transducer.merges)
-        self.known = Recent(self.word, CACHE)
+        self.known = Known(self.word, CACHE)
 
     def word(self, word: str) -> bytes:
         """Ids as 32-bit integers."""
@@ -233,27 +279,33 @@ def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[tuple[int, int, i
 class StreamDecoder:
     """Bytes and characters of ids that arrive in pieces; a character cut by a piece waits for its rest."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.raw_of = {int(rank): base64.b64decode(raw) for raw, rank in (line.split() for line in file if line.strip())}
+    def __init__(self, path: str, raw_of: dict[int, bytes] | None = None):
+        if raw_of is None:
+            with open(path, "rb") as file:
+                raw_of = {int(rank): base64.b64decode(raw) for raw, rank in (line.split() for line in file if line.strip())}
+        self.raw_of = raw_of
         self.raws = pa.array(map(self.raw_of.get, range(max(self.raw_of) + 1)), pa.binary())
         self.steps: dict[tuple, tuple] = {}
         self.whole = np.zeros(max(self.raw_of) + 1, dtype=bool)
         for token in self.raw_of:
-            self.whole[token] = self.step(CLOSED, token) == (CLOSED, 0)
+            self.whole[token] = self.walk(CLOSED, token) == (CLOSED, 0)
         self.reset()
 
     def reset(self):
         self.state, self.held, self.malformed = CLOSED, b"", 0
 
+    def walk(self, state: tuple, token: int) -> tuple:
+        bad = 0
+        for byte in self.raw_of[token]:
+            state, more = utf8_step(state, byte)
+            bad += more
+        return state, bad
+
     def step(self, state: tuple, token: int) -> tuple:
+        """What `walk` gives, remembered; tokens of whole characters in a closed state never come here."""
         found = self.steps.get((state, token))
         if found is None:
-            after, bad = state, 0
-            for byte in self.raw_of[token]:
-                after, more = utf8_step(after, byte)
-                bad += more
-            found = self.steps[state, token] = (after, bad)
+            found = self.steps[state, token] = self.walk(state, token)
         return found
 
     def joined(self, ids: np.ndarray) -> bytes:
@@ -302,7 +354,11 @@ class StreamDecoder:
 def coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
     from patchlens.llm.workers import tool
 
-    return tool(("byte_bpe", path, pattern), lambda: (Encoder(path, pattern), StreamDecoder(path)))
+    def both() -> tuple[Encoder, StreamDecoder]:
+        encoder = Encoder(path, pattern)
+        return encoder, StreamDecoder(path, encoder.transducer.merges.raw_of)
+
+    return tool(("byte_bpe", path, pattern), both)
 
 
 def decoder(path: str) -> StreamDecoder:

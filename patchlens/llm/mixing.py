@@ -128,7 +128,8 @@ def topic_of(text: Column, centres: np.ndarray) -> Column:
         v = np.array([x for _, x in found], dtype=np.float32).reshape(-1, centres.shape[1])
         return pa.StructArray.from_arrays([pa.array(np.argmax(v @ centres.T, axis=1), pa.int32()), pa.array([n for n, _ in found], pa.int64())], ["topic", "n_tokens"])
 
-    return assign(F.coalesce(text.cast("string"), F.lit("")))
+    # Else a filter on what is made of the topic would be moved below it and tell the topics a second time, in a second worker of each task.
+    return assign.asNondeterministic()(F.coalesce(text.cast("string"), F.lit("")))
 
 
 # --- weights ------------------------------------------------------------------------------

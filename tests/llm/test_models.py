@@ -176,6 +176,14 @@ def test_mixture_samples_by_probability(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_topics_are_told_once_where_rows_are_filtered(spark):
+    """A filter on `kept` is not moved below the topics: that would read every text twice, in two Python workers a task."""
+    df = spark.createDataFrame([(i, f"word{i % 9} text{i % 4} of {i}", "ab"[i % 2], "en") for i in range(60)], "doc_id bigint, text string, source string, lang string")
+    kept = mixing.mix(df, share=0.5).where("kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in mixing.weigh(df, share=0.5).where("kept").collect())
+
+
 def test_rate_follows_the_clean_scores():
     class Row:
         def __init__(self, scores, toxic=0):

@@ -92,6 +92,25 @@ def test_short_words_need_few_states(byte_library):
     assert len(tool.short.states) < 0.6 * len(other.states)
 
 
+def test_a_worker_of_byte_bpe_keeps_only_what_it_needs_again():
+    tool, reader = byte_bpe.coder(RANKS, P.PATTERN)
+    assert reader.raw_of is tool.transducer.merges.raw_of and not reader.steps  # one table of the tokens' bytes
+    short, word = tool.short, " zqxvkj".encode()
+    before = short.tokens(word)
+    states = len(short.states)
+    for last in b"abcdefgh":  # the last byte of a word makes no state
+        short.tokens(word[:-1] + bytes([last]))
+    assert len(short.states) == states and short.tokens(word) == before
+    assert all(isinstance(state, bytes) for state in short.states)
+    # A word that came once is not remembered, and has the same tokens each time.
+    first = tool.known[" wjkqzx"]
+    assert " wjkqzx" not in tool.known
+    assert tool.known[" wjkqzx"] == first and " wjkqzx" in tool.known and tool.known[" wjkqzx"] == first
+    few = byte_bpe.Known(lambda key: key.encode(), 4)
+    for key in [*"abab", *"cdcd", *"efef", *"abcdef"]:
+        assert few[key] == key.encode() and len(few) <= 2 and len(few.older) <= 2
+
+
 def test_small_batches_hold_every_text_once(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 5)
     for rows in ([], ["", ""], ["abc", "de", "", "x" * 100, "é", "", "abcdef"], ["x" * 20] * 3):
