@@ -89,12 +89,13 @@ class KeywordIndex:
 
     With `buckets`, postings and term_chunks have a column `bucket` that follows from the
     term and lookups read the buckets of the asked terms only; grams have one that follows
-    from the gram.
+    from the gram. `source` are the elements, if searches that need no table should read these.
     """
 
-    def __init__(self, postings: Table, term_chunks: Table, vocabulary: Table, grams: Table, buckets: int | None = None):
+    def __init__(self, postings: Table, term_chunks: Table, vocabulary: Table, grams: Table, buckets: int | None = None, source: DataFrame | None = None):
         self.given = {"postings": postings, "term_chunks": term_chunks, "vocabulary": vocabulary, "grams": grams}
         self.buckets = buckets
+        self.source = source
 
     def _table(self, name: str) -> DataFrame:
         given = self.given[name]
@@ -161,14 +162,19 @@ def grams(terms: DataFrame) -> DataFrame:
     return terms.select("framework", F.explode(windows(F.col("text"), GRAM)).alias("gram"), "key")
 
 
-def build_index(elements: DataFrame) -> KeywordIndex:
-    """The index of these elements, each table written to the shared folder when it is first read: without a search nothing is."""
+def build_index(elements: DataFrame, scan: bool = False) -> KeywordIndex:
+    """The index of these elements, each table written to the shared folder when it is first read: without a search nothing is.
+
+    With `scan`, for a few searches whose elements are not searched again, queries that a worker can hold
+    are answered by a pass over the elements (`scan.py`) and write no table either.
+    """
     key = token_key(F.col("term"))  # the term itself but for long ones, so it is made again and not stored
     index = KeywordIndex(
         lambda: materialize(postings(elements).drop("term_key"), "postings").withColumn("term_key", key),
         lambda: materialize(term_chunks(index.postings), "term-chunks"),
         lambda: materialize(vocabulary(index.postings), "vocabulary"),
         lambda: materialize(grams(index.vocabulary), "grams"),
+        source=elements if scan else None,
     )
     return index
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.text import exploded_counts, query_words, text
+from patchlens.operators import scan
 from patchlens.operators.index import GRAM, KEY_CHARS, KeywordIndex, token_key, windows
 from patchlens.operators.joins import counted_join, salt_of, salted_join, salts, spread_join
 from patchlens.session import materialize
@@ -337,9 +338,13 @@ def search(index: KeywordIndex, queries: DataFrame, limit: int = DEFAULT_LIMIT)
     go to the smaller element_id. A limit of zero or less means 10.
     """
     limit = limit if limit > 0 else DEFAULT_LIMIT
-    found = scores(index, queries, limit)
-    leaders = empty_word_leaders(index, queries, limit)
-    labels = best_labels(found.unionByName(leaders.select(*found.columns)))
+    asking = None if index.source is None else scan.Asking.of(index.source, queries)
+    if asking is not None:
+        labels = best_labels(scan.best_labels(index.source, asking, limit, EXACT_SCORE, PARTIAL_SCORE))
+    else:
+        found = scores(index, queries, limit)
+        leaders = empty_word_leaders(index, queries, limit)
+        labels = best_labels(found.unionByName(leaders.select(*found.columns)))
     best = ranked(labels, limit, F.desc("score"), "element_id")
     return best.select("query_id", "framework", F.col("rank").cast("bigint").alias("rank"), "element_id", "score")
 

@@ -270,14 +270,14 @@ def search_by_type_per_framework(spark, sf):
 
 @query
 def keyword_search(spark, sf):
-    return search.search(index.build_index(_elements(spark, sf)), _queries(spark, sf))
+    return search.search(index.build_index(_elements(spark, sf), scan=True), _queries(spark, sf))
 
 
 @query
 def review_context(spark, sf):
     elements = _elements(spark, sf)
     names = lambda context: F.transform(context, lambda e: render.fmt(e["type"], " ", e["package"], ".", e["name"]))
-    rows = search.attach_context(_inputs(spark, sf), elements, index.build_index(elements), made=names)
+    rows = search.attach_context(_inputs(spark, sf), elements, index.build_index(elements, scan=True), made=names)
     listed = F.array_join("context", "; ")
     return rows.select("review_id", "file_no", "framework", F.size("context").cast("bigint").alias("n"), listed.alias("context"))
 
@@ -289,7 +289,7 @@ def search_tool_text(spark, sf):
     asked = _queries(spark, sf).select(
         c("query_id").alias("review_id"), F.lit(0).alias("file_no"), "framework", c("query").alias("diff")
     )
-    rows = search.attach_context(asked, elements, index.build_index(elements), search.TOOL_LIMIT, made=prompts.search_tool_text)
+    rows = search.attach_context(asked, elements, index.build_index(elements, scan=True), search.TOOL_LIMIT, made=prompts.search_tool_text)
     return rows.select(c("review_id").alias("query_id"), c("context").alias("result"))
 
 
@@ -561,7 +561,7 @@ def routed_reviews(spark, sf):
     """Agent, framework and standard reviews side by side, with canned answers."""
     elements = _elements(spark, sf)
     rows = review.review_all(
-        _inputs(spark, sf).withColumn("use_agent", c("file_no") % 3 == 0).withColumn("error", F.when(c("file_no") % 17 == 0, inputs.NO_INPUT).otherwise("")), canned.canned_any, elements, index.build_index(elements), attempts=1
+        _inputs(spark, sf).withColumn("use_agent", c("file_no") % 3 == 0).withColumn("error", F.when(c("file_no") % 17 == 0, inputs.NO_INPUT).otherwise("")), canned.canned_any, elements, index.build_index(elements, scan=True), attempts=1
     )
     return rows.select(
         "review_id", "file_no", "error", c("result.summary").alias("summary"), F.coalesce("result.risk_score", F.lit(-1)).alias("risk_score"),
