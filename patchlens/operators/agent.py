@@ -19,7 +19,7 @@ from patchlens.functions.jsontext import RESULT_TYPE, decode_result, extract_jso
 from patchlens.functions.text import let, text, trim_space
 from patchlens.operators.complete import CompleteFn, complete
 from patchlens.operators.index import KeywordIndex
-from patchlens.operators.joins import counted_join
+from patchlens.operators.joins import counted_join, dealt
 from patchlens.operators.search import TOOL_LIMIT, searched_contexts
 from patchlens.session import materialize
 
@@ -29,6 +29,7 @@ MODEL_TOOLS = ["analyze_security", "analyze_performance", "suggest_fix"]
 OUT_OF_STEPS = "Review completed after maximum steps."  # fixed value
 FINAL_DONE = "Review completed."
 BAD_ARGS = "Error: invalid arguments"
+BROADCAST_BYTES = 1 << 25  # of found texts that are sent to all tasks
 
 
 def tool_calls(answers: DataFrame, response: str = "response") -> DataFrame:
@@ -89,10 +90,12 @@ def _with_texts(rows: DataFrame, seen: list[DataFrame]) -> DataFrame:
     texts = seen[0]
     for more in seen[1:]:
         texts = texts.unionByName(more)
+    # Few texts go to the rows: a join by their names would leave as many tasks as there are names.
+    few = (texts.agg(F.sum(F.octet_length("found"))).first()[0] or 0) <= BROADCAST_BYTES
     places = rows.select(F.posexplode("refs").alias("at", "ref")).where("ref IS NOT NULL").select("at").distinct()
     for at in sorted(r[0] for r in places.collect()):  # as many as steps at most
         named = rows.withColumn("ref", F.coalesce(F.get("refs", F.lit(at)), F.lit("")))  # no text has the empty name
-        met = counted_join(named, texts, ["ref"], ["review_id", "file_no"], "left")
+        met = named.join(F.broadcast(texts), ["ref"], "left") if few else counted_join(named, texts, ["ref"], ["review_id", "file_no"], "left")
         found = F.when(F.col("ref") != "", F.coalesce("found", F.lit(prompts.NO_MATCH)))
 
         def put(call: Column, i: Column) -> Column:
@@ -148,7 +151,9 @@ def agent_review(
         keep = state.columns
         idle = spoken.where(~is_review).select(*keep)
         open_calls = calls.where(c("tool").isNotNull() & (c("tool") != "final_review"))
-        state = materialize(idle.unionByName(_step(open_calls, complete_fn, elements, index, tools, seen, **options).select(*keep)), f"agent-{step}")
+        # Dealt again: rows that searched, whose next prompts are long, would lie together.
+        after = idle.unionByName(_step(open_calls, complete_fn, elements, index, tools, seen, **options).select(*keep))
+        state = materialize(dealt(after, ["review_id", "file_no"]), f"agent-{step}")
     finished.append(state.withColumn("result", _out_of_steps()).withColumn("error", F.lit("")).select(*columns))
     out = finished[0]
     for rows in finished[1:]:

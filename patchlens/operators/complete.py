@@ -12,9 +12,14 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlens.operators import joins
+from patchlens.session import materialize
+
 # Request options and the retry schedule.
 TEMPERATURE = 0.1
 MAX_TOKENS = 4096
@@ -25,6 +30,9 @@ LONGEST_WAIT_S = 60.0
 DEADLINE_S = 600.0
 CALLS_AT_ONCE = 16
 
+SHARED_ROWS = 2048  # rows that are asked about with one copy of a shared text
+PROMPT_CHARS = 1 << 25  # of the prompts with shared texts that are made at once
+
 Messages = list[dict[str, str]]
 Usage = dict[str, int] | None
 Reply = tuple[str | None, str | None, Usage]
@@ -164,6 +172,71 @@ def complete(
     return requests.mapInPandas(ask, schema)
 
 
+def complete_shared(
+    requests: DataFrame, texts: DataFrame, complete_fn: CompleteFn, returned: list[str], attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT_S,
+    deadline_s: float | None = DEADLINE_S, rows_per_call: int | None = None, concurrency: int | None = None,
+) -> DataFrame:
+    """`complete` for prompts with a long text in their middle that many rows share; `returned` columns + (response, error, usage).
+
+    `requests` has system, before, behind and ref, `texts` (ref, shared) has one row for each ref at most; the user's
+    message is before, the shared text if there is one, and behind. A shared text travels once for SHARED_ROWS rows, ahead
+    of them, and prompts are put together in the worker, some at a time. The requests are read twice, so they should be stored.
+    """
+    c = F.col
+    spark = requests.sparkSession
+    kept = [f for f in requests.schema.fields if f.name in returned]
+    names = [f.name for f in kept]
+    requests = requests.withColumn("ref", F.coalesce("ref", F.lit("")))
+    many = requests.groupBy("ref").agg(F.count("*").alias("n")).where(c("n") > SHARED_ROWS)
+    many = materialize(many.select("ref", F.ceil(c("n") / SHARED_ROWS).alias("_salts")), "heavy-refs")
+    some = F.coalesce("_salts", F.lit(1))
+    asking = requests.join(many, ["ref"], "left").withColumn("_salt", joins.salt_of(names, some)).withColumn("shared", F.lit(None).cast("string"))
+    given = texts.join(many, ["ref"], "left").withColumn("_salt", F.explode(joins.salts(some)))
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+    none = [F.lit(None).cast("string").alias(name) for name in ("system", "before", "behind")]
+    columns = ["ref", "_salt", "shared", "system", "before", "behind"]
+    both = asking.select(*columns, F.lit(True).alias("asks"), *names).unionByName(given.select("ref", "_salt", "shared", *none, F.lit(False).alias("asks"), *absent))
+    # The number of tasks is given: by their size, which is not their work, these rows would be put together.
+    parts = concurrency or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "ref", "_salt").sortWithinPartitions("ref", "_salt", "asks")
+    added = T.StructType.fromDDL(f"response string, error string, usage {USAGE_TYPE}")
+    usage_type = pa.struct([(f.name, pa.int32()) for f in added["usage"].dataType.fields])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shared = "", ""  # the text that came last
+        for batch in batches:
+            refs, systems, befores, behinds, asks = (batch.column(name).to_pylist() for name in ("ref", "system", "before", "behind", "asks"))
+            rows: list[int] = []
+            prompts: list[Messages] = []
+            size = 0
+            for i in range(len(refs)):
+                if not asks[i]:
+                    known, shared = refs[i], batch.column("shared")[i].as_py()
+                    continue
+                middle = shared if refs[i] == known else ""
+                size += len(befores[i]) + len(middle) + len(behinds[i])
+                prompts.append([{"role": "system", "content": systems[i]}, {"role": "user", "content": befores[i] + middle + behinds[i]}])
+                rows.append(i)
+                if size >= PROMPT_CHARS:
+                    yield answered(batch, rows, prompts)
+                    rows, prompts, size = [], [], 0
+            if rows:
+                yield answered(batch, rows, prompts)
+
+    def answered(batch: pa.RecordBatch, rows: list[int], prompts: list[Messages]) -> pa.RecordBatch:
+        replies = with_retries(complete_fn, prompts, attempts, first_wait, deadline_s, rows_per_call)
+        failed = [error or ("no answer" if answer is None else "") for answer, error, _ in replies]
+        out = batch.select(names).take(pa.array(rows, pa.int64()))
+        columns = [
+            pa.array([None if error else answer for (answer, _, _), error in zip(replies, failed)], pa.string()),
+            pa.array(failed, pa.string()),
+            pa.array([usage for _, _, usage in replies], usage_type),
+        ]
+        return pa.RecordBatch.from_arrays([*out.columns, *columns], names=[*names, "response", "error", "usage"])
+
+    return both.mapInArrow(ask, T.StructType([*kept, *added.fields]))
+
+
 def lookup_complete_fn(answers: dict[str, str], default: str | None = None) -> CompleteFn:
     """A complete_fn over canned answers for tests: the first key found in the user text wins."""
 

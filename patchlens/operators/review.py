@@ -11,10 +11,10 @@ from patchlens.functions import prompts
 from patchlens.functions.text import short_prompt_body, text
 from patchlens.operators.agent import agent_review
 from patchlens.operators.answers import parse_responses
-from patchlens.operators.complete import CompleteFn, complete
+from patchlens.operators.complete import CompleteFn, complete, complete_shared
 from patchlens.operators.index import KeywordIndex
 from patchlens.operators.joins import dealt, spread_join
-from patchlens.operators.search import attach_context
+from patchlens.operators.search import searched_contexts
 from patchlens.session import materialize
 
 
@@ -23,8 +23,11 @@ UserPrompt = Callable[[str, str, str], Column]
 
 def _ask(requests: DataFrame, complete_fn: CompleteFn, **options) -> DataFrame:
     """Completion written to the shared folder without its prompt, so that the model is asked once per row."""
-    answered = materialize(complete(requests, complete_fn, returned=["review_id", "file_no", "file_path"], **options).drop("usage"), "answers")
-    return parse_responses(answered).select("review_id", "file_no", "file_path", "result", "error")
+    return _decoded(complete(requests, complete_fn, returned=["review_id", "file_no", "file_path"], **options))
+
+
+def _decoded(answered: DataFrame) -> DataFrame:
+    return parse_responses(materialize(answered.drop("usage"), "answers")).select("review_id", "file_no", "file_path", "result", "error")
 
 
 def _carry_errors(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,12 +75,16 @@ def review_files_with_framework(
     inputs, failed = _carry_errors(inputs)
     query: Column = F.concat(text("diff"), F.lit(" "), text("full_content")) if search_content else text("diff")
     body = short_prompt_body(F.col("body")) if shorten_bodies else F.col("body")
-    with_context = attach_context(inputs, elements, index, query=query, body=body)
-    user = prompts.framework_prompt("file_path", "diff", "full_content", "framework", "context")
-    requests = with_context.select(
-        "review_id", "file_no", "file_path", prompts.messages(prompts.framework_system_prompt("framework"), user).alias("messages")
+    asking, contexts = searched_contexts(inputs, elements, index, query=query, body=body)
+    # The code of one search is the longest part of its prompts by far and the same in all of them.
+    texts = materialize(contexts.select(F.col("query_id").alias("ref"), prompts.related_code("context").alias("shared")), "related-code")
+    before, behind = prompts.framework_prompt_parts("file_path", "diff", "full_content", "framework")
+    requests = asking.select(
+        "review_id", "file_no", "file_path", prompts.framework_system_prompt("framework").alias("system"), before.alias("before"), behind.alias("behind"),
+        F.col("query_id").alias("ref"),
     )
-    return _with_failed(_ask(requests, complete_fn, **options), failed)
+    answered = complete_shared(requests, texts, complete_fn, returned=["review_id", "file_no", "file_path"], **options)
+    return _with_failed(_decoded(answered), failed)
 
 
 def known_framework(inputs: DataFrame, elements: DataFrame, on_missing: str = "skip") -> DataFrame:
@@ -96,7 +103,8 @@ def review_all(
 ) -> DataFrame:
     """Send each row to the agent, framework or standard review by its flags; errors stay rows."""
     inputs, failed = _carry_errors(inputs)  # before routing: rows that failed are never asked about
-    routed = materialize(known_framework(inputs, elements, on_missing), "routed")
+    # Dealt, as the inputs may come in one file: each step of the agent is as many tasks as files are written here.
+    routed = materialize(dealt(known_framework(inputs, elements, on_missing), ["review_id", "file_no"]), "routed")
     agent = routed.where("use_agent")
     rest = routed.where("NOT coalesce(use_agent, false)")
     results = (
