@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from patchlens import session
 from patchlens.llm import class_ngrams, licences, mixing, toxicity
 
 SCHEMA = "doc_id bigint, text string"
@@ -300,3 +301,31 @@ def test_paragraphs_without_an_anchor_are_never_found(spark):
             type(model).anchors = whole
     model.offsets[0] += 100  # every paragraph is of the first family, so no word may be asked for
     assert found and model.anchors() is None
+
+
+def test_licence_model_hears_every_paragraph(spark, monkeypatch):
+    """A phrase in the second line of long documents counts, however little all paragraphs may weigh together."""
+    texts = dict(licensed(200)) | {1000 + i: "\n".join([f"plain {i} words", "Everything here is licensed under our terms", *(f"line {i} {j} of text" for j in range(8))]) for i in range(150)}
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    monkeypatch.setattr(licences, "CORPUS", 300)
+    stored = {}
+    real = session.materialize
+
+    def spied(rows, name):
+        stored[name] = real(rows, name)
+        return stored[name]
+
+    monkeypatch.setattr(session, "materialize", spied)
+    model = licences.fit(df)
+    counts = {r.word: r.n for r in stored["licence-words"].collect()}
+    units = {p for t in texts.values() for p in [*t.split("\n"), *([t] if "\n" in t else [])]}
+    assert counts["line"] > 400 and counts[None] > 0.4 * len(units)
+    found = licences.scan(df, model).where("doc_id >= 1000").collect()
+    assert not [r for r in found if r.paragraph == 2]
+
+
+def test_words_without_which_no_paragraph_resembles_a_notice():
+    templates = [["a", "mit", "license", "a mit", "mit license"], ["all", "rights", "reserved", "all rights", "rights reserved"]]
+    words = licences.tell_tales(templates)
+    for t in templates:
+        assert len([g for g in t if not set(g.split(" ")) & set(words)]) < 0.5 * len(t)
